@@ -2,22 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import public_tokenizers
 
-from . import language_id, mixing
+from . import language_id, mixing, packing, quality, simhash, suffix_dedup, token_counts
 from .common import read_table
 
 
+def op1_quality_classifier(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality.classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_packing(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op4_language_id(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id.predict(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_token_counts(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_simhash(spark, sf_dir):
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_mixing(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op8_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_suffix_dedup, op3_packing, op4_language_id, op6_token_counts, op7_simhash, op8_mixing)}
 
 SQL: dict[str, str] = {}
