@@ -1,0 +1,566 @@
+"""The numbered operators against brute force, on small tables with nulls, ties, repeats and clashing columns."""
+
+import hashlib
+import io
+import json
+import random
+import zipfile
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tracework.llm import common, components, language_id, media, mixing, neighbours, packing, quality, queries, simhash, suffix_dedup, token_counts, warc
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, fp string, score string, length int, rank int"
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(7)
+    base = [words(rng, rng.randint(1, 160)) for _ in range(40)]
+    passage = words(rng, 60)
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(100 + i, base[i % 7]) for i in range(20)]
+    rows += [(200 + i, base[i] + "\n" + passage + " " + base[i + 1][:50]) for i in range(10)]
+    rows += [(300, None), (301, ""), (302, "   \t\n"), (303, "x"), (304, "a" * 700), (305, "ab " * 400), (306, "!!! 123 ..."), (307, "\x01\x00z" * 50)]
+    rows += [(400, passage.upper()), (401, "word " * 3000)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    """Columns whose names the operators use themselves, and one repeated row."""
+    rows = [(i, t, None if i % 5 == 0 else "en" if i % 2 else "fr", f"s{i % 3}" if i % 11 else None, None if t is None else len(t), 1, "q", "w", 5, 6) for i, t in texts]
+    return spark.createDataFrame([*rows, rows[3]], SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where("false")
+
+
+# suffix-array dedup
+
+
+def brute_dedup(texts):
+    seen, out = set(), {}
+    for i, t in sorted(texts):
+        b = (t or "").encode()
+        mark = np.zeros(len(b) + 101, int)
+        for s in range(len(b) - 99):
+            w = b[s : s + 100]
+            if w in seen:
+                mark[s] += 1
+                mark[s + 100] -= 1
+            seen.add(w)
+        gone = np.cumsum(mark)[: len(b)] > 0
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(b) else 0
+        out[i] = (len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept)
+    return out
+
+
+def test_suffix_dedup(docs, texts):
+    rows = suffix_dedup.dedup(docs, keep=True).collect()
+    expected = brute_dedup(texts)
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept_bytes)) == expected[r.doc_id], r.doc_id
+    assert sum(r.n_removed > 0 for r in rows) > 25
+
+
+def test_suffix_dedup_same_doc_id_and_null_doc_id(spark):
+    rng = random.Random(1)
+    a, b = words(rng, 80), words(rng, 80)
+    rows = suffix_dedup.dedup(spark.createDataFrame([(None, a), (5, a), (5, b), (6, b)], "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.n_bytes): r.n_removed for r in rows}
+    assert found[None, len(a.encode())] == 0 and found[5, len(a.encode())] == len(a.encode())
+    assert found[5, len(b.encode())] == 0 and found[6, len(b.encode())] == len(b.encode())
+
+
+def test_suffix_dedup_empty(empty):
+    assert suffix_dedup.dedup(empty).collect() == []
+
+
+@pytest.mark.parametrize("shallow", [0, 8, 32])
+def test_deep_shallow_orders_like_sorted(shallow):
+    rng = random.Random(3)
+    strings = [bytes(rng.choice(b"ab\x00") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    strings += [b"ab" * rng.randint(1, 40) for _ in range(100)]
+    group = np.sort(np.array([rng.randint(0, 5) for _ in strings]))
+    length = np.array([len(s) for s in strings])
+    start = np.cumsum(length) - length
+    buffer = np.frombuffer(b"".join(strings) + b"\0" * 8, np.uint8)
+    order, common_ = suffix_dedup.deep_shallow(buffer, start, length, group, shallow)
+    got = [(group[i], strings[i]) for i in order]
+    assert got == sorted(got)
+    for j in range(1, len(got)):
+        if group[order[j]] == group[order[j - 1]]:
+            assert common_[j] == suffix_dedup.BlindTrie.common(got[j - 1][1], got[j][1])
+        else:
+            assert common_[j] == -1
+
+
+# SimHash
+
+
+def brute_simhash(text, n=3):
+    w = (text or "").encode().lower().split()
+    shingles = [b" ".join(w[j : j + n]) for j in range(len(w) - n + 1)] if len(w) >= n else [b" ".join(w)] if w else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def brute_classes(ids, near):
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            if a < b and near(a, b):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_simhash(docs, texts):
+    fps = {i: brute_simhash(t) for i, t in texts}
+    classes = brute_classes(list(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    rows = simhash.near_duplicates(docs).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        assert int(r.fingerprint, 16) == fps[r.doc_id] and len(r.fingerprint) == 16
+        assert r.component_id == classes[r.doc_id]
+
+
+def test_simhash_empty(empty):
+    assert simhash.near_duplicates(empty).collect() == []
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 5])
+def test_bit_sliced_distance(radius):
+    rng = np.random.default_rng(radius)
+    a = rng.integers(0, 1 << 63, 9000, dtype=np.uint64)
+    flips = np.zeros_like(a)
+    for _ in range(6):
+        flips ^= np.uint64(1) << rng.integers(0, 64, len(a), dtype=np.uint64) * (rng.random(len(a)) < 0.5).astype(np.uint64)
+    expected = np.array([int(x).bit_count() <= radius for x in flips])
+    assert (simhash.within(a, a ^ flips, radius) == expected).all()
+
+
+def test_links_lose_no_pair(spark):
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    fps = set(base)
+    for b in base:
+        for _ in range(4):
+            fps.add(b ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    links = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 2)
+    found = {r.node: r.root for r in components.components(links).collect()}
+    classes = brute_classes(signed, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
+    assert {i: found.get(i, i) for i in signed} == classes
+
+
+def test_components_of_chains_and_stars(spark):
+    pairs = [(i, i + 1) for i in range(0, 300) if i % 50 != 49] + [(1000, i) for i in range(1001, 1200)] + [(7, 7), (None, 3)]
+    random.Random(0).shuffle(pairs)
+    found = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long").repartition(7)).collect()}
+    for i in range(300):
+        assert found.get(i, i) == i // 50 * 50
+    assert all(found[i] == 1000 for i in range(1001, 1200))
+
+
+# packing
+
+
+def test_packing(docs, texts):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    total = 0
+    by_doc = {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, set()).add((r.piece, r.start, r.length, r.ids_crc32))
+    for i, t in texts:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        total += len(ids)
+        pieces = sorted(by_doc[i])
+        assert [p[0] for p in pieces] == list(range(len(pieces)))
+        at = 0
+        for n, (_, start, length, crc) in enumerate(pieces):
+            assert start == at and zlib.crc32(ids[at : at + length]) == crc and (n == 0 or length == 2048)
+            at += length
+        assert at == len(ids)
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for items in bins.values():
+        at = 0
+        for offset, length in sorted(items):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(bins) <= -(-total // 2048) + 1
+
+
+def test_tokenizer_files_agree(texts):
+    a, b = (packing.encoder(public_tokenizers.path(f"byte_bpe_50k.{x}")) for x in ("json", "tiktoken"))
+    some = [t for _, t in texts if t] + ["<|endoftext|> x", "日本語 ٣ ü̈", "  \n\n  tabs\t\t", "don't I'LL 1234567"]
+    assert a(some) == b(some)
+
+
+def test_plan_beats_next_fit_and_uses_everything():
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(1, 2049, 400)
+    values, counts = np.unique(lengths, return_counts=True)
+    bins = packing.plan(values, counts, 2048)
+    used = sorted(x for times, items in bins for x in items * times)
+    assert used == sorted(lengths.tolist()) and all(sum(items) <= 2048 for _, items in bins)
+
+
+def test_pair_that_fits_is_the_best():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        lengths = np.sort(rng.choice(np.arange(1, 60), 12, replace=False))[::-1]
+        counts = rng.integers(0, 3, 12)
+        room, over = int(rng.integers(5, 100)), int(rng.integers(0, 40))
+        items = [x for x, c in zip(lengths, counts, strict=True) for _ in range(c)]
+        sums = [items[i] + items[j] for i in range(len(items)) for j in range(i) if over < items[i] + items[j] <= room]
+        got = packing.two_that_fit(lengths, counts, room, over)
+        assert (sum(got) if got else None) == (max(sums) if sums else None)
+
+
+def test_packing_empty(empty):
+    assert packing.pack(empty, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect() == []
+
+
+# mixing
+
+
+def water_level(sizes, weights, total):
+    """Reshare the excess by weight until none is above its cap."""
+    target = dict.fromkeys(sizes, 0.0)
+    free, left = set(sizes), total
+    while free and left > 1e-9:
+        whole = sum(weights[s] for s in free)
+        over = 0.0
+        for s in list(free):
+            target[s] += left * weights[s] / whole
+        for s in list(free):
+            if target[s] >= 2 * sizes[s] - 1e-12:
+                over += target[s] - 2 * sizes[s]
+                target[s] = 2.0 * sizes[s]
+                free.discard(s)
+        left = over
+    return target
+
+
+def test_mixing(spark, docs, texts):
+    rows = mixing.mix(docs).collect()
+    again = mixing.mix(docs.repartition(3)).collect()
+    key = lambda r: (r.doc_id, r["size"], r.taken)
+    assert sorted(map(key, rows)) == sorted(map(key, again))
+    assert len(rows) == len(texts) + 1
+    import re
+
+    body = dict(texts)
+    sizes, taken = {}, {}
+    for r in rows:
+        assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", body[r.doc_id] or ""))
+        assert 0 <= r.taken <= 2 * r["size"]
+        sizes[r.source] = sizes.get(r.source, 0) + r["size"]
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    target = water_level(sizes, {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}, 1.5 * sum(sizes.values()))
+    for r in rows:
+        assert r.source_size == sizes[r.source] and abs(r.target - target[r.source]) < 1e-6
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= max(3, 0.01 * target[s])
+
+
+def test_source_targets_reshare(spark):
+    rng = random.Random(9)
+    for _ in range(5):
+        sizes = {f"s{i:02}": rng.choice([0, 1, 5, 50, 5000]) for i in range(rng.randint(1, 9))} | {None: 3}
+        rows = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+        order = sorted(sizes, key=lambda s: (s is None, s or ""))
+        expected = water_level(sizes, {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}, 1.5 * sum(sizes.values()))
+        for r in rows:
+            assert abs(r.target - expected[r.source]) < 1e-6
+
+
+def test_sainte_lague_is_highest_quotients(spark):
+    rng = random.Random(4)
+    for seats in (0, 1, 17, 400):
+        votes = [(1, i, float(rng.randint(0, 1000))) for i in range(12)]
+        rows = mixing.sainte_lague(spark.createDataFrame(votes, "all int, k int, votes double"), ["all"], ["k"], F.lit(seats)).collect()
+        quota = {k: 0 for _, k, _ in votes}
+        for _ in range(seats):
+            best = max(votes, key=lambda v: (v[2] / (2 * quota[v[1]] + 1), -v[1]))
+            quota[best[1]] += 1
+        assert {r.k: r.quota for r in rows} == quota
+
+
+def test_mixing_empty(empty):
+    assert mixing.mix(empty).collect() == []
+
+
+# language ID
+
+
+def test_language_id_held_out(spark, sf_dir):
+    rows = queries.op4_language_id(spark, sf_dir)
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    held = rows.where("held_out").join(docs, "doc_id").select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.min("score"), F.max("score")).first()
+    assert held[0] > 0.97 and 0 <= held[1] and held[2] <= 1
+    crc = rows.select("doc_id", "held_out").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in crc)
+
+
+def test_language_id_cases(docs, empty):
+    rows = {r.doc_id: r for r in language_id.predict(docs).collect()}
+    for i in (300, 301, 302, 306):
+        assert rows[i].lang_pred == "und" and rows[i].score == 0
+    assert rows[0].lang_pred in ("en", "fr")
+    assert language_id.predict(empty).collect() == []
+
+
+def test_ngrams_stay_in_their_row():
+    one = b"abc"
+    data, at = np.frombuffer(one + b"" + b"zabc", np.uint8), np.array([0, 3, 3, 7])
+    buckets, rows = language_id.ngram_buckets(data, at)
+    assert np.bincount(rows, minlength=3).tolist() == [3 + 2 + 1, 0, 4 + 3 + 2 + 1]
+    assert set(buckets[rows == 0]) <= set(buckets[rows == 2])
+
+
+# quality
+
+
+def test_quality_held_out(spark, sf_dir):
+    rows = queries.op1_quality_classifier(spark, sf_dir).join(common.read_table(spark, sf_dir, "labels"), "doc_id").where("held_out").collect()
+    good, bad = [r.score for r in rows if r.quality == 1], [r.score for r in rows if r.quality == 0]
+    wins = np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
+    assert wins > 0.9 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+
+
+def test_quality_cases(spark, docs, empty):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    rows = quality.classify(docs, labels).collect()
+    assert len(rows) == docs.count()
+    by = {r.doc_id: r.score for r in rows}
+    assert by[300] == by[301] and 0 <= by[300] <= 1
+    assert quality.classify(empty, labels).collect() == []
+    assert {r.score for r in quality.classify(docs, labels.where("false")).collect()} == {0.5}
+
+
+# token counts
+
+
+def test_token_counts(docs, texts):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokens = set(token_counts.vocabulary(path))
+    longest = max(map(len, tokens))
+
+    def greedy(word):
+        symbols, n, at = (*word, token_counts.END), 0, 0
+        while at < len(symbols):
+            end = next((e for e in range(min(len(symbols), at + longest), at, -1) if symbols[at:e] in tokens), None)
+            if end is None:
+                return 1
+            n, at = n + 1, end
+        return n
+
+    rows = token_counts.count_tokens(docs, path).collect()
+    expected = {i: [greedy(w) for w in (t or "").encode().lower().split()] for i, t in texts}
+    for r in rows:
+        assert (r.n_words, r.n_tokens) == (len(expected[r.doc_id]), sum(expected[r.doc_id]))
+
+
+def test_automaton_of_small_vocabularies():
+    rng = random.Random(8)
+    for _ in range(60):
+        tokens = {tuple(rng.choice(b"ab") for _ in range(rng.randint(1, 5))) + ((256,) if rng.random() < 0.4 else ()) for _ in range(rng.randint(1, 12))}
+        machine = token_counts.Automaton(sorted(tokens))
+        for _ in range(40):
+            word = bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 12)))
+            symbols, n, at = (*word, 256), 0, 0
+            while at < len(symbols):
+                end = next((e for e in range(len(symbols), at, -1) if symbols[at:e] in tokens), None)
+                if end is None:
+                    n, at = 1, len(symbols)
+                else:
+                    n, at = n + 1, end
+            assert machine.count(word) == n, (tokens, word)
+
+
+# WARC
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    big, other = "é" * 700, "x" * 1000
+    rows = [(1, "http://a", big), (2, "http://b\r\nX: y", big), (9, None, big), (3, "u", "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""), (7, "u", other), (8, "u", "x" * 999), (10, "u", "x" * 999), (None, "u", other), (9, None, big), (11, "u", "\r\n\r\nWARC/1.1\r\n\r\n" * 80)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+
+
+def test_warc_round_trip(pages):
+    rows = warc.round_trip(pages).collect()
+    source = pages.collect()
+    assert len(rows) == len(source)
+    digest = lambda h: hashlib.sha1((h or "").encode()).hexdigest()
+    latest = {}
+    for p in source:
+        if len((p.html or "").encode()) >= 1000 and p.page_id is not None:
+            latest[digest(p.html)] = max(latest.get(digest(p.html), 0), p.page_id)
+    expected = sorted((str(p.page_id), len((p.html or "").encode()), digest(p.html), *((("response", "None")) if latest.get(digest(p.html), p.page_id) == p.page_id else ("revisit", str(latest[digest(p.html)])))) for p in source)
+    assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in rows) == expected
+
+
+def test_warc_payloads_and_empty(spark, pages):
+    folder = common.new_folder(spark, "warc-test")
+    rows = warc.read_archives(warc.write_archives(pages, folder)).collect()
+    html = {p.page_id: p.html for p in pages.collect()}
+    for r in rows:
+        if r.record_type == "response":
+            assert bytes(r.payload) == (html[r.page_id] or "").encode()
+    assert warc.round_trip(pages.where("false")).collect() == []
+
+
+def test_zip_directories_and_zip64():
+    for n in (3, 66_000):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED) as z:
+            for i in range(n):
+                z.writestr(f"m{i}", f"data {i}")
+        raw = buffer.getvalue()
+        read = lambda at, size: raw[at : at + size]  # noqa: B023, E731
+        members = warc.directory(read, len(raw))
+        assert len(members) == n
+        m = members[f"m{n - 1}"]
+        assert read(warc.stored_at(read, m), m.size) == f"data {n - 1}".encode()
+
+
+def test_compressed_members_are_refused():
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a", "b" * 100)
+    raw = buffer.getvalue()
+    read = lambda at, size: raw[at : at + size]
+    with pytest.raises(ValueError, match="stored"):
+        warc.stored_at(read, warc.directory(read, len(raw))["a"])
+
+
+# nearest neighbours
+
+
+def brute_neighbours(rows, k=5):
+    ok = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    ids = np.array(sorted(ok))
+    x = np.array([ok[i] for i in ids])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    out = {}
+    for q in ids[ids % 50 == 0]:
+        score = unit @ (ok[q] / np.linalg.norm(ok[q]))
+        best = sorted((-round(s, 9), i) for s, i in zip(score, ids, strict=True) if i != q)[:k]
+        out[int(q)] = [int(i) for _, i in best]
+    return out
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 16))
+    rows = [(i, (centres[i % 12] + 0.6 * rng.standard_normal(16)).tolist()) for i in range(2500)]
+    hot = rng.standard_normal(16).tolist()
+    rows += [(3000 + i, hot) for i in range(900)]
+    rows += [(5000, None), (5050, [0.0] * 16), (5100, [1.0] * 15 + [None]), (5150, [1.0] * 15 + [float("nan")]), (5200, [float("inf")] + [1.0] * 15), (5250, [1.0] * 3), (None, hot)]
+    found = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda c: c % 50 == 0).collect():
+        found.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    expected = brute_neighbours([(i, None if v is None else np.float32(v).tolist() if None not in v else v) for i, v in rows])
+    assert set(found) == set(expected)
+    hit = total = 0
+    for q, best in expected.items():
+        assert sorted(found[q]) == [1, 2, 3, 4, 5]
+        if 3000 <= q < 3900:
+            assert [found[q][r][0] for r in range(1, 6)] == best
+        hit += len({i for i, _ in found[q].values()} & set(best))
+        total += len(best)
+    assert hit / total >= 0.9
+
+
+def test_neighbours_of_few(spark):
+    rows = [(0, [1.0, 0.0]), (50, [1.0, 0.1]), (7, [0.0, 1.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda c: c % 50 == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(0, 1, 50), (0, 2, 7), (50, 1, 0), (50, 2, 7)]
+    assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), lambda c: c % 50 == 0).collect() == []
+
+
+# media
+
+
+def test_media_round_trip(docs, texts):
+    rows = media.decode_column(media.encode_column(docs), digest=True).collect()
+    body = dict(texts)
+    by_text = {}
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        raw = (body[r.doc_id] or "").encode()
+        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        assert (r.n_bytes, r.payload_bytes) == (len(raw), len(payload))
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
+        assert by_text.setdefault(raw, (r.media_bytes, r.media_sha256, r.feature)) == (r.media_bytes, r.media_sha256, r.feature)
+
+
+def test_media_any_bytes_and_batches():
+    rng = np.random.default_rng(0)
+    rows = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (1, 63, 64, 65, 384, 385, 5000, 40_000)] + [bytes([1]) * 700, bytes([255]) * 700, b""]
+    data = np.frombuffer(b"".join(rows), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    files = media.encode(data, at)
+    frames, where, coefs = media.decode(files)
+    for raw, own in zip(rows, where, strict=True):
+        n = max(64, -(-len(raw) // 64) * 64)
+        got = coefs[own[0][0] : own[0][0] + n // 64].astype(np.uint8).tobytes()
+        assert got == raw + b"\0" * (n - len(raw))
+    assert media.encode(data[at[4] : at[5]], np.array([0, 384])) == [files[4]]
+
+
+def reference_idct(block):
+    u = np.arange(8)
+    basis = np.cos((2 * u[:, None] + 1) * u[None, :] * np.pi / 16) * np.where(u == 0, np.sqrt(1 / 8), 0.5)
+    return basis @ block @ basis.T
+
+
+def test_inverse_transform_and_colour():
+    rng = np.random.default_rng(1)
+    coefs = rng.integers(-60, 60, (50, 64))
+    got = media.samples(coefs)
+    order = media.zigzag()
+    for c, s in zip(coefs, got, strict=True):
+        block = np.zeros(64)
+        block[order] = c
+        assert np.abs(np.clip(np.rint(reference_idct(block.reshape(8, 8)) + 128), 0, 255).reshape(-1) - s.astype(float)).max() <= 1
+    assert order[:8].tolist() == [0, 1, 8, 16, 9, 2, 3, 10] and order[-1] == 63
+    grey = media.to_rgb(*(np.full((2, 2), v, np.uint8) for v in (90, 128, 128)))
+    assert (grey == 90).all()
+
+
+def test_tensor_shape():
+    raw = np.frombuffer(b"hello world " * 100, np.uint8)
+    frames, where, coefs = media.decode(media.encode(raw, np.array([0, len(raw)])))
+    assert media.tensor(frames[0], where[0], coefs).shape == (frames[0].height, frames[0].width, 3)

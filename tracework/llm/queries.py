@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import language_id, mixing, packing, quality, simhash, suffix_dedup, token_counts
+from . import language_id, media, mixing, neighbours, packing, quality, simhash, suffix_dedup, token_counts, warc
 from .common import read_table
 
 
@@ -28,6 +28,11 @@ def op4_language_id(spark, sf_dir):
     return language_id.predict(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_warc(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_token_counts(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -42,6 +47,30 @@ def op8_mixing(spark, sf_dir):
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_suffix_dedup, op3_packing, op4_language_id, op6_token_counts, op7_simhash, op8_mixing)}
+def op9_neighbours(spark, sf_dir):
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda vec_id: vec_id % 50 == 0)
+
+
+def op10_media(spark, sf_dir):
+    """The stored files pass from the writing to the reading step as a binary column."""
+    stored = media.encode_column(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return media.decode_column(stored, digest=True)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_classifier, op2_suffix_dedup, op3_packing, op4_language_id, op5_warc, op6_token_counts, op7_simhash, op8_mixing, op9_neighbours, op10_media)
+}
 
-SQL: dict[str, str] = {}
+#: Language scores, fingerprints, tokens, spans, JPEG files and graph search have no SQL; tests hold them against brute force.
+SQL: dict[str, str] = {
+    "op5_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+     d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS digest FROM p),
+     l AS (SELECT digest, max(page_id) AS latest FROM d WHERE n >= 1000 GROUP BY 1)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN l.latest IS NULL OR l.latest IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN l.latest IS DISTINCT FROM page_id THEN l.latest END AS refers_to
+FROM d LEFT JOIN l ON d.digest = l.digest AND n >= 1000
+""",
+}
