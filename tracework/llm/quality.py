@@ -123,23 +123,37 @@ def _feature_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in table.astype(np.float16)], pa.binary()), piece.column("quality")], ["x", "quality"])
 
 
+def _unit_rows(z: np.ndarray) -> np.ndarray:
+    return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+
+
+def leading_directions(x: np.ndarray, rank: int, rounds: int = 8, spare: int = 16) -> np.ndarray:
+    """(columns, rank): leading right singular vectors of x by subspace iteration; needs little beside x."""
+    width = min(rank + spare, *x.shape)
+    v = np.linalg.qr(np.random.default_rng(0).standard_normal((x.shape[1], width)))[0].astype(np.float32)
+    for _ in range(rounds):
+        v = np.linalg.qr((x.T @ (x @ v)).astype(np.float64))[0].astype(np.float32)
+    image = (x @ v).astype(np.float64)
+    _, turn = np.linalg.eigh(image.T @ image)
+    return np.ascontiguousarray(v @ turn[:, ::-1][:, :rank].astype(np.float32))
+
+
 class Model:
     """Projection and the learning rows' unit vectors (RANK wide) with their labels."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, neighbours: int, power: float):
+        # x is weighted in place
         self.neighbours, self.power, self.y = neighbours, power, y.astype(np.float32)
         self.share = float(y.mean()) if len(y) else 0.5
         if len(x):
             df = (x > 0).sum(0)
             self.weight = np.log((1 + len(x)) / (1 + df)).astype(np.float32) + 1
-            weighted = x * self.weight
-            _, vectors = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
-            self.basis = np.ascontiguousarray(vectors[:, ::-1][:, :RANK].astype(np.float32))
-            self.vectors = self.project(x)
+            x *= self.weight
+            self.basis = leading_directions(x, RANK)
+            self.vectors = _unit_rows(x @ self.basis)
 
     def project(self, x: np.ndarray) -> np.ndarray:
-        z = (x * self.weight) @ self.basis
-        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        return _unit_rows((x * self.weight) @ self.basis)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(self.y):
@@ -154,22 +168,17 @@ class Model:
         return np.where((x.any(1)) & (total > 0), voted, self.share)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = 6000, neighbours: int = 15, power: float = 8.0, seed: int = 42) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = 4000, neighbours: int = 15, power: float = 8.0, seed: int = 42) -> Model:
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.where(~held_out()).withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
     chosen = known.orderBy("h", "doc_id").limit(max_train_docs)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int").alias("quality"))
     found = rows.mapInArrow(_feature_rows, "x binary, quality int").toPandas()
-    x = np.frombuffer(b"".join(found["x"]), np.float16).reshape(-1, DIM).astype(np.float32)
-    # in a fixed order, whatever order the tasks ended in
-    order = np.lexsort((found["quality"].to_numpy(), found["x"].map(hash_bytes).to_numpy())) if len(found) else np.zeros(0, int)
-    return Model(x[order], found["quality"].to_numpy()[order], neighbours, power)
-
-
-def hash_bytes(value: bytes) -> int:
-    import zlib
-
-    return zlib.crc32(value)
+    found = found.sort_values(["quality", "x"])  # whatever order the tasks ended in
+    x = np.empty((len(found), DIM), np.float32)
+    for i, row in enumerate(found["x"]):
+        x[i] = np.frombuffer(row, np.float16)
+    return Model(x, found["quality"].to_numpy(), neighbours, power)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
