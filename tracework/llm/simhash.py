@@ -6,8 +6,8 @@ space, repeats included. Bit b of a document is 1 if it is set in more than
 half of the shingles' XXH64 hashes (seed 42).
 
 Links. Equal fingerprints are one node, so copies are never compared. The 64
-bits are cut into ``BLOCKS`` blocks; fingerprints within ``radius`` differing
-bits agree on at least ``BLOCKS - radius`` of them, so each fingerprint is sent
+bits are cut into ``blocks`` blocks; fingerprints within ``radius`` differing
+bits agree on at least ``blocks - radius`` of them, so each fingerprint is sent
 to one bucket for every such choice of blocks (15 buckets of 40 to 44 bits for
 the default radius 2): no pair is lost and none is capped. Within a bucket the
 comparison is bit-sliced: lane i holds the pair (i, i + d); the 64 bit planes are packed
@@ -76,11 +76,12 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(*others, "text").mapInArrow(run, schema)
 
 
-def _masks(radius: int) -> list[int]:
-    edges = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
+def _masks(radius: int, blocks: int) -> list[int]:
+    """One mask for every choice of blocks - radius blocks."""
+    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
     parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return [signed(sum(c)) for c in combinations(parts, BLOCKS - radius)]
+    return [signed(sum(c)) for c in combinations(parts, blocks - radius)]
 
 
 def within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -138,9 +139,9 @@ def bucket_links(bucket: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.nd
     return nodes[ok], root[ok]
 
 
-def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 2, blocks: int = BLOCKS) -> DataFrame:
     """fp (distinct) -> (a, b): links whose components are those of all pairs within the radius."""
-    masks = F.array(*[F.lit(m) for m in _masks(radius)])
+    masks = F.array(*[F.lit(m) for m in _masks(radius, blocks)])
     dealt = (
         distinct.select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("mask", "part"))
         .select(F.xxhash64("mask", "part").alias("bucket"), "fp")
@@ -163,13 +164,35 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = BLOCKS) -> DataFrame:
     """Columns of docs but text, then fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     others = [c for c in docs.columns if c not in ("text", "fp", "fingerprint", "component_id")]
     rows = written(fingerprints(docs.select(*others, "text"), words), "simhash")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    comp = components(links(nodes.select("fp"), radius), "simhash-links")
+    comp = components(links(nodes.select("fp"), radius, blocks), "simhash-links")
     classes = nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("class"))
     lowest = classes.groupBy("class").agg(F.min("low").alias("component_id"))
     named = classes.join(lowest, "class").select(F.col("fp").alias("n_fp"), "component_id")
     return rows.join(named, rows["fp"] == named["n_fp"]).select(*others, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def shingles(text: str | None, words: int = 5) -> set[bytes]:
+    found = (text or "").encode().lower().split()
+    return {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))}
+
+
+def resembling(pairs: DataFrame, docs: DataFrame, least: float, words: int = 5) -> DataFrame:
+    """doc_id of the pairs (doc_id, component_id) whose texts have at least this Jaccard similarity of word shingles."""
+
+    def run(batches):
+        for batch in batches:
+            near = []
+            for doc_id, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "kept")), strict=True):
+                x, y = shingles(a, words), shingles(b, words)
+                if a == b or len(x & y) >= least * len(x | y):
+                    near.append(doc_id)
+            yield pa.RecordBatch.from_arrays([pa.array(near, pa.int64())], ["doc_id"])
+
+    kept = docs.select(F.col("doc_id").alias("component_id"), F.col("text").alias("kept"))
+    rows = pairs.join(docs.select("doc_id", "text"), "doc_id").join(kept, "component_id").select("doc_id", "text", "kept")
+    return rows.mapInArrow(run, "doc_id long").distinct()

@@ -43,7 +43,7 @@ LENGTH = 100
 GRAM = 24
 SHALLOW = 32
 CHUNK_BYTES = 1 << 20
-BLOCK_ROWS = 60_000
+BLOCK_ROWS = 40_000
 #: packed: start of the anchor's first string (31 bits), checksum of the text (16), strings - 1 (7), anchor's place after the start (7)
 _START, _SUM, _MANY = 30, 14, 7
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -303,7 +303,7 @@ def _surroundings(length: int):
     """Rows with the texts and their kept anchors -> gram, key, packed, u (bytes of all the anchor's strings); the earliest of equal ones in a batch."""
 
     def run(batches):
-        for piece in chunks(batches, "text", CHUNK_BYTES * 4):
+        for piece in chunks(batches, "text", CHUNK_BYTES):
             data, at = utf8(piece.column("text"))
             kept = piece.column("kept").combine_chunks() if isinstance(piece.column("kept"), pa.ChunkedArray) else piece.column("kept")
             row = np.repeat(np.arange(piece.num_rows), np.diff(kept.offsets.to_numpy()))
@@ -419,19 +419,20 @@ def _cut(others: list[str], length: int, keep: bool):
             columns = [*[piece.column(c) for c in others], pa.array(np.diff(at)), pa.array(removed), pa.array(spans[at[1:]] - spans[at[:-1]]), pa.array(digest)]
             names = [*others, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if keep:
-                columns.append(binary_array(left, kept_at).cast(pa.binary()))
-                names.append("kept_bytes")
+                text = [str(view[a:b], "utf-8", "ignore") for a, b in zip(cuts, cuts[1:])]
+                columns += [binary_array(left, kept_at).cast(pa.binary()), pa.array(text, pa.string())]
+                names += ["kept_bytes", "kept_text"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, keep: bool = False) -> DataFrame:
-    """Columns of docs but text, then n_bytes, n_removed, n_spans, kept_sha256 (and kept_bytes).
+    """Columns of docs but text, then n_bytes, n_removed, n_spans, kept_sha256 (and kept_bytes, kept_text: without characters that a cut splits).
 
     ``length`` is at least GRAM + 1 and at most GRAM + 77.
     """
-    new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"]
+    new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "kept_text"]
     others = [c for c in docs.columns if c not in ("text", *new)]
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_key")
     text = docs.select(key.alias("key"), "text")
@@ -453,6 +454,6 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep: bool = False) -> DataFram
     rows = found.join(fresh.hint("shuffle_hash"), "key", "left").drop("key")
     fields = [*[T.StructField(f"c_{i}", docs.schema[c].dataType) for i, c in enumerate(others)], *[T.StructField(c, T.LongType()) for c in new[:3]], T.StructField("kept_sha256", T.StringType())]
     if keep:
-        fields.append(T.StructField("kept_bytes", T.BinaryType()))
+        fields += [T.StructField("kept_bytes", T.BinaryType()), T.StructField("kept_text", T.StringType())]
     out = rows.mapInArrow(_cut([f"c_{i}" for i in range(len(others))], length, keep), T.StructType(fields))
-    return out.toDF(*others, *new[: 5 if keep else 4])
+    return out.toDF(*others, *new[: 6 if keep else 4])
