@@ -1,5 +1,6 @@
 """The pipeline's stages, each against what it may and must do to its own input."""
 
+import itertools
 import random
 
 import corpus_pipeline as pipeline
@@ -43,6 +44,50 @@ def test_near_copy_stage_leaves_one_of_each_group(spark, sf_dir, docs):
     assert 0.9 * alone <= len(kept) <= alone
 
 
+def near_components(texts, least=0.8):
+    """{i: smallest j of its component} by brute force over five-word shingles."""
+    sets, root = [simhash.shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return {i: find(i) for i in range(len(texts))}
+
+
+def test_near_copy_stage_is_brute_force(spark, sf_dir, docs):
+    rng = random.Random(1)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for n in (60, 120, 300, 900):
+        for share in (0.004, 0.01, 0.02, 0.03, 0.05, 0.08):
+            words = new(n)
+            texts.append(words)
+            for _ in range(4):  # similarities from about 0.4 to 1
+                texts.append([w if rng.random() > share else "zzz" for w in words])
+    # a chain: its first text shares nothing but the chain with its last, of which there are two
+    words = new(100)
+    for i in range(9):
+        texts.append([*new(7 * i), *words[7 * i :]])
+    texts.append(texts[-1])
+    texts = [" ".join(t) for t in texts]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    kept = [r.doc_id for r in pipeline.near_copies(spark, spark.createDataFrame(rows, docs.schema), sf_dir).select("doc_id").collect()]
+    assert sorted(kept) == sorted(set(near_components(texts).values()))
+
+
+def test_near_copy_stage_keeps_one_row_whatever_the_ids(spark, sf_dir, docs):
+    text, other = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(i, t, "en", "s", 1) for i, t in ((None, text), (None, text), (None, other), (7, other + " c"), (7, other + " c"), (8, "alone"), (None, "alone too"))]
+    kept = [(r.doc_id, r.text) for r in pipeline.near_copies(spark, spark.createDataFrame(rows, docs.schema), sf_dir).collect()]
+    assert sorted(kept, key=str) == sorted([(None, text), (7, other + " c"), (8, "alone"), (None, "alone too")], key=str)
+
+
 def test_passage_stage_is_the_operator(spark, sf_dir, docs):
     got = {r.doc_id: r.text for r in pipeline.repeated_passages(spark, docs, sf_dir).select("doc_id", "text").collect()}
     for r in suffix_dedup.dedup(docs.select("doc_id", "text"), keep=True).collect():

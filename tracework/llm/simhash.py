@@ -41,24 +41,29 @@ SEED = 42
 BLOCKS = 6
 LANES = 4096
 CHUNK_BYTES = 1 << 20
+#: Candidates of resembling_groups: a pair of Jaccard similarity 0.8 shares one of the bands with probability 1 - (1 - 0.8**6)**32 = 0.9999.
+BANDS, BAND_ROWS = 32, 6
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
     """Signed 64-bit fingerprint of one text's UTF-8 bytes."""
     found = text.lower().split()
-    if not found:
-        return 0
+    return int(_majority(np.array(_hashes(found, words), np.uint64)).view(np.int64)) if found else 0
+
+
+def _hashes(found: list[bytes], words: int) -> list[int]:
     digest = xxhash.xxh64_intdigest
     if len(found) <= words:
-        hashes = [digest(b" ".join(found), SEED)]
-    else:
-        joined = b" ".join(found)
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-words] + 1]).tolist()
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = bits.sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+        return [digest(b" ".join(found), SEED)]
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-words] + 1]).tolist()
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
+
+
+def _majority(hashes: np.ndarray) -> np.uint64:
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -181,18 +186,107 @@ def shingles(text: str | None, words: int = 5) -> set[bytes]:
     return {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))}
 
 
-def resembling(pairs: DataFrame, docs: DataFrame, least: float, words: int = 5) -> DataFrame:
-    """doc_id of the pairs (doc_id, component_id) whose texts have at least this Jaccard similarity of word shingles."""
+def _buckets(docs: DataFrame, words: int) -> DataFrame:
+    """(node, text) -> (bucket, node), a node once a task at least: the bands of least hashes, and the block choices of the fingerprint for two bits."""
+    rng = np.random.default_rng(SEED)
+    a, b = (rng.integers(0, 1 << 31, (BANDS * BAND_ROWS, 1), np.uint32) * 2 + 1 for _ in range(2))
+    masks = np.array(_masks(2, BLOCKS), np.int64).view(np.uint64)
+    names = np.arange(BANDS + len(masks), dtype=np.uint64).view(np.uint8).reshape(-1, 8)
+
+    def signature(text: bytes) -> list[int]:
+        hashes = np.array(_hashes(text.lower().split(), words), np.uint64)
+        least = np.full(len(a), 0xFFFFFFFF, np.uint32)
+        for at in range(0, len(hashes), 1024):
+            high, low = (hashes[at : at + 1024] >> np.uint64(32)).astype(np.uint32), hashes[at : at + 1024].astype(np.uint32)
+            np.minimum(least, (a * high + b * low).min(1), out=least)
+        keys = [x.tobytes() for x in least.reshape(BANDS, BAND_ROWS)] + [x.tobytes() for x in np.uint64(_majority(hashes)) & masks]
+        return [xxhash.xxh64_intdigest(name.tobytes() + key, SEED) for name, key in zip(names, keys, strict=True)]
+
+    def run(batches):
+        seen = set()
+        for piece in chunks(batches, "text", CHUNK_BYTES):
+            data, at = utf8(piece.column("text"))
+            raw, at, node = data.tobytes(), at.tolist(), piece.column("node").to_pylist()
+            new = {v: i for i, v in enumerate(node) if v not in seen}
+            seen.update(new)
+            found = np.array([signature(raw[at[i] : at[i + 1]]) for i in new.values()], np.uint64).view(np.int64).reshape(-1, BANDS + len(masks))
+            yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(np.array(list(new), np.int64), found.shape[1]))], ["bucket", "node"])
+
+    return docs.select("node", "text").mapInArrow(run, "bucket long, node long")
+
+
+def _shared(batches):
+    """(bucket, node) sorted by bucket -> bucket, node, b (its smallest node), without the buckets of one node; rows once each."""
+
+    def several(bucket, node):
+        by = np.lexsort((node, bucket))
+        bucket, node = bucket[by], node[by]
+        new = np.ones(len(node), bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])
+        bucket, node = bucket[new], node[new]
+        _, head, n = np.unique(bucket, return_index=True, return_counts=True)
+        low, many = np.repeat(node[head], n), np.repeat(n > 1, n)
+        return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (bucket, node, low)], ["bucket", "node", "b"])
+
+    kept_bucket, kept_node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        bucket = np.concatenate([kept_bucket, batch.column("bucket").to_numpy()])
+        node = np.concatenate([kept_node, batch.column("node").to_numpy()])
+        # the last bucket may go on in the next batch
+        cut = int(np.searchsorted(bucket, bucket[-1], "left")) if len(bucket) else 0
+        kept_bucket, kept_node = bucket[cut:], node[cut:]
+        yield several(bucket[:cut], node[:cut])
+    yield several(kept_bucket, kept_node)
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts have at least this Jaccard similarity."""
 
     def run(batches):
         for batch in batches:
-            near = []
-            for doc_id, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "kept")), strict=True):
-                x, y = shingles(a, words), shingles(b, words)
-                if a == b or len(x & y) >= least * len(x | y):
-                    near.append(doc_id)
-            yield pa.RecordBatch.from_arrays([pa.array(near, pa.int64())], ["doc_id"])
-
-    kept = docs.select(F.col("doc_id").alias("component_id"), F.col("text").alias("kept"))
-    rows = pairs.join(docs.select("doc_id", "text"), "doc_id").join(kept, "component_id").select("doc_id", "text", "kept")
-    return rows.mapInArrow(run, "doc_id long").distinct()
+            ok, last, x = [], None, set()
+            for a, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "s", "t")), strict=True):
+                if a != last:
+                    last, x = a, shingles(s, words)
+                y = shingles(t, words)
+                ok.append(len(x & y) >= least * len(x | y))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    left, right = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("a", "s"), ("b", "t")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+
+
+def resembling_groups(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
+    """doc_id, node, rows, keep: one row a (doc_id, node) whose component has more rows; keep is true for one of the component's.
+
+    Equal texts are one node (the 64-bit ``text_node``). Candidates are nodes with a
+    common bucket. Each is compared by exact Jaccard similarity of word shingles
+    with its bucket's smallest node; then all pairs of a bucket that this leaves in
+    different components are. So the components are those of all
+    candidate pairs with the similarity, whatever doc_ids they have. The
+    smallest doc_id of a component is kept, a null one only if there is no other.
+    """
+    keys = written(docs.groupBy("doc_id", text_node().alias("node")).agg(F.count(F.lit(1)).alias("rows")), "near-keys")
+    lows = keys.groupBy("node").agg(F.min("doc_id").alias("low"))
+    dealt = _buckets(docs.select(text_node().alias("node"), "text"), words).repartition("bucket").sortWithinPartitions("bucket")
+    shared = written(dealt.mapInArrow(_shared, "bucket long, node long, b long"), "near-shared")
+    named = lows.join(shared.select("node").distinct(), "node").select(F.col("node").alias("t_node"), "low")
+    rows = docs.select("doc_id", text_node().alias("node"), "text")
+    texts = written(rows.join(named, (F.col("node") == F.col("t_node")) & F.col("doc_id").eqNullSafe(F.col("low"))).select("node", "text").dropDuplicates(["node"]), "near-texts")
+    first = written(_alike(shared.where("node <> b").select(F.col("node").alias("a"), "b").distinct(), texts, least, words), "near-links")
+    root = components(first, "near-first")
+    placed = shared.select("bucket", "node").join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
+    placed = written(placed.join(mixed, "bucket"), "near-placed")
+    one, two = placed.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")), placed.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
+    rest = one.join(two, "bucket").where("ra < rb").select("a", "b").distinct()
+    links = first.unionByName(_alike(rest.join(first, ["a", "b"], "left_anti"), texts, least, words))
+    comp = components(links, "near-links")
+    classes = keys.join(comp, "node", "left").select("doc_id", "node", "rows", F.coalesce("root", "node").alias("class"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    best = classes.groupBy("class").agg(F.min(order).alias("best"), F.sum("rows").alias("all")).where(F.col("all") > 1)
+    return classes.join(best, "class").select("doc_id", "node", "rows", F.col("doc_id").eqNullSafe(F.col("best.doc_id")).__and__(F.col("node") == F.col("best.node")).alias("keep"))
+
+
+def text_node():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
