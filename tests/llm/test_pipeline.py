@@ -1,5 +1,6 @@
 """The pipeline's stages, each against what it may and must do to its own input."""
 
+import hashlib
 import itertools
 import random
 
@@ -102,6 +103,27 @@ def test_mixing_stage_takes_what_the_operator_says(spark, sf_dir, docs):
     assert got == {i: n for i, n in taken.items() if n}
 
 
+def test_mixing_stage_emits_the_selected_blocks(spark, sf_dir, docs):
+    """Blocks of one word and one shard a source here; the stream and the systematic sample are done again in Python."""
+    code = lambda key: hashlib.md5(key.encode()).hexdigest()
+    texts = {i: " " * (i % 2) + " ".join(f"d{i}w{j}" for j in range(40 * i + 1)) for i in range(12)}
+    rows = [(i, t, "en", "abc"[i % 3], len(t)) for i, t in texts.items()]
+    table = spark.createDataFrame(rows, docs.schema)
+    taken = {r.doc_id: r.taken for r in mixing.mix(table).collect()}
+    expected = []
+    for source in range(3):
+        stream = [(i, w) for i in sorted(range(source, 12, 3), key=lambda i: code(f"42:{i}")) for w in texts[i].split()]
+        n, quota = len(stream), sum(taken[i] for i in range(source, 12, 3))
+        assert n < mixing.SHARD_BLOCKS
+        c = [(k * quota + int(code("42:phase:0")[:8], 16) % n) // n for k in range(n + 1)]
+        for i in range(source, 12, 3):
+            times = [(w, c[k + 1] - c[k]) for k, (j, w) in enumerate(stream) if j == i]
+            expected += [(i, [w for w, m in times if m >= copy]) for copy in range(1, 1 + max(m for _, m in times))]
+    got = [(r.doc_id, r.text.split()) for r in pipeline.mixed(spark, table, sf_dir).collect()]
+    assert sorted(got) == sorted(expected)
+    assert any(taken[i] < len(texts[i].split()) for i in taken)
+
+
 def test_run_packs_everything_that_stays(spark, sf_dir):
     rows = pipeline.run(spark, sf_dir)
     bins = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))

@@ -101,9 +101,13 @@ def sainte_lague(votes: DataFrame, keys: list[str], by: list[str], seats, most=N
     return base.join(ranked.alias("b"), same, "left").select(*[F.col(f"a.{c}").alias(c) for c in names], (F.col("_sure") + F.coalesce("_more", F.lit(0))).alias("quota"))
 
 
-def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
-    """Columns of docs, then size, source_size, target, taken (the words the mix takes, repeats counted)."""
-    new = ["size", "source_size", "target", "taken"]
+def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42, ranges: bool = False) -> DataFrame:
+    """Columns of docs, then size, source_size, target, taken (the words the mix takes, repeats counted).
+
+    With ``ranges`` also ranges, array<struct<first, words, times>>: the document's
+    parts of taken blocks, from its word ``first`` (0 is its first word), in order.
+    """
+    new = ["size", "source_size", "target", "taken", *["ranges"] * ranges]
     others = [c for c in docs.columns if c not in new and c not in ("doc_id", "source")]
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = docs.select("doc_id", "source", *others, word_count().alias("size"), key.alias("_key"))
@@ -138,14 +142,25 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     stream = stream.join(shard_quotas, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard")), "left")
     phase = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:phase:"), F.col("shard").cast("string"))), 1, 8), 16, 10).cast("long"), F.col("n"))
 
+    c = lambda j: F.floor((j * F.coalesce("quota", F.lit(0)) + phase) / F.col("n"))
+
     def upto(at):
         """Words taken of the stream's first ``at`` words."""
         k = F.floor(at / F.col("block"))
-        c = lambda j: F.floor((j * F.coalesce("quota", F.lit(0)) + phase) / F.col("n"))
         return F.col("block") * c(k) + (at - k * F.col("block")) * (c(k + 1) - c(k))
 
+    def parts():
+        block, start, end = F.col("block"), F.col("end") - F.col("size"), F.col("end")
+        part = lambda k: F.struct(
+            (F.greatest(k * block, start) - start).alias("first"),
+            (F.least((k + 1) * block, end) - F.greatest(k * block, start)).alias("words"),
+            (c(k + 1) - c(k)).alias("times"),
+        )
+        blocks = F.sequence(F.floor(start / block), F.floor((end - 1) / block))
+        return F.when(F.col("size") > 0, F.filter(F.transform(blocks, part), lambda p: p["times"] > 0)).otherwise(F.array()).alias("ranges")
+
     taken = F.when(F.col("size") > 0, upto(F.col("end")) - upto(F.col("end") - F.col("size"))).otherwise(0).cast("long")
-    return stream.select("doc_id", "source", *others, "size", "source_size", "target", taken.alias("taken"))
+    return stream.select("doc_id", "source", *others, "size", "source_size", "target", taken.alias("taken"), *[parts()] * ranges)
 
 
 def _few(sources: DataFrame, most: int = 100_000) -> bool:
