@@ -243,7 +243,7 @@ def _alike(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> Data
     """The pairs (a, b) of nodes whose texts have at least this Jaccard similarity."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (piece for batch in batches for piece in chunks([batch], "t", CHUNK_BYTES)):
             ok, last, x = [], None, set()
             for a, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "s", "t")), strict=True):
                 if a != last:
@@ -272,7 +272,7 @@ def resembling_groups(docs: DataFrame, least: float = 0.8, words: int = 5) -> Da
     shared = written(dealt.mapInArrow(_shared, "bucket long, node long, b long"), "near-shared")
     named = lows.join(shared.select("node").distinct(), "node").select(F.col("node").alias("t_node"), "low")
     rows = docs.select("doc_id", text_node().alias("node"), "text")
-    texts = written(rows.join(named, (F.col("node") == F.col("t_node")) & F.col("doc_id").eqNullSafe(F.col("low"))).select("node", "text").dropDuplicates(["node"]), "near-texts")
+    texts = written(rows.join(named.hint("shuffle_hash"), (F.col("node") == F.col("t_node")) & F.col("doc_id").eqNullSafe(F.col("low"))).select("node", "text").dropDuplicates(["node"]), "near-texts")
     first = written(_alike(shared.where("node <> b").select(F.col("node").alias("a"), "b").distinct(), texts, least, words), "near-links")
     root = components(first, "near-first")
     placed = shared.select("bucket", "node").join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
@@ -280,7 +280,8 @@ def resembling_groups(docs: DataFrame, least: float = 0.8, words: int = 5) -> Da
     placed = written(placed.join(mixed, "bucket"), "near-placed")
     one, two = placed.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")), placed.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
     rest = one.join(two, "bucket").where("ra < rb").select("a", "b").distinct()
-    links = first.unionByName(_alike(rest.join(first, ["a", "b"], "left_anti"), texts, least, words))
+    # Written, so that no task of the components runs two Python workers.
+    links = first.unionByName(written(_alike(rest.join(first, ["a", "b"], "left_anti"), texts, least, words), "near-links"))
     comp = components(links, "near-links")
     classes = keys.join(comp, "node", "left").select("doc_id", "node", "rows", F.coalesce("root", "node").alias("class"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
