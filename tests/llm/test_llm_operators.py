@@ -86,6 +86,59 @@ def test_suffix_dedup_same_doc_id_and_null_doc_id(spark):
     assert found[5, len(b.encode())] == 0 and found[6, len(b.encode())] == len(b.encode())
 
 
+@pytest.mark.parametrize("hot", [1, 10**9])
+def test_suffix_dedup_of_hot_grams(docs, texts, monkeypatch, hot):
+    """hot = 10**9: every repeated k-gram counts as hot; hot = 1: none does."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    expected = brute_dedup(texts)
+    for r in suffix_dedup.dedup(docs, keep=True).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept_bytes)) == expected[r.doc_id], r.doc_id
+
+
+def test_suffix_dedup_rows_of_one_id_with_equal_checksums(spark):
+    """Two texts of one doc_id whose 16-bit checksums are equal stay apart."""
+    rng = random.Random(2)
+    passage = words(rng, 60)
+    a = words(rng, 40) + " " + passage
+    want = zlib.crc32(a.encode()) & 0xFFFF
+    b = next(t for t in (f"{words(rng, 20)} {i}" for i in range(10**7)) if zlib.crc32(t.encode()) & 0xFFFF == want)
+    expected = brute_dedup([(0, passage), (1, a)])
+    rows = suffix_dedup.dedup(spark.createDataFrame([(0, passage), (1, a), (1, b)], "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.n_bytes): r.n_removed for r in rows}
+    assert found[1, len(a.encode())] == expected[1][1] > 0 and found[1, len(b.encode())] == 0
+
+
+def test_suffix_dedup_many_rows_without_id(spark):
+    rng = random.Random(4)
+    passage = words(rng, 40)
+    rows = [(None, f"{words(rng, 10)} {passage} {i}") for i in range(1000)]
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    n = len(passage.encode())
+    assert len(got) == 1000 and sum(r.n_removed == 0 for r in got) == 1 and min(sorted(r.n_removed for r in got)[1:]) >= n
+
+
+def test_anchors_in_windows_cover_every_string():
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 105, 5000).astype(np.uint8)
+    whole, cut = (suffix_dedup.anchors_in_windows(data, np.array([0, 5000]), window=w) for w in (10**6, 300))
+    spread = lambda a: sorted((s + j, p - j, g) for _, s, n, p, g in zip(*a, strict=True) for j in range(n))
+    assert spread(whole) == spread(cut)
+
+
+def test_multikey_quicksort_parts_by_prefix():
+    rng = random.Random(11)
+    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    length = np.array([len(x) for x in strings])
+    buffer = np.frombuffer(b"".join(strings) + b"\0" * 8, np.uint8)
+    order, border = suffix_dedup.multikey_quicksort(buffer, np.cumsum(length) - length, length, np.zeros(500, np.int64), 16)
+    got = [strings[i] for i in order]
+    for a, b, depth in zip(got, got[1:], border[1:]):
+        if depth == 16:
+            assert a[:16] == b[:16]
+        else:
+            assert a[:depth] == b[:depth] and a[depth : depth + 8] < b[depth : depth + 8]
+
+
 def test_suffix_dedup_empty(empty):
     assert suffix_dedup.dedup(empty).collect() == []
 
@@ -174,6 +227,43 @@ def test_links_lose_no_pair(spark):
     assert {i: found.get(i, i) for i in signed} == classes
 
 
+def test_large_buckets_are_dealt_again_and_lose_no_pair(spark):
+    """400 fingerprints that agree on 43 bits: one bucket, far over the limit given."""
+    rng = random.Random(6)
+    base = rng.getrandbits(43) << 21
+    fps = sorted({base | rng.getrandbits(21) for _ in range(400)})
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    links = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 2, most=16)
+    found = {r.node: r.root for r in components.components(links).collect()}
+    classes = brute_classes(signed, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
+    assert {i: found.get(i, i) for i in signed} == classes
+
+
+@pytest.mark.parametrize("shift", [0, 1, 63, 64, 65, 200])
+def test_shifted_planes(shift):
+    rng = np.random.default_rng(shift)
+    a = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    a[shift::7] = a[: len(a[shift::7])] if not shift else a[: len(a) - shift : 7] ^ np.uint64(1 << 40)
+    planes = simhash.bit_planes(a)
+    got = simhash.near_lanes(planes, planes, shift, simhash.packed(np.ones(500 - shift, bool), planes.shape[1] - 1 - shift // 64), 2)
+    assert sorted(got) == [i for i in range(500 - shift) if int(a[i] ^ a[i + shift]).bit_count() <= 2]
+
+
+def test_alike_in_tile_is_brute_force():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    base = [rng.sample(range(1000), 40) for _ in range(4)]
+    sets = [sorted({x if rng.random() > rng.choice([0.02, 0.1, 0.2]) else rng.randrange(1000) for x in rng.choice(base)}) for _ in range(120)]
+    n = len(sets)
+    for second, own in ((np.zeros(n, bool), np.ones(n, bool)), (np.arange(n) % 2 > 0, np.zeros(n, bool))):
+        i, j = simhash.alike_in_tile(pa.array(sets, pa.list_(pa.int64())), second, own, np.arange(n), 0.8)
+        near = lambda a, b: (own[a] or second[a] != second[b]) and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})  # noqa: B023, E731
+        expected = brute_classes(list(range(n)), near)
+        got = brute_classes(list(range(n)), lambda a, b: (a, b) in {*zip(i.tolist(), j.tolist(), strict=True)})  # noqa: B023
+        assert got == expected
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(0, 300) if i % 50 != 49] + [(1000, i) for i in range(1001, 1200)] + [(7, 7), (None, 3)]
     random.Random(0).shuffle(pairs)
@@ -190,8 +280,7 @@ def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
     total = 0
     by_doc = {}
     for r in rows:
@@ -218,10 +307,14 @@ def test_packing(docs, texts):
     assert len(bins) <= -(-total // 2048) + 1
 
 
-def test_tokenizer_files_agree(texts):
-    a, b = (packing.encoder(public_tokenizers.path(f"byte_bpe_50k.{x}")) for x in ("json", "tiktoken"))
-    some = [t for _, t in texts if t] + ["<|endoftext|> x", "日本語 ٣ ü̈", "  \n\n  tabs\t\t", "don't I'LL 1234567"]
-    assert a(some) == b(some)
+def test_encoder_has_the_ids_of_tokenizers(spark, sf_dir, texts):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    some = [t for _, t in texts if t] + ["a<|endoftext|>b", "<|endoftext|> x", " <|endoftext|><|endoftext|>\n", "<|endoftext", "日本語 ٣ ü̈", "  \n\n  tabs\t\t", "don't I'LL 1234567", "\x00\x7f\xa0\xad"]
+    some += [r.text for r in common.read_table(spark, sf_dir, "documents").select("text").collect()]
+    assert packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))(some) == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+    assert packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))(["a<|endoftext|>b"]) == [[64, 50256, 65]]
 
 
 def test_plan_beats_next_fit_and_uses_everything():
@@ -246,7 +339,7 @@ def test_pair_that_fits_is_the_best():
 
 
 def test_packing_empty(empty):
-    assert packing.pack(empty, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect() == []
+    assert packing.pack(empty, public_tokenizers.path("byte_bpe_50k.json")).collect() == []
 
 
 # mixing
@@ -316,6 +409,37 @@ def test_sainte_lague_is_highest_quotients(spark):
         assert {r.k: r.quota for r in rows} == quota
 
 
+def test_mixing_in_regions(spark, monkeypatch):
+    """Many regions of few small shards; the last block of a shard is only partly filled, so a shard may miss up to a block."""
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 4)
+    rows = [(i, "w " * (i % 13), "ab"[i % 2], 1) for i in range(600)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, block int"), block=2).collect()
+    for source in "ab":
+        own = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.05 * own[0].target and all(r.taken <= 2 * r["size"] for r in own)
+
+
+def test_mixing_without_ids(spark):
+    rows = [(None, f"word {i}", "s") for i in range(1000)]
+    a, b = (mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n)).collect() for n in (3, 5))
+    assert sorted((r.text, r.taken) for r in a) == sorted((r.text, r.taken) for r in b) and len(a) == 1000
+
+
+INTERNAL = "key gram packed kept fresh age fp mask bucket n_fp node low block quota n end shard region content h length piece p_best text_ c_0 c_1 hot feature media block_ Score".split()
+
+
+@pytest.mark.parametrize("name", ["op2", "op4", "op7", "op8"])
+def test_columns_with_internal_names_stay(spark, name):
+    rows = [(i, f"some words of text {i % 5}", "en" if i % 2 else "fr", "s", *range(len(INTERNAL))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} int" for c in INTERNAL))
+    apply = {"op2": suffix_dedup.dedup, "op4": language_id.predict, "op7": simhash.near_duplicates, "op8": mixing.mix}[name]
+    out = apply(docs)
+    new = {"op4": {"Score"}}.get(name, set())
+    got = out.collect()
+    assert len(got) == 30 and set(INTERNAL) - new <= set(out.columns)
+    assert all(r[c] == i for r in got for i, c in enumerate(INTERNAL) if c not in new)
+
+
 def test_mixing_empty(empty):
     assert mixing.mix(empty).collect() == []
 
@@ -340,14 +464,69 @@ def test_language_id_cases(docs, empty):
     assert language_id.predict(empty).collect() == []
 
 
-def test_ngrams_stay_in_their_row():
-    one = b"abc"
-    data, at = np.frombuffer(one + b"" + b"zabc", np.uint8), np.array([0, 3, 3, 7])
-    buckets, rows = language_id.ngram_buckets(data, at)
+@pytest.mark.parametrize("window", [1, 2, 3, 100])
+def test_ngrams_stay_in_their_row(window):
+    text = "äbc" + "" + "zäbc"
+    points, at = common.code_points(np.frombuffer(text.encode(), np.uint8), np.array([0, 4, 4, 9]))
+    assert points.tolist() == list(map(ord, text)) and at.tolist() == [0, 3, 3, 7]
+    found = list(language_id.ngram_buckets(points, at, window))
+    buckets, rows = (np.concatenate(x) for x in zip(*found))
     assert np.bincount(rows, minlength=3).tolist() == [3 + 2 + 1, 0, 4 + 3 + 2 + 1]
     assert set(buckets[rows == 0]) <= set(buckets[rows == 2])
 
 
+def brute_language(train, texts):
+    """Multinomial posterior with plain dictionaries over the operator's own bucket rule."""
+
+    def grams(text):
+        t = [ord(c) for c in text.lower()]
+        for n in (1, 2, 3, 4):
+            for i in range(len(t) - n + 1):
+                code = 0
+                for c in t[i : i + n]:
+                    code = (code * 0x01000193 + c + 1) & 0xFFFFFFFF
+                yield ((code ^ n * 40503) * 2654435761 & 0xFFFFFFFF) >> 16
+
+    counts, docs = {}, {}
+    for lang, text in train:
+        docs[lang] = docs.get(lang, 0) + 1
+        own = counts.setdefault(lang, {})
+        for g in grams(text):
+            own[g] = own.get(g, 0) + 1
+    out = []
+    for text in texts:
+        joint = {}
+        for lang, own in counts.items():
+            whole = sum(own.values()) + 0.5 * language_id.BUCKETS
+            joint[lang] = np.log(docs[lang] / len(train)) + sum(np.log((own.get(g, 0) + 0.5) / whole) for g in grams(text))
+        best = max(sorted(joint), key=joint.get)
+        out.append((best, 1 / sum(np.exp(v - joint[best]) for v in joint.values())))
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 2, 64])
+def test_language_id_is_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(language_id, "LANGS", block)
+    rng = random.Random(5)
+    alphabet = {"aa": "abcdeÀ", "bb": "cdefgh", "cc": "жзик ё", "dd": "abcxyz"}
+    text = lambda lang, n: "".join(rng.choice(alphabet[lang]) for _ in range(n))
+    rows = [(i, text(lang, rng.randint(1, 60)), lang) for i in range(160) for lang in [rng.choice(list(alphabet))]]
+    rows += [(1000 + i, text("aa", 3) + text("dd", 3), None) for i in range(30)]
+    found = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()}
+    train = [(lang, t) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    expected = brute_language(train, [t for _, t, _ in rows])
+    for (i, t, _), (lang, score) in zip(rows, expected, strict=True):
+        if any(map(str.isalpha, t)):
+            assert found[i].lang_pred == lang and abs(found[i].score - score) < 1e-3
+
+
+def test_language_id_of_many_languages(spark):
+    rows = [(i, f"x{i}y" * 3, f"l{i:03}") for i in range(600)]
+    found = language_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(found) == 600 and {r.lang_pred for r in found} <= {r[2] for r in rows}
+    assert sum(r.lang_pred == f"l{r.doc_id:03}" for r in found if not r.held_out) > 400
+
+
 # quality
 
 

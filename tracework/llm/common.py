@@ -22,13 +22,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session (spark.checkpoint.dir).
 
-    Where the setting is missing (tests, one machine) a temporary folder is
-    made and set, so that later calls in the session find the same one.
+    Where the setting is missing on one machine (tests) a temporary folder is
+    made and set, so that later calls in the session find the same one. On a
+    cluster that is an error: executors would write to disks of their own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-tracework-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -48,6 +51,47 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """Written tables of an iteration; those that no later round reads are deleted."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = new_folder(self.spark, self.name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def forget(self, keep: int = 1) -> None:
+        """Delete all but the last ``keep`` tables."""
+        jvm = self.spark.sparkContext._jvm
+        for path in self.paths[: len(self.paths) - keep]:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths = self.paths[len(self.paths) - keep :]
+
+
+def quoted(name: str):
+    """The column of exactly this name, whatever it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def hide(docs: DataFrame, used: list[str], new: list[str]) -> tuple[DataFrame, list[str]]:
+    """(docs with every other column under a private name c_0, c_1, ..., the names of those columns).
+
+    A column that bears the name of a new one (in any case) is left out: the new ones win.
+    """
+    taken = {c.lower() for c in (*used, *new)}
+    others = [c for c in docs.columns if c.lower() not in taken]
+    return docs.select(*used, *[quoted(c).alias(f"c_{i}") for i, c in enumerate(others)]), others
+
+
+def show(rows: DataFrame, lead: list, others: list[str], tail: list) -> DataFrame:
+    """lead, the hidden columns under their own names, tail."""
+    return rows.select(*lead, *[F.col(f"c_{i}").alias(c) for i, c in enumerate(others)], *tail)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the quarter of rows that no model may learn from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -81,6 +125,17 @@ def ranges(lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0, dtype=np.int64) - np.repeat(ends - lengths, lengths)
 
 
+def code_points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, offsets) of UTF-8 rows; malformed bytes become U+FFFD."""
+    try:
+        text = str(data.data if data.flags.c_contiguous else data.tobytes(), "utf-8")
+        first = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        return np.frombuffer(text.encode("utf-32-le"), np.uint32), first[at]
+    except UnicodeDecodeError:
+        rows = [str(data[a:b].tobytes(), "utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int, most_rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a chunk holds about most_bytes of the column (one long text may exceed it)."""
     for batch in batches:
@@ -93,3 +148,30 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int, most
             stop = min(max(stop, row + 1), batch.num_rows, row + most_rows)
             yield batch.slice(row, stop - row)
             row = stop
+
+
+def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key -> one batch for every key value."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy()
+        heads = np.flatnonzero(np.concatenate([[held == [] or values[0] != last], values[1:] != values[:-1]]))
+        for a, b in zip([0, *heads.tolist()], [*heads.tolist(), len(values)]):
+            if a in heads and held:
+                yield pa.concat_batches(held)
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+        last = values[-1]
+    if held:
+        yield pa.concat_batches(held)
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, table_key: str, by: str, salts: int = 8) -> DataFrame:
+    """rows inner join table (one row a key) where rows may hold a key very often: a key's rows, told apart by ``by``, go to ``salts`` tasks."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    spread = table.withColumn("_t_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(spread, (F.col(key) == F.col(table_key)) & (F.col("_salt") == F.col("_t_salt"))).drop("_salt", "_t_salt")

@@ -12,7 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Rounds
+
+#: A node of many links is dealt to so many tasks in the joins.
+SALTS = 8
 
 
 def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,27 +43,37 @@ def _contract(batches):
             yield pa.RecordBatch.from_arrays([pa.array(nodes[ok]), pa.array(root[ok])], ["a", "b"])
 
 
+def _salted(links: DataFrame, low: DataFrame) -> DataFrame:
+    """links joined with low (one row a node) on a, a hub's links over SALTS tasks."""
+    dealt = links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    spread = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(spread, ["a", "salt"])
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(a long, b long) links -> (node, root): each linked node that isn't its component's smallest, with that smallest.
 
     Null ends and self-links are dropped, repeats don't matter; an empty table gives an empty result.
     """
     pairs = links.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
-    now = written(pairs.mapInArrow(_contract, "a long, b long").distinct(), name)
+    rounds = Rounds(links.sparkSession, name)
+    now = rounds.write(pairs.mapInArrow(_contract, "a long, b long").distinct())
     while True:
         # Large star: every node's larger neighbours are linked to its smallest neighbour (or itself).
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        large = _salted(both.where("b > a"), low).select(F.col("b").alias("a"), F.col("low").alias("b"))
         # Small star: a node's smaller neighbours, and itself, are linked to the smallest of them.
-        large = written(large.where("a <> b").distinct(), name)
+        large = rounds.write(large.where("a <> b").distinct())
         down = large.groupBy("a").agg(F.min("b").alias("low"))
         small = (
-            large.join(down, "a")
+            _salted(large, down)
             .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("p"))
             .select("p.*").where("a <> b")
         )
-        after = written(small.mapInArrow(_contract, "a long, b long").distinct(), name)
+        after = rounds.write(small.mapInArrow(_contract, "a long, b long").distinct())
         if not after.exceptAll(now).take(1) and not now.exceptAll(after).take(1):
+            rounds.forget()
             return after.select(F.col("a").alias("node"), F.col("b").alias("root"))
         now = after
+        rounds.forget()

@@ -7,10 +7,10 @@ what resharing the excess by weight, again and again, ends at.
 
 Quotas. A block is ``block`` words, the same for every source. Sainte-Laguë
 gives every block of the mix to the source with the highest quotient
-``target / (2 q + 1)``, then every block of a source to its shards in the same
-way, with the shards' sizes as votes. A shard holds about ``SHARD_BLOCKS``
-blocks, so a hot source is spread over as many shards as it needs and no window
-or join ever sees a whole source of documents.
+``target / (2 q + 1)``, then every block of a source to its regions and of a region to its
+shards in the same way, with their sizes as votes. A shard holds about ``SHARD_BLOCKS``
+blocks and a region as many shards, so a hot source is spread over as many as it needs and no window
+or join ever sees a whole source of documents (or of shards).
 
 Selection. A shard's documents, in the order of a seeded hash, form one stream
 of words that is cut into blocks. With quota q of n blocks, block k is taken
@@ -19,9 +19,11 @@ systematic sample, at most ``ceil(q / n)`` times each, which needs no sort of
 blocks. A document's ``taken`` is the overlap of its words with taken blocks.
 
 Defined cases: a null text has size 0; null sources form one source, last;
-null doc_ids are ordinary rows; equal rows share their shard's order; an empty
-table gives an empty result; other columns stay beside the new ones where the
-names don't clash (the new ones win).
+rows without a doc_id are told apart by their text; rows of one doc_id are
+ordered by their text; rows equal in both share a shard and their order there;
+an empty table gives an empty result; other columns stay after doc_id, source and text
+(those that bear the name of a new column don't: the new ones win). A text is never held
+outside its row, so its length only matters for the counting of its words.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, written
+from .common import WORD_PATTERN, hide, show, written
 
 SHARD_BLOCKS = 4096
 MOST_BLOCK = 256
@@ -101,42 +103,54 @@ def sainte_lague(votes: DataFrame, keys: list[str], by: list[str], seats, most=N
     return base.join(ranked.alias("b"), same, "left").select(*[F.col(f"a.{c}").alias(c) for c in names], (F.col("_sure") + F.coalesce("_more", F.lit(0))).alias("quota"))
 
 
-def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42, ranges: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42, ranges: bool = False, block: int | None = None) -> DataFrame:
     """Columns of docs, then size, source_size, target, taken (the words the mix takes, repeats counted).
 
     With ``ranges`` also ranges, array<struct<first, words, times>>: the document's
     parts of taken blocks, from its word ``first`` (0 is its first word), in order.
+    ``block`` is the words a block; by default a ``BLOCKS_WANTED``th of all words, 1 at least and ``MOST_BLOCK`` at most.
     """
     new = ["size", "source_size", "target", "taken", *["ranges"] * ranges]
-    others = [c for c in docs.columns if c not in new and c not in ("doc_id", "source")]
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select("doc_id", "source", *others, word_count().alias("size"), key.alias("_key"))
-    # One small row a source: the only thing that must be known before documents are dealt to shards.
-    sources = written(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mixing-sources")
-    everything = W.partitionBy()
-    sources = sources.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCK), F.floor(F.sum("source_size").over(everything) / BLOCKS_WANTED))).cast("long"))
+    rows, others = hide(docs, ["doc_id", "source", "text"], new)
+    own = [f"c_{i}" for i in range(len(others))]
+    content = F.xxhash64(F.coalesce("text", F.lit("")))
+    # Rows without a doc_id are told apart by their text.
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), content.cast("string")))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), name))
+    rows = rows.select("doc_id", "source", "text", *own, word_count().alias("size"), key.alias("key"), content.alias("content"))
+    # One narrow row a document: sources and shards are added up from these, the texts are read once more only.
+    narrow = written(rows.select("source", "key", "size"), "mixing-sizes")
+    sources = source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    wanted = F.lit(block) if block else F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCK), F.floor(F.sum("source_size").over(W.partitionBy()) / BLOCKS_WANTED)))
+    sources = written(sources.withColumn("block", wanted.cast("long")), "mixing-sources")
     quotas = sainte_lague(
         sources.select(F.lit(1).alias("all"), "source", F.col("target").alias("votes"), F.round(F.col("mix") / F.col("block")).alias("blocks"), F.floor(F.lit(float(most)) * F.ceil(F.col("source_size") / F.col("block"))).alias("cap")),
         ["all"], ["source"], F.col("blocks"), F.col("cap"),
     ).select(F.col("source").alias("q_source"), F.col("quota").alias("source_quota"))
-    sources = sources.join(quotas, F.col("source").eqNullSafe(F.col("q_source")), "left").select(
-        F.col("source").alias("s_source"), "source_size", "target", "block", F.coalesce("source_quota", F.lit(0)).alias("source_quota"),
-        F.greatest(F.lit(1), F.ceil(F.col("source_size") / (F.col("block") * SHARD_BLOCKS))).cast("long").alias("shards"),
-    )
-    dealt = (
-        rows.join(F.broadcast(sources) if _few(sources) else sources, F.col("source").eqNullSafe(F.col("s_source")))
-        .drop("s_source")
-        .withColumn("shard", F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), F.col("shards")))
-    )
-    sizes = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("block").alias("block"), F.first("source_quota").alias("source_quota"))
-    blocks = F.ceil(F.col("shard_size") / F.col("block"))
-    shard_quotas = (
-        sainte_lague(sizes.withColumn("votes", F.col("shard_size").cast("double")), ["source"], ["shard"], F.col("source_quota"), F.floor(F.lit(float(most)) * blocks))
-        .select(F.col("source").alias("s_source"), F.col("shard").alias("s_shard"), "quota")
+    # Written, so that Catalyst knows its size: it is broadcast only if that is small, and sources of any number are joined.
+    sources = written(
+        sources.join(quotas, F.col("source").eqNullSafe(F.col("q_source")), "left").select(
+            F.col("source").alias("s_source"), "source_size", "target", "block", F.coalesce("source_quota", F.lit(0)).alias("source_quota"),
+            F.greatest(F.lit(1), F.ceil(F.col("source_size") / (F.col("block") * SHARD_BLOCKS))).cast("long").alias("shards"),
+        ),
+        "mixing-sources",
     )
+
+    def deal(table: DataFrame) -> DataFrame:
+        dealt = table.join(sources, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
+        return dealt.withColumn("shard", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.col("shards")))
+
+    shards = deal(narrow).groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("block").alias("block"), F.first("source_quota").alias("source_quota"))
+    # A source's blocks go to regions of SHARD_BLOCKS shards first, then a region's to its shards: no window holds a whole source's shards.
+    shards = shards.withColumn("region", F.floor(F.col("shard") / SHARD_BLOCKS)).withColumn("cap", F.floor(F.lit(float(most)) * F.ceil(F.col("shard_size") / F.col("block"))))
+    shards = written(shards, "mixing-shards")
+    regions = shards.groupBy("source", "region").agg(F.sum("shard_size").cast("double").alias("votes"), F.sum("cap").alias("cap"), F.first("source_quota").alias("seats"))
+    regions = sainte_lague(regions, ["source"], ["region"], F.col("seats"), F.col("cap")).select(F.col("source").alias("r_source"), F.col("region").alias("r_region"), F.col("quota").alias("seats"))
+    inside = shards.join(regions, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("region") == F.col("r_region"))).withColumn("votes", F.col("shard_size").cast("double"))
+    shard_quotas = sainte_lague(inside, ["source", "region"], ["shard"], F.col("seats"), F.col("cap")).select(F.col("source").alias("s_source"), F.col("shard").alias("s_shard"), "quota")
     in_shard = W.partitionBy("source", "shard")
     stream = (
-        dealt.withColumn("end", F.sum("size").over(in_shard.orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)))
+        deal(rows).withColumn("end", F.sum("size").over(in_shard.orderBy("key", "doc_id", "content", "size").rowsBetween(W.unboundedPreceding, W.currentRow)))
         .withColumn("n", F.ceil(F.sum("size").over(in_shard) / F.col("block")).cast("long"))
     )
     stream = stream.join(shard_quotas, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard")), "left")
@@ -160,9 +174,5 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
         return F.when(F.col("size") > 0, F.filter(F.transform(blocks, part), lambda p: p["times"] > 0)).otherwise(F.array()).alias("ranges")
 
     taken = F.when(F.col("size") > 0, upto(F.col("end")) - upto(F.col("end") - F.col("size"))).otherwise(0).cast("long")
-    return stream.select("doc_id", "source", *others, "size", "source_size", "target", taken.alias("taken"), *[parts()] * ranges)
-
-
-def _few(sources: DataFrame, most: int = 100_000) -> bool:
-    """Whether the table of sources is small enough to broadcast; beyond, the join shuffles (and splits hot sources)."""
-    return sources.limit(most + 1).count() <= most
+    lead = ["doc_id", "source", *(["text"] if "text" in docs.columns else [])]
+    return show(stream, lead, others, ["size", "source_size", "target", taken.alias("taken"), *[parts()] * ranges])

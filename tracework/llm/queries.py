@@ -20,7 +20,7 @@ def op2_suffix_dedup(spark, sf_dir):
 
 def op3_packing(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_language_id(spark, sf_dir):

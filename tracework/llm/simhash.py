@@ -34,15 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, utf8, written
+from .common import chunks, groups, hide, ranges, salted_join, show, utf8, written
 from .components import components, roots_of
 
 SEED = 42
 BLOCKS = 6
-LANES = 4096
+BUCKET_ROWS = 512
 CHUNK_BYTES = 1 << 20
 #: Candidates of resembling_groups: a pair of Jaccard similarity 0.8 shares one of the bands with probability 1 - (1 - 0.8**6)**32 = 0.9999.
 BANDS, BAND_ROWS = 32, 6
+TILE_SHINGLES = 1 << 18
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -62,13 +63,15 @@ def _hashes(found: list[bytes], words: int) -> list[int]:
 
 
 def _majority(hashes: np.ndarray) -> np.uint64:
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """Columns of docs but text, then fp (signed 64 bits)."""
-    others = [c for c in docs.columns if c not in ("text", "fp")]
+    """Columns of docs (none named fp) but text, then fp (signed 64 bits)."""
+    others = [c for c in docs.columns if c != "text"]
 
     def run(batches):
         for piece in chunks(batches, "text", CHUNK_BYTES):
@@ -85,56 +88,83 @@ def _masks(radius: int, blocks: int) -> list[int]:
     """One mask for every choice of blocks - radius blocks."""
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
     parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return [signed(sum(c)) for c in combinations(parts, blocks - radius)]
+    return [_signed(sum(c)) for c in combinations(parts, blocks - radius)]
 
 
-def within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Boolean per lane: a[i] and b[i] (uint64) differ in at most ``radius`` bits, by vertical counters.
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def bit_planes(values: np.ndarray) -> np.ndarray:
+    """(64, words) uint64, the values' bits stored vertically: bit i of word w of plane b is bit b of values[64 w + i]; one spare word."""
+    bits = np.unpackbits(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    rows = np.zeros(((len(values) // 64 + 2) * 64, 64), np.uint8)
+    rows[: len(values)] = bits
+    return np.ascontiguousarray(np.packbits(rows, axis=0, bitorder="little").T).view(np.uint64)
+
+
+def packed(flags: np.ndarray, words: int) -> np.ndarray:
+    """Booleans as the bits of uint64 words."""
+    every = np.zeros(words * 64, bool)
+    every[: len(flags)] = flags
+    return np.packbits(every, bitorder="little").view(np.uint64)
 
-    Block by block of LANES lanes: planes of the differing bits go, eight at a
-    time, into carry-save counters; a lane's counter saturates in ``over``.
+
+def near_lanes(left: np.ndarray, right: np.ndarray, shift: int, asked: np.ndarray, radius: int) -> np.ndarray:
+    """The places i, among the bits set in ``asked``, where value i of left and value i + shift of right differ in at most ``radius`` bits.
+
+    Planes are shifted and XORed, 64 lanes a word, and added into vertical
+    counters by carry-save steps. After every eight planes the words (blocks of
+    lanes) that are all beyond the radius are abandoned.
     """
     digits = max(1, int(radius).bit_length())
+    word = np.flatnonzero(asked)
+    over = ~asked[word]
+    counters = [np.zeros(len(word), np.uint64) for _ in range(digits)]
+    skip, bit = divmod(shift, 64)
+    for plane in range(64):
+        other = right[plane, word + skip] if not bit else right[plane, word + skip] >> np.uint64(bit) | right[plane, word + skip + 1] << np.uint64(64 - bit)
+        carry = left[plane, word] ^ other
+        for j in range(digits):
+            counters[j], carry = counters[j] ^ carry, counters[j] & carry
+        over |= carry
+        if radius + 1 < 1 << digits:  # a count above the radius that the digits can hold
+            beyond = ~np.zeros_like(over)
+            for j in range(digits):
+                beyond &= counters[j] if (radius + 1) >> j & 1 else ~counters[j]
+            over |= beyond
+        if plane % 8 == 7:
+            left_in = ~over != 0
+            if not left_in.all():
+                word, over, counters = word[left_in], over[left_in], [c[left_in] for c in counters]
+            if not len(word):
+                return word
+    lanes = np.unpackbits((~over).view(np.uint8), bitorder="little").reshape(-1, 64)
+    row, lane = np.nonzero(lanes)
+    return word[row] * 64 + lane
+
+
+def within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Boolean per place: a[i] and b[i] (uint64) differ in at most ``radius`` bits."""
+    left, right = bit_planes(a), bit_planes(b)
     out = np.zeros(len(a), bool)
-    for start in range(0, len(a), LANES):
-        differ = a[start : start + LANES] ^ b[start : start + LANES]
-        lanes = differ.view(np.uint8).reshape(-1, 8)
-        counters = [np.zeros(-(-len(lanes) // 8), np.uint8) for _ in range(digits)]
-        over = np.zeros_like(counters[0])
-        full = np.packbits(np.ones(len(lanes), bool), bitorder="little")
-        for byte in range(8):
-            planes = np.packbits((lanes[:, byte, None] >> np.arange(8, dtype=np.uint8)) & 1, axis=0, bitorder="little")
-            for plane in planes.T:
-                carry = plane
-                for j in range(digits):
-                    counters[j], carry = counters[j] ^ carry, counters[j] & carry
-                over |= carry
-                # a count above the radius that the digits can still hold
-                if radius + 1 < 1 << digits:
-                    at_next = np.full_like(over, 0xFF)
-                    for j in range(digits):
-                        at_next &= counters[j] if (radius + 1) >> j & 1 else ~counters[j]
-                    over |= at_next
-            if ((over & full) == full).all():
-                break
-        out[start : start + LANES] = ~np.unpackbits(over, count=len(lanes), bitorder="little").astype(bool)
+    out[near_lanes(left, right, 0, packed(np.ones(len(a), bool), left.shape[1] - 1), radius)] = True
     return out
 
 
 def bucket_links(bucket: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of the rows, which are sorted by bucket; only rows of one bucket are compared."""
+    """Spanning links of the rows, which are sorted by bucket; only rows of one bucket are compared, the planes are made once."""
+    if len(fp) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    planes = bit_planes(fp.view(np.uint64))
     left, right = [], []
-    values = fp.view(np.uint64)
-    active = np.arange(len(fp))
     d = 0
     while True:
         d += 1
-        active = active[active + d < len(fp)]
-        active = active[bucket[active] == bucket[active + d]]
-        if not len(active):
+        same = bucket[d:] == bucket[:-d]
+        if not same.any():
             break
-        hit = active[within(values[active], values[active + d], radius)]
+        hit = near_lanes(planes, planes, d, packed(same, planes.shape[1] - 1 - d // 64), radius)
         left.append(fp[hit])
         right.append(fp[hit + d])
     if not left:
@@ -144,41 +174,83 @@ def bucket_links(bucket: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.nd
     return nodes[ok], root[ok]
 
 
-def links(distinct: DataFrame, radius: int = 2, blocks: int = BLOCKS) -> DataFrame:
-    """fp (distinct) -> (a, b): links whose components are those of all pairs within the radius."""
-    masks = F.array(*[F.lit(m) for m in _masks(radius, blocks)])
-    dealt = (
-        distinct.select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("mask", "part"))
-        .select(F.xxhash64("mask", "part").alias("bucket"), "fp")
-        .repartition("bucket").sortWithinPartitions("bucket")
-    )
+def _finer(mask: int, radius: int) -> list[int]:
+    """The masks that take ``mask`` and all but ``radius`` of radius + 4 parts of the bits outside it."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    n = radius + 4
+    parts = [sum(1 << b for b in free[round(i * len(free) / n) : round((i + 1) * len(free) / n)]) for i in range(n)]
+    return [_signed((mask & (1 << 64) - 1) | sum(c)) for c in combinations(parts, n - radius)]
+
+
+def _compare(radius: int, most: int | None):
+    """Rows (bucket, mask, fp) sorted by bucket -> links (a, b), and the rows of buckets of over ``most`` rows as they are (again = mask)."""
+
+    def solve(bucket, mask, fp):
+        again = np.zeros(len(fp), bool)
+        if most is not None and len(fp):
+            _, number, n = np.unique(bucket, return_inverse=True, return_counts=True)
+            again = n[number] > most
+        a, b = bucket_links(bucket[~again], fp[~again], radius)
+        kept, own = fp[again], mask[again]
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([pa.array(a), pa.array(kept)]), pa.concat_arrays([pa.array(b), pa.nulls(len(kept), pa.int64())]), pa.concat_arrays([none, pa.array(own)])], ["a", "b", "again"]
+        )
 
     def run(batches):
-        kept_bucket, kept_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple] = []
         for batch in batches:
-            bucket = np.concatenate([kept_bucket, batch.column("bucket").to_numpy()])
-            fp = np.concatenate([kept_fp, batch.column("fp").to_numpy()])
+            if not batch.num_rows:
+                continue
+            rows = tuple(batch.column(c).to_numpy() for c in ("bucket", "mask", "fp"))
             # the last bucket may go on in the next batch
-            cut = int(np.searchsorted(bucket, bucket[-1], "left")) if len(bucket) else 0
-            kept_bucket, kept_fp = bucket[cut:], fp[cut:]
-            a, b = bucket_links(bucket[:cut], fp[:cut], radius)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-        a, b = bucket_links(kept_bucket, kept_fp, radius)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            cut = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if (rows[0] != rows[0][-1]).any() else 0
+            if cut or (held and held[-1][0][-1] != rows[0][0]):
+                done = [*held, tuple(x[:cut] for x in rows)]
+                yield solve(*(np.concatenate(x) for x in zip(*done, strict=True)))
+                held = []
+            held.append(tuple(x[cut:] for x in rows))
+        if held:
+            yield solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def _deal(rows: DataFrame, masks) -> DataFrame:
+    """fp, masks (array) -> bucket, mask, fp, sorted by bucket within tasks."""
+    dealt = rows.select("fp", F.explode(masks).alias("mask"))
+    dealt = dealt.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "mask", "fp")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket")
+
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def links(distinct: DataFrame, radius: int = 2, blocks: int = BLOCKS, most: int = BUCKET_ROWS) -> DataFrame:
+    """fp (distinct) -> (a, b): links whose components are those of all pairs within the radius.
+
+    A bucket of over ``most`` rows is dealt again by parts of the bits that it
+    does not fix. With the default radius and blocks at most 2**8 rows agree on the bits of
+    such a finer bucket, so no task compares many with many; no pair is lost at either level.
+    """
+    masks = _masks(radius, blocks)
+    first = written(_deal(distinct, F.array(*[F.lit(m) for m in masks])).mapInArrow(_compare(radius, most), "a long, b long, again long"), "simhash-buckets")
+    finer = F.lit(None).cast("array<long>")
+    for m in masks:
+        finer = F.when(F.col("mask") == F.lit(m), F.array(*[F.lit(x) for x in _finer(m, radius)])).otherwise(finer)
+    large = first.where("again is not null").select(F.col("a").alias("fp"), F.col("again").alias("mask"))
+    rest = _deal(large, finer).mapInArrow(_compare(radius, None), "a long, b long, again long")
+    return first.where("again is null").unionByName(rest).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = BLOCKS) -> DataFrame:
     """Columns of docs but text, then fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    others = [c for c in docs.columns if c not in ("text", "fp", "fingerprint", "component_id")]
-    rows = written(fingerprints(docs.select(*others, "text"), words), "simhash")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    hidden, others = hide(docs, ["doc_id", "text"], ["fingerprint", "component_id"])
+    rows = written(fingerprints(hidden, words), "simhash")
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
     comp = components(links(nodes.select("fp"), radius, blocks), "simhash-links")
     classes = nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("class"))
     lowest = classes.groupBy("class").agg(F.min("low").alias("component_id"))
     named = classes.join(lowest, "class").select(F.col("fp").alias("n_fp"), "component_id")
-    return rows.join(named, rows["fp"] == named["n_fp"]).select(*others, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = salted_join(rows, named, "fp", "n_fp", "doc_id")
+    return show(out, ["doc_id"], others, [F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"])
 
 
 def shingles(text: str | None, words: int = 5) -> set[bytes]:
@@ -240,15 +312,16 @@ def _shared(batches):
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts have at least this Jaccard similarity."""
+    """The pairs (a, b) of nodes whose texts have at least this Jaccard similarity; one b may have many a."""
 
     def run(batches):
+        last, x = None, set()
         for batch in (piece for batch in batches for piece in chunks([batch], "t", CHUNK_BYTES)):
-            ok, last, x = [], None, set()
-            for a, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "s", "t")), strict=True):
-                if a != last:
-                    last, x = a, shingles(s, words)
-                y = shingles(t, words)
+            ok = []
+            for b, s, t in zip(*(batch.column(c).to_pylist() for c in ("b", "s", "t")), strict=True):
+                if b != last:
+                    last, x = b, shingles(t, words)
+                y = shingles(s, words)
                 ok.append(len(x & y) >= least * len(x | y))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -256,13 +329,72 @@ def _alike(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> Data
     return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
+def _hashed(texts: DataFrame, words: int) -> DataFrame:
+    """node, text -> node, set (its distinct shingles' hashes)."""
+
+    def run(batches):
+        for piece in chunks(batches, "text", CHUNK_BYTES):
+            data, at = utf8(piece.column("text"))
+            raw, at = data.tobytes(), at.tolist()
+            sets = [np.unique(np.array(_hashes(raw[a:b].lower().split(), words), np.uint64)).view(np.int64) for a, b in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, set array<long>")
+
+
+def alike_in_tile(sets: pa.Array, second: np.ndarray, own: np.ndarray, root: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of different components with at least this Jaccard similarity, joining each two components once.
+
+    Rows with ``own`` are compared with one another, others only across ``second``.
+    An inverted index of the shingles gives a row's overlaps with all rows after it in one count.
+    """
+    size = np.diff(sets.offsets.to_numpy())
+    n = len(size)
+    _, term = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    owner = np.repeat(np.arange(n), size)
+    by = np.argsort(term, kind="stable")
+    posting, n_terms = owner[by], int(term.max(initial=-1)) + 1
+    head = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=n_terms))])
+    at = np.concatenate([[0], np.cumsum(size)])
+    label = root.copy()
+    left, right = [], []
+    for i in range(n - 1):
+        terms = term[at[i] : at[i + 1]]
+        count = head[terms + 1] - head[terms]
+        overlap = np.bincount(posting[np.repeat(head[terms], count) + ranges(count)], minlength=n)[i + 1 :]
+        j = np.flatnonzero(overlap >= least * (size[i] + size[i + 1 :] - overlap)) + i + 1
+        j = j[(label[j] != label[i]) & ((own[i] & own[j]) | (second[i] != second[j]))]
+        for other in np.unique(label[j]).tolist():
+            left.append(i)
+            right.append(int(j[label[j] == other][0]))
+            label[label == other] = label[i]
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def _tile_links(least: float):
+    """Rows (tile, second, own, node, root, set) sorted by tile -> links (a, b) between nodes."""
+
+    def solve(rows: pa.RecordBatch):
+        sets = rows.column("set")
+        flags = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("second", "own", "root"))
+        i, j = alike_in_tile(sets, *flags, least)
+        return pa.RecordBatch.from_arrays([rows.column("node").take(pa.array(i)), rows.column("node").take(pa.array(j))], ["a", "b"])
+
+    def run(batches):
+        for rows in groups(batches, "tile"):
+            yield solve(rows)
+
+    return run
+
+
 def resembling_groups(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
     """doc_id, node, rows, keep: one row a (doc_id, node) whose component has more rows; keep is true for one of the component's.
 
     Equal texts are one node (the 64-bit ``text_node``). Candidates are nodes with a
     common bucket. Each is compared by exact Jaccard similarity of word shingles
-    with its bucket's smallest node; then all pairs of a bucket that this leaves in
-    different components are. So the components are those of all
+    with its bucket's smallest node; then the others of a bucket that this leaves in
+    different components are compared in tiles of about ``TILE_SHINGLES`` by ``TILE_SHINGLES``, by an inverted
+    index of their shingles' hashes: no pair is written, only links that join components. So the components are those of all
     candidate pairs with the similarity, whatever doc_ids they have. The
     smallest doc_id of a component is kept, a null one only if there is no other.
     """
@@ -275,13 +407,20 @@ def resembling_groups(docs: DataFrame, least: float = 0.8, words: int = 5) -> Da
     texts = written(rows.join(named.hint("shuffle_hash"), (F.col("node") == F.col("t_node")) & F.col("doc_id").eqNullSafe(F.col("low"))).select("node", "text").dropDuplicates(["node"]), "near-texts")
     first = written(_alike(shared.where("node <> b").select(F.col("node").alias("a"), "b").distinct(), texts, least, words), "near-links")
     root = components(first, "near-first")
-    placed = shared.select("bucket", "node").join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-    placed = written(placed.join(mixed, "bucket"), "near-placed")
-    one, two = placed.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")), placed.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
-    rest = one.join(two, "bucket").where("ra < rb").select("a", "b").distinct()
-    # Written, so that no task of the components runs two Python workers.
-    links = first.unionByName(written(_alike(rest.join(first, ["a", "b"], "left_anti"), texts, least, words), "near-links"))
+    placed = shared.join(root, "node", "left").select("bucket", "node", "b", F.coalesce("root", "node").alias("root"))
+    # Pairs with the smallest are decided; a bucket has more to compare if its other nodes lie in several components.
+    rest = placed.where("node <> b").select("bucket", "node", "root")
+    mixed = rest.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
+    open_ = written(rest.join(mixed, "bucket"), "near-open")
+    sets = written(_hashed(texts.join(open_.select("node").distinct(), "node"), words), "near-sets")
+    sized = open_.join(sets.select("node", F.size("set").alias("size")), "node")
+    parts = sized.groupBy("bucket").agg(F.ceil(F.sum("size") / TILE_SHINGLES).cast("int").alias("parts"))
+    # A node meets every part of its bucket in one tile: (own part, other part), the lower first.
+    tiles = open_.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int"))
+    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = tiles.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("tile"), (F.col("part") > F.col("other")).alias("second"), (F.col("part") == F.col("other")).alias("own"), "node", "root")
+    found = tiles.join(sets, "node").repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_links(least), "a long, b long")
+    links = first.unionByName(written(found.distinct(), "near-links"))
     comp = components(links, "near-links")
     classes = keys.join(comp, "node", "left").select("doc_id", "node", "rows", F.coalesce("root", "node").alias("class"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")

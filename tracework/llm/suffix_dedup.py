@@ -11,19 +11,24 @@ on the input. The work follows the repeats, not all suffixes:
    anchors whose k-gram occurs twice or more; all other strings are unique.
 2. Suffixes. Each kept anchor's surroundings (at most ``2 length - k`` bytes)
    go to the task of its k-gram. Equal surroundings are first reduced to the
-   earliest in every batch, before the shuffle.
+   earliest in every batch, before the shuffle. A k-gram with more than one ``HOT``th of
+   all repeated anchors (so there are fewer than ``HOT`` of them: this list alone is broadcast) is hot: its anchors are
+   reduced over the whole task and dealt by ``CLASSES`` longer k-grams, each of which lies in
+   all strings of a range of offsets.
 3. Deep-shallow sorting orders the suffixes that start at the anchors, and
-   the reversed prefixes that end there: multikey quicksort steps on 8-byte
-   words down to ``SHALLOW`` bytes, then blind tries for groups that still tie.
+   the reversed prefixes that end there: multikey quicksort (three parts
+   around a pivot, 8 bytes at a time, all groups of a block in step) down to ``SHALLOW``
+   bytes, then blind tries for groups that still tie.
    Neighbours' common prefixes in both orders tell, for every offset, which
    strings are equal; the earliest of each is *fresh*.
 4. Strings of kept anchors that aren't fresh are repeats; the bytes they cover go.
 
 Defined cases: null texts are empty; texts shorter than ``length`` stay whole;
 a null doc_id counts as smaller than all others; rows that share a doc_id and
-a text are one document and give equal results; rows that share a doc_id but
-not the text are told apart by a checksum and ordered by start; an empty table
-gives an empty result; other columns are kept.
+a text are one document and give equal results; rows that share a doc_id (or have none) but
+not the text are documents of their own, ordered by a hash of the text; an empty table
+gives an empty result; other columns are kept, those named like a new one aren't. Texts are cut
+into windows where that bounds memory; the last step needs about 30 bytes a byte of a text.
 """
 
 from __future__ import annotations
@@ -37,15 +42,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_array, chunks, ranges, utf8, written
+from .common import binary_array, chunks, hide, ranges, show, utf8, written
 
 LENGTH = 100
 GRAM = 24
 SHALLOW = 32
 CHUNK_BYTES = 1 << 20
 BLOCK_ROWS = 40_000
-#: packed: start of the anchor's first string (31 bits), checksum of the text (16), strings - 1 (7), anchor's place after the start (7)
+HOT = 1024
+CLASSES = 4
+ANCHORS_AT_ONCE = 1 << 13
+#: packed: start of the anchor's first string (31 bits), checksum of the text (16), strings - 1 (7), anchor's place after the start (7); above them whether its k-gram is hot
 _START, _SUM, _MANY = 30, 14, 7
+_HOT_BIT = 1 << 61
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,6 +115,18 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH):
     return row[head], start[head], strings, anchor[head] - where[head], hashes[anchor[head]]
 
 
+def anchors_in_windows(data: np.ndarray, at: np.ndarray, length: int = LENGTH, window: int = CHUNK_BYTES):
+    """As anchors, but a single long row is cut into windows of its strings (an anchor at a border then has two ranges)."""
+    if len(at) != 2 or len(data) <= window:
+        return anchors(data, at, length)
+    found = []
+    for first in range(0, len(data) - length + 1, window):
+        part = data[first : first + window + length - 1]
+        row, start, strings, place, gram = anchors(part, np.array([0, len(part)]), length)
+        found.append((row, start + first, strings, place, gram))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _pack(start, check, strings, place):
     return (start << _START) | (check << _SUM) | ((strings - 1) << _MANY) | place
 
@@ -124,7 +145,7 @@ def _anchor_rows(length: int, with_place: bool):
     def run(batches):
         for piece in chunks(batches, "text", CHUNK_BYTES):
             data, at = utf8(piece.column("text"))
-            row, start, strings, place, gram = anchors(data, at, length)
+            row, start, strings, place, gram = anchors_in_windows(data, at, length)
             columns, names = [pa.array(gram.view(np.int64))], ["gram"]
             if with_place:
                 packed = _pack(start, _checks(data, at)[row], strings, place)
@@ -207,42 +228,76 @@ class BlindTrie:
         return out
 
 
-def deep_shallow(buffer: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """(order, common prefix with the one before) of strings within their groups; -1 at a group's first.
+def multikey_quicksort(buffer: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, border) of strings within their sorted groups, by their first ``shallow`` bytes.
 
-    group: sorted group numbers. The order is by group, then by string.
+    border: -1 at a group's first place; the depth at which a place's string parted from the one
+    before; ``shallow`` where the two still tie. Every segment that is not yet in order is parted at once
+    around the median of three of its strings' next 8 bytes (and what is left of the string): less, equal, greater; equals go 8 bytes deeper.
     """
     n = len(start)
     order = np.arange(n)
-    common = np.full(n, -1, np.int64)
+    border = np.full(n, shallow, np.int64)
     new = np.ones(n, bool)
     new[1:] = group[1:] != group[:-1]
-    for depth in range(0, shallow, 8):
-        tied = ~new
-        tied[:-1] |= ~new[1:]
-        place = np.flatnonzero(tied)
-        if not len(place):
-            break
-        segment = np.cumsum(new)[place]
-        own = order[place]
-        word = _words(buffer, start[own], length[own], depth)
-        by = np.lexsort((length[own], word, segment))
-        own, word = own[by], word[by]
+    border[new] = -1
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, n))
+    depth = np.zeros(len(head), np.int64)
+    while True:
+        live = (size > 1) & (depth < shallow)
+        head, size, depth = head[live], size[live], depth[live]
+        if not len(head):
+            return order, border
+        segment = np.repeat(np.arange(len(head)), size)
+        nth = ranges(size)
+        own = order[head[segment] + nth]
+        word = _words(buffer, start[own], length[own], depth[segment])
+        left = (length[own] - depth[segment]).clip(0, 8)
+        base = np.cumsum(size) - size
+        three = np.stack([base, base + size // 2, base + size - 1])
+        by = np.lexsort((left[three], word[three]), axis=0)[1]
+        pivot = three[by, np.arange(len(head))]
+        p_word, p_left = word[pivot][segment], left[pivot][segment]
+        less = (word < p_word) | ((word == p_word) & (left < p_left))
+        equal = (word == p_word) & (left == p_left)
+        count = lambda flags: np.bincount(segment[flags], minlength=len(head))
+        n_less, n_equal = count(less), count(equal)
+        place = np.empty(len(own), np.int64)
+        for flags, shift in ((less, 0 * n_less), (equal, n_less), (~(less | equal), n_less + n_equal)):
+            rank = np.cumsum(flags) - 1
+            rank -= np.append(0, np.cumsum(flags))[base][segment]
+            place[flags] = (head[segment] + shift[segment] + rank)[flags]
         order[place] = own
-        differ = np.zeros(len(place), bool)
-        differ[1:] = (segment[1:] == segment[:-1]) & (word[1:] != word[:-1])
-        if differ.any():
-            x = (word[1:] ^ word[:-1])[differ[1:]]
-            same = np.zeros(len(x), np.int64)
-            for i in range(1, 8):
-                same += x < np.uint64(1) << np.uint64(8 * (8 - i))
-            common[place[differ]] = depth + same
-            new[place[differ]] = True
-    tied = ~new
-    tied[:-1] |= ~new[1:]
+        middle, end = head + n_less, head + n_less + n_equal
+        border[middle[n_less > 0]] = depth[n_less > 0]
+        border[end[end < head + size]] = depth[end < head + size]
+        # strings that end here are equal: no more to order
+        deeper = np.where(left[pivot] == 8, depth + 8, shallow)
+        head, size, depth = np.concatenate([head, middle, end]), np.concatenate([n_less, n_equal, size - n_less - n_equal]), np.concatenate([depth, deeper, depth])
+
+
+def deep_shallow(buffer: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common prefix with the one before) of strings within their groups; -1 at a group's first.
+
+    group: sorted group numbers. The order is by group, then by string.
+    """
+    order, border = multikey_quicksort(buffer, start, length, group, shallow)
+    common = border.copy()
+    place = np.flatnonzero((border >= 0) & (border < shallow))
+    if len(place):
+        depth, one, two = common[place], order[place - 1], order[place]
+        x = _words(buffer, start[one], length[one], depth) ^ _words(buffer, start[two], length[two], depth)
+        same = np.zeros(len(x), np.int64)
+        for i in range(8):
+            same += x < np.uint64(1) << np.uint64(8 * (7 - i)) if i < 7 else x == 0
+        common[place] = depth + same
+    tied = border == shallow
+    tied[:-1] |= tied[1:]
     place = np.flatnonzero(tied)
     if len(place):
-        heads = np.flatnonzero(new[place])
+        first = border[place] != shallow
+        heads = np.flatnonzero(first)
         ends = np.append(heads[1:], len(place))
         raw = buffer.tobytes()
         starts, stops = start.tolist(), (start + length).tolist()
@@ -299,54 +354,111 @@ def fresh_strings(gram: np.ndarray, packed: np.ndarray, data: np.ndarray, at: np
     return low, high
 
 
+def _hash_from(data: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n bytes from each place, as gram_hashes makes it."""
+    h = _CODE[data[first]]
+    for i in range(1, n):
+        h = h * _BASE + _CODE[data[first + i]]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def by_class(start: np.ndarray, strings: np.ndarray, place: np.ndarray, length: int):
+    """Anchors -> (number of the anchor, start, strings, place, bytes of the class's k-gram before the anchor, after it), one for each class that has strings.
+
+    A class is a range of places that the anchor takes in a string; all its strings hold the same bytes around the anchor.
+    """
+    edges = [round(i * (length - GRAM + 1) / CLASSES) for i in range(CLASSES + 1)]
+    out = []
+    for low, high in zip(edges, edges[1:]):
+        # string j has the anchor at place - j
+        first, last = np.maximum(place - high + 1, 0), np.minimum(place - low, strings - 1)
+        own = np.flatnonzero(first <= last)
+        n = len(own)
+        out.append((own, start[own] + first[own], last[own] - first[own] + 1, place[own] - first[own], np.full(n, low), np.full(n, length - GRAM - high + 1)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _surroundings(length: int):
-    """Rows with the texts and their kept anchors -> gram, key, packed, u (bytes of all the anchor's strings); the earliest of equal ones in a batch."""
+    """Rows with the texts and their kept anchors -> gram, doc_id, key, packed, u (bytes of all the anchor's strings); the earliest of equal ones in a batch, of hot ones in the task."""
 
     def run(batches):
+        seen: dict[tuple[int, int], tuple[int, int, int]] = {}
         for piece in chunks(batches, "text", CHUNK_BYTES):
             data, at = utf8(piece.column("text"))
             kept = piece.column("kept").combine_chunks() if isinstance(piece.column("kept"), pa.ChunkedArray) else piece.column("kept")
-            row = np.repeat(np.arange(piece.num_rows), np.diff(kept.offsets.to_numpy()))
-            packed = kept.flatten().to_numpy()
-            start, check, strings, place = _unpack(packed)
-            own = check == _checks(data, at)[row]
-            row, packed, start, strings, place = row[own], packed[own], start[own], strings[own], place[own]
-            if not len(row):
-                continue
-            begin = at[row] + start
-            size = strings + length - 1
-            every = np.repeat(begin, size) + ranges(size)
-            bytes_, ends = data[every], np.cumsum(size)
-            mixed = _CODE[bytes_] * (ranges(size).astype(np.uint64) * np.uint64(2) + np.uint64(1))
-            mixed ^= mixed >> np.uint64(29)
-            mixed *= np.uint64(0xBF58476D1CE4E5B9)
-            whole = np.add.reduceat(mixed, ends - size) + place.astype(np.uint64)
-            key = piece.column("key").to_numpy()[row]
-            by = np.lexsort((packed, key, whole))
-            first = np.ones(len(by), bool)
-            first[1:] = whole[by[1:]] != whole[by[:-1]]
-            pick = np.sort(by[first])
-            gram = _CODE[data[begin + place]]
-            for i in range(1, GRAM):
-                gram = gram * _BASE + _CODE[data[begin + place + i]]
-            gram ^= gram >> np.uint64(32)
-            gram *= np.uint64(0x94D049BB133111EB)
-            gram ^= gram >> np.uint64(29)
-            size = size[pick]
-            u = data[np.repeat(begin[pick], size) + ranges(size)]
-            offsets = np.concatenate([[0], np.cumsum(size)])
-            yield pa.RecordBatch.from_arrays([pa.array(gram[pick].view(np.int64)), pa.array(key[pick]), pa.array(packed[pick]), binary_array(u, offsets).cast(pa.binary())], ["gram", "key", "packed", "u"])
+            every_row = np.repeat(np.arange(piece.num_rows), np.diff(kept.offsets.to_numpy()))
+            every_packed = kept.flatten().to_numpy()
+            own = _unpack(every_packed)[1] == _checks(data, at)[every_row]
+            every_row, every_packed = every_row[own], every_packed[own]
+            keys, ids = piece.column("key").to_numpy(), piece.column("age").to_numpy()
+            for first in range(0, len(every_row), ANCHORS_AT_ONCE):
+                row, packed = every_row[first : first + ANCHORS_AT_ONCE], every_packed[first : first + ANCHORS_AT_ONCE]
+                hot = packed & _HOT_BIT > 0
+                start, check, strings, place = _unpack(packed & ~_HOT_BIT)
+                number, h_start, h_strings, h_place, before, after = by_class(start[hot], strings[hot], place[hot], length)
+                row, check = np.concatenate([row[~hot], row[hot][number]]), np.concatenate([check[~hot], check[hot][number]])
+                cold = int((~hot).sum())
+                start, strings, place = np.concatenate([start[~hot], h_start]), np.concatenate([strings[~hot], h_strings]), np.concatenate([place[~hot], h_place])
+                packed = _pack(start, check, strings, place)
+                begin = at[row] + start
+                size = strings + length - 1
+                data_of = data[np.repeat(begin, size) + ranges(size)]
+                nth = ranges(size).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+                mixed = _CODE[data_of] * nth
+                mixed ^= mixed >> np.uint64(29)
+                ends = np.cumsum(size)
+                # 128 bits of the bytes and the anchor's place
+                whole = np.add.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), ends - size) + place.astype(np.uint64)
+                mixed *= nth
+                mixed ^= mixed >> np.uint64(31)
+                other = np.add.reduceat(mixed * np.uint64(0x94D049BB133111EB), ends - size) ^ whole
+                key, age = keys[row], ids[row]
+                by = np.lexsort((packed, key, age, other, whole))
+                new = np.ones(len(by), bool)
+                new[1:] = (whole[by[1:]] != whole[by[:-1]]) | (other[by[1:]] != other[by[:-1]])
+                pick = np.sort(by[new])
+                if cold < len(row):
+                    keep = np.ones(len(pick), bool)
+                    for i in np.flatnonzero(pick >= cold).tolist():
+                        name = (int(whole[pick[i]]), int(other[pick[i]]))
+                        mine = (int(age[pick[i]]), int(key[pick[i]]), int(packed[pick[i]]))
+                        keep[i] = name not in seen or mine < seen[name]
+                        if keep[i]:
+                            seen[name] = mine
+                    if len(seen) > 200_000:  # it only saves rows; what it forgets is reduced later
+                        seen.clear()
+                    pick = pick[keep]
+                gram = _hash_from(data, begin + place, GRAM)
+                if cold < len(row):
+                    gram[cold:] = _class_grams(data, (begin + place)[cold:], before, after, length)
+                size = size[pick]
+                u = data[np.repeat(begin[pick], size) + ranges(size)]
+                offsets = np.concatenate([[0], np.cumsum(size)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(gram[pick].view(np.int64)), pa.array(age[pick]), pa.array(key[pick]), pa.array(packed[pick]), binary_array(u, offsets).cast(pa.binary())], ["gram", "age", "key", "packed", "u"]
+                )
 
     return run
 
 
+def _class_grams(data: np.ndarray, anchor: np.ndarray, before: np.ndarray, after: np.ndarray, length: int) -> np.ndarray:
+    out = np.zeros(len(anchor), np.uint64)
+    for low in np.unique(before).tolist():
+        own = before == low
+        tail = int(after[own][0])
+        out[own] = _hash_from(data, anchor[own] - low, low + GRAM + tail) + np.uint64(low + 1) * _BASE
+    return out
+
+
 def _sorted_blocks(length: int):
     """Rows sorted by gram -> key, packed, low, high of the earliest anchors; whole k-gram groups at a time."""
 
     def solve(table: pa.Table):
         table = table.combine_chunks()
-        key, packed, gram = (table.column(c).to_numpy() for c in ("key", "packed", "gram"))
-        by = np.lexsort((packed, key))
+        age, key, packed, gram = (table.column(c).to_numpy() for c in ("age", "key", "packed", "gram"))
+        by = np.lexsort((packed, key, age))
         u = table.column("u").take(pa.array(by))
         data, at = utf8(u.combine_chunks() if isinstance(u, pa.ChunkedArray) else u)
         low, high = fresh_strings(gram[by], packed[by], data, at, length)
@@ -387,8 +499,7 @@ def _cut(others: list[str], length: int, keep: bool):
                 return row, column.flatten()
 
             row, packed = strings_of("kept")
-            packed = packed.to_numpy()
-            start, check, strings, _ = _unpack(packed)
+            start, check, strings, _ = _unpack(packed.to_numpy() & ~_HOT_BIT)
             own = check == checks[row]
             repeat[np.repeat((at[row] + start)[own], strings[own]) + ranges(strings[own])] = True
             row, fresh = strings_of("fresh")
@@ -404,8 +515,9 @@ def _cut(others: list[str], length: int, keep: bool):
             hit = np.flatnonzero(repeat)
             step[hit] += 1
             step[hit + length] -= 1
-            gone = np.cumsum(step)[: len(data)] > 0
-            total = np.concatenate([[0], np.cumsum(gone)])
+            gone = np.cumsum(step, dtype=np.int32)[: len(data)] > 0
+            total = np.zeros(len(data) + 1, np.int64)
+            np.cumsum(gone, out=total[1:])
             removed = total[at[1:]] - total[at[:-1]]
             head = gone.copy()
             head[1:] &= ~gone[:-1]
@@ -428,32 +540,40 @@ def _cut(others: list[str], length: int, keep: bool):
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, keep: bool = False) -> DataFrame:
-    """Columns of docs but text, then n_bytes, n_removed, n_spans, kept_sha256 (and kept_bytes, kept_text: without characters that a cut splits).
+    """doc_id, the other columns of docs but text, then n_bytes, n_removed, n_spans, kept_sha256 (and kept_bytes, kept_text: without characters that a cut splits).
 
     ``length`` is at least GRAM + 1 and at most GRAM + 77.
     """
-    new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "kept_text"]
-    others = [c for c in docs.columns if c not in ("text", *new)]
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_key")
-    text = docs.select(key.alias("key"), "text")
-    twice = text.select("text").mapInArrow(_anchor_rows(length, False), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    kept = (
-        text.mapInArrow(_anchor_rows(length, True), "gram long, key long, packed long")
-        .join(twice, "gram").groupBy("key").agg(F.collect_list("packed").alias("kept"))
-    )
-    kept = written(kept, "suffix-anchors")
+    new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_bytes", "kept_text"] * keep]
+    hidden, others = hide(docs, ["doc_id", "text"], new)
+    # A row's key is 64 bits of its doc_id and text; with the 16 bits in packed, 80 bits tell rows apart.
+    key = F.xxhash64("doc_id", "text").alias("key")
+    text = hidden.select(key, "text")
+    counts = text.select("text").mapInArrow(_anchor_rows(length, False), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = written(counts, "suffix-grams")
+    all_ = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") > max(all_ // HOT, 1)).select("gram", F.lit(True).alias("hot"))
+    anchored = text.mapInArrow(_anchor_rows(length, True), "gram long, key long, packed long").join(F.broadcast(hot), "gram", "left")
+    # Hot anchors are known to stay, so they are dealt by themselves.
+    anchored = anchored.withColumn("deal", F.when(F.col("hot"), F.xxhash64("key", "packed")).otherwise(F.col("gram")))
+    cold = counts.where(F.col("n") <= max(all_ // HOT, 1)).select(F.col("gram").alias("t_gram"))
+    kept = anchored.join(cold, F.col("deal") == F.col("t_gram"), "left").where("hot or t_gram is not null")
+    kept = kept.withColumn("packed", F.when(F.col("hot"), F.col("packed").bitwiseOR(F.lit(_HOT_BIT))).otherwise(F.col("packed")))
+    kept = written(kept.groupBy("key").agg(F.collect_set("packed").alias("kept")), "suffix-anchors")
     # One exchange of the texts serves both joins below.
-    dealt = docs.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(others)], "text", key.alias("key")).repartition("key")
+    dealt = hidden.withColumn("key", key).repartition("key")
     found = dealt.join(kept.hint("shuffle_hash"), "key", "left")
+    age = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("age")
     fresh = (
-        found.where("kept is not null").mapInArrow(_surroundings(length), "gram long, key long, packed long, u binary")
+        found.where("kept is not null").select(age, "key", "text", "kept").mapInArrow(_surroundings(length), "gram long, age long, key long, packed long, u binary")
         .repartition("gram").sortWithinPartitions("gram")
         .mapInArrow(_sorted_blocks(length), "key long, packed long, low long, high long")
         .groupBy("key").agg(F.collect_list(F.struct("packed", "low", "high")).alias("fresh"))
     )
     rows = found.join(fresh.hint("shuffle_hash"), "key", "left").drop("key")
-    fields = [*[T.StructField(f"c_{i}", docs.schema[c].dataType) for i, c in enumerate(others)], *[T.StructField(c, T.LongType()) for c in new[:3]], T.StructField("kept_sha256", T.StringType())]
+    own = [f"c_{i}" for i in range(len(others))]
+    fields = [hidden.schema["doc_id"], *[hidden.schema[c] for c in own], *[T.StructField(c, T.LongType()) for c in new[:3]], T.StructField("kept_sha256", T.StringType())]
     if keep:
         fields += [T.StructField("kept_bytes", T.BinaryType()), T.StructField("kept_text", T.StringType())]
-    out = rows.mapInArrow(_cut([f"c_{i}" for i in range(len(others))], length, keep), T.StructType(fields))
-    return out.toDF(*others, *new[: 6 if keep else 4])
+    out = rows.mapInArrow(_cut(["doc_id", *own], length, keep), T.StructType(fields))
+    return show(out, ["doc_id"], others, new)
