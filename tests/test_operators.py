@@ -293,6 +293,45 @@ def test_early_stop(spark):
     assert tuple(learn.early_stop(df, patience=3).first())[1:] == (5, 0.7, None)
 
 
+def plain_early_stop(history, delta, tol, loss_delta, patience, limit, mode, alternative):
+    best_auc, low, taken, best, waited = -np.inf, np.inf, np.inf, 0, 0
+    for epoch, auc, loss in history:
+        low = min(low, loss)
+        fine = loss <= low * limit if mode == "relative" else loss <= low + limit if mode == "absolute" else True
+        primary = np.isfinite(auc) and auc >= best_auc + delta and fine
+        other = alternative and np.isfinite(auc) and best_auc > -np.inf and auc >= best_auc - tol and loss <= taken - loss_delta
+        if primary or other:
+            best_auc, taken, best, waited = max(best_auc, auc), loss, epoch, 0
+        else:
+            waited += 1
+            if waited >= patience:
+                return best, best_auc, epoch
+    return best, best_auc, None
+
+
+@pytest.mark.parametrize("mode, limit", [("relative", 1.1), ("absolute", 0.05), ("none", 0.0)])
+@pytest.mark.parametrize("alternative", [True, False])
+def test_early_stop_is_a_plain_loop(spark, mode, limit, alternative):
+    rng = np.random.default_rng(12)
+    runs = {r: [(e, float("nan") if rng.random() < 0.05 else round(0.5 + 0.02 * e**0.5 + 0.01 * rng.standard_normal(), 4), round(1 / e**0.3 + 0.08 * rng.standard_normal(), 4)) for e in range(1, 40)] for r in range(60)}
+    df = spark.createDataFrame([(r, *x) for r, h in runs.items() for x in h], "run int, epoch int, val_auc double, val_loss double")
+    options = dict(delta=0.005, tol=0.003, loss_delta=0.005, patience=4)
+    found = {r.run: (r.best_epoch, r.best_auc, r.stop_epoch) for r in learn.early_stop(df, loss_limit=limit, loss_mode=mode, alternative=alternative, **options).collect()}
+    assert found == {r: plain_early_stop(h, *options.values(), limit, mode, alternative) for r, h in runs.items()}
+
+
+def test_datasets_and_filters_are_chosen_or_refused(spark):
+    one, two = spark.range(1), spark.range(2)
+    assert catalog.choose_dataset({"a": one, "b": two}, "b") is two and catalog.choose_dataset(None, None, one) is one
+    for tables, use, single in (({"a": one}, "c", two), ({"a": one}, None, None), (None, "a", None)):
+        with pytest.raises(KeyError):
+            catalog.choose_dataset(tables, use, single)
+    movies = spark.createDataFrame([("Exp1", "A"), ("Exp2", "A")], "experiment string, protein string")
+    assert catalog.only(movies, "Exp2", "A").count() == 1 and catalog.only(movies).count() == 2
+    with pytest.raises(ValueError, match="Exp3"):
+        catalog.only(movies, "Exp3")
+
+
 def test_forest_beats_scrambled_labels(spark):
     rng = np.random.default_rng(11)
     df = traces_of(spark, [rng.normal(i % 2, 1, 40) for i in range(200)])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.seeded import uniform
+from ..sources.scratch import cut
 from . import augment, metrics, sampling
 
 TRACE_FEATURES = ("mean", "std", "low", "high", "middle", "roughness")
@@ -46,10 +47,11 @@ def score(model, rows: DataFrame, features: tuple[str, ...], label: str) -> Data
 
 
 def classify(rows: DataFrame, features: tuple[str, ...], label: str, id_: str, estimator=None, seed: int = 42) -> tuple[object, DataFrame]:
-    """(model, scored test rows): balanced classes, an 80/20 stratified split."""
-    split = sampling.stratified_split(sampling.balance(rows, label, id_, seed), label, id_, {"train": 0.8, "test": 0.2}, seed).persist()
-    model = (estimator or forest(seed=seed)).fit(assembled(split.where("split = 'train'"), features, label))
-    return model, score(model, split.where("split = 'test'"), features, label)
+    """(model, scored test rows): an 80/20 stratified split, then the classes of each part balanced."""
+    split = cut(sampling.stratified_split(rows, label, id_, {"train": 0.8, "test": 0.2}, seed))
+    train, test = (sampling.balance(split.where(F.col("split") == part), label, id_, seed) for part in ("train", "test"))
+    model = (estimator or forest(seed=seed)).fit(assembled(train, features, label))
+    return model, score(model, test, features, label)
 
 
 def importances(spark, model, features: tuple[str, ...]) -> DataFrame:
@@ -82,11 +84,11 @@ def cross_validate(traces: DataFrame, folds: int, factors: list[int], names: lis
 
     The loop runs over the few (model, factor, fold) combinations; each fit and scoring is a Spark job over all rows.
     """
-    placed = sampling.stratified_folds(traces, "class_idx", "trace_id", folds, seed).persist()
+    placed = cut(sampling.stratified_folds(traces, "class_idx", "trace_id", folds, seed))
     out = None
     for factor in factors:
         for fold in range(1, folds + 1):
-            train = trace_features(augment.training_rows(placed, fold, factor, seed)).persist()
+            train = cut(trace_features(augment.training_rows(placed, fold, factor, seed)))
             test = trace_features(placed.where(F.col("fold") == fold))
             for name in names:
                 model = models(len(TRACE_FEATURES), classes, seed)[name].fit(assembled(train, TRACE_FEATURES, "class_idx"))
@@ -104,22 +106,33 @@ def fold_metrics(scored: DataFrame, classes: int) -> DataFrame:
     return n
 
 
-def early_stop(history: DataFrame, delta: float = 0.001, tol: float = 0.0, loss_delta: float = 0.0, patience: int = 10, loss_limit: float = 0.05) -> DataFrame:
+def early_stop(
+    history: DataFrame, delta: float = 0.005, tol: float = 0.003, loss_delta: float = 0.005, patience: int = 10, loss_limit: float = 1.1, loss_mode: str = "relative", alternative: bool = True
+) -> DataFrame:
     """run, epoch, val_auc, val_loss -> run, best_epoch, best_auc, stop_epoch (NULL: never stopped).
 
-    An epoch is taken if its AUC is delta above the best and its loss at most 1 + loss_limit times the best's, or if its AUC is within tol
-    of the best and its loss at least loss_delta (and truly) below the best's; after ``patience`` epochs without, training stops. A fold over each run's sorted epochs.
+    An epoch is taken if its AUC is ``delta`` above the best and its loss is not too high: at most ``loss_limit`` times (``relative``)
+    or above (``absolute``) the least loss of all epochs so far, itself included; any loss will do in mode ``none``. With ``alternative``
+    it is also taken if its AUC is within ``tol`` of the best and its loss ``loss_delta`` below that of the epoch taken last; the best AUC never falls.
+    After ``patience`` epochs in a row that aren't taken, training stops. A fold over each run's sorted epochs; an undefined AUC is never taken.
     """
     ordered = history.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("epoch", F.col("val_auc").cast("double").alias("auc"), F.col("val_loss").cast("double").alias("loss")))).alias("h"))
-    zero = F.struct(F.lit(float("-inf")).alias("auc"), F.lit(float("inf")).alias("loss"), F.lit(0).alias("best"), F.lit(0).alias("stop"))
+    none, much = F.lit(float("-inf")), F.lit(float("inf"))
+    zero = F.struct(none.alias("auc"), much.alias("least"), much.alias("taken"), F.lit(0).alias("best"), F.lit(0).alias("waited"), F.lit(0).alias("stop"))
 
     def step(s, e):
-        better = (e["auc"] >= s["auc"] + delta) & (e["loss"] <= s["loss"] * (1 + loss_limit))
-        lower = (e["auc"] >= s["auc"] - tol) & (e["loss"] < s["loss"]) & (e["loss"] <= s["loss"] - loss_delta)
-        take = (s["stop"] == 0) & (better | lower)
-        stop = F.when((s["stop"] == 0) & ~take & (e["epoch"] - s["best"] >= patience), e["epoch"]).otherwise(s["stop"])
-        pick = lambda c: F.when(take, e[c]).otherwise(s[c])
-        return F.struct(pick("auc").alias("auc"), pick("loss").alias("loss"), F.when(take, e["epoch"]).otherwise(s["best"]).alias("best"), stop.alias("stop"))
+        running = s["stop"] == 0
+        least = F.least(s["least"], e["loss"])
+        fine = {"relative": e["loss"] <= least * loss_limit, "absolute": e["loss"] <= least + loss_limit, "none": F.lit(True)}[loss_mode]
+        known = e["auc"].isNotNull() & ~F.isnan(e["auc"])
+        better = (e["auc"] >= s["auc"] + delta) & fine
+        lower = F.lit(alternative) & (s["auc"] > none) & (e["auc"] >= s["auc"] - tol) & (e["loss"] <= s["taken"] - loss_delta)
+        take = F.coalesce(running & known & (better | lower), F.lit(False))
+        waited = F.when(take, 0).otherwise(s["waited"] + 1)
+        return F.struct(
+            F.when(take, F.greatest(s["auc"], e["auc"])).otherwise(s["auc"]).alias("auc"), least.alias("least"), F.when(take, e["loss"]).otherwise(s["taken"]).alias("taken"),
+            F.when(take, e["epoch"]).otherwise(s["best"]).alias("best"), F.when(running, waited).otherwise(s["waited"]).alias("waited"), F.when(running & (waited >= patience), e["epoch"]).otherwise(s["stop"]).alias("stop"),
+        )
 
     out = ordered.withColumn("s", F.aggregate("h", zero, step))
     return out.select("run", F.col("s.best").alias("best_epoch"), F.col("s.auc").alias("best_auc"), F.when(F.col("s.stop") > 0, F.col("s.stop")).alias("stop_epoch"))

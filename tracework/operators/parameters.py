@@ -38,7 +38,7 @@ def grid_sweep(locs: DataFrame, spots: DataFrame, gradients: list[float], box: i
     settings = locs.sparkSession.createDataFrame([(float(g),) for g in gradients], "gradient double")
     chosen = locs.crossJoin(F.broadcast(settings)).where(F.col("net_gradient") >= F.col("gradient"))
     boxes = chosen.select(F.struct("gradient", "movie_id").alias("movie_id"), spatial.corner(F.col("x"), box).alias("x"), spatial.corner(F.col("y"), box).alias("y")).distinct()
-    boxes = boxes.withColumn("roi", (F.col("y") * width + F.col("x")).cast("int") + 1)
+    boxes = boxes.withColumn("roi", ((F.col("y") + box) * (width + 2 * box) + F.col("x") + box).cast("int") + 1)
     flagged = spatial.painter_overlaps(boxes, box, threshold, width, height).withColumn("o", F.lit(True))
     own = spots.select(F.explode(F.transform(F.array(*[F.lit(float(g)) for g in gradients]), lambda g: F.struct(g.alias("gradient"), F.col("movie_id").alias("movie_id")))).alias("movie_id"), "x", "y")
     labelled = spatial.label_by_nearest(boxes, own, distance).join(flagged, ["movie_id", "roi"], "left")

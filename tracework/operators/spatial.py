@@ -100,12 +100,12 @@ def roi_traces(pixels: DataFrame, rois: DataFrame, overlapping: DataFrame, box:
     return rows.withColumn("values", F.when((F.col("overlap") == "single") & F.col("n").isNotNull(), every).otherwise(F.array().cast("array<double>"))).drop("m", "n")
 
 
-def labels_of(links: DataFrame, nodes: DataFrame, key: str = "id", rounds: int = 50) -> DataFrame:
-    """key, label: smallest node that each can reach, by iterated smallest neighbour with pointer jumping; every round is cut off from the ones before."""
+def labels_of(links: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame:
+    """key, label: smallest node that each can reach, by iterated smallest neighbour with pointer jumping until nothing changes; every round is cut off from the ones before."""
     both = links.select(F.col("a"), F.col("b")).unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = cut(both)
     now = nodes.select(F.col(key).alias("node"), F.col(key).alias("label"))
-    for _ in range(rounds):
+    while True:
         near = both.join(now.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
         step = now.join(near, now["node"] == near["a"], "left").select("node", F.least("label", F.coalesce("low", "label")).alias("label"))
         jump = step.select(F.col("node").alias("at"), F.col("label").alias("up"))
@@ -114,7 +114,6 @@ def labels_of(links: DataFrame, nodes: DataFrame, key: str = "id", rounds: int =
         if not after.join(now.withColumnRenamed("label", "old"), "node").where("label <> old").take(1):
             return after.withColumnRenamed("node", key)
         now = after
-    raise RuntimeError(f"components need more than {rounds} rounds")
 
 
 def link_localizations(locs: DataFrame, radius: float, dark: int) -> DataFrame:

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-@F.udf(T.DoubleType())
-def _two_sided(z: float | None) -> float | None:
-    """P(|Z| >= z); called on one row a test."""
-    return None if z is None else min(1.0, math.erfc(z / math.sqrt(2)))
+@F.pandas_udf("double")
+def _two_sided(z: pd.Series) -> pd.Series:
+    """P(|Z| >= z) in Arrow batches; there is one row a test."""
+    return z.map(lambda x: min(1.0, math.erfc(x / math.sqrt(2))), na_action="ignore")
 
 
 def mann_whitney(rows: DataFrame, group: str, first: str, value: str = "value", keys: list[str] | None = None) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import stats
-from ..sources import catalog, sinks
+from ..operators import certainty, stats
+from ..sources import catalog, scratch, sinks
 from ..sources import fixtures as X
 from ..sources.fixtures import with_sql
-from .registry import query
+from .metric_queries import _WD, long_passes
+from .registry import query, rounded
+from .spatial_queries import _PAINT, DISTANCE, labelled_rois
 
 
 @query(with_sql("movie_paths", then="SELECT experiment, protein, count(*) AS files FROM (SELECT split_part(path, '/', 1) AS experiment, split_part(path, '/', 2) AS protein FROM movie_paths) WHERE protein IN ('HaloD106', 'SNAPC148') GROUP BY 1, 2"))
@@ -118,10 +120,11 @@ def g7_sorted_distinct_files(spark, sf_dir):
     return X.movie_paths(spark, sf_dir).distinct().orderBy("path")
 
 
-@query(with_sql("movie_paths", then="SELECT path, 'x' AS part FROM movie_paths WHERE path LIKE 'Exp1/%' UNION ALL SELECT path, 'y' FROM movie_paths WHERE path LIKE 'Exp2/%'"))
+@query(with_sql("movie_paths", then="SELECT path, 'x' AS part FROM movie_paths WHERE path LIKE 'Exp1/%' UNION ALL SELECT path, 'y' FROM movie_paths WHERE path LIKE 'Exp2/%' UNION ALL SELECT path, 'z' FROM movie_paths WHERE path LIKE 'Exp3/%'"))
 def g1_union_all(spark, sf_dir):
     rows = X.movie_paths(spark, sf_dir)
-    return rows.where(F.col("path").startswith("Exp1/")).withColumn("part", F.lit("x")).unionByName(rows.where(F.col("path").startswith("Exp2/")).withColumn("part", F.lit("y")))
+    parts = [rows.where(F.col("path").startswith(f"Exp{i}/")).withColumn("part", F.lit(p)) for i, p in ((1, "x"), (2, "y"), (3, "z"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(with_sql("frames", "traces", then="SELECT trace_id FROM frames INTERSECT SELECT trace_id FROM traces"))
@@ -134,3 +137,92 @@ def h22_labels(spark, sf_dir):
     rows = X.table(spark, sf_dir, "part")
     f = F.col("p_size") % 3
     return rows.groupBy(F.regexp_replace("p_type", "[^A-Za-z0-9]+", "-").alias("slug"), F.when(f == 0, "no aug").otherwise(F.concat(F.lit("aug x"), f.cast("string"))).alias("aug")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_sql("rois", then="SELECT concat('movie=', movie_id) AS folder, 'HaloD106' AS label, count(*) AS traces FROM rois GROUP BY 1"))
+def a10_tagged_scan(spark, sf_dir):
+    """Written one folder a movie, scanned with the file each row came from."""
+    path = scratch.folder(spark, "scan")
+    X.rois(spark, sf_dir).withColumn("movie", F.col("movie_id")).write.partitionBy("movie").parquet(path)
+    rows = catalog.tagged_scan(spark, path, "HaloD106")
+    return rows.groupBy(F.regexp_extract("origin", "/(movie=[^/]*)/", 1).alias("folder"), "label").agg(F.count(F.lit(1)).alias("traces"))
+
+
+@query(with_sql("tframes", then="SELECT trace_id, count(*) AS frames, round(sum(intensity), 6) AS total FROM tframes WHERE class_idx = 3 AND trace_id % 7 <> 0 GROUP BY 1"))
+def a11_trace_matrix(spark, sf_dir):
+    """One compound and normalisation; mirrored series (here every seventh trace) are left out."""
+    rows = _stored(spark, sf_dir).where("norm = 'raw'")
+    found = catalog.class_slice(rows, "class_3", "raw")
+    return rounded(found.select("trace_id", F.size("values").cast("long").alias("frames"), F.aggregate("values", F.lit(0.0), lambda a, b: a + b).alias("total")))
+
+
+@query(with_sql("tframes", then="SELECT class_idx, norm, count(DISTINCT trace_id) AS traces FROM tframes, (SELECT unnest(['raw', 'minmax']) AS norm) WHERE class_idx IN (1, 4) AND trace_id % 7 <> 0 GROUP BY 1, 2"))
+def a12_class_tables(spark, sf_dir):
+    rows = _stored(spark, sf_dir)
+    chosen = [catalog.class_slice(rows, f"class_{c}", n) for c in (1, 4) for n in ("raw", "minmax")]
+    out = chosen[0]
+    for part in chosen[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("class_idx", "norm").agg(F.count(F.lit(1)).alias("traces"))
+
+
+def _stored(spark, sf_dir):
+    """Traces by compound and normalisation, written and read back."""
+    path = scratch.folder(spark, "traces")
+    rows = X.traces(spark, sf_dir).withColumn("compound", F.concat(F.lit("class_"), F.col("class_idx").cast("string")))
+    rows = rows.withColumn("trace_name", F.concat("trace_id", F.when(F.col("trace_id") % 7 == 0, "_m").otherwise("")))
+    rows = rows.withColumn("gt_label", F.when(F.col("trace_id") % 2 == 0, "IN").otherwise("OUT")).withColumn("origin", F.lit("protein"))
+    sinks.write_traces(rows.withColumn("norm", F.explode(F.array(F.lit("raw"), F.lit("minmax")))), path)
+    return spark.read.parquet(path)
+
+
+@query(with_sql("traces", then="SELECT concat('class_', class_idx) AS compound, CASE WHEN trace_id % 2 = 0 THEN 'IN' ELSE 'OUT' END AS gt_label, 'protein' AS origin, norm, count(*) AS traces FROM traces, (SELECT unnest(['raw', 'minmax']) AS norm) GROUP BY 1, 2, 3, 4"))
+def a18_partitioned_sink(spark, sf_dir):
+    return _stored(spark, sf_dir).groupBy("compound", "gt_label", "origin", "norm").agg(F.count(F.lit(1)).alias("traces"))
+
+
+@query(with_sql("predictions_mc", then=_WD + " SELECT class_name, count(*) AS n, round(avg(wd), 6) AS mean_wd FROM (SELECT concat('class_', label) AS class_name, round(wd, 9) AS wd FROM wd) WHERE wd >= 0.2 GROUP BY 1"))
+def a15_certainty_scan(spark, sf_dir):
+    """The certainty table is written once and scanned with the least distance pushed down."""
+    path = scratch.folder(spark, "certainty")
+    rows = certainty.certainty(long_passes(spark, sf_dir)).select("sample_id", F.concat(F.lit("class_"), F.col("label").cast("string")).alias("class_name"), F.round("wd", 9).alias("wd"))
+    rows.write.parquet(path)
+    return rounded(catalog.certainty_scan(spark, path, 0.2).groupBy("class_name").agg(F.count(F.lit(1)).alias("n"), F.avg("wd").alias("mean_wd")))
+
+
+@query(with_sql("traces", then="SELECT trace_id, class_idx FROM traces"))
+def a16_choose_dataset(spark, sf_dir):
+    tables = {"short": X.traces(spark, sf_dir), "long": X.long_traces(spark, sf_dir)}
+    return catalog.choose_dataset(tables, "short").select("trace_id", "class_idx")
+
+
+@query(with_sql("fold_metrics", then="SELECT format, model, aug_factor, fold, round(auc, 6) AS auc FROM fold_metrics, (SELECT unnest(['csv', 'json']) AS format)"))
+def a21_result_sinks(spark, sf_dir):
+    """Long results as CSV and as JSON, read back."""
+    rows = X.fold_metrics(spark, sf_dir).select("model", "aug_factor", "fold", "auc")
+    csv, json = scratch.folder(spark, "csv"), scratch.folder(spark, "json")
+    sinks.write_csv(rows, csv)
+    sinks.write_json(rows, json)
+    back = spark.read.schema(rows.schema).csv(csv, header=True).withColumn("format", F.lit("csv"))
+    return rounded(back.unionByName(spark.read.schema(rows.schema).json(json).withColumn("format", F.lit("json"))))
+
+
+@query(with_sql("movie_paths", then="p AS (SELECT split_part(path, '/', 2) AS file, min(path) AS line FROM movie_paths GROUP BY 1) SELECT file, CASE WHEN file LIKE 'Halo%' THEN md5(concat(line, chr(10))) ELSE md5(line) END AS md5, md5(concat(line, chr(10))) AS actual, file LIKE 'Halo%' AS ok FROM p"))
+def a22_checksums(spark, sf_dir):
+    """A file a protein, with a manifest that is right for some of them."""
+    path = scratch.folder(spark, "files")
+    rows = X.movie_paths(spark, sf_dir).groupBy(F.split("path", "/")[1].alias("file")).agg(F.min("path").alias("line"))
+    rows.write.partitionBy("file").text(path)
+    right = F.md5(F.concat("line", F.lit("\n")))
+    manifest = rows.select("file", F.when(F.col("file").startswith("Halo"), right).otherwise(F.md5("line")).alias("md5"))
+    return sinks.checksums(spark, path, manifest, "file=([^/]*)/")
+
+
+@query(with_sql("rois", "gt_spots", then=_PAINT + f", d AS (SELECT r.movie_id, r.roi, coalesce(min((r.x-g.x)*(r.x-g.x) + (r.y-g.y)*(r.y-g.y)) < {DISTANCE * DISTANCE}, false) AS inside FROM rois r LEFT JOIN gt_spots g USING (movie_id) GROUP BY 1, 2) SELECT d.movie_id, d.roi, CASE WHEN inside THEN 'IN' ELSE 'OUT' END AS subset FROM d LEFT JOIN o ON d.movie_id = o.movie_id AND d.roi = o.roi WHERE o.roi IS NULL"))
+def b3_split_by_ground_truth(spark, sf_dir):
+    return catalog.split_by_ground_truth(labelled_rois(spark, sf_dir)).select("movie_id", "roi", "subset")
+
+
+@query(with_sql("movie_paths", then="SELECT path, split_part(path, '/', 1) AS experiment, split_part(path, '/', 2) AS protein FROM movie_paths WHERE path LIKE 'Exp2/HaloD106/%'"))
+def b13_debug_filters(spark, sf_dir):
+    return catalog.only(catalog.movie_catalog(X.movie_paths(spark, sf_dir)), "Exp2", "HaloD106").select("path", "experiment", "protein")

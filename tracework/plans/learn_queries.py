@@ -11,7 +11,7 @@ from ..sources.fixtures import with_sql
 from .registry import query, rounded
 from .trace_queries import FRAME_MS, on_frames
 
-TREES = 20
+TREES = 500
 
 
 def _features(spark, sf_dir):
@@ -24,9 +24,9 @@ def _test_bundle(scored):
     return rounded(acc.crossJoin(metrics.auc(scored.withColumn("score", F.get("probs", F.lit(1))))).crossJoin(scored.agg(F.count(F.lit(1)).alias("n_test"))))
 
 
-@query()
+@query(with_sql("traces", then="SELECT -1 AS trace_id, class_idx, CAST(len(values) AS INT) AS frames FROM traces"))
 def a14_background_dataset(spark, sf_dir):
-    rows = normalize.normalizations(X.traces(spark, sf_dir).where("trace_id % 2 = 0"), F.lit(0.0))
+    rows = normalize.normalizations(X.traces(spark, sf_dir), F.lit(0.0))
     found = normalize.dataset(rows, ["raw"])
     return found.select(F.lit(-1).alias("trace_id"), "class_idx", F.size(F.get("channels", F.lit(0))).alias("frames"))
 
@@ -43,7 +43,7 @@ def h15_augment(spark, sf_dir):
     return rounded(rows.select("trace_id", "copy", arrays.mean(F.col("values")).alias("mean"), arrays.std(F.col("values")).alias("std")))
 
 
-@query()
+@query(with_sql("traces", then="k AS (SELECT trace_id, (row_number() OVER (PARTITION BY class_idx ORDER BY md5(concat('42:fold:', trace_id)), trace_id) - 1) % 4 + 1 AS fold FROM traces) SELECT CAST(fold AS INT) AS fold, CAST(copy AS INT) AS copy, count(*) AS n FROM k, (SELECT unnest([-1, 0, 1, 2]) AS copy) WHERE fold <> 2 GROUP BY 1, 2"))
 def h17_training_rows(spark, sf_dir):
     placed = sampling.stratified_folds(X.traces(spark, sf_dir), "class_idx", "trace_id", 4)
     rows = augment.training_rows(placed, 2, 3, mirrored=True, on=F.transform("values", lambda v: v > 0.1))
@@ -56,8 +56,14 @@ def g3_union_copies(spark, sf_dir):
     return rows.unionByName(augment.augmented(X.traces(spark, sf_dir), 3)).groupBy("copy").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(with_sql("epochs", then="""w AS (SELECT DISTINCT run, 0 AS epoch, '-inf'::DOUBLE AS best_auc, 'inf'::DOUBLE AS low, 'inf'::DOUBLE AS taken, 0 AS best, 0 AS waited, 0 AS stop FROM epochs
+ UNION ALL SELECT run, epoch, CASE WHEN take THEN greatest(best_auc, val_auc) ELSE best_auc END, low, CASE WHEN take THEN val_loss ELSE taken END, CASE WHEN take THEN epoch ELSE best END, CASE WHEN take THEN 0 ELSE waited + 1 END, CASE WHEN stop = 0 AND NOT take AND waited + 1 >= 5 THEN epoch ELSE stop END
+ FROM (SELECT *, stop = 0 AND ((val_auc >= best_auc + 0.005 AND val_loss <= low * 1.1) OR (best_auc > '-inf'::DOUBLE AND val_auc >= best_auc - 0.003 AND val_loss <= taken - 0.005)) AS take
+  FROM (SELECT w.run, e.epoch, e.val_auc, e.val_loss, w.best_auc, least(w.low, e.val_loss) AS low, w.taken, w.best, w.waited, w.stop FROM w JOIN epochs e ON e.run = w.run AND e.epoch = w.epoch + 1))),
+ z AS (SELECT run, max(epoch) AS epoch FROM w GROUP BY 1)
+ SELECT w.run, w.best AS best_epoch, round(w.best_auc, 6) AS best_auc, CASE WHEN w.stop > 0 THEN w.stop END AS stop_epoch FROM w JOIN z ON w.run = z.run AND w.epoch = z.epoch""").replace("WITH ", "WITH RECURSIVE ", 1))
 def e14_early_stop(spark, sf_dir):
+    """The usual limits, with a patience of five epochs."""
     return rounded(learn.early_stop(X.epochs(spark, sf_dir), patience=5))
 
 
@@ -75,7 +81,7 @@ def j4_forest(spark, sf_dir):
 @query()
 def j4_forest_on_dwell_features(spark, sf_dir):
     rows = dwell.forest_features(on_frames(spark, sf_dir), FRAME_MS).withColumn("class_idx", F.col("trace_id") % 2)
-    names = ("mean_on_ms", "mean_off_ms", "std_on_ms", "std_off_ms", "total_on_ms", "total_off_ms")
+    names = tuple(c for c in rows.columns if c.endswith("_ms"))
     return _test_bundle(learn.classify(rows, names, "class_idx", "trace_id", learn.forest(TREES))[1])
 
 
@@ -92,17 +98,26 @@ def j6_noise_control(spark, sf_dir):
     return rounded(metrics.mean_probabilities(learn.score(model, rows.where("trace_id % 3 = 0"), learn.TRACE_FEATURES, "class_idx")))
 
 
-@query()
+_MASK = "CAST('0x' || substr(md5(concat('42:mask:', pass, ':', trace_id, ':', frame)), 1, 8) AS BIGINT) / 4294967296.0"
+
+
+@query(with_sql("tframes", then=f"""k AS (SELECT trace_id, CAST(class_idx % 2 AS INT) AS label, pass, frame, CASE WHEN {_MASK} >= 0.2 THEN intensity / 0.8::DOUBLE ELSE 0 END AS v FROM tframes, (SELECT unnest(range(20)) AS pass)),
+ s AS (SELECT trace_id, label, pass, sum(v * (frame % 5 - 2)) / 4 + 0.1 AS s0, sum(v * (frame % 3 - 1)) / 2 AS s1 FROM k GROUP BY 1, 2, 3),
+ p AS (SELECT trace_id, label, exp(s1) / (exp(s0) + exp(s1)) AS prob1 FROM s),
+ x AS (SELECT trace_id, label, avg(prob1) AS m, list_sort(list(prob1)) AS b, list_sort(list(1 - prob1)) AS a FROM p GROUP BY 1, 2)
+ SELECT trace_id, label, CASE WHEN m > 1 - m THEN 1 ELSE 0 END AS pred, round(list_sum(list_transform(range(1, 21), lambda i: abs(a[i] - b[i]))) / 20, 6) AS wd FROM x"""))
 def j7_stochastic_predictions(spark, sf_dir):
-    rows = X.traces(spark, sf_dir).select("trace_id", (F.col("class_idx") % 2).alias("label"), F.slice("values", 1, 6).alias("x"))
-    passes = learn.stochastic_passes(rows, [[1.0, -1.0, 0.5, 0.0, 0.0, 1.0], [-1.0, 1.0, 0.0, 0.5, 1.0, 0.0]], [0.1, 0.0], 20)
+    """A fixed linear scorer of all 64 frames, twenty passes with dropped inputs."""
+    rows = X.traces(spark, sf_dir).select("trace_id", (F.col("class_idx") % 2).cast("int").alias("label"), F.col("values").alias("x"))
+    weights = [[(i % 5 - 2) / 4 for i in range(64)], [(i % 3 - 1) / 2 for i in range(64)]]
+    passes = learn.stochastic_passes(rows, weights, [0.1, 0.0], 20)
     return rounded(certainty.certainty(passes, ["trace_id", "label"]))
 
 
 @query()
 def j8_cross_validation(spark, sf_dir):
     rows = X.traces(spark, sf_dir).withColumn("class_idx", F.col("class_idx") % 2)
-    scored = learn.cross_validate(rows, 2, [0, 2], ["forest", "logistic"], 2)
+    scored = learn.cross_validate(rows, 4, [0, 3], ["forest", "logistic", "perceptron"], 2)
     return rounded(learn.fold_metrics(scored, 2))
 
 

@@ -179,7 +179,11 @@ def h11_binary_threshold(spark, sf_dir):
     return rounded(certainty.best_binary_threshold(predictions(spark, sf_dir), "mcc"))
 
 
-@query()
+@query(with_sql("predictions_mc", then=_P + """, e AS (SELECT 1 AS class, score AS s, label AS hit FROM q UNION ALL SELECT 0, 1 - score, 1 - label FROM q),
+ n AS (SELECT class, hit, least(50, floor(s * 50 + 1e-12)) AS place FROM e), th AS (SELECT unnest(range(51)) AS t),
+ t AS (SELECT class, t, count(*) FILTER (WHERE place >= t AND hit = 1)::DOUBLE AS tp, count(*) FILTER (WHERE place >= t AND hit = 0)::DOUBLE AS fp, count(*) FILTER (WHERE place < t AND hit = 0)::DOUBLE AS tn, count(*) FILTER (WHERE place < t AND hit = 1)::DOUBLE AS fn FROM th CROSS JOIN n GROUP BY 1, 2),
+ s AS (SELECT class, t, CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) > 0 THEN (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) ELSE 0 END AS mcc FROM t)
+ SELECT CAST(class AS INT) AS class, round(first(t ORDER BY round(mcc, 12) DESC, t) / 50.0::DOUBLE, 6) AS threshold, round(first(mcc ORDER BY round(mcc, 12) DESC, t), 6) AS value FROM s GROUP BY 1"""))
 def h12_class_thresholds(spark, sf_dir):
     return rounded(certainty.best_class_thresholds(predictions(spark, sf_dir)))
 
@@ -195,10 +199,10 @@ def h14_accuracy_threshold(spark, sf_dir):
     return rounded(certainty.best_binary_threshold(predictions(spark, sf_dir), "accuracy", 501))
 
 
-@query(with_sql("predictions_mc", then="SELECT sample_id, round(exp(prob1) / (exp(prob1) + exp(1 - prob1) + exp(0.5)), 6) AS p FROM predictions_mc WHERE pass = 0"))
+@query(with_sql("predictions_mc", then="SELECT sample_id, CAST(pass AS INT) AS pass, round(exp(prob1) / (exp(prob1) + exp(1 - prob1) + exp(0.5)), 6) AS p FROM predictions_mc"))
 def h23_softmax(spark, sf_dir):
-    rows = X.predictions_mc(spark, sf_dir).where("pass = 0")
-    return rounded(rows.select("sample_id", F.get(arrays.softmax(F.array("prob1", 1 - F.col("prob1"), F.lit(0.5))), F.lit(0)).alias("p")))
+    rows = X.predictions_mc(spark, sf_dir)
+    return rounded(rows.select("sample_id", "pass", F.get(arrays.softmax(F.array("prob1", 1 - F.col("prob1"), F.lit(0.5))), F.lit(0)).alias("p")))
 
 
 @query(with_sql("predictions_mc", then=_WD + " SELECT label, count(*) AS n FROM wd WHERE wd >= 0.2 GROUP BY 1"))
@@ -327,7 +331,7 @@ def f10_movie_per_protein(spark, sf_dir):
     return sampling.pick(rows, ["protein"], "path", 1, salt="movie")
 
 
-@query()
+@query("WITH " + _ranked_sql("fold") + " SELECT doc_id, CAST((r - 1) % 4 + 1 AS INT) AS fold FROM k WHERE (r - 1) % 4 + 1 = floor(CAST('0x' || substr(md5('42:display'), 1, 8) AS BIGINT) / 4294967296.0 * 4) + 1")
 def f14_display_fold(spark, sf_dir):
     rows = sampling.stratified_folds(_labels(spark, sf_dir), "quality", "doc_id", 4)
     return rows.where(F.col("fold") == sampling.display_fold(42, 4)).select("doc_id", "fold")

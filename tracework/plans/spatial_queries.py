@@ -74,16 +74,34 @@ def j2_roi_traces(spark, sf_dir):
 
 def _numbered(locs):
     """Localizations with an id that doesn't depend on partitioning."""
-    key = F.xxhash64("movie_id", "frame", "x", "y", "net_gradient")
-    return locs.withColumn("id", key).dropDuplicates(["id"])
+    tenths = lambda c: F.round(F.col(c) * 10).cast("long")
+    text = F.concat_ws(":", "movie_id", "frame", tenths("x"), tenths("y"), F.round(F.col("net_gradient") * 100).cast("long"))
+    return locs.withColumn("id", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")).dropDuplicates(["id"])
 
 
-@query()
+_NUMBERED = "l AS (SELECT id, any_value(movie_id) AS movie_id, any_value(frame) AS frame, any_value(x) AS x, any_value(y) AS y FROM (SELECT *, CAST('0x' || substr(md5(concat_ws(':', movie_id, frame, CAST(round(x * 10) AS BIGINT), CAST(round(y * 10) AS BIGINT), CAST(round(net_gradient * 100) AS BIGINT))), 1, 15) AS BIGINT) AS id FROM localizations) GROUP BY 1)"
+_REACH = "s AS (SELECT a, b FROM k UNION SELECT b, a FROM k), r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a)"
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_recursive(with_sql("localizations", then=_NUMBERED + """, k AS (SELECT p.id AS a, q.id AS b FROM (SELECT *, frame + unnest(range(1, 5)) AS later FROM l) p JOIN l q ON q.movie_id = p.movie_id AND q.frame = p.later WHERE (p.x-q.x)*(p.x-q.x) + (p.y-q.y)*(p.y-q.y) <= 4),
+ """ + _REACH + """, m AS (SELECT l.*, least(l.id, coalesce(t.low, l.id)) AS molecule FROM l LEFT JOIN (SELECT a, min(b) AS low FROM r GROUP BY 1) t ON t.a = l.id)
+ SELECT movie_id, molecule, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM m GROUP BY 1, 2""")))
 def c6_link_localizations(spark, sf_dir):
     return rounded(spatial.link_localizations(_numbered(X.localizations(spark, sf_dir)), 2.0, 3))
 
 
-@query()
+@query(_recursive(with_sql("localizations", then=_NUMBERED + """, g AS (SELECT *, floor(x / 1.5) AS cx, floor(y / 1.5) AS cy FROM l),
+ h AS (SELECT g.*, cx + dx AS nx, cy + dy AS ny FROM g, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy)),
+ near AS (SELECT g.id AS a, h.id AS b FROM g JOIN h ON g.movie_id = h.movie_id AND g.cx = h.nx AND g.cy = h.ny WHERE (g.x-h.x)*(g.x-h.x) + (g.y-h.y)*(g.y-h.y) <= 2.25),
+ core AS (SELECT a AS id FROM near GROUP BY 1 HAVING count(*) >= 3),
+ k AS (SELECT a, b FROM near WHERE a < b AND a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+ """ + _REACH + """, own AS (SELECT core.id, least(core.id, coalesce(t.low, core.id)) AS cluster FROM core LEFT JOIN (SELECT a, min(b) AS low FROM r GROUP BY 1) t ON t.a = core.id),
+ m AS (SELECT near.a AS id, coalesce(any_value(mine.cluster), min(own.cluster)) AS cluster FROM near JOIN own ON own.id = near.b LEFT JOIN own mine ON mine.id = near.a GROUP BY 1)
+ SELECT movie_id, cluster, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM l JOIN m USING (id) GROUP BY 1, 2""")))
 def c7_density_clusters(spark, sf_dir):
     return rounded(spatial.density_clusters(_numbered(X.localizations(spark, sf_dir)), 1.5, 3))
 
@@ -150,7 +168,7 @@ def h21_box_corner(spark, sf_dir):
     return rows.groupBy("movie_id", "bx", "by").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _labelled(spark, sf_dir):
+def labelled_rois(spark, sf_dir):
     rois = X.rois(spark, sf_dir)
     near = spatial.label_by_nearest(rois, X.gt_spots(spark, sf_dir), DISTANCE)
     flags = spatial.painter_overlaps(rois, BOX, 3, SIDE, SIDE).withColumn("o", F.lit(True))
@@ -162,16 +180,26 @@ _OBJECTIVE = _PAINT + f", d AS (SELECT r.movie_id, r.roi, coalesce(min((r.x-g.x)
 
 @query(with_sql("rois", "gt_spots", then=_OBJECTIVE + " SELECT movie_id, ns AS n_single, ni AS n_in, no AS n_overlapping, round(objective, 6) AS objective FROM y"))
 def d18_objective(spark, sf_dir):
-    return rounded(parameters.movie_objective(_labelled(spark, sf_dir), ["movie_id"]))
+    return rounded(parameters.movie_objective(labelled_rois(spark, sf_dir), ["movie_id"]))
 
 
 @query(with_sql("rois", "gt_spots", then=_OBJECTIVE + " SELECT movie_id % 2 AS part, round(avg(objective), 6) AS pooled, CAST(count(*) AS INT) AS parts FROM y GROUP BY 1"))
 def d19_pooled_objective(spark, sf_dir):
-    rows = parameters.movie_objective(_labelled(spark, sf_dir), ["movie_id"]).withColumn("part", F.col("movie_id") % 2)
+    rows = parameters.movie_objective(labelled_rois(spark, sf_dir), ["movie_id"]).withColumn("part", F.col("movie_id") % 2)
     return rounded(parameters.pooled(rows, ["part"], "movie_id").select("part", "pooled", F.size("breakdown").alias("parts")))
 
 
-@query()
+_SWEEP = f"""s AS (SELECT unnest([20000.0, 40000.0, 60000.0, 80000.0])::DOUBLE AS gradient),
+ b AS (SELECT *, (y + {BOX}) * {SIDE + 2 * BOX} + x + {BOX} + 1 AS roi FROM (SELECT DISTINCT gradient, movie_id, CAST(round_even(x - 3.5, 0) AS INT) AS x, CAST(round_even(y - 3.5, 0) AS INT) AS y FROM localizations, s WHERE net_gradient >= gradient AND x IS NOT NULL)),
+ c AS (SELECT gradient, movie_id, roi, x + dx AS px, y + dy AS py FROM b, (SELECT unnest(range({BOX})) AS dx), (SELECT unnest(range({BOX})) AS dy) WHERE x >= 0 AND y >= 0 AND x + dx < {SIDE} AND y + dy < {SIDE}),
+ u AS (SELECT *, lag(roi) OVER (PARTITION BY gradient, movie_id, px, py ORDER BY roi) AS under FROM c), k AS (SELECT gradient, movie_id, roi, under, count(*) AS n FROM u WHERE under IS NOT NULL GROUP BY 1, 2, 3, 4),
+ o AS (SELECT gradient, movie_id, roi FROM k WHERE n > 3 UNION SELECT gradient, movie_id, under FROM k WHERE n > 3),
+ d AS (SELECT gradient, movie_id, roi, coalesce(min((b.x-g.x)*(b.x-g.x) + (b.y-g.y)*(b.y-g.y)) < {DISTANCE * DISTANCE}, false) AS inside FROM b LEFT JOIN gt_spots g USING (movie_id) GROUP BY 1, 2, 3),
+ z AS (SELECT d.gradient, d.movie_id, count(*) FILTER (WHERE o.roi IS NULL) AS n_single, count(*) FILTER (WHERE o.roi IS NULL AND inside) AS n_in, count(*) FILTER (WHERE o.roi IS NOT NULL) AS n_overlapping FROM d LEFT JOIN o ON d.gradient = o.gradient AND d.movie_id = o.movie_id AND d.roi = o.roi GROUP BY 1, 2)
+ SELECT *, round(n_single * (1 + n_in * 1.0::DOUBLE / greatest(n_single, 1)) * (1 - n_overlapping * 1.0::DOUBLE / (n_single + n_overlapping)) * (1 - n_overlapping * 1.0::DOUBLE / (n_single + n_overlapping)), 6) AS objective FROM z"""
+
+
+@query(with_sql("localizations", "gt_spots", then=_SWEEP))
 def j10_gradient_sweep(spark, sf_dir):
     locs = X.localizations(spark, sf_dir).withColumn("x", F.col("x")).where("x is not null")
     return rounded(parameters.grid_sweep(locs, X.gt_spots(spark, sf_dir), [float(g) for g in range(20000, 100000, 20000)], BOX, DISTANCE, SIDE, SIDE))

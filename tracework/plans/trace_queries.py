@@ -64,11 +64,11 @@ def b12_sanitize(spark, sf_dir):
     return rounded(X.traces(spark, sf_dir).withColumn("bad", bad).select("trace_id", arrays.total(normalize.sanitize(F.col("bad"))).alias("total")), 3)
 
 
-@query(with_sql("frames", then="m AS (SELECT trace_id, avg(intensity) AS level FROM frames WHERE frame >= 50 GROUP BY 1) SELECT trace_id, frame, round(intensity - level, 6) + 0.0 AS value FROM frames JOIN m USING (trace_id) WHERE frame % 50 = 0"))
+@query(with_sql("frames", then="m AS (SELECT trace_id, avg(intensity) AS level FROM frames WHERE frame >= 50 GROUP BY 1) SELECT trace_id, frame, round(intensity - level, 6) + 0.0 AS value FROM frames JOIN m USING (trace_id)"))
 def h4_remove_background(spark, sf_dir):
     level = arrays.mean(F.slice("values", F.lit(51), F.size("values")))
     rows = X.long_traces(spark, sf_dir).withColumn("v", normalize.remove_background(F.col("values"), level))
-    return rounded(rows.select("trace_id", F.posexplode("v").alias("frame", "value")).where("frame % 50 = 0"))
+    return rounded(rows.select("trace_id", F.posexplode("v").alias("frame", "value")))
 
 
 @query(with_sql("tframes", then="SELECT trace_id, CAST(frame AS INT) AS frame, round((intensity - avg(intensity) OVER w) / CASE WHEN stddev_pop(intensity) OVER w = 0 THEN 1 ELSE stddev_pop(intensity) OVER w END, 6) + 0.0 AS value FROM tframes WINDOW w AS (PARTITION BY trace_id)"))
@@ -253,9 +253,9 @@ def d5_passed_share(spark, sf_dir):
     return rounded(gates.passed_share(rows, F.col("ok"), ["class_idx"]).withColumn("after", F.col("after").cast("long")))
 
 
-@query(with_sql("frames", then=_FRAME_RUNS + " SELECT trace_id, CAST(run AS INT) AS run, width * 10.0::DOUBLE AS on_ms, off * 10.0::DOUBLE AS off_ms FROM r WHERE run < 5"))
+@query(with_sql("frames", then=_FRAME_RUNS + " SELECT trace_id, CAST(run AS INT) AS run, width * 10.0::DOUBLE AS on_ms, off * 10.0::DOUBLE AS off_ms FROM r"))
 def h19_to_ms(spark, sf_dir):
-    found = dwell.off_times(dwell.runs(on_frames(spark, sf_dir))).where("run < 5")
+    found = dwell.off_times(dwell.runs(on_frames(spark, sf_dir)))
     return found.select("trace_id", "run", normalize.to_ms(F.col("width"), FRAME_MS).alias("on_ms"), normalize.to_ms(F.col("off"), FRAME_MS).alias("off_ms"))
 
 

@@ -124,6 +124,35 @@ def channel_of(path: Column, channels: dict[str, float]) -> Column:
     return out
 
 
-def choose_dataset(tables: dict[str, DataFrame], use: str | None, default: str) -> DataFrame:
-    """The table named by use if it is there, else the default."""
-    return tables[use if use in tables else default]
+def choose_dataset(tables: dict[str, DataFrame] | None, use: str | None, single: DataFrame | None = None) -> DataFrame:
+    """The table that use names; without tables or use, the single one. A name that isn't there is an error."""
+    if tables is not None and use:
+        if use not in tables:
+            raise KeyError(f"no dataset named {use}")
+        return tables[use]
+    if single is None:
+        raise KeyError("no dataset given")
+    return single
+
+
+def only(movies: DataFrame, experiment: str | None = None, protein: str | None = None) -> DataFrame:
+    """Movies of one experiment and one protein, where given; an error if there are none."""
+    for column, value in (("experiment", experiment), ("protein", protein)):
+        if value is not None:
+            movies = movies.where(F.col(column) == value)
+            if movies.isEmpty():
+                raise ValueError(f"no movies of {column} {value}")
+    return movies
+
+
+def split_by_ground_truth(traces: DataFrame, ground_truth: bool = True) -> DataFrame:
+    """Traces of boxes that overlap no other, with subset: IN or OUT, or empty for all of them where there is no ground truth."""
+    single = traces.where("overlap = 'single'")
+    if not ground_truth:
+        return single.withColumn("subset", F.lit(""))
+    return single.where(F.col("ground_truth").isin("IN", "OUT")).withColumn("subset", F.col("ground_truth"))
+
+
+def certainty_scan(spark: SparkSession, path: str, least: float) -> DataFrame:
+    """Rows of a written certainty table (class_name, wd and more) with at least this distance; the filter reaches the scan."""
+    return spark.read.parquet(path).where(F.col("wd") >= least)

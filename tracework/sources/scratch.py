@@ -1,18 +1,34 @@
-"""Cutting the lineage of iterations."""
+"""Tables and files in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one (spark.checkpoint.dir)."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _shared(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not where:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="spark-tracework-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(where)
+    return where.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed and kept in the shared checkpoint folder; a lost executor costs only its own tasks.
 
-    The folder is spark.checkpoint.dir; where none is set (one machine, tests) a temporary one is used.
+    The folder is spark.checkpoint.dir; where none is set on one machine (tests) a temporary one is used.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-tracework-"))
+    _shared(df.sparkSession)
     return df.checkpoint()

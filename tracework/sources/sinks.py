@@ -33,10 +33,10 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.select(*clean).write.mode("overwrite").json(path)
 
 
-def checksums(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
-    """manifest (file, md5), then actual (NULL: missing) and ok."""
+def checksums(spark: SparkSession, root: str, manifest: DataFrame, name: str = "([^/]*)$") -> DataFrame:
+    """manifest (file, md5), then actual (NULL: missing) and ok. name: what of a path is its file's name."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    found = files.select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), F.md5("content").alias("actual"))
+    found = files.select(F.regexp_extract("path", name, 1).alias("file"), F.md5("content").alias("actual"))
     return manifest.join(found, "file", "left").withColumn("ok", F.coalesce(F.col("actual") == F.col("md5"), F.lit(False)))
 
 
