@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _two_sided(z: pd.Series) -> pd.Series:
     """P(|Z| >= z) in Arrow batches; there is one row a test."""
     return z.map(lambda x: min(1.0, math.erfc(x / math.sqrt(2))), na_action="ignore")
