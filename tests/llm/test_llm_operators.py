@@ -682,6 +682,44 @@ def test_neighbours(spark):
     assert hit / total >= 0.9
 
 
+def test_descent_raises_the_recall_of_the_graph(spark):
+    """Links found before and after each round, on unclustered vectors; no query lacks neighbours."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3000, 16))
+    x[::50] *= 1e-170  # squares of these vanish
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    nodes = common.written(neighbours.nodes_of(neighbours.usable(df), 6), "test-nodes")
+    unit = x / np.abs(x).max(1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    sim = unit @ unit.T
+    np.fill_diagonal(sim, -2)
+    true = {i: set(np.argsort(-sim[i])[:5].tolist()) for i in range(3000)}
+    recall = []
+
+    def report(graph):
+        found = {}
+        for r in graph.collect():
+            found.setdefault(r.v, set()).add(r.w)
+        assert len(found) == 3000
+        recall.append(sum(len(true[i] & found[i]) for i in true) / 15000)
+
+    neighbours.build_graph(nodes, 3000, 16, report=report)
+    assert recall[0] < 0.6 and recall[-1] > 0.85 and all(b >= a for a, b in zip(recall, recall[1:]))
+    rows = neighbours.nearest(df, lambda c: c % 50 == 0).collect()
+    assert len(rows) == 5 * 60 and np.mean([r.vec_id in true[r.query_id] for r in rows]) >= 0.95
+    assert all(abs(r.score - sim[r.query_id, r.vec_id]) < 1e-12 for r in rows)
+
+
+def test_local_join_is_all_pairs_with_a_new_link():
+    rng = np.random.default_rng(4)
+    u = np.repeat([3, 5, 9], [4, 1, 6])
+    w, old, x = rng.permutation(100)[:11], rng.random(11) < 0.5, rng.standard_normal((11, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v, other, sim = neighbours.local_join(u, w, old, np.full(11, -2, np.float32), x, 50)
+    expected = {(w[i], w[j]) for i in range(11) for j in range(11) if i != j and u[i] == u[j] and not (old[i] and old[j])}
+    assert {*zip(v.tolist(), other.tolist(), strict=True)} == expected
+
+
 def test_neighbours_of_few(spark):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.1]), (7, [0.0, 1.0])]
     got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda c: c % 50 == 0).collect()

@@ -150,26 +150,34 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int, most
             row = stop
 
 
-def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key -> one batch for every key value."""
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key -> batches that no key value crosses."""
     held: list[pa.RecordBatch] = []
-    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
         values = batch.column(key).to_numpy()
-        heads = np.flatnonzero(np.concatenate([[held == [] or values[0] != last], values[1:] != values[:-1]]))
-        for a, b in zip([0, *heads.tolist()], [*heads.tolist(), len(values)]):
-            if a in heads and held:
-                yield pa.concat_batches(held)
-                held = []
-            if b > a:
-                held.append(batch.slice(a, b - a))
-        last = values[-1]
+        other = np.flatnonzero(values != values[-1])
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if held and (cut or held[-1].column(key)[-1].as_py() != values[0]):
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield batch.slice(0, cut)
+        held.append(batch.slice(cut))
     if held:
         yield pa.concat_batches(held)
 
 
+def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key -> one batch for every key value."""
+    for rows in whole_groups(batches, key):
+        values = rows.column(key).to_numpy()
+        heads = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for a, b in zip(heads, heads[1:]):
+            yield rows.slice(a, b - a)
+
+
 def salted_join(rows: DataFrame, table: DataFrame, key: str, table_key: str, by: str, salts: int = 8) -> DataFrame:
     """rows inner join table (one row a key) where rows may hold a key very often: a key's rows, told apart by ``by``, go to ``salts`` tasks."""
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))

@@ -2,27 +2,27 @@
 
 Nodes. Equal vectors are one node, with its smallest ids (one more than can be
 asked for), so a hot vector costs no more than any other. Vectors that are
-null, zero, of another length than most, or hold null or non-finite components take no part.
-
-Graph. Signs of seeded random projections deal the nodes into blocks of about a
-thousand (large blocks are dealt again by hash); exact neighbours within the
-blocks of ``ROUNDS`` deals start the graph. Each NN-descent round then joins
-every link v-u with u's own neighbours: the neighbours of neighbours, scored on
-vectors of 8-bit components that travel with the links. Both ends learn of a pair that is
-closer than their farthest neighbour; pairs of two old links aren't scored again. Rounds end once few links change.
-
-Search. A query starts at its own node's neighbours and, in every hop, expands
-its nearest unexpanded candidates by a join with the graph. The candidates kept
-are scored on the original vectors in double precision, expanded into the nodes'
+null, zero, or hold null or non-finite components take no part; nor do vectors of another length
+than most, which have no cosine with them.
+
+Graph. Every node starts with links to the nearest of small blocks: two deals by signs of
+seeded random projections and one by hash, so no node is left without links. A
+round of NN-descent is a local join: a node's links and a seeded sample of the links to it
+meet in one task, all pairs of them that hold a new link are scored, and each end learns of the other if that is nearer than
+its farthest link. Rounds end once few links change. Vectors travel once a round, as 16-bit components.
+
+Search. A query starts at the links of the node with its vector and, in every hop, expands
+the nearest ``BEAM`` candidates that are not expanded yet, by a join with the graph; it ends when there are none or after ``HOPS``.
+The candidates kept are scored on the original vectors in double precision, expanded into the nodes'
 members, and ranked; ties go to the smaller id.
 
-The widths below (links, beam, expansions, hops) are fixed for all sizes; on
-51,282 unclustered vectors of 64 components they find 0.98 of the true five
-nearest. Clustered vectors are easier.
+The widths below are fixed for all sizes. ``build_graph`` can report the links found after each round, so that recall
+can be measured before and after each descent. Neighbours nearer to each other than 16-bit components tell apart are
+kept or lost by chance where there are more than ``BEAM`` of them.
 
 Defined cases: a query whose vector takes no part gives no rows; with fewer
 candidates than asked for, all that the search reaches; repeated ids count
-once; null ids take no part; an empty table gives an empty result.
+once; null ids take no part; other columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,37 +30,37 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Rounds, groups, ranges, utf8, whole_groups, written
 
-LINKS = 28
-BLOCK = 2048
-ROUNDS = 8
-DESCENTS = 3
-STOP = 0.05
-BEAM = 320
-EXPAND = 128
-HOPS = 5
+LINKS = 24
+BACK = 24
+BLOCK = 128
+DEALS = 2
+DESCENTS = 6
+STOP = 0.1
+BEAM = 160
+HOPS = 6
 SALTS = 64
+GROUPS_AT_ONCE = 256
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding array<double>, dims) of the rows that take part."""
+    """(vec_id, embedding array<double>) of the rows that take part."""
     x = F.col("embedding")
     ok = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(x, lambda v: v != 0)
     rows = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(ok, F.lit(False)))
     rows = rows.select(F.col("vec_id").cast("long"), x.cast("array<double>").alias("embedding"), F.size(x).alias("dims"))
     most = rows.groupBy("dims").count().orderBy(F.desc("count"), "dims").first()
-    return rows.where(F.col("dims") == (most[0] if most else -1))
+    return rows.where(F.col("dims") == (most[0] if most else -1)).drop("dims")
 
 
 def nodes_of(rows: DataFrame, members: int) -> DataFrame:
-    """One row a distinct vector: node (its smallest id), embedding, members (its smallest ids), q (8-bit components)."""
+    """One row a distinct vector: node (its smallest id), embedding, members (its smallest ids), q (16-bit components), scaled (by its largest component, so squares neither vanish nor overflow) and the norm of that."""
     least = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, members)
     salted = rows.groupBy("embedding", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).alias("salt")).agg(least(F.collect_set("vec_id")).alias("ids"))
     found = salted.groupBy("embedding").agg(least(F.flatten(F.collect_list("ids"))).alias("members"))
@@ -69,153 +69,166 @@ def nodes_of(rows: DataFrame, members: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                scale = 127 / np.abs(x).max(1, keepdims=True)
-                q = np.rint(x * scale).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([v.tobytes() for v in q], pa.binary())], [*batch.schema.names, "q"])
+                x = x / np.abs(x).max(1, keepdims=True)
+                q = np.rint(x * 32767).astype(np.int16)
+                more = [pa.array([v.tobytes() for v in q], pa.binary()), pa.array(list(x), pa.list_(pa.float64())), pa.array(np.sqrt((x * x).sum(1)))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "q", "scaled", "norm"])
 
     rows = found.select(F.element_at("members", 1).alias("node"), "embedding", "members")
-    return rows.mapInArrow(quantize, "node long, embedding array<double>, members array<long>, q binary")
+    return rows.mapInArrow(quantize, "node long, embedding array<double>, members array<long>, q binary, scaled array<double>, norm double")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1).astype(np.float32)
-
-
-def _unit(q: np.ndarray) -> np.ndarray:
-    return q / np.sqrt((q * q).sum(1, keepdims=True))
+def _unit(column) -> np.ndarray:
+    """Unit float32 rows of a binary column."""
+    x = np.ascontiguousarray(utf8(column)[0]).view(np.int16).reshape(len(column), -1).astype(np.float32)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def start_links(nodes: DataFrame, n: int, dims: int, links: int, seed: int = 42) -> DataFrame:
-    """(v, w, sim): exact neighbours within blocks."""
-    bits = max(0, math.ceil(math.log2(max(n / BLOCK * 2, 1))))
-    planes = np.random.default_rng(seed).standard_normal((dims, ROUNDS * bits)).astype(np.float32)
+    """(v, w, sim): nearest neighbours within blocks of about BLOCK nodes, of DEALS deals by projections and one by hash."""
+    bits = max(0, math.ceil(math.log2(max(n / BLOCK, 1))))
+    planes = np.random.default_rng(seed).standard_normal((dims, DEALS * bits)).astype(np.float32)
 
     def deal(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            side = (_matrix(batch.column("q")) @ planes > 0).reshape(batch.num_rows, ROUNDS, bits)
-            code = (side << np.arange(bits)).sum(2) if bits else np.zeros((batch.num_rows, ROUNDS), np.int64)
-            for r in range(ROUNDS):
-                yield pa.RecordBatch.from_arrays([pa.array(code[:, r].astype(np.int64) * ROUNDS + r), batch.column("node"), batch.column("q")], ["block", "node", "q"])
+            side = (_unit(batch.column("q")) @ planes > 0).reshape(batch.num_rows, DEALS, bits)
+            code = (side.astype(np.int64) << np.arange(bits)).sum(2)
+            for r in range(DEALS):
+                yield pa.RecordBatch.from_arrays([pa.array(code[:, r] * (DEALS + 1) + r), batch.column("node"), batch.column("q")], ["block", "node", "q"])
 
     dealt = nodes.select("node", "q").mapInArrow(deal, "block long, node long, q binary")
+    by_hash = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(max(1, math.ceil(n / BLOCK)))) * (DEALS + 1) + DEALS
+    dealt = dealt.unionByName(nodes.select(by_hash.alias("block"), "node", "q"))
     parts = dealt.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    dealt = dealt.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("node", "block"), F.col("parts")))
-
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["node"].to_numpy()
-        x = _unit(np.frombuffer(b"".join(pdf["q"]), np.int8).reshape(len(ids), -1).astype(np.float32))
-        k = min(links, len(ids) - 1)
-        if not k:
-            return pd.DataFrame({"v": [], "w": [], "sim": []})
-        out = []
-        for a in range(0, len(ids), 256):
-            sim = x[a : a + 256] @ x.T
-            sim[np.arange(len(sim)), np.arange(a, a + len(sim))] = -2
-            top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-            out.append(pd.DataFrame({"v": np.repeat(ids[a : a + 256], k), "w": ids[top].ravel(), "sim": np.take_along_axis(sim, top, 1).ravel()}))
-        return pd.concat(out)
-
-    return dealt.groupBy("block", "part").applyInPandas(nearest, "v long, w long, sim float")
-
-
-def _top(pairs: DataFrame, links: int) -> DataFrame:
-    """(v, w, sim, old) with repeats -> v, top: its nearest, as array<struct<sim, w, old>>."""
-    best = pairs.groupBy("v", "w").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
-    return best.groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "w", "old")), False), 1, links).alias("top"))
-
-
-def _with_vectors(graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """u, links: array<struct<w, q, far, old>>, far being the similarity of w's own farthest neighbour."""
-    known = nodes.select("node", "q").join(graph.select(F.col("v").alias("node"), F.element_at("top", -1)["sim"].alias("far"), F.size("top").alias("n")), "node", "left")
-    known = known.select(F.col("node").alias("w"), "q", F.when(F.col("n") >= LINKS, F.col("far")).otherwise(F.lit(-2.0)).cast("float").alias("far"))
-    edges = graph.select(F.col("v").alias("u"), F.explode("top").alias("t")).select("u", "t.w", "t.old")
-    return edges.join(known, "w").groupBy("u").agg(F.collect_list(F.struct("w", "q", "far", "old")).alias("links"))
-
-
-def _sims(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.StructArray, np.ndarray]:
-    """(row of each candidate, candidates, similarity to the row's q); pairs of which both links are old are left out."""
-    lists = batch.column("links")
-    row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-    flat = lists.flatten()
-    if "old" in batch.schema.names:
-        fresh = np.flatnonzero(~(batch.column("old").to_numpy(zero_copy_only=False)[row] & flat.field("old").to_numpy(zero_copy_only=False)))
-        row, flat = row[fresh], flat.take(pa.array(fresh))
-    if not len(row):
-        return row, flat, np.zeros(0, np.float32)
-    own, other = _unit(_matrix(batch.column("q"))), _unit(_matrix(flat.field("q")))
-    return row, flat, np.einsum("ij,ij->i", own[row], other)
-
-
-def _descend(batches):
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        row, flat, sim = _sims(batch)
-        if not len(row):
-            continue
-        v, w = batch.column("v").to_numpy()[row], flat.field("w").to_numpy()
-        far_v, far_w = batch.column("far").to_numpy()[row], flat.field("far").to_numpy()
-        first, second = (v != w) & (sim > far_v + 1e-6), (v != w) & (sim > far_w + 1e-6)
-        target, other, sims = np.concatenate([v[first], w[second]]), np.concatenate([w[first], v[second]]), np.concatenate([sim[first], sim[second]])
-        by = np.lexsort((-sims, target))
-        target, other, sims = target[by], other[by], sims[by]
-        new = np.ones(len(target), bool)
-        new[1:] = target[1:] != target[:-1]
-        head = np.flatnonzero(new)
-        place = np.arange(len(target)) - np.repeat(head, np.diff(np.append(head, len(target))))
-        keep = place < 2 * LINKS  # one batch alone holds more that are nearer
-        yield pa.RecordBatch.from_arrays([pa.array(target[keep]), pa.array(other[keep]), pa.array(sims[keep].astype(np.float32))], ["v", "w", "sim"])
-
-
-def build_graph(nodes: DataFrame, n: int, dims: int, links: int = LINKS) -> DataFrame:
-    """v, top: array<struct<sim, w, old>> (nearest first)."""
-    graph = written(_top(start_links(nodes, n, dims, links).withColumn("old", F.lit(False)), links), "ann-graph")
-    for _ in range(DESCENTS):
-        around = written(_with_vectors(graph, nodes), "ann-links")
-        far = F.when(F.size("top") >= links, F.element_at("top", -1)["sim"]).otherwise(F.lit(-2.0)).cast("float")
-        ends = graph.select("v", F.explode("top").alias("t")).select("v", F.col("t.w").alias("u"), "t.old")
-        # Links are followed from both ends, so neighbours of one node learn of each other too.
-        ends = ends.unionByName(ends.select(F.col("u").alias("v"), F.col("v").alias("u"), "old"))
-        start = nodes.select(F.col("node").alias("v"), "q").join(graph.select("v", far.alias("far")), "v")
-        ends = ends.join(start, "v")
-        # New links meet all links of their end, old ones only its new links.
-        newer = around.select("u", F.filter("links", lambda x: ~x["old"]).alias("links")).where(F.size("links") > 0)
-        pairs = ends.where(~F.col("old")).join(around, "u").unionByName(ends.where("old").join(newer, "u"))
-        found = pairs.select("v", "q", "far", "old", "links").mapInArrow(_descend, "v long, w long, sim float")
-        old = graph.select("v", F.explode("top").alias("t")).select("v", "t.w", "t.sim", F.lit(True).alias("old"))
-        after = written(_top(found.withColumn("old", F.lit(False)).unionByName(old), links), "ann-graph")
-        changed = after.select(F.sum(F.size(F.filter("top", lambda t: ~t["old"])))).first()[0] or 0
-        graph = after
-        if changed <= STOP * links * n:
+    dealt = dealt.join(parts, "block").withColumn("part", F.xxhash64("block", F.pmod(F.xxhash64("node", "block"), F.col("parts"))))
+
+    def nearest(batches):
+        for rows in groups(batches, "part"):
+            ids, x = rows.column("node").to_numpy(), _unit(rows.column("q"))
+            k = min(links, len(ids) - 1)
+            if k:
+                sim = x @ x.T
+                np.fill_diagonal(sim, -2)
+                top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+                columns = [pa.array(np.repeat(ids, k)), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(sim, top, 1).ravel())]
+                yield pa.RecordBatch.from_arrays(columns, ["v", "w", "sim"])
+
+    return dealt.select("part", "node", "q").repartition("part").sortWithinPartitions("part").mapInArrow(nearest, "v long, w long, sim float")
+
+
+def _nearest(pairs: DataFrame, links: int) -> DataFrame:
+    """(v, w, sim, old) with repeats -> the links nearest ones of each v. One shuffle, by v."""
+    best = pairs.repartition("v").groupBy("v", "w").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
+    top = best.groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "w", "old")), False), 1, links).alias("top"))
+    return top.select("v", F.explode("top").alias("t")).select("v", "t.w", "t.sim", "t.old")
+
+
+def both_ways(graph: DataFrame, turn: int = 0) -> DataFrame:
+    """(u, w, old): each node's links and a seeded sample of at most BACK links to it."""
+    chosen = lambda c: F.slice(F.sort_array(c), 1, BACK)
+    back = graph.select(F.col("w").alias("u"), F.struct(F.xxhash64("v", "w", F.lit(turn)).alias("h"), F.col("v").alias("w"), "old").alias("b"))
+    # A hub's links are first thinned in parts.
+    back = back.groupBy("u", F.pmod(F.col("b.h"), F.lit(SALTS)).alias("salt")).agg(chosen(F.collect_list("b")).alias("b"))
+    back = back.groupBy("u").agg(chosen(F.flatten(F.collect_list("b"))).alias("b")).select("u", F.explode("b").alias("b")).select("u", "b.w", "b.old")
+    return graph.select(F.col("v").alias("u"), "w", "old").unionByName(back)
+
+
+def local_join(u: np.ndarray, w: np.ndarray, old: np.ndarray, far: np.ndarray, x: np.ndarray, links: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of whole groups of u -> (v, w, sim): pairs of one group's w that aren't both old, where w is nearer than v's farthest link; the links nearest of each v."""
+    head = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+    size = np.diff(np.append(head, len(u)))
+    wide = int(size.max())
+    row = np.where(np.arange(wide) < size[:, None], head[:, None] + np.arange(wide), -1)
+    there = row >= 0
+    y = x[row]
+    sim = y @ y.transpose(0, 2, 1)
+    ok = there[:, :, None] & there[:, None, :] & ~(old[row][:, :, None] & old[row][:, None, :]) & (w[row][:, :, None] != w[row][:, None, :])
+    ok &= sim > far[row][:, :, None] + 1e-6
+    g, i, j = np.nonzero(ok)
+    v, other, sims = w[row[g, i]], w[row[g, j]], sim[g, i, j]
+    by = np.lexsort((other, -sims, v))
+    v, other, sims = v[by], other[by], sims[by]
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (other[1:] != other[:-1])
+    v, other, sims = v[new], other[new], sims[new]
+    head = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+    keep = ranges(np.diff(np.append(head, len(v)))) < links
+    return v[keep], other[keep], sims[keep]
+
+
+def _descend(links: int):
+    def solve(rows: pa.RecordBatch):
+        u, w, old, far = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("u", "w", "old", "far"))
+        head = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+        size = np.diff(np.append(head, len(u)))
+        own = np.repeat((size > 1) & ~np.logical_and.reduceat(old, head), size)  # groups without a new link have nothing to learn
+        if not own.any():
+            return
+        x = _unit(rows.column("q"))[own]
+        u, w, old, far = u[own], w[own], old[own], far[own]
+        head = np.append(np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])), len(u))
+        for first in range(0, len(head) - 1, GROUPS_AT_ONCE):
+            part = slice(head[first], head[min(first + GROUPS_AT_ONCE, len(head) - 1)])
+            v, other, sim = local_join(u[part], w[part], old[part], far[part], x[part], links)
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(other), pa.array(sim.astype(np.float32))], ["v", "w", "sim"])
+
+    def run(batches):
+        for rows in whole_groups(batches, "u"):
+            yield from solve(rows)
+
+    return run
+
+
+def build_graph(nodes: DataFrame, n: int, dims: int, links: int = LINKS, report=None) -> DataFrame:
+    """(v, w, sim, old): each node's links. report: called with the graph before the first round and after each."""
+    rounds = Rounds(nodes.sparkSession, "ann-graph")
+    graph = rounds.write(_nearest(start_links(nodes, n, dims, links).withColumn("old", F.lit(False)), links))
+    if report:
+        report(graph)
+    for turn in range(DESCENTS):
+        ends = graph.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low"))
+        known = nodes.select("node", "q").join(ends, F.col("node") == F.col("v"), "left")
+        known = known.select(F.col("node").alias("w"), "q", F.when(F.col("n") >= links, F.col("low")).otherwise(F.lit(-2.0)).cast("float").alias("far"))
+        met = both_ways(graph, turn).join(known, "w").repartition("u").sortWithinPartitions("u")
+        found = met.select("u", "w", "old", "far", "q").mapInArrow(_descend(links), "v long, w long, sim float")
+        every = graph.select("v", "w", "sim", F.lit(True).alias("old")).unionByName(found.withColumn("old", F.lit(False)))
+        graph = rounds.write(_nearest(every, links))
+        rounds.forget()
+        if report:
+            report(graph)
+        if graph.where("not old").count() <= STOP * links * n:
             break
     return graph
 
 
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, hops: int = HOPS) -> DataFrame:
-    """queries (query_id, node) -> query_id, w: the candidates that greedy search keeps, the query's own node among them."""
-    around = written(_with_vectors(graph, nodes), "ann-links")
-    start = queries.join(nodes.select("node", "q"), "node").select("query_id", "q", F.col("node").alias("w"), F.lit(2.0).cast("float").alias("sim"))
-    beam = written(start.groupBy("query_id", "q").agg(F.collect_list(F.struct("sim", "w", F.lit(False).alias("done"))).alias("beam")), "ann-beam")
+    """queries (query_id, node) -> query_id, w, sim: the candidates that greedy search keeps, the query's own node among them."""
+    spark = nodes.sparkSession
+    around = written(both_ways(graph).groupBy("u").agg(F.collect_set("w").alias("links")), "ann-around")
+    own = written(queries.join(nodes.select("node", "q"), "node").select("query_id", "node", F.col("q").alias("x")), "ann-own")
+    rounds = Rounds(spark, "ann-beam")
+    beam = rounds.write(own.select("query_id", F.col("node").alias("w"), F.lit(2.0).cast("float").alias("sim"), F.lit(False).alias("done")))
 
     def score(batches):
         for batch in batches:
             if batch.num_rows:
-                row, flat, sim = _sims(batch)
-                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(row)), flat.field("w"), pa.array(sim.astype(np.float32))], ["query_id", "w", "sim"])
+                sim = np.einsum("ij,ij->i", _unit(batch.column("x")), _unit(batch.column("q")))
+                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("w"), pa.array(sim)], ["query_id", "w", "sim"])
 
     for _ in range(hops):
-        ahead = beam.select("query_id", "q", F.explode(F.slice(F.filter("beam", lambda b: ~b["done"]), 1, EXPAND)).alias("b")).select("query_id", "q", F.col("b.w").alias("u"))
-        found = ahead.join(around, "u").select("query_id", "q", "links").mapInArrow(score, "query_id long, w long, sim float")
-        opened = beam.select("query_id", F.explode(F.transform(F.slice(F.filter("beam", lambda b: ~b["done"]), 1, EXPAND), lambda b: F.struct(b["sim"], b["w"], F.lit(True).alias("done")))).alias("b"))
-        kept = beam.select("query_id", F.explode("beam").alias("b")).unionByName(opened).select("query_id", "b.w", "b.sim", "b.done")
-        merged = kept.unionByName(found.withColumn("done", F.lit(False))).groupBy("query_id", "w").agg(F.max("sim").alias("sim"), F.max("done").alias("done"))
-        merged = merged.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "w", "done")), False), 1, BEAM).alias("beam"))
-        beam = written(beam.select("query_id", "q").join(merged, "query_id"), "ann-beam")
-    return beam.select("query_id", F.explode("beam").alias("b")).select("query_id", F.col("b.w").alias("w"))
+        ahead = beam.where("not done").select("query_id", F.col("w").alias("u")).join(around, "u")
+        met = ahead.select("query_id", F.explode("links").alias("w")).distinct().join(beam.select("query_id", "w"), ["query_id", "w"], "left_anti")
+        met = met.join(nodes.select(F.col("node").alias("w"), "q"), "w").join(own.select("query_id", "x"), "query_id")
+        found = met.select("query_id", "w", "x", "q").mapInArrow(score, "query_id long, w long, sim float")
+        every = beam.withColumn("done", F.lit(True)).unionByName(found.withColumn("done", F.lit(False)))
+        top = every.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "w", "done")), False), 1, BEAM).alias("top"))
+        beam = rounds.write(top.select("query_id", F.explode("top").alias("t")).select("query_id", "t.w", "t.sim", "t.done"))
+        rounds.forget()
+        if not beam.where("not done").take(1):
+            break
+    return beam.select("query_id", "w", "sim")
 
 
 def nearest(vectors: DataFrame, query_ids, k: int = 5) -> DataFrame:
@@ -225,12 +238,12 @@ def nearest(vectors: DataFrame, query_ids, k: int = 5) -> DataFrame:
     graph = build_graph(nodes, sizes[0], sizes[1] or 1)
     # the queries are rows, each at the node that has its vector
     rows = usable(vectors).where(query_ids(F.col("vec_id"))).select("vec_id", "embedding").distinct()
-    queries = written(rows.join(nodes.select("node", "embedding"), "embedding").select(F.col("vec_id").alias("query_id"), "node", F.col("embedding").alias("x")), "ann-queries")
+    at = nodes.select("node", "embedding", F.col("scaled").alias("x"), F.col("norm").alias("x_norm"))
+    queries = written(rows.join(at, "embedding").select(F.col("vec_id").alias("query_id"), "node", "x", "x_norm"), "ann-queries")
     found = search(queries.select("query_id", "node"), nodes, graph)
-    pairs = found.join(queries.select("query_id", "x"), "query_id").join(nodes.select(F.col("node").alias("w"), F.col("embedding").alias("y"), "members"), "w")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
-    x, y = F.col("x"), F.col("y")
-    scored = pairs.withColumn("score", dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))))
+    pairs = found.join(queries.select("query_id", "x", "x_norm"), "query_id").join(nodes.select(F.col("node").alias("w"), F.col("scaled").alias("y"), F.col("norm").alias("y_norm"), "members"), "w")
+    dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
+    scored = pairs.withColumn("score", dot / (F.col("x_norm") * F.col("y_norm")))
     each = scored.select("query_id", "score", F.explode("members").alias("vec_id")).where("vec_id <> query_id")
     ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
