@@ -752,11 +752,127 @@ def test_media_any_bytes_and_batches():
     frames, where, coefs = media.decode(files)
     for raw, own in zip(rows, where, strict=True):
         n = max(64, -(-len(raw) // 64) * 64)
-        got = coefs[own[0][0] : own[0][0] + n // 64].astype(np.uint8).tobytes()
+        got = media.BYTE[coefs[own[0][0] : own[0][0] + n // 64] + 128].tobytes()
         assert got == raw + b"\0" * (n - len(raw))
     assert media.encode(data[at[4] : at[5]], np.array([0, 384])) == [files[4]]
 
 
+def test_media_of_long_payloads_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(media, "PART_BYTES", 640)
+    rng = random.Random(3)
+    texts = {i: "".join(rng.choice("abc é\n") for _ in range(n)) for i, n in enumerate((0, 639, 640, 641, 1280, 20_000))}
+    stored = media.encode_column(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    for r in media.decode_column(stored).collect():
+        raw = texts[r.doc_id].encode()
+        assert bytes(r.payload) == raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        assert len(r.rgb) == r.height * r.width * 3
+    files = [r.media for r in stored.collect()]
+    assert [len(list(media._parts(bytes(f)))) for f in files][1:4] == [-(-len(texts[i].encode()) // 640) for i in (1, 2, 3)]
+
+
+def test_media_columns_of_the_same_names(spark):
+    docs = spark.createDataFrame([(1, "a", "x", "y", "z", 3)], "doc_id long, text string, feature string, media string, rgb string, payload_bytes int")
+    row = media.decode_column(media.encode_column(docs), digest=True).first()
+    assert row.payload_bytes == 64 and row.rgb == "z" and row.feature.startswith("16x16:")
+    assert media.decode_column(media.encode_column(docs)).first().payload_bytes == 3
+
+
+def hand_made_jpeg(coefs):
+    """One grey 8 x 16 picture (two blocks) by another rule than the module's: a bit at a time, its own tables, bands 1-20 and 21-63 with
+    successive approximation of two bits, an end-of-band run over both blocks, a zero run of 16 in a refinement."""
+    bits = []
+    put = lambda code: bits.extend(code)
+
+    def segment(marker, body):
+        return bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+
+    def flush():
+        while len(bits) % 8:
+            bits.append("1")
+        raw = bytes(int("".join(bits[i : i + 8]), 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+        bits.clear()
+        return raw
+
+    symbols = [0x00, 0x10, 0xF0] + [r << 4 | s for r in range(16) for s in range(1, 8)]  # all of 8 bits
+    code = {s: f"{i:08b}" for i, s in enumerate(symbols)}
+    dht = lambda kind, own: segment(0xC4, bytes([kind, *[0] * 7, len(own), *[0] * 8, *own]))
+
+    def magnitude(v):
+        n = abs(v).bit_length()
+        return n, f"{v if v > 0 else v + (1 << n) - 1:0{n}b}" if n else ""
+
+    def shifted(v, low):
+        return (abs(v) >> low) * (1 if v > 0 else -1)
+
+    def sos(first, last, high, low):
+        return segment(0xDA, bytes([1, 1, 0, first, last, high << 4 | low]))
+
+    out = b"\xff\xd8" + segment(0xDB, bytes([0, *[1] * 64])) + segment(0xC2, (8).to_bytes(1, "big") + (8).to_bytes(2, "big") + (16).to_bytes(2, "big") + bytes([1, 1, 0x11, 0]))
+    out += dht(0x00, list(range(12))) + dht(0x10, symbols)
+    before = 0
+    for block in coefs:
+        n, extra = magnitude(block[0] - before)
+        put(f"{n:08b}" + extra)
+        before = block[0]
+    out += sos(0, 0, 0, 0) + flush()
+    for first, last in ((1, 20), (21, 63)):
+        values = [[shifted(c, 2) for c in block[first : last + 1]] for block in coefs]
+        if not any(map(any, values)):
+            put(code[0x10] + "0")  # a run of two blocks
+        else:
+            for own in values:
+                run = 0
+                for v in own:
+                    if not v:
+                        run += 1
+                        continue
+                    while run > 15:
+                        put(code[0xF0])
+                        run -= 16
+                    n, extra = magnitude(v)
+                    put(code[run << 4 | n] + extra)
+                    run = 0
+                if run:
+                    put(code[0x00])
+        out += sos(first, last, 0, 2) + flush()
+    for low in (1, 0):
+        for first, last in ((1, 20), (21, 63)):
+            for block in coefs:
+                run, pending = 0, ""
+                own = block[first : last + 1]
+                news = [k for k, c in enumerate(own) if abs(c) >> low == 1]
+                for k, c in enumerate(own):
+                    a = abs(c) >> low
+                    if a == 0:
+                        run += 1
+                        continue
+                    while run > 15 and news and k <= news[-1]:
+                        put(code[0xF0] + pending)
+                        run, pending = run - 16, ""
+                    if a > 1:
+                        pending += str(a & 1)
+                        continue
+                    put(code[run << 4 | 1] + ("1" if c > 0 else "0") + pending)
+                    run, pending = 0, ""
+                if run or pending:
+                    put(code[0x00] + pending)
+            out += sos(first, last, low + 1, low) + flush()
+    return out + b"\xff\xd9"
+
+
+def test_decoder_reads_a_hand_made_file():
+    rng = random.Random(21)
+    for case in range(12):
+        coefs = [[rng.randint(-90, 90)] + [rng.choice([0] * (1 + 3 * (case % 5)) + [rng.randint(-60, 60)]) for _ in range(63)] for _ in range(2)]
+        if case % 3 == 0:
+            for block in coefs:
+                block[21:] = [rng.choice([0, 0, 1, -1, 3]) for _ in range(43)]
+        if case % 4 == 0:
+            coefs[0][1:21] = [5, *[0] * 17, 1, 9]
+        _, where, got = media.decode([hand_made_jpeg(coefs)])
+        assert got[where[0][0][0] : where[0][0][0] + 2].tolist() == coefs, case
+
+
 def reference_idct(block):
     u = np.arange(8)
     basis = np.cos((2 * u[:, None] + 1) * u[None, :] * np.pi / 16) * np.where(u == 0, np.sqrt(1 / 8), 0.5)

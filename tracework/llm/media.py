@@ -4,10 +4,12 @@ Storing. A payload (the text's UTF-8 bytes, zeros up to a positive multiple of
 64) becomes the quantized coefficients of a three-component 4:2:0 progressive
 JPEG: 64 bytes are one block, byte k the k-th coefficient in zigzag order. The
 format's unit is the coefficient, which entropy coding keeps exactly; samples
-would be rounded. Blocks fill the luma plane, then both chroma planes. Scans:
+would be rounded. The coefficient of a byte is its place in a fixed order, in turns above and below zero,
+so that frequent bytes have short codes and none is zero. Blocks fill the luma plane, then both chroma planes. Scans:
 DC without its last bit, coefficients 1-5 without their last bit, 6-63, then
 the two refinements. A comment holds the unpadded length. Restart intervals of
-``RESTART`` blocks cut every scan into segments.
+``RESTART`` blocks cut every scan into segments. A payload of over ``PART_BYTES`` is stored as
+several files, one after another, so memory doesn't grow with the longest text (but for the text and its payload themselves).
 
 Reading. Any baseline-free (SOF2) file with up to four components, spectral
 selection, successive approximation, restarts and end-of-band runs is read.
@@ -19,7 +21,7 @@ upsampled to full resolution and converted to RGB with integer arithmetic.
 
 Defined cases: null and empty texts store one block of zeros; equal texts give
 equal bytes; a null doc_id or repeated rows are ordinary rows; an empty table
-gives an empty result; extra columns are kept.
+gives an empty result; extra columns are kept, those named like a new one aren't.
 """
 
 from __future__ import annotations
@@ -35,10 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import binary_array, chunks, ranges, utf8
+from .common import chunks, hide, ranges, show, utf8
 
 RESTART = 8
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+PART_BYTES = 1 << 17
+#: The bytes that come first in the order of coefficients (fixed values); the others follow by value. 195 begins accented letters in UTF-8.
+COMMON = b" entihaorsdlcugmbpfv.wykz" + bytes([195]) + b",q\njx"
 MAX_SIDE = 4095  # MCUs of 16 samples a side
 #: (components, first coefficient, last, bit above that was sent before (0: none), lowest bit sent)
 SCRIPT = (
@@ -60,14 +65,28 @@ def _lengths(common: dict[int, int], others: list[int], rest: int) -> dict[int,
     return common | {s: rest for s in others if s not in common}
 
 
+def _byte_order() -> tuple[np.ndarray, np.ndarray]:
+    """(coefficient of each byte: 1, -1, 2, -2 and so on along the order; byte of each coefficient from -128 on)."""
+    order = [*COMMON, *(b for b in range(256) if b not in COMMON)]
+    coefficient = np.zeros(256, np.int16)
+    byte = np.zeros(257, np.uint8)
+    for place, b in enumerate(order):
+        coefficient[b] = (place // 2 + 1) * (1 - place % 2 * 2)
+        byte[coefficient[b] + 128] = b
+    return coefficient, byte
+
+
+COEFFICIENT, BYTE = _byte_order()
+
+
 def _tables() -> dict[tuple[int, int], dict[int, int]]:
-    """(class, number) -> code length of each symbol. Lengths follow from how text bytes spread over the magnitudes."""
-    runs = [r * 16 + s for r in range(16) for s in range(1, 11)] + [r * 16 for r in range(16)]
+    """(class, number) -> code length of each symbol that the encoder uses. Lengths follow from how text bytes spread over the magnitudes."""
+    runs = [r * 16 + s for r in range(5) for s in range(1, 8)]
     return {
-        (0, 0): _lengths({s: 3 for s in range(2, 8)}, list(range(12)), 5),
-        (1, 0): _lengths({0x07: 1, 0x06: 2, 0x08: 4, 0x00: 5, 0x04: 6}, runs, 13),
-        (1, 1): _lengths({0x06: 1, 0x05: 2, 0x07: 4, 0x00: 5, 0x03: 6}, runs, 13),
-        (1, 2): _lengths({0x00: 1, 0x01: 3}, [r * 16 + 1 for r in range(16)] + [r * 16 for r in range(16)], 8),
+        (0, 0): _lengths({s: 3 for s in range(5)}, list(range(10)), 5),
+        (1, 0): _lengths({0x01: 2, 0x02: 2, 0x03: 2, 0x04: 3, 0x05: 4}, [0x00, *range(1, 9)], 7),
+        (1, 1): _lengths({0x01: 2, 0x02: 2, 0x00: 3, 0x03: 4, 0x11: 4, 0x12: 4, 0x04: 6, 0x13: 6}, runs, 9),
+        (1, 2): _lengths({0x01: 1, 0x00: 2}, [r * 16 + 1 for r in range(5)], 5),
     }
 
 
@@ -230,7 +249,8 @@ def encode(data: np.ndarray, at: np.ndarray) -> list[bytes]:
     mcus = mcux * mcuy
     base = np.concatenate([[0], np.cumsum(mcus * 6)])
     coefs = np.zeros(int(base[-1]) * 64, np.int16)
-    coefs[np.repeat(base[:-1] * 64, n_bytes) + ranges(n_bytes)] = data
+    coefs[np.repeat(base[:-1] * 64, blocks * 64) + ranges(blocks * 64)] = COEFFICIENT[0]
+    coefs[np.repeat(base[:-1] * 64, n_bytes) + ranges(n_bytes)] = COEFFICIENT[data]
     coefs = coefs.reshape(-1, 64)
     files = len(n_bytes)
     comp_blocks = np.stack([4 * mcus, mcus, mcus])
@@ -245,7 +265,7 @@ def encode(data: np.ndarray, at: np.ndarray) -> list[bytes]:
             source = comp_base[comps[0]][row] + nth
             table = TABLES[1, ac_table(first, high, low)]
             band = coefs[source, first : last + 1]
-            value, n, block = _refined_ac(band, low, table) if high else _first_ac(band >> low, table)
+            value, n, block = _refined_ac(band, low, table) if high else _first_ac(np.sign(band) * (np.abs(band) >> low), table)
             unit = nth // RESTART
         else:
             many = mcus * 6
@@ -291,26 +311,28 @@ def encode(data: np.ndarray, at: np.ndarray) -> list[bytes]:
 class Frame:
     """What one file's markers say. planes: (width, height, stride, rows) in blocks, by component."""
 
-    __slots__ = ("width", "height", "comps", "quant", "scans", "comment", "hmax", "vmax", "mcux", "mcuy", "planes")
+    __slots__ = ("width", "height", "comps", "quant", "scans", "comment", "end", "hmax", "vmax", "mcux", "mcuy", "planes")
 
 
 _NEXT = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]", re.DOTALL)
 _RST = re.compile(rb"\xff[\xd0-\xd7]")
 
 
-def parse(file: bytes) -> Frame:
+def parse(file: bytes, begin: int = 0) -> Frame:
+    """The file that begins there; ``end`` is the place after its last marker."""
     f = Frame()
     f.scans, f.quant, f.comment = [], {}, b""
     tables: dict[int, bytes] = {}
     restart = 0
-    if file[:2] != b"\xff\xd8":
+    if file[begin : begin + 2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
-    i = 2
+    i = begin + 2
     while True:
         while file[i + 1] == 0xFF:
             i += 1
         marker = file[i + 1]
         if marker == 0xD9:
+            f.end = i + 2
             return f
         size = int.from_bytes(file[i + 2 : i + 4], "big")
         body = file[i + 4 : i + 2 + size]
@@ -483,9 +505,9 @@ def _refine_band(lanes: Lanes, table: np.ndarray, place, many, first: int, last:
             row[inside] = place(lane[inside], block[inside]) * 64
 
 
-def decode(files: list[bytes]) -> tuple[list[Frame], list[list[tuple[int, int]]], np.ndarray]:
-    """(frames, by file and component (first row, blocks) of the coefficients, coefficients (rows, 64) in zigzag order)."""
-    frames = [parse(f) for f in files]
+def decode(files: list[bytes | Frame]) -> tuple[list[Frame], list[list[tuple[int, int]]], np.ndarray]:
+    """(frames, by file and component (first row, blocks) of the coefficients, coefficients (rows, 64) in zigzag order). Files may be parsed already."""
+    frames = [f if isinstance(f, Frame) else parse(f) for f in files]
     where, total = [], 0
     for f in frames:
         own = []
@@ -611,48 +633,95 @@ def tensor(frame: Frame, where: list[tuple[int, int]], coefs: np.ndarray) -> np.
 
 
 def encode_column(docs: DataFrame) -> DataFrame:
-    """docs with text -> columns of docs but text, n_bytes, media (binary)."""
-    columns = [c for c in docs.columns if c not in ("text", "n_bytes", "media")]
+    """docs with text -> columns of docs but text, n_bytes, media (binary: a file, or several in a row for a long payload)."""
+    rows, others = hide(docs, ["text"], ["n_bytes", "media"])
+    columns = [c for c in rows.columns if c != "text"]
 
     def run(batches):
         for piece in chunks(batches, "text", CHUNK_BYTES):
             data, at = utf8(piece.column("text"))
-            yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in columns], pa.array(np.diff(at)), pa.array(encode(data, at), pa.binary())], [*columns, "n_bytes", "media"])
-
-    schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
-    return docs.select(*columns, "text").mapInArrow(run, schema)
-
-
-def _decoded(media: pa.Array):
-    files = media.to_pylist()
-    frames, where, coefs = decode(files)
-    payloads = []
-    for f, own in zip(frames, where, strict=True):
-        n = int(f.comment.rpartition(b" ")[2])
-        start = own[0][0]
-        payloads.append(coefs[start : start + max(-(-n // 64), 1)].astype(np.uint8).tobytes())
-    return files, frames, where, coefs, payloads
+            n_parts = np.maximum(-(-np.diff(at) // PART_BYTES), 1)
+            row = np.repeat(np.arange(piece.num_rows), n_parts)
+            start = at[row] + ranges(n_parts) * PART_BYTES
+            stop = np.minimum(start + PART_BYTES, at[row + 1])
+            media: list[list[bytes]] = [[] for _ in range(piece.num_rows)]
+            first = 0
+            while first < len(row):
+                last = max(first + 1, int(np.searchsorted(stop, start[first] + CHUNK_BYTES, "right")))
+                files = encode(data[start[first] : stop[last - 1]], np.append(start[first:last], stop[last - 1]) - start[first])
+                for i, file in zip(row[first:last].tolist(), files, strict=True):
+                    media[i].append(file)
+                first = last
+            yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in columns], pa.array(np.diff(at)), pa.array([b"".join(m) for m in media], pa.binary())], [*columns, "n_bytes", "media"])
+
+    schema = T.StructType([*[rows.schema[c] for c in columns], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
+    return show(rows.mapInArrow(run, schema), [], others, ["n_bytes", "media"])
+
+
+def _parts(media: bytes):
+    """The frames of the files that stand one after another."""
+    at = 0
+    while at < len(media):
+        frame = parse(media, at)
+        at = frame.end
+        yield frame
+
+
+class _Row:
+    """What is put together of one row's files."""
+
+    def __init__(self):
+        self.payload, self.rgb, self.height, self.width, self.sums = [], [], 0, 0, np.zeros(3, np.int64)
+
+
+def _decoded(media: list[bytes], keep_rgb: bool) -> list[_Row]:
+    rows = [_Row() for _ in media]
+    held: list[tuple[int, Frame]] = []
+    blocks = 0
+
+    def solve():
+        frames, where, coefs = decode([f for _, f in held])
+        for (i, _), f, own in zip(held, frames, where, strict=True):
+            row, n = rows[i], int(f.comment.rpartition(b" ")[2])
+            start = own[0][0]
+            row.payload.append(BYTE[coefs[start : start + max(-(-n // 64), 1)] + 128].tobytes())
+            image = tensor(f, own, coefs)
+            row.height, row.width = row.height + image.shape[0], image.shape[1]
+            row.sums += image.sum((0, 1), dtype=np.int64)
+            if keep_rgb:
+                row.rgb.append(image.tobytes())
+
+    for i, file in enumerate(media):
+        for frame in _parts(file):
+            held.append((i, frame))
+            blocks += sum(stride * high for _, _, stride, high in frame.planes)
+            if blocks * 64 >= CHUNK_BYTES:
+                solve()
+                held, blocks = [], 0
+    if held:
+        solve()
+    return rows
 
 
 def decode_column(stored: DataFrame, digest: bool = False) -> DataFrame:
-    """stored with media -> its other columns, then payload, height, width, rgb (full-resolution tensor's bytes); with digest, what op10 returns instead of them."""
-    columns = [c for c in stored.columns if c != "media"]
+    """stored with media -> its other columns, then payload, height, width, rgb (full-resolution tensor's bytes; those of several files one below another); with digest, what op10 returns instead of them."""
+    kinds = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"} if digest else {"payload": "binary", "height": "int", "width": "int", "rgb": "binary"}
+    names = list(kinds)
+    hidden, others = hide(stored, ["media"], names)
+    columns = [c for c in hidden.columns if c != "media"]
 
     def run(batches):
         for piece in chunks(batches, "media", CHUNK_BYTES):
-            files, frames, where, coefs, payloads = _decoded(piece.column("media"))
-            out = [piece.column(c) for c in columns]
-            images = (tensor(f, w, coefs) for f, w in zip(frames, where, strict=True))
+            files = piece.column("media").to_pylist()
+            rows = _decoded(files, not digest)
+            payloads = [b"".join(r.payload) for r in rows]
             if digest:
-                feature = [f"{x.shape[0]}x{x.shape[1]}:{':'.join(map(str, x.sum((0, 1), dtype=np.int64)))}" for x in images]
+                feature = [f"{r.height}x{r.width}:{':'.join(map(str, r.sums))}" for r in rows]
                 sha = [hashlib.sha256(p).hexdigest() for p in payloads]
-                out += [pa.array(list(map(len, payloads)), pa.int64()), pa.array(sha), pa.array([zlib.crc32(p[-64:]) for p in payloads], pa.int64()), pa.array(list(map(len, files)), pa.int64()), pa.array([hashlib.sha256(f).hexdigest() for f in files]), pa.array(feature)]
+                new = [pa.array(list(map(len, payloads)), pa.int64()), pa.array(sha), pa.array([zlib.crc32(p[-64:]) for p in payloads], pa.int64()), pa.array(list(map(len, files)), pa.int64()), pa.array([hashlib.sha256(f).hexdigest() for f in files]), pa.array(feature)]
             else:
-                shapes = [(f.height, f.width) for f in frames]
-                out += [pa.array(payloads, pa.binary()), pa.array([h for h, _ in shapes], pa.int32()), pa.array([w for _, w in shapes], pa.int32()), pa.array([x.tobytes() for x in images], pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, [*columns, *names])
+                new = [pa.array(payloads, pa.binary()), pa.array([r.height for r in rows], pa.int32()), pa.array([r.width for r in rows], pa.int32()), pa.array([b"".join(r.rgb) for r in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in columns], *new], [*columns, *names])
 
-    kinds = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"} if digest else {"payload": "binary", "height": "int", "width": "int", "rgb": "binary"}
-    names = list(kinds)
-    schema = T.StructType([*[stored.schema[c] for c in columns], *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in kinds.items())).fields])
-    return stored.mapInArrow(run, schema)
+    schema = T.StructType([*[hidden.schema[c] for c in columns], *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in kinds.items())).fields])
+    return show(hidden.mapInArrow(run, schema), [], others, names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from . import language_id, media, mixing, neighbours, packing, quality, simhash, suffix_dedup, token_counts, warc
-from .common import read_table
+from .common import read_table, written
 
 
 def op1_quality_classifier(spark, sf_dir):
@@ -52,8 +52,8 @@ def op9_neighbours(spark, sf_dir):
 
 
 def op10_media(spark, sf_dir):
-    """The stored files pass from the writing to the reading step as a binary column."""
-    stored = media.encode_column(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The files are written to the shared folder and read back from there."""
+    stored = written(media.encode_column(read_table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
     return media.decode_column(stored, digest=True)
 
 
