@@ -428,13 +428,14 @@ def test_mixing_without_ids(spark):
 INTERNAL = "key gram packed kept fresh age fp mask bucket n_fp node low block quota n end shard region content h length piece p_best text_ c_0 c_1 hot feature media block_ Score".split()
 
 
-@pytest.mark.parametrize("name", ["op2", "op4", "op7", "op8"])
+@pytest.mark.parametrize("name", ["op1", "op2", "op4", "op7", "op8"])
 def test_columns_with_internal_names_stay(spark, name):
     rows = [(i, f"some words of text {i % 5}", "en" if i % 2 else "fr", "s", *range(len(INTERNAL))) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} int" for c in INTERNAL))
-    apply = {"op2": suffix_dedup.dedup, "op4": language_id.predict, "op7": simhash.near_duplicates, "op8": mixing.mix}[name]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    apply = {"op1": lambda d: quality.classify(d, labels), "op2": suffix_dedup.dedup, "op4": language_id.predict, "op7": simhash.near_duplicates, "op8": mixing.mix}[name]
     out = apply(docs)
-    new = {"op4": {"Score"}}.get(name, set())
+    new = {"op1": {"Score"}, "op4": {"Score"}}.get(name, set())
     got = out.collect()
     assert len(got) == 30 and set(INTERNAL) - new <= set(out.columns)
     assert all(r[c] == i for r in got for i, c in enumerate(INTERNAL) if c not in new)
@@ -537,6 +538,32 @@ def test_quality_held_out(spark, sf_dir):
     assert wins > 0.9 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
 
 
+def test_quality_vote_is_brute_force():
+    rng = np.random.default_rng(7)
+    learn, ask = rng.random((90, quality.DIM)).astype(np.float32), rng.random((40, quality.DIM)).astype(np.float32)
+    learn[60:] = learn[:30]  # ties
+    ask[0] = 0
+    y = rng.integers(0, 2, 90)
+    model = quality.Model(learn.copy(), y, neighbours=7, power=3.0)
+    near = model.project(ask) @ model.vectors.T
+    for x, row, got in zip(ask, near, model.score(ask), strict=True):
+        if not x.any():
+            assert abs(got - y.mean()) < 1e-6
+            continue
+        best = sorted(range(90), key=lambda i: (-row[i], i))[:7]
+        weight = [max(float(row[i]), 0.0) ** 3 for i in best]
+        assert abs(got - sum(w * y[i] for w, i in zip(weight, best, strict=True)) / sum(weight)) < 1e-5
+    for v, row in zip(model.project(ask), near, strict=True):
+        assert np.allclose(row, [sum(float(a) * float(b) for a, b in zip(v, w, strict=True)) for w in model.vectors], atol=1e-5)
+
+
+def test_words_and_layout_are_terms():
+    texts = [b"alpha beta gamma.", b"delta omega sigma.", b"alpha beta gamma."]
+    x = quality.features(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    layout, words_ = x[:, : quality.SYMBOL_TERMS], x[:, quality.SYMBOL_TERMS :]
+    assert (layout[0] == layout[1]).all() and (words_[0] != words_[1]).any() and (x[0] == x[2]).all()
+
+
 def test_quality_cases(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     rows = quality.classify(docs, labels).collect()

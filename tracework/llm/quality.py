@@ -1,10 +1,10 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
-Vectors. A text's bytes become a sequence of symbols (a run of letters of one
+Vectors. Terms are of two kinds. The hashed words of the text are one. For the other its bytes become a sequence of symbols (a run of letters of one
 case is one symbol, line feeds, digits and each kind of punctuation their own),
 with a mark for words that repeat the word before and for lines that were seen
-before in the text. Hashed n-grams of this sequence (1 to 3) are counted, square
-rooted relative counts are weighted by inverse document frequency and projected on
+before in the text, whose n-grams (1 to 3) are hashed. Both are counted, square
+rooted relative counts of each kind are weighted by inverse document frequency and projected on
 the leading singular directions of the learning rows; vectors are unit length.
 
 Learning. Rows with a label that are not held out; if there are more than
@@ -19,8 +19,10 @@ weighted by a power of the similarity. The score is the weighted share of label
 Defined cases: null or empty texts have the zero vector and get the learning
 rows' share of label 1; without learning rows every score is 0.5; labels with
 null doc_id or quality teach nothing; a doc_id with several labels takes their
-maximum; repeated rows get equal scores. Labels, lang, source and doc_id never
-enter a score.
+maximum; repeated rows get equal scores. Where several learning rows tie at the last place
+among the neighbours, those first in the learning rows' fixed order vote. Labels, lang, source and doc_id never
+enter a score. Other columns stay, those named like a new one don't. A text's terms are
+counted at once, which takes about 60 bytes a byte of the longest text.
 """
 
 from __future__ import annotations
@@ -31,9 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, held_out, ranges, utf8
+from .common import chunks, held_out, hide, ranges, show, utf8
 
-DIM = 4096
+SYMBOL_TERMS, WORD_TERMS = 2048, 2048
+DIM = SYMBOL_TERMS + WORD_TERMS
 RANK = 48
 CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 256
@@ -81,7 +84,7 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(rows, DIM) float32: square rooted shares of the hashed symbol n-grams."""
+    """(rows, DIM) float32: square rooted shares of the hashed symbol n-grams, then of the hashed words."""
     n = len(at) - 1
     out = np.zeros((n, DIM), np.float32)
     if not len(data):
@@ -90,6 +93,7 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     kind = _KIND[data]
     words, word_ends = _spans(data, at, (kind != 4) & (kind != 5))
     hashes = _hashes(data, words, word_ends)
+    word_row = row[words]
     again = np.zeros(len(words), bool)
     again[1:] = (hashes[1:] == hashes[:-1]) & (row[words[1:]] == row[words[:-1]])
     lines, line_ends = _spans(data, at, kind != 5)
@@ -110,11 +114,13 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
             break
         code = code[: len(symbol) - size + 1] * SYMBOLS + symbol[size - 1 :]
         whole = row[: len(code)] == row[size - 1 :]
-        bucket = (code[whole] * 2654435761 + size * 97) >> 7 & (DIM - 1) if size > 1 else code[whole]
+        bucket = (code[whole] * 2654435761 + size * 97) >> 7 & (SYMBOL_TERMS - 1) if size > 1 else code[whole]
         counts += np.bincount(row[: len(code)][whole] * DIM + bucket, minlength=n * DIM)
+    counts += np.bincount(word_row * DIM + SYMBOL_TERMS + (hashes >> np.uint64(40)).astype(np.int64) % WORD_TERMS, minlength=n * DIM)
     table = counts.reshape(n, DIM)
-    total = table.sum(1, keepdims=True)
-    return np.sqrt(table / np.maximum(total, 1)).astype(np.float32)
+    for part in (table[:, :SYMBOL_TERMS], table[:, SYMBOL_TERMS:]):
+        part /= np.maximum(part.sum(1, keepdims=True), 1)
+    return np.sqrt(table).astype(np.float32)
 
 
 def _feature_rows(batches):
@@ -161,7 +167,10 @@ class Model:
         z = self.project(x)
         near = z @ self.vectors.T
         k = min(self.neighbours, len(self.y))
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        last = np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+        inside = -near < last
+        tied = -near == last
+        top = np.nonzero(inside | (tied & (np.cumsum(tied, 1) <= k - inside.sum(1, keepdims=True))))[1].reshape(len(x), k)
         weight = np.maximum(np.take_along_axis(near, top, 1), 0).astype(np.float64) ** self.power
         total = weight.sum(1)
         voted = (weight * self.y[top]).sum(1) / np.maximum(total, 1e-300)
@@ -185,13 +194,14 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **optio
     """Columns of docs but text, then held_out, score, predicted."""
     model = fit(docs, labels, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if c not in ("text", "score", "predicted", "held_out")]
+    rows, others = hide(docs, ["doc_id", "text"], ["held_out", "score", "predicted"])
+    columns = [c for c in rows.columns if c != "text"]
 
     def run(batches):
         for piece in chunks(batches, "text", CHUNK_BYTES, CHUNK_ROWS):
             score = shared.value.score(features(*utf8(piece.column("text"))))
             yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in columns], pa.array(score, pa.float64())], [*columns, "score"])
 
-    schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField("score", T.DoubleType())])
-    scored = docs.select(*columns, "text").mapInArrow(run, schema)
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).withColumn("held_out", held_out())
+    schema = T.StructType([*[rows.schema[c] for c in columns], T.StructField("score", T.DoubleType())])
+    scored = rows.mapInArrow(run, schema)
+    return show(scored, ["doc_id"], others, [held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")])

@@ -424,8 +424,8 @@ def resembling_groups(docs: DataFrame, least: float = 0.8, words: int = 5) -> Da
     comp = components(links, "near-links")
     classes = keys.join(comp, "node", "left").select("doc_id", "node", "rows", F.coalesce("root", "node").alias("class"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
-    best = classes.groupBy("class").agg(F.min(order).alias("best"), F.sum("rows").alias("all")).where(F.col("all") > 1)
-    return classes.join(best, "class").select("doc_id", "node", "rows", F.col("doc_id").eqNullSafe(F.col("best.doc_id")).__and__(F.col("node") == F.col("best.node")).alias("keep"))
+    best = classes.groupBy("class").agg(F.min(order).alias("best"), F.sum("rows").alias("all")).where(F.col("all") > 1).withColumnRenamed("class", "b_class")
+    return salted_join(classes, best, "class", "b_class", "node").select("doc_id", "node", "rows", F.col("doc_id").eqNullSafe(F.col("best.doc_id")).__and__(F.col("node") == F.col("best.node")).alias("keep"))
 
 
 def text_node():
