@@ -50,10 +50,15 @@ def classify(rows: DataFrame, features: tuple[str, ...], label: str, id_: str, e
     """(model, scored test rows): an 80/20 stratified split, then the classes of each part balanced."""
     split = cut(sampling.stratified_split(rows, label, id_, {"train": 0.8, "test": 0.2}, seed))
     train, test = (sampling.balance(split.where(F.col("split") == part), label, id_, seed) for part in ("train", "test"))
-    model = (estimator or forest(seed=seed)).fit(assembled(train, features, label))
+    model = (estimator or forest(seed=seed)).fit(assembled(spread(train), features, label))
     return model, score(model, test, features, label)
 
 
+def spread(train: DataFrame, rows: int = 20_000) -> DataFrame:
+    """Learning rows over tasks of about so many: a forest sends the statistics of all its nodes from every task, so small tasks cost more than they save."""
+    return train.repartition(max(1, -(-train.count() // rows)))
+
+
 def importances(spark, model, features: tuple[str, ...]) -> DataFrame:
     """feature, importance, most important first."""
     pairs = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)]
@@ -91,7 +96,7 @@ def cross_validate(traces: DataFrame, folds: int, factors: list[int], names: lis
             train = cut(trace_features(augment.training_rows(placed, fold, factor, seed)))
             test = trace_features(placed.where(F.col("fold") == fold))
             for name in names:
-                model = models(len(TRACE_FEATURES), classes, seed)[name].fit(assembled(train, TRACE_FEATURES, "class_idx"))
+                model = models(len(TRACE_FEATURES), classes, seed)[name].fit(assembled(spread(train), TRACE_FEATURES, "class_idx"))
                 scored = score(model, test, TRACE_FEATURES, "class_idx").select("trace_id", "fold", "label", "pred", "probs", F.lit(name).alias("model"), F.lit(factor).alias("aug_factor"))
                 out = scored if out is None else out.unionByName(scored)
     return out
