@@ -286,6 +286,37 @@ def test_wasserstein(spark):
     assert np.isclose(same, expected) and np.isclose(mid, expected) and np.isclose(empty, np.abs(a).mean())
 
 
+def test_ordered_over_several_ranges(spark):
+    rng = np.random.default_rng(12)
+    label, score = rng.integers(0, 2, 400), np.round(rng.random(400), 2)
+    df = spark.createDataFrame([(int(i), int(y), float(s), "ab"[y]) for i, (y, s) in enumerate(zip(label, score, strict=True))], "id int, label int, score double, g string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        points = {r.score: (r.tp, r.fp, r.pos, r.neg) for r in metrics.curve(df).collect()}
+        assert points == {s: (int(label[score >= s].sum()), int((1 - label[score >= s]).sum()), int(label.sum()), int((1 - label).sum())) for s in set(score.tolist())}
+        one, none = score[label == 1][:, None], score[label == 0][None]
+        assert np.isclose(metrics.auc(df).first().auc, ((one > none) + 0.5 * (one == none)).mean())
+        recall, precision, area = 0.0, 1.0, 0.0
+        for s in sorted(points, reverse=True):
+            r, p = points[s][0] / points[s][2], points[s][0] / (points[s][0] + points[s][1])
+            area, recall, precision = area + (r - recall) * (p + precision) / 2, r, p
+        assert np.isclose(metrics.pr_auc(df).first().pr_auc, area)
+        assert metrics.pr_auc(df.where("label = 0")).first().pr_auc is None
+        numbers = {r.id: r.n for r in sampling.numbered(df, "g", ["score", "id"], "n").collect()}
+        for y in (0, 1):
+            ids = sorted((float(score[i]), i) for i in range(400) if label[i] == y)
+            assert [numbers[i] for _, i in ids] == list(range(len(ids)))
+        values = lambda y: [float(v) for v in score[label == y]]
+        lists = spark.createDataFrame([(values(0), values(1)[:37], [])], "a array<double>, b array<double>, e array<double>")
+        cut_off = df.where(f"label = 0 or id <= {[i for i in range(400) if label[i] == 1][36]}")
+        want = lists.select(certainty.wasserstein(F.col("a"), F.col("b")), certainty.wasserstein(F.col("a"), F.col("e"))).first()
+        assert np.isclose(certainty.wasserstein_rows(cut_off, "g", "b", "a", "score").first()[0], want[0])
+        assert np.isclose(certainty.wasserstein_rows(df.where("label = 0"), "g", "b", "a", "score").first()[0], want[1])
+        assert certainty.wasserstein_rows(df.limit(0), "g", "a", "b", "score").first()[0] == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_early_stop(spark):
     history = [(1, e, auc, 1.0) for e, auc in enumerate([0.5, 0.6, 0.6, 0.6, 0.7], 1)]
     df = spark.createDataFrame(history, "run int, epoch int, val_auc double, val_loss double")

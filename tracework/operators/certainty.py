@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from . import metrics
+from .ordered import running
 
 
 def wasserstein_equal(a: Column, b: Column) -> Column:
@@ -39,6 +40,25 @@ def wasserstein(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 0.0).when(F.size(a) == 0, one(b)).when(F.size(b) == 0, one(a)).otherwise(full)
 
 
+def wasserstein_rows(rows: DataFrame, group: str, first: str, second: str, value: str = "value") -> DataFrame:
+    """One row: distance, as wasserstein gives it, of two groups of rows of any size: values are ranked by ranges and joined on the rank.
+
+    The larger group's own ranks are its mid-quantiles; the other's are interpolated between two of its ranks. NULL values are left out.
+    """
+    kept = rows.where(F.col(group).isin(first, second) & F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), F.lit(1).alias("one"))
+    placed = running(kept, ["g"], ["v"], {"upto": "one"}).select("g", "v", (F.col("upto") - 1).alias("i"))
+    size = lambda name: F.sum((F.col("g") == name).cast("long"))
+    sizes = kept.agg(F.coalesce(size(first), F.lit(0)).alias("n1"), F.coalesce(size(second), F.lit(0)).alias("n2"))
+    sizes = sizes.select(F.when(F.col("n1") >= F.col("n2"), first).otherwise(second).alias("large"), F.greatest("n1", "n2").alias("m"), F.least("n1", "n2").alias("n"))
+    both = placed.crossJoin(F.broadcast(sizes))  # one row
+    grid = both.where("g = large").select("i", F.col("v").alias("x"), "n", F.greatest(F.lit(0.0), F.least((F.col("n") - 1).cast("double"), (F.col("i") + 0.5) / F.col("m") * F.col("n") - 0.5)).alias("place"))
+    small = both.where("g != large").select(F.col("i").alias("at"), F.col("v").alias("y"))
+    grid = grid.withColumn("low", F.floor("place")).withColumn("high", F.least(F.col("low") + 1, F.col("n") - 1))
+    found = grid.join(small.withColumnRenamed("at", "low"), "low", "left").join(small.select(F.col("at").alias("high"), F.col("y").alias("z")), "high", "left")
+    gap = F.abs(F.col("x") - F.coalesce(F.col("y") + (F.col("place") - F.col("low")) * (F.col("z") - F.col("y")), F.lit(0.0)))
+    return found.agg(F.coalesce(F.avg(gap), F.lit(0.0)).alias("distance"))
+
+
 def certainty(passes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Long predictions (sample_id, label, pass, class, prob) -> sample_id, label, pred, wd.
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def class_counts(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
@@ -87,22 +89,24 @@ def binary_scores(tp: Column, fp: Column, tn: Column, fn: Column) -> dict[str, C
 def curve(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """keys, score, tp, fp, pos, neg: one point a distinct score (label 0/1), from the highest down.
 
-    Rows are first counted by score, so the window sees distinct scores only.
+    Rows are first counted by score; the running counts are taken by ranges of the score.
     """
-    keys = keys or []
-    counts = rows.groupBy(*keys, "score").agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("c"))
-    down = W.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    every = W.partitionBy(*keys)
-    return counts.select(*keys, "score", F.sum("p").over(down).alias("tp"), F.sum(F.col("c") - F.col("p")).over(down).alias("fp"), F.sum("p").over(every).alias("pos"), F.sum(F.col("c") - F.col("p")).over(every).alias("neg"))
+    points = _score_counts(rows, keys or [], F.desc("score"))
+    return points.select(*(keys or []), "score", "tp", "fp", F.col("all_tp").alias("pos"), F.col("all_fp").alias("neg"))
+
+
+def _score_counts(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """keys, score, p, q (rows of label 1 and 0 there), tp and fp (running), all_tp, all_fp."""
+    counts = rows.groupBy(*keys, "score").agg(F.sum("label").alias("p"), (F.count(F.lit(1)) - F.sum("label")).alias("q"))
+    return running(counts, keys, [order], {"tp": "p", "fp": "q"})
 
 
 def auc(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """keys, auc by average ranks, from counts of distinct scores; NULL where one class is missing."""
     keys = keys or []
-    counts = rows.groupBy(*keys, "score").agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("c"))
-    up = W.partitionBy(*keys).orderBy("score").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = counts.withColumn("rank", F.sum("c").over(up) - (F.col("c") - 1) / 2)
-    sums = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").cast("double").alias("n1"), F.sum(F.col("c") - F.col("p")).cast("double").alias("n0"))
+    c = F.col("p") + F.col("q")
+    ranked = _score_counts(rows, keys, F.asc("score")).withColumn("rank", F.col("tp") + F.col("fp") - (c - 1) / 2)
+    sums = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").cast("double").alias("n1"), F.sum("q").cast("double").alias("n0"))
     return sums.select(*keys, F.when((F.col("n1") > 0) & (F.col("n0") > 0), (F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0"))).alias("auc"))
 
 
@@ -113,12 +117,16 @@ def macro_auc(rows: DataFrame, classes: int) -> DataFrame:
 
 
 def pr_auc(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """keys, pr_auc: trapezoids over recall and precision, beginning at recall 0 and precision 1."""
+    """keys, pr_auc: trapezoids over recall and precision, beginning at recall 0 and precision 1; NULL without a row of label 1.
+
+    The point before is known from the running counts without those of its own score, so no second window is needed.
+    """
     keys = keys or []
-    down = W.partitionBy(*keys).orderBy(F.desc("score"))
-    points = curve(rows, keys).withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp"))).withColumn("recall", F.col("tp") / F.col("pos"))
-    step = (F.col("recall") - F.lag("recall", 1, 0.0).over(down)) * (F.col("precision") + F.lag("precision", 1, 1.0).over(down)) / 2
-    return points.withColumn("step", step).groupBy(*keys).agg(F.sum("step").alias("pr_auc"))
+    tp, fp = F.col("tp"), F.col("fp")
+    tp0, fp0 = tp - F.col("p"), fp - F.col("q")
+    before = F.coalesce(F.try_divide(tp0, tp0 + fp0), F.lit(1.0))
+    step = F.try_divide(F.col("p"), F.col("all_tp")) * (F.try_divide(tp, tp + fp) + before) / 2
+    return _score_counts(rows, keys, F.desc("score")).withColumn("step", step).groupBy(*keys).agg(F.sum("step").alias("pr_auc"))
 
 
 def log_loss(rows: DataFrame, keys: list[str] | None = None, floor: float = 1e-15) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.seeded import order_key, uniform
+from .ordered import running
 
 
 def ranked(rows: DataFrame, within: list[str], id_: str, seed: int, salt: str) -> DataFrame:
@@ -80,8 +81,9 @@ def scramble(rows: DataFrame, label: str, id_: str, seed: int = 42) -> DataFrame
 
 
 def numbered(rows: DataFrame, within: str, order: list[str], name: str = "trace_id") -> DataFrame:
-    """0-based numbers in load order inside each group."""
-    return rows.withColumn(name, F.row_number().over(W.partitionBy(within).orderBy(*order)) - 1)
+    """0-based numbers (long) in load order inside each group, by ranges of the order."""
+    placed = running(rows.withColumn("_one", F.lit(1)), [within], list(order), {"_upto": "_one"})
+    return placed.withColumn(name, F.col("_upto") - 1).drop("_one", "_upto", "all__upto")
 
 
 def display_fold(seed: int, folds: int) -> Column:

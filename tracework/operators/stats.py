@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordered import running
+
 
 @F.pandas_udf(T.DoubleType())
 def _two_sided(z: pd.Series) -> pd.Series:
@@ -20,13 +22,12 @@ def _two_sided(z: pd.Series) -> pd.Series:
 def mann_whitney(rows: DataFrame, group: str, first: str, value: str = "value", keys: list[str] | None = None) -> DataFrame:
     """keys, n1, n2, u, r (1 - 2 u / (n1 n2)), p: two-sided, normal with ties and continuity; NULL for fewer than 2 in a class.
 
-    Values are counted first, so windows see distinct values; NULL and NaN are left out.
+    Values are counted first and ranked by ranges of the value; NULL and NaN are left out.
     """
     keys = keys or []
     ok = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
     counts = ok.groupBy(*keys, F.col(value).alias("v")).agg(F.sum((F.col(group) == first).cast("long")).alias("a"), F.count(F.lit(1)).alias("c"))
-    up = W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranks = counts.withColumn("rank", F.sum("c").over(up) - (F.col("c") - 1) / 2)
+    ranks = running(counts, keys, ["v"], {"upto": "c"}).withColumn("rank", F.col("upto") - (F.col("c") - 1) / 2)
     c = F.col("c").cast("double")
     sums = ranks.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("a")).alias("r1"), F.sum("a").cast("double").alias("n1"), F.sum(F.col("c") - F.col("a")).cast("double").alias("n2"), F.sum(c * c * c - c).alias("ties"))
     n1, n2 = F.col("n1"), F.col("n2")

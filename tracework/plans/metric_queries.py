@@ -152,9 +152,7 @@ def h7_certainty(spark, sf_dir):
  y AS (SELECT z.k, z.class_name, a.value + (place - floor(place)) * (b.value - a.value) AS v FROM z JOIN o a ON a.class_name = z.class_name AND a.i = floor(place) JOIN o b ON b.class_name = z.class_name AND b.i = least(floor(place) + 1, b.n - 1))
  SELECT round(avg(d), 6) AS distance FROM (SELECT k, abs(max(v) FILTER (WHERE class_name = 'click') - max(v) FILTER (WHERE class_name = 'view')) AS d FROM y GROUP BY 1)"""))
 def h8_wasserstein(spark, sf_dir):
-    rows = X.two_class_values(spark, sf_dir)
-    both = rows.agg(F.collect_list(F.when(F.col("class_name") == "click", F.col("value"))).alias("a"), F.collect_list(F.when(F.col("class_name") == "view", F.col("value"))).alias("b"))
-    return rounded(both.select(certainty.wasserstein(F.col("a"), F.col("b")).alias("distance")))
+    return rounded(certainty.wasserstein_rows(X.two_class_values(spark, sf_dir), "class_name", "click", "view"))
 
 
 @query(with_sql("predictions_mc", then=_WD_SWEEP + _SWEEP_COLS))

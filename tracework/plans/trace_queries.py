@@ -137,7 +137,7 @@ def e8_unique_ids(spark, sf_dir):
     from ..operators.sampling import numbered
 
     rows = X.movie_paths(spark, sf_dir).distinct().withColumn("compound", F.split("path", "/")[1])
-    return numbered(rows, "compound", ["path"]).select("path", "compound", F.col("trace_id").cast("long").alias("trace_id"))
+    return numbered(rows, "compound", ["path"]).select("path", "compound", "trace_id")
 
 
 @query()
