@@ -22,6 +22,26 @@ _RUNS = (
 _FRAME_RUNS = "f AS (SELECT *, intensity > 25 AS is_on FROM frames), " + _RUNS.format(width=1)
 
 
+def _mixture_sql(frames: str, then: str) -> str:
+    """The whole mixture fit in SQL: best split of the sorted values, then EM by a recursive CTE until the mean log likelihood settles; mx has a row a trace."""
+    ctes = f"""fr AS MATERIALIZED (SELECT trace_id, frame, intensity AS x FROM {frames}),
+ so AS (SELECT trace_id, x, row_number() OVER o AS k, sum(x) OVER o AS s, count(*) OVER g AS n, sum(x) OVER g AS total, sum(x * x) OVER g AS squares, lead(x) OVER (PARTITION BY trace_id ORDER BY x, frame) AS nx FROM fr WINDOW o AS (PARTITION BY trace_id ORDER BY x, frame ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY trace_id)),
+ sp AS (SELECT trace_id, first(k ORDER BY squares - s * s / k - (total - s) * (total - s) / (n - k), k) AS best FROM so WHERE nx > x GROUP BY 1),
+ st AS (SELECT trace_id, avg(x) FILTER (WHERE k <= best) AS a0, avg(x) FILTER (WHERE k > best) AS a1, var_pop(x) FILTER (WHERE k <= best) + 1e-6 AS b0, var_pop(x) FILTER (WHERE k > best) + 1e-6 AS b1, max(best) / max(n) AS w0, 1 - max(best) / max(n) AS w1 FROM so JOIN sp USING (trace_id) GROUP BY 1),
+ em AS (SELECT trace_id, 0 AS step, a0, a1, b0, b1, w0, w1, -1e300::DOUBLE AS last, false AS done FROM st
+  UNION ALL
+  SELECT trace_id, step + 1, m0, m1, (q0 - 2 * m0 * c0 + m0 * m0 * r0) / n0 + 1e-6, (q1 - 2 * m1 * c1 + m1 * m1 * r1) / n1 + 1e-6, n0 / n, n1 / n, gain, abs(gain - last) < 1e-3
+  FROM (SELECT *, c0 / n0 AS m0, c1 / n1 AS m1 FROM (
+   SELECT trace_id, any_value(step) AS step, any_value(last) AS last, count(*) AS n, avg(greatest(l0, l1) + ln(1 + exp(-abs(l0 - l1)))) AS gain, sum(p) AS r0, sum(1 - p) AS r1, sum(p) + 1e-12 AS n0, sum(1 - p) + 1e-12 AS n1, sum(p * x) AS c0, sum((1 - p) * x) AS c1, sum(p * x * x) AS q0, sum((1 - p) * x * x) AS q1
+   FROM (SELECT *, 1 / (1 + exp(least(700, l1 - l0))) AS p FROM (
+    SELECT e.trace_id, step, last, x, ln(w0) - 0.5 * ln(2 * pi() * b0) - (x - a0) * (x - a0) / (2 * b0) AS l0, ln(w1) - 0.5 * ln(2 * pi() * b1) - (x - a1) * (x - a1) / (2 * b1) AS l1
+    FROM em e JOIN fr ON fr.trace_id = e.trace_id WHERE NOT done AND step < 100)) GROUP BY trace_id))),
+ fit AS (SELECT * FROM em WHERE step > 0 QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY step DESC) = 1),
+ mx AS (SELECT trace_id, least(a0, a1) AS mean0, greatest(a0, a1) AS mean1, CASE WHEN a0 <= a1 THEN b0 ELSE b1 END AS var0, CASE WHEN a0 <= a1 THEN b1 ELSE b0 END AS var1, CASE WHEN a0 <= a1 THEN w0 ELSE w1 END AS weight0, abs(a1 - a0) / sqrt(greatest(CASE WHEN a0 <= a1 THEN b0 ELSE b1 END, 1e-12)) AS separation FROM fit),
+ po AS (SELECT trace_id, frame, x, separation, 1 / (1 + exp(least(700, (ln(weight0) - 0.5 * ln(var0) - (x - mean0) * (x - mean0) / (2 * var0)) - (ln(1 - weight0) - 0.5 * ln(var1) - (x - mean1) * (x - mean1) / (2 * var1))))) AS p FROM fr JOIN mx USING (trace_id))"""
+    return with_sql(frames, then=ctes + then).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def on_frames(spark, sf_dir):
     return X.frames(spark, sf_dir).withColumn("on", F.col("intensity") > ON_LEVEL)
 
@@ -140,7 +160,17 @@ def e8_unique_ids(spark, sf_dir):
     return numbered(rows, "compound", ["path"]).select("path", "compound", "trace_id")
 
 
-@query()
+@query(with_sql("frames", then="""f AS MATERIALIZED (SELECT trace_id, frame, intensity AS x FROM frames), n AS (SELECT trace_id, any_value(class_idx) AS class_idx, count(*) AS n, stddev_pop(intensity) / 2 AS height FROM frames GROUP BY 1),
+ c AS (SELECT *, CASE WHEN x = lag(x) OVER w THEN 0 ELSE 1 END AS turn FROM f WINDOW w AS (PARTITION BY trace_id ORDER BY frame)), g AS (SELECT *, sum(turn) OVER (PARTITION BY trace_id ORDER BY frame) AS flat FROM c),
+ t AS (SELECT trace_id, flat, any_value(x) AS h, min(frame) AS s, max(frame) AS e FROM g GROUP BY 1, 2),
+ pk AS (SELECT trace_id, (s + e) // 2 AS peak, h FROM t QUALIFY h > lag(h) OVER (PARTITION BY trace_id ORDER BY flat) AND h > lead(h) OVER (PARTITION BY trace_id ORDER BY flat)),
+ tall AS (SELECT pk.*, n FROM pk JOIN n USING (trace_id) WHERE h >= height),
+ lr AS (SELECT trace_id, peak, h, coalesce(max(frame) FILTER (frame < peak AND x > h) + 1, 0) AS l, coalesce(min(frame) FILTER (frame > peak AND x > h) - 1, n - 1) AS r FROM tall JOIN f USING (trace_id) GROUP BY trace_id, peak, h, n),
+ mm AS (SELECT trace_id, peak, h, first(frame ORDER BY x, frame DESC) FILTER (frame <= peak) AS lm, first(frame ORDER BY x, frame) FILTER (frame >= peak) AS rm, h - (h - greatest(min(x) FILTER (frame <= peak), min(x) FILTER (frame >= peak))) / 2 AS level FROM lr JOIN f USING (trace_id) WHERE frame BETWEEN l AND r GROUP BY 1, 2, 3),
+ ab AS (SELECT trace_id, peak, level, max(frame) FILTER (frame <= peak AND x <= level) AS i, min(frame) FILTER (frame >= peak AND x <= level) AS j FROM mm JOIN f USING (trace_id) WHERE frame BETWEEN lm AND rm GROUP BY 1, 2, 3),
+ wd AS (SELECT ab.trace_id, j - CASE WHEN b.x < level THEN (level - b.x) / (b1.x - b.x) ELSE 0 END - (i + CASE WHEN a.x < level THEN (level - a.x) / (a1.x - a.x) ELSE 0 END) AS width
+  FROM ab JOIN f a ON a.trace_id = ab.trace_id AND a.frame = i JOIN f b ON b.trace_id = ab.trace_id AND b.frame = j LEFT JOIN f a1 ON a1.trace_id = ab.trace_id AND a1.frame = i + 1 LEFT JOIN f b1 ON b1.trace_id = ab.trace_id AND b1.frame = j - 1)
+ SELECT trace_id, class_idx, CAST(count(width) FILTER (width >= 2) AS INT) AS n_peaks FROM n LEFT JOIN wd USING (trace_id) GROUP BY 1, 2"""))
 def e11_local_peaks(spark, sf_dir):
     return X.long_traces(spark, sf_dir).select("trace_id", "class_idx", peaks.peak_count(F.col("values")).alias("n_peaks"))
 
@@ -169,19 +199,19 @@ def h1_relational_em(spark, sf_dir):
     return rounded(mixture.em_steps(X.frames(spark, sf_dir), 1))
 
 
-@query()
+@query(_mixture_sql("frames", " SELECT trace_id, round(mean0, 6) AS mean0, round(mean1, 6) AS mean1, round(var0, 6) AS var0, round(var1, 6) AS var1, round(weight0, 6) AS weight0, round(separation, 6) AS separation FROM mx"))
 def h1_mixture(spark, sf_dir):
     rows = mixture.with_mixture(X.long_traces(spark, sf_dir))
     return rounded(rows.select("trace_id", "mixture.*", mixture.separation(F.col("mixture")).alias("separation")))
 
 
-@query()
+@query(_mixture_sql("frames", " SELECT trace_id, round(mean0, 6) AS level FROM mx"))
 def h2_background_level(spark, sf_dir):
     rows = mixture.with_mixture(X.long_traces(spark, sf_dir))
     return rounded(rows.select("trace_id", mixture.background_level(F.col("mixture"), F.col("values")).alias("level")))
 
 
-@query()
+@query(_mixture_sql("frames", " SELECT trace_id, CAST(count(*) FILTER (WHERE separation < 1 OR p < 1 - 0.9::DOUBLE) AS INT) AS noise, CAST(count(*) FILTER (WHERE separation >= 1 AND p >= 1 - 0.9::DOUBLE AND p < 0.9) AS INT) AS overlap, CAST(count(*) FILTER (WHERE separation >= 1 AND p >= 0.9) AS INT) AS signal FROM po GROUP BY 1"))
 def h3_frame_classes(spark, sf_dir):
     rows = mixture.with_mixture(X.long_traces(spark, sf_dir)).withColumn("c", mixture.classes(F.col("values"), F.col("mixture"), 0.9, 1.0))
     return rows.select("trace_id", *[F.size(F.filter("c", lambda x: x == k)).alias(k) for k in ("noise", "overlap", "signal")])  # noqa: B023
@@ -212,7 +242,7 @@ def b5_keep_list(spark, sf_dir):
     return gates.keep_list(normalize.normalizations(rows, F.lit(0.0)), gates.robust_filter(rows, 1.95), ["trace_id"]).select("trace_id", "norm")
 
 
-@query()
+@query(_mixture_sql("frames", " SELECT trace_id, round(separation, 6) AS separation FROM mx WHERE separation >= 3.2"))
 def b6_snr_gate(spark, sf_dir):
     rows = mixture.with_mixture(X.long_traces(spark, sf_dir)).withColumn("separation", mixture.separation(F.col("mixture")))
     return rounded(rows.where(gates.snr_gate(F.col("separation"), gates.Gates(snr_min=3.2))).select("trace_id", "separation"))
@@ -259,14 +289,20 @@ def h19_to_ms(spark, sf_dir):
     return found.select("trace_id", "run", normalize.to_ms(F.col("width"), FRAME_MS).alias("on_ms"), normalize.to_ms(F.col("off"), FRAME_MS).alias("off_ms"))
 
 
-@query()
+@query(_mixture_sql("tframes", " SELECT trace_id, round(avg(CASE WHEN separation >= 1 AND p >= 0.8 THEN 1.0::DOUBLE ELSE 0 END), 6) AS duty FROM po GROUP BY 1"))
 def j1_per_trace_function(spark, sf_dir):
     """A function of whole traces in Arrow batches (the mixture), then its frames' share of signal."""
     rows = mixture.with_mixture(X.traces(spark, sf_dir))
     return rounded(rows.select("trace_id", gates.duty_cycle(mixture.on_mask(F.col("values"), F.col("mixture"), 0.8, 1.0)).alias("duty")))
 
 
-@query()
+@query(_mixture_sql("frames", """,
+ f AS (SELECT trace_id, frame, x AS intensity, separation >= 2 AND p >= 0.8 AS is_on FROM po), """ + _RUNS.format(width=1) + """,
+ k AS (SELECT trace_id, CAST(count(*) AS INT) AS n_peaks, CAST(first(peak ORDER BY run) AS INT) AS first_peak, CAST(max(peak) AS INT) AS last_peak, CAST(CASE WHEN count(*) > 1 THEN list_sort(list(peak))[2] - list_sort(list(peak))[1] ELSE -1 END AS INT) AS delta_first_second FROM r GROUP BY 1),
+ t AS (SELECT trace_id, avg(CASE WHEN is_on THEN 1.0::DOUBLE ELSE 0 END) AS duty, avg(intensity) AS mean, stddev_samp(intensity) AS std, max(intensity) AS max, min(intensity) AS min FROM f GROUP BY 1),
+ d AS (SELECT t.*, separation, coalesce(n_peaks, 0) AS n_peaks, first_peak, last_peak, coalesce(delta_first_second, -1) AS delta_first_second FROM t JOIN mx USING (trace_id) LEFT JOIN k USING (trace_id)),
+ w AS (SELECT *, array_to_string(list_filter([CASE WHEN separation < 3 THEN 'separation too low' END, CASE WHEN n_peaks <= 20 THEN 'too few peaks' END, CASE WHEN first_peak >= 30 THEN 'first peak too late' END, CASE WHEN n_peaks > 1 AND delta_first_second >= 30 THEN 'second peak too late' END, CASE WHEN last_peak <= 500 THEN 'last peak too early' END], lambda z: z IS NOT NULL), ';') AS reasons FROM d)
+ SELECT trace_id, round(separation, 6) AS separation, round(duty, 6) AS duty, n_peaks, first_peak, last_peak, delta_first_second, round(mean, 6) AS mean, round(std, 6) AS std, max, min, reasons, reasons = '' AS passed, CASE WHEN trace_id % 3 = 0 THEN 'Unknown' ELSE 'Exp' || (trace_id % 3) END AS experiment FROM w"""))
 def j3_diagnostics(spark, sf_dir):
     rows = X.long_traces(spark, sf_dir)
     experiments = rows.where("trace_id % 3 > 0").select("trace_id", F.concat(F.lit("Exp"), (F.col("trace_id") % 3).cast("string")).alias("experiment"))
