@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_array, chunks, ranges, written
+from .common import binary_array, chunks, hide, ranges, show, written
 
 CHUNK, OVERLAP, GUARD, GROWTH = 1 << 14, 1 << 10, 4, 16
 BATCH_BYTES = 1 << 20
@@ -212,8 +212,8 @@ def decode(rows: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
             size = sizes[flat]
             every = data[np.repeat(first[flat], size) + ranges(size)]
             ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
-            yield pa.RecordBatch.from_arrays([*[c.cast(pa.list_(pa.int32())) if n == ids else c for n, c in zip(keep + [ids], [batch.column(n) for n in keep] + [column], strict=True)], binary_array(every, ends)], [*keep, ids, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, binary_array(every, ends)], [*batch.schema.names, "decoded"])
 
-    keep = [c for c in rows.columns if c not in (ids, "decoded")]
-    rows = rows.select(*[f"`{c}`" for c in keep], F.col(ids).cast("array<int>").alias(ids))
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    hidden, others = hide(rows.withColumn(ids, F.col(ids).cast("array<int>")), [ids], ["decoded"])
+    found = hidden.mapInArrow(run, T.StructType([*hidden.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return show(found, [], others, [ids, "decoded"])
