@@ -194,15 +194,6 @@ def test_links_and_clusters(spark):
     assert {r.cluster: r.n for r in spatial.density_clusters(df, 2.0, 4).collect()} == sizes
 
 
-def test_background_boxes_never_overlap(spark):
-    grid = spark.createDataFrame([(m, x, y) for m in (1, 2) for x in range(0, 40, 2) for y in range(0, 40, 2)], "movie_id long, x int, y int")
-    rows = spatial.sample_boxes(grid, 7, 12).collect()
-    again = spatial.sample_boxes(grid.repartition(7), 7, 12).collect()
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
-    for a, b in itertools.combinations(rows, 2):
-        assert a.movie_id != b.movie_id or abs(a.x - b.x) >= 7 or abs(a.y - b.y) >= 7
-
-
 def test_sweep_against_masks(spark):
     rng = random.Random(6)
     data = [(i, rng.random() < 0.7, rng.random() < 0.6, rng.random()) for i in range(300)]

@@ -7,11 +7,15 @@ into its pixels, so overlap and sums are equi-joins on pixels.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.seeded import order_key
 from ..sources.scratch import cut
+from .components import components, salted
 
 
 def corner(centre: Column, box: int) -> Column:
@@ -101,19 +105,9 @@ def roi_traces(pixels: DataFrame, rois: DataFrame, overlapping: DataFrame, box:
 
 
 def labels_of(links: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame:
-    """key, label: smallest node that each can reach, by iterated smallest neighbour with pointer jumping until nothing changes; every round is cut off from the ones before."""
-    both = links.select(F.col("a"), F.col("b")).unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut(both)
-    now = nodes.select(F.col(key).alias("node"), F.col(key).alias("label"))
-    while True:
-        near = both.join(now.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
-        step = now.join(near, now["node"] == near["a"], "left").select("node", F.least("label", F.coalesce("low", "label")).alias("label"))
-        jump = step.select(F.col("node").alias("at"), F.col("label").alias("up"))
-        after = step.join(jump, step["label"] == jump["at"], "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"))
-        after = cut(after)
-        if not after.join(now.withColumnRenamed("label", "old"), "node").where("label <> old").take(1):
-            return after.withColumnRenamed("node", key)
-        now = after
+    """key, label: smallest node that each can reach."""
+    roots = components(links, "spatial-components").withColumnRenamed("node", key)
+    return nodes.select(key).join(roots, key, "left").select(key, F.coalesce("root", key).alias("label"))
 
 
 def link_localizations(locs: DataFrame, radius: float, dark: int) -> DataFrame:
@@ -130,28 +124,141 @@ def link_localizations(locs: DataFrame, radius: float, dark: int) -> DataFrame:
     return named.groupBy("movie_id", F.col("label").alias("molecule")).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
 
 
+#: Cells of side radius / sqrt(2) that can hold a point within the radius of one in the cell itself.
+NEAR_CELLS = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3) if abs(dx) + abs(dy) < 4]
+#: A cell's points are dealt into parts of about so many.
+PART_POINTS = 1024
+#: Two boxes with at most so many pairs of points are compared point by point, others are split further.
+PAIRS_AT_ONCE = 1024
+
+
+def _celled(points: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
+    """(points with cell cx, cy, its number of points n and the part they are dealt to, one row a cell with cn)."""
+    size = radius / math.sqrt(2)
+    placed = points.select("movie_id", "id", "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
+    cells = cut(placed.groupBy("movie_id", "cx", "cy").agg(F.count(F.lit(1)).alias("n")))
+    known = salted(placed, cells, ["movie_id", "cx", "cy"], "id")
+    parts = F.ceil(F.col("n") / PART_POINTS)
+    return cut(known.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))), cells
+
+
+def _around(points: DataFrame, cells: DataFrame, others: DataFrame, radius: float) -> DataFrame:
+    """points (of cells with few points) with the others (o struct) within the radius in their own and the near cells, hot cells part by part."""
+    near = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in NEAR_CELLS])
+    sent = points.select("movie_id", F.struct("id", "x", "y").alias("p"), "cx", "cy", F.explode(near).alias("d"))
+    sent = sent.select("movie_id", "p", (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"))
+    sent = sent.join(cells, ["movie_id", "cx", "cy"]).withColumn("part", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / PART_POINTS) - 1).cast("int")))).drop("n")
+    met = sent.join(others.select("movie_id", "cx", "cy", "part", F.struct(*[c for c in others.columns if c not in ("movie_id", "cx", "cy", "part")]).alias("o")), ["movie_id", "cx", "cy", "part"])
+    return met.where(_squared(F.col("p"), F.col("o")) <= F.lit(float(radius) ** 2)).select("movie_id", "p", "o")
+
+
+def _squared(a: Column, b: Column) -> Column:
+    return (a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2
+
+
+def _boxes(points: DataFrame, level: int, size: float) -> DataFrame:
+    """cell (smallest core id), box and its ends and n: a cell's points by boxes of a 4^level-th of the cell's side."""
+    side = F.lit(size / 4**level)
+    at = [F.floor(F.col("x") / side).alias("bx"), F.floor(F.col("y") / side).alias("by")]
+    return points.groupBy("cell", *at).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n"))
+
+
+def linked_cells(cores: DataFrame, radius: float) -> DataFrame:
+    """(a, b): cells (named by their smallest core) with cores within the radius of one another. cores: movie_id, cx, cy, cell, id, x, y.
+
+    A pair of near cells needs one witness. Pairs of boxes with few pairs of points are compared at once; larger ones are linked if their
+    farthest corners are within the radius, dropped if their nearest sides aren't, and else both are cut into sixteen. So cells of any number of points cost
+    the boxes along one another's rim, not their pairs of points.
+    """
+    size = radius / math.sqrt(2)
+    limit = F.lit(float(radius) ** 2)
+    named = cores.select("movie_id", "cx", "cy", "cell").distinct()
+    ahead = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in NEAR_CELLS if (dx, dy) > (0, 0)])
+    sent = named.select("movie_id", F.col("cell").alias("a"), "cx", "cy", F.explode(ahead).alias("d")).select("movie_id", "a", (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"))
+    todo = sent.join(named, ["movie_id", "cx", "cy"]).select("a", F.col("cell").alias("b"))
+    points = cores.select("cell", "id", "x", "y")
+    level, pairs = 0, todo.select("a", "b", F.lit(None).cast("long").alias("ax"), F.lit(None).cast("long").alias("ay"), F.lit(None).cast("long").alias("bx"), F.lit(None).cast("long").alias("by"))
+    found = None
+    while True:
+        boxes = cut(_boxes(points, level, size))
+        parent = lambda c: F.when(F.lit(level > 0), F.floor(F.col(c) / 4))  # noqa: B023, E731
+        def side(s):  # noqa: ANN001, ANN202
+            return boxes.select(F.col("cell").alias(s), parent("bx").alias(f"{s}x"), parent("by").alias(f"{s}y"), F.struct("bx", "by", "x0", "x1", "y0", "y1", "n").alias(f"{s}_box"))  # noqa: B023
+        same = lambda s: [pairs[s] == F.col(f"{s}_side.{s}"), pairs[f"{s}x"].eqNullSafe(F.col(f"{s}_side.{s}x")), pairs[f"{s}y"].eqNullSafe(F.col(f"{s}_side.{s}y"))]  # noqa: B023, E731
+        met = pairs.join(side("a").alias("a_side"), same("a")).join(side("b").alias("b_side"), same("b")).select(pairs["a"], pairs["b"], "a_box", "b_box")
+        gap = lambda v: F.greatest(F.lit(0.0), F.col(f"a_box.{v}0") - F.col(f"b_box.{v}1"), F.col(f"b_box.{v}0") - F.col(f"a_box.{v}1"))
+        reach = lambda v: F.greatest(F.col(f"a_box.{v}1") - F.col(f"b_box.{v}0"), F.col(f"b_box.{v}1") - F.col(f"a_box.{v}0"))
+        met = met.where(gap("x") ** 2 + gap("y") ** 2 <= limit)
+        met = cut(met.withColumns({"sure": reach("x") ** 2 + reach("y") ** 2 <= limit, "few": F.col("a_box.n") * F.col("b_box.n") <= PAIRS_AT_ONCE}))
+        sure = met.where("sure").select("a", "b")
+        few = met.where("few and not sure")
+        def inside(s):  # noqa: ANN001, ANN202
+            at = [F.floor(F.col(c) / F.lit(size / 4**level)).alias(f"{s}b{c}") for c in ("x", "y")]  # noqa: B023
+            return points.select(F.col("cell").alias(s), *at, F.struct("x", "y").alias(f"{s}_p"))
+        some = few.select("a", "b", F.col("a_box.bx").alias("abx"), F.col("a_box.by").alias("aby"), F.col("b_box.bx").alias("bbx"), F.col("b_box.by").alias("bby"))
+        some = some.join(inside("a"), ["a", "abx", "aby"]).join(inside("b"), ["b", "bbx", "bby"]).where(_squared(F.col("a_p"), F.col("b_p")) <= limit).select("a", "b")
+        new = cut(sure.unionByName(some).distinct())
+        found = new if found is None else found.unionByName(new)
+        rest = met.where("not few and not sure").join(new, ["a", "b"], "left_anti")
+        pairs = cut(rest.select("a", "b", F.col("a_box.bx").alias("ax"), F.col("a_box.by").alias("ay"), F.col("b_box.bx").alias("bx"), F.col("b_box.by").alias("by")))
+        if not pairs.take(1):
+            return found
+        points = points.join(pairs.select(F.explode(F.array("a", "b")).alias("cell")).distinct(), "cell", "left_semi")
+        level += 1
+
+
 def density_clusters(locs: DataFrame, radius: float, min_locs: int) -> DataFrame:
     """Localizations with at least min_locs (themselves included) within radius are cores; linked cores and their neighbours form a cluster.
 
-    cluster (smallest core id), movie_id, n, x, y. A localization near cores of several clusters goes to the smallest.
+    cluster (smallest core id), movie_id, n, x, y. A localization near cores of several clusters goes to the smallest. Localizations have an id, x and y.
+
+    Cells are as wide as makes any two of their points neighbours. So all points of a cell with min_locs are cores without a look, all cores
+    of a cell are one component, and only points of cells with fewer are compared with their neighbours: at most twenty times min_locs comparisons a point.
     """
-    near = pairs_within(locs.select("id", "movie_id", "x", "y"), locs.select("id", "movie_id", "x", "y"), radius, ["movie_id"], strict=False).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-    cores = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_locs).select(F.col("a").alias("id"))
-    links = near.where("a < b").join(cores.withColumnRenamed("id", "a"), "a", "left_semi").join(cores.withColumnRenamed("id", "b"), "b", "left_semi")
-    label = labels_of(links, cores)
-    member = near.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("cluster"))
-    own = label.select("id", F.col("label").alias("own"))
-    member = member.join(own, "id", "left").select("id", F.coalesce("own", "cluster").alias("cluster"))
-    return locs.join(member, "id").groupBy("movie_id", "cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+    points, cells = _celled(locs, radius)
+    sparse = points.where(F.col("n") < min_locs)
+    counted = _around(sparse, cells, points.select("movie_id", "cx", "cy", "part", "id", "x", "y"), radius).groupBy(F.col("p.id").alias("id")).agg(F.count(F.lit(1)).alias("near"))
+    some = sparse.join(counted.where(F.col("near") >= min_locs).select("id"), "id", "left_semi")
+    cores = points.where(F.col("n") >= min_locs).unionByName(some)
+    first = cores.groupBy("movie_id", "cx", "cy").agg(F.min("id").alias("cell"))
+    cores = cut(salted(cores, first, ["movie_id", "cx", "cy"], "id"))
+    label = labels_of(linked_cells(cores, radius), first.select(F.col("cell").alias("id"))).select(F.col("id").alias("cell"), F.col("label").alias("cluster"))
+    named = cut(salted(cores.withColumnRenamed("cell", "a"), label.withColumnRenamed("cell", "a"), ["a"], "id").select("movie_id", "cx", "cy", "part", "id", "x", "y", "cluster"))
+    rim = _around(sparse.join(named.select("id"), "id", "left_anti"), cells, named, radius).groupBy("movie_id", F.col("p.id").alias("id"), F.col("p.x").alias("x"), F.col("p.y").alias("y")).agg(F.min("o.cluster").alias("cluster"))
+    every = named.select("movie_id", "id", "x", "y", "cluster").unionByName(rim)
+    return every.groupBy("movie_id", "cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
+def pixel_grid(movies: DataFrame, width: int, height: int) -> DataFrame:
+    """movie_id, y, x: every pixel of every movie."""
+    rows = movies.select("movie_id").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
+    return rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+
+
+def summed_area(grid: DataFrame, value: str) -> DataFrame:
+    """A full grid, then total: the sum of value over all pixels not right of or below each (a prefix sum along rows, then along columns)."""
+    along = W.partitionBy("movie_id", "y").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow)
+    down = W.partitionBy("movie_id", "x").orderBy("y").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return grid.withColumn("total", F.sum(value).over(along)).withColumn("total", F.sum("total").over(down))
+
 
+def corner_sums(table: DataFrame, box: int) -> DataFrame:
+    """A summed-area table, then box_sum: the sum over the box whose corner each pixel is, from four of its entries; NULL where the box doesn't fit."""
+    down, along = W.partitionBy("movie_id", "x").orderBy("y"), W.partitionBy("movie_id", "y").orderBy("x")
+    span = lambda c, w: F.lead(c, box - 1).over(w) - F.lag(c, 1, 0).over(w)
+    return table.withColumn("box_sum", span("total", down)).withColumn("box_sum", span("box_sum", along))
 
-def free_boxes(occupied: DataFrame, movies: DataFrame, box: int, width: int, height: int, edge: int, stride: int) -> DataFrame:
-    """movie_id, x, y: corners on the stride grid whose box keeps the edge margin and touches no occupied pixel (movie_id, x, y)."""
-    xs, ys = F.sequence(F.lit(edge), F.lit(width - box - edge), F.lit(stride)), F.sequence(F.lit(edge), F.lit(height - box - edge), F.lit(stride))
-    grid = movies.select("movie_id").distinct().withColumn("x", F.explode(xs)).withColumn("y", F.explode(ys))
-    covers = grid.withColumn("px", F.explode(F.expr(f"sequence(x, x + {box - 1})"))).withColumn("py", F.explode(F.expr(f"sequence(y, y + {box - 1})")))
-    taken = covers.join(occupied.select("movie_id", F.col("x").alias("px"), F.col("y").alias("py")).distinct(), ["movie_id", "px", "py"]).select("movie_id", "x", "y").distinct()
-    return grid.join(taken, ["movie_id", "x", "y"], "left_anti")
+
+def free_boxes(occupied: DataFrame, movies: DataFrame, box: int, width: int, height: int, edge: int, stride: int = 1) -> DataFrame:
+    """movie_id, x, y: corners on the stride grid (every pixel by default) whose box touches no occupied pixel (movie_id, x, y).
+
+    Corners lie from edge up to, and without, side - box - edge. A summed-area table gives each box in four look-ups, whatever its size.
+    """
+    marks = occupied.select("movie_id", "y", "x").distinct().withColumn("n", F.lit(1))
+    grid = pixel_grid(movies, width, height).join(marks, ["movie_id", "y", "x"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    free = corner_sums(summed_area(grid, "n"), box).where("box_sum = 0")
+    inside = lambda c, side: (F.col(c) >= edge) & (F.col(c) < side - box - edge) & ((F.col(c) - edge) % stride == 0)
+    return free.where(inside("x", width) & inside("y", height)).select("movie_id", "x", "y")
 
 
 def max_projection(pixels: DataFrame) -> DataFrame:
@@ -186,22 +293,22 @@ def crop_length(pixels: DataFrame, length: int) -> DataFrame:
     return pixels.where(F.col("frame") < length).join(long_, "movie_id", "left_semi")
 
 
-def sample_boxes(candidates: DataFrame, box: int, n: int, seed: int = 42) -> DataFrame:
-    """Up to n boxes a movie that don't overlap, greedily in a seeded order; movies run in parallel, one movie's candidates in one task."""
-    import pandas as pd
-
-    from ..functions.seeded import order_key
+def sample_boxes(candidates: DataFrame, movies: DataFrame, box: int, n: int, width: int, height: int, seed: int = 42) -> DataFrame:
+    """movie_id, x, y: the first n boxes a movie that a walk over the candidates in a seeded order would take, skipping what overlaps a taken one.
 
-    rows = candidates.select("movie_id", "x", "y", order_key(seed, "box", F.col("movie_id"), F.col("x"), F.col("y")).alias("key"))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        for i in pdf["key"].to_numpy().argsort(kind="stable"):
-            if all(abs(x[i] - x[j]) >= box or abs(y[i] - y[j]) >= box for j in kept):
-                kept.append(i)
-                if len(kept) == n:
-                    break
-        return pdf.iloc[kept][["movie_id", "x", "y"]]
-
-    return rows.groupBy("movie_id").applyInPandas(greedy, candidates.select("movie_id", "x", "y").schema)
+    The walk is done in rounds over all movies at once: a candidate with the least key of all open candidates that it overlaps is taken
+    whatever the others do, and closes those. The least key around a pixel is a minimum along rows and then along columns of the whole grid,
+    so no pair of boxes is built and no movie meets in one task; rounds are few, as in any greedy choice in random order. candidates: distinct corners inside width x height.
+    """
+    key = order_key(seed, "box", F.col("movie_id"), F.col("x"), F.col("y"))
+    grid = pixel_grid(movies, width, height).join(candidates.select("movie_id", "y", "x", F.lit(True).alias("open")), ["movie_id", "y", "x"], "left")
+    now = cut(grid.select("movie_id", "y", "x", F.when(F.col("open"), key).alias("key"), F.lit(None).cast("string").alias("taken")))
+    along = W.partitionBy("movie_id", "y").orderBy("x").rowsBetween(1 - box, box - 1)
+    down = W.partitionBy("movie_id", "x").orderBy("y").rowsBetween(1 - box, box - 1)
+    while now.where("key is not null").take(1):
+        least = now.withColumn("least", F.min("key").over(along)).withColumn("least", F.min("least").over(down))
+        first = least.withColumn("new", F.col("key") == F.col("least"))
+        near = first.withColumn("near", F.max("new").over(down)).withColumn("near", F.max("near").over(along))
+        now = cut(near.select("movie_id", "y", "x", F.when(~F.coalesce("near", F.lit(False)), F.col("key")).alias("key"), F.when(F.col("new"), F.col("key")).otherwise(F.col("taken")).alias("taken")))
+    taken = now.where("taken is not null").withColumn("_r", F.row_number().over(W.partitionBy("movie_id").orderBy("taken")))
+    return taken.where(F.col("_r") <= n).select("movie_id", "x", "y")

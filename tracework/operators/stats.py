@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -13,21 +15,55 @@ from pyspark.sql import types as T
 from .ordered import running
 
 
+#: The p-value is exact where a sample has at most so many values and no value occurs twice.
+EXACT_MOST = 8
+#: Beyond so many values of the larger sample its places are taken as continuous.
+COUNTED_MOST = 250_000
+
+
+@lru_cache(64)
+def null_counts(m: int, n: int) -> tuple[np.ndarray, int]:
+    """(ways in which u is at most 0, 1, ..., m n // 2, all ways) to place m values among n, as whole numbers.
+
+    By recurrence on m: a further value adds any multiple of its rank, and what would pass n is taken off again.
+    """
+    ways = np.zeros(m * n // 2 + 1, object)
+    ways[0] = 1
+    for i in range(1, m + 1):
+        for first in range(min(i, len(ways))):
+            ways[first::i] = np.cumsum(ways[first::i])
+        if n + i < len(ways):
+            ways[n + i :] = ways[n + i :] - ways[: -(n + i)]
+    return np.cumsum(ways), math.comb(m + n, m)
+
+
+def exact_p(m: int, n: int, u: float) -> float:
+    """Two-sided p-value of u (of either sample) for untied samples of m <= n values."""
+    least = int(min(u, m * n - u))
+    if n <= COUNTED_MOST:
+        upto, every = null_counts(m, n)
+        return min(1.0, 2 * (int(upto[least]) / every))
+    x = (least + (m + 1) / 2) / (n + 1)  # sum of m uniforms
+    return min(1.0, 2 * sum((-1) ** k * math.comb(m, k) * (x - k) ** m for k in range(int(x) + 1)) / math.factorial(m))
+
+
 @F.pandas_udf(T.DoubleType())
-def _two_sided(z: pd.Series) -> pd.Series:
-    """P(|Z| >= z) in Arrow batches; there is one row a test."""
-    return z.map(lambda x: min(1.0, math.erfc(x / math.sqrt(2))), na_action="ignore")
+def _two_sided(z: pd.Series, n1: pd.Series, n2: pd.Series, u: pd.Series, exact: pd.Series) -> pd.Series:
+    """Exact p-values where told, else P(|Z| >= z); there is one row a test."""
+    normal = z.map(lambda x: min(1.0, math.erfc(x / math.sqrt(2))), na_action="ignore")
+    return pd.Series([exact_p(int(min(a, b)), int(max(a, b)), v) if e else p for p, a, b, v, e in zip(normal, n1, n2, u, exact, strict=True)], dtype="float64")
 
 
 def mann_whitney(rows: DataFrame, group: str, first: str, value: str = "value", keys: list[str] | None = None) -> DataFrame:
-    """keys, n1, n2, u, r (1 - 2 u / (n1 n2)), p: two-sided, normal with ties and continuity; NULL for fewer than 2 in a class.
+    """keys, n1, n2, u, r (1 - 2 u / (n1 n2)), p: two-sided; NULL for fewer than 2 in a class.
 
+    p is exact where the smaller class has at most EXACT_MOST values and none is tied, else normal with ties and continuity.
     Values are counted first and ranked by ranges of the value; NULL and NaN are left out.
     """
     keys = keys or []
     ok = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
     counts = ok.groupBy(*keys, F.col(value).alias("v")).agg(F.sum((F.col(group) == first).cast("long")).alias("a"), F.count(F.lit(1)).alias("c"))
-    ranks = running(counts, keys, ["v"], {"upto": "c"}).withColumn("rank", F.col("upto") - (F.col("c") - 1) / 2)
+    ranks = running(counts, keys, [*keys, "v"], {"upto": "c"}).withColumn("rank", F.col("upto") - (F.col("c") - 1) / 2)
     c = F.col("c").cast("double")
     sums = ranks.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("a")).alias("r1"), F.sum("a").cast("double").alias("n1"), F.sum(F.col("c") - F.col("a")).cast("double").alias("n2"), F.sum(c * c * c - c).alias("ties"))
     n1, n2 = F.col("n1"), F.col("n2")
@@ -35,8 +71,8 @@ def mann_whitney(rows: DataFrame, group: str, first: str, value: str = "value",
     u = F.col("r1") - n1 * (n1 + 1) / 2
     spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
     enough = (n1 >= 2) & (n2 >= 2)
-    out = sums.select(*keys, n1.cast("long").alias("n1"), n2.cast("long").alias("n2"), F.when(enough, u).alias("u"), F.when(enough, 1 - 2 * u / (n1 * n2)).alias("r"), F.when(enough & (spread > 0), F.greatest(F.lit(0.0), F.abs(u - n1 * n2 / 2) - 0.5) / spread).alias("z"))
-    return out.withColumn("p", _two_sided(F.col("z"))).drop("z")
+    out = sums.select(*keys, n1.cast("long").alias("n1"), n2.cast("long").alias("n2"), F.when(enough, u).alias("u"), F.when(enough, 1 - 2 * u / (n1 * n2)).alias("r"), F.when(enough & (spread > 0), F.greatest(F.lit(0.0), F.abs(u - n1 * n2 / 2) - 0.5) / spread).alias("z"), (enough & (F.col("ties") == 0) & (F.least(n1, n2) <= EXACT_MOST)).alias("exact"))
+    return out.withColumn("p", _two_sided(*[F.col(c) for c in ("z", "n1", "n2", "u", "exact")])).drop("z", "exact")
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p", family: list[str] | None = None) -> DataFrame:

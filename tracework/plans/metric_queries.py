@@ -248,6 +248,23 @@ def h18_mann_whitney(spark, sf_dir):
     return rounded(stats.mann_whitney(X.two_class_values(spark, sf_dir), "class_name", "click").drop("p"))
 
 
+@query("""WITH RECURSIVE v AS (SELECT user_id, event_type = 'click' AS a, CAST(value AS DOUBLE) AS v FROM events WHERE event_type IN ('click', 'view') AND value IS NOT NULL),
+ c AS (SELECT user_id, v, count(*) AS c, count(*) FILTER (WHERE a) AS a FROM v GROUP BY 1, 2),
+ k AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY v) - (c - 1) / 2.0::DOUBLE AS rank FROM c),
+ s AS (SELECT user_id, sum(rank * a) AS r1, sum(a)::DOUBLE AS n1, sum(c - a)::DOUBLE AS n2, sum(c * c * c - c)::DOUBLE AS ties FROM k GROUP BY 1),
+ u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u, least(n1, n2)::BIGINT AS m, (n1 + n2)::BIGINT AS n FROM s WHERE n1 >= 2 AND n2 >= 2),
+ w AS (SELECT 0 AS n, 0 AS m, 0 AS total, 1::DOUBLE AS ways
+   UNION ALL SELECT n + 1, m + d, total + d * (n + 1), sum(ways) FROM w, (SELECT unnest([0, 1]) AS d) WHERE n < (SELECT max(n) FROM u WHERE m <= 8) AND m + d <= 8 GROUP BY n, m + d, total + d * (n + 1)),
+ e AS (SELECT user_id, sum(ways) FILTER (WHERE total - w.m * (w.m + 1) / 2 <= least(u, n1 * n2 - u)) / sum(ways) AS tail FROM u JOIN w USING (n, m) GROUP BY 1),
+ z AS (SELECT *, greatest(0, abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))) / sqrt(2) AS x FROM u),
+ p AS (SELECT *, CASE WHEN x = 0 THEN 1 ELSE 1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 150), lambda k: exp(2 * k * ln(2) + (2 * k + 1) * ln(x) - lgamma(2 * k + 2) + lgamma(k + 1)))) END AS normal FROM z)
+ SELECT user_id, n1::BIGINT AS n1, n2::BIGINT AS n2, u, round(1 - 2 * u / (n1 * n2), 6) AS r, round(least(1, CASE WHEN ties = 0 AND m <= 8 THEN 2 * tail ELSE normal END), 6) AS p FROM p LEFT JOIN e USING (user_id)""")
+def h18_rank_tests_by_user(spark, sf_dir):
+    """A test for every user; those with at most eight clicks or views and no ties have exact p-values."""
+    rows = X.table(spark, sf_dir, "events").where("event_type IN ('click', 'view')").selectExpr("user_id", "event_type", "CAST(value AS DOUBLE) AS value")
+    return rounded(stats.mann_whitney(rows, "event_type", "click", keys=["user_id"]).where("u is not null"))
+
+
 def _tests(spark, sf_dir):
     return X.fold_metrics(spark, sf_dir).groupBy("aug_factor").agg(F.avg("auc").alias("a")).select("aug_factor", F.round((F.col("aug_factor") + 1) / 50 + F.col("a") / 100, 9).alias("p"))
 

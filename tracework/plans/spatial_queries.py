@@ -106,20 +106,29 @@ def c7_density_clusters(spark, sf_dir):
     return rounded(spatial.density_clusters(_numbered(X.localizations(spark, sf_dir)), 1.5, 3))
 
 
-@query(with_sql("rois", "gt_spots", then=_CELLS + f""", g AS (SELECT m.movie_id, x, y FROM (SELECT DISTINCT movie_id FROM rois) m, (SELECT unnest(range(10, {SIDE - BOX - 10} + 1, 12)) AS x), (SELECT unnest(range(10, {SIDE - BOX - 10} + 1, 12)) AS y)),
- q AS (SELECT DISTINCT movie_id, px, py FROM c)
- SELECT movie_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM g WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.movie_id = g.movie_id AND q.px BETWEEN g.x AND g.x + {BOX - 1} AND q.py BETWEEN g.y AND g.y + {BOX - 1})"""))
-def c10_free_boxes(spark, sf_dir):
+EDGE = 10
+_FREE = _CELLS + f""", q AS (SELECT DISTINCT movie_id, px - dx AS x, py - dy AS y FROM c, (SELECT unnest(range({BOX})) AS dx), (SELECT unnest(range({BOX})) AS dy)),
+ g AS (SELECT movie_id, x, y FROM (SELECT DISTINCT movie_id FROM rois) m, (SELECT unnest(range({EDGE}, {SIDE - BOX - EDGE})) AS x), (SELECT unnest(range({EDGE}, {SIDE - BOX - EDGE})) AS y)),
+ free AS (SELECT movie_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM g ANTI JOIN q USING (movie_id, x, y))"""
+
+
+def _free(spark, sf_dir):
     rois = X.rois(spark, sf_dir)
     taken = spatial.box_pixels(rois, BOX, SIDE, SIDE).select("movie_id", F.col("px").alias("x"), F.col("py").alias("y"))
-    return spatial.free_boxes(taken, rois, BOX, SIDE, SIDE, 10, 12)
+    return spatial.free_boxes(taken, rois, BOX, SIDE, SIDE, EDGE)
+
+
+@query(with_sql("rois", then=_FREE + " SELECT * FROM free"))
+def c10_free_boxes(spark, sf_dir):
+    return _free(spark, sf_dir)
 
 
-@query()
+# The walk itself: each step of the recursion takes a movie's least open candidate and drops what it overlaps.
+@query(_recursive(with_sql("rois", then=_FREE + f""", w AS (SELECT 0 AS step, *, first_value(x) OVER o AS tx, first_value(y) OVER o AS ty FROM (SELECT *, md5(concat('42:box:', movie_id, ':', x, ':', y)) AS key FROM free) WINDOW o AS (PARTITION BY movie_id ORDER BY key)
+ UNION ALL SELECT step + 1, movie_id, x, y, key, first_value(x) OVER o, first_value(y) OVER o FROM w WHERE step < 39 AND (abs(x - tx) >= {BOX} OR abs(y - ty) >= {BOX}) WINDOW o AS (PARTITION BY movie_id ORDER BY key))
+ SELECT DISTINCT movie_id, tx AS x, ty AS y FROM w""")))
 def f9_background_positions(spark, sf_dir):
-    rois = X.rois(spark, sf_dir)
-    taken = spatial.box_pixels(rois, BOX, SIDE, SIDE).select("movie_id", F.col("px").alias("x"), F.col("py").alias("y"))
-    return spatial.sample_boxes(spatial.free_boxes(taken, rois, BOX, SIDE, SIDE, 10, 3), BOX, 40)
+    return spatial.sample_boxes(_free(spark, sf_dir), X.rois(spark, sf_dir), BOX, 40, SIDE, SIDE)
 
 
 @query(with_sql("pixels", then="SELECT movie_id, y, x, max(intensity) AS intensity FROM pixels GROUP BY 1, 2, 3"))
