@@ -40,9 +40,9 @@ from pyspark.sql import types as T
 from .common import binary_array, chunks, hide, ranges, show, written
 
 CHUNK, OVERLAP, GUARD, GROWTH = 1 << 14, 1 << 10, 4, 16
-BATCH_BYTES = 1 << 20
+BATCH_BYTES, BATCH_IDS = 1 << 20, 1 << 18
 #: A task remembers the ids of so many different matches; longer ones than CACHED are encoded each time.
-REMEMBERED, CACHED = 1 << 18, 64
+REMEMBERED, CACHED = 1 << 17, 64
 
 
 @lru_cache(2)
@@ -193,6 +193,17 @@ def encode(docs: DataFrame, vocabulary: str, chunk: int = CHUNK, overlap: int =
         chunk, overlap = chunk * GROWTH, overlap * GROWTH
 
 
+def _by_ids(batches, ids: str):
+    """Batches cut to about BATCH_IDS ids (one long row may exceed it)."""
+    for batch in batches:
+        ends = np.cumsum(batch.column(ids).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        row = 0
+        while row < batch.num_rows:
+            stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + BATCH_IDS, "right")))
+            yield batch.slice(row, stop - row)
+            row = stop
+
+
 def decode(rows: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     """rows, then decoded (binary): the bytes of the ids, joined. A column of that name is replaced."""
 
@@ -202,13 +213,13 @@ def decode(rows: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
         sizes = np.array([-1 if t is None else len(t) for t in table], np.int64)
         first = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))])
         data = np.frombuffer(b"".join(t for t in table if t is not None), np.uint8)
-        for batch in batches:
+        for batch in _by_ids(batches, ids):
             column = batch.column(ids)
             lists = column.fill_null([]) if column.null_count else column
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             if len(flat) and (flat.min() < 0 or flat.max() >= len(table) or (sizes[flat] < 0).any()):
                 raise ValueError("an id is not in the vocabulary")
-            counts = np.diff(lists.offsets.to_numpy())
+            counts = lists.value_lengths().to_numpy(zero_copy_only=False)
             size = sizes[flat]
             every = data[np.repeat(first[flat], size) + ranges(size)]
             ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
