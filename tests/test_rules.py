@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracework.operators import spatial, stats
+from tracework.operators import certainty, dwell, gates, peaks, spatial, stats
 
 
 def test_exact_rank_test_equals_enumeration(spark):
@@ -121,3 +121,121 @@ def test_one_hot_cell_and_its_neighbours(spark):
     found = spatial.density_clusters(rows, 1.0, 3).collect()
     assert sorted((r.cluster, r.n) for r in found) == [(0, 20_002), (40_000, 10_000)]
     assert spatial.density_clusters(rows.where("false"), 1.0, 3).collect() == []
+
+
+def plain_peaks(x, height, width):
+    """Peak by peak: flat tops above both neighbours, walks to both sides until something higher, interpolated crossings at half of the prominence."""
+    n, found, i = len(x), 0, 1
+    while i < n - 1:
+        end = i
+        while end < n - 1 and x[end + 1] == x[i]:
+            end += 1
+        if x[i - 1] < x[i] and end < n - 1 and x[end + 1] < x[i]:
+            p = (i + end) // 2
+            left, low_left, base_left = p, x[p], p
+            while left >= 0 and x[left] <= x[p]:
+                if x[left] < low_left:
+                    low_left, base_left = x[left], left
+                left -= 1
+            right, low_right, base_right = p, x[p], p
+            while right < n and x[right] <= x[p]:
+                if x[right] < low_right:
+                    low_right, base_right = x[right], right
+                right += 1
+            level = x[p] - (x[p] - max(low_left, low_right)) / 2
+            a = p
+            while base_left < a and level < x[a]:
+                a -= 1
+            b = p
+            while b < base_right and level < x[b]:
+                b += 1
+            a_at = a + (level - x[a]) / (x[a + 1] - x[a]) if x[a] < level else a
+            b_at = b - (level - x[b]) / (x[b - 1] - x[b]) if x[b] < level else b
+            found += x[p] >= height and b_at - a_at >= width
+        i = end + 1
+    return found
+
+
+def test_peaks_of_a_batch_equal_the_walks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    traces = [rng.integers(0, 6, n).astype(float) for n in (1, 2, 3, 5, 60, 61, 200)] + [rng.normal(size=n) for n in (3, 64, 300)] + [np.zeros(0), np.ones(9), np.array([0, 1, 2, 1, 0.0])]
+    for width in (0.5, 2.0, 3.0):
+        heights = np.array([0.5 * t.std() for t in traces if len(t)] or [0])
+        heights = np.array([0.5 * t.std(ddof=1) if len(t) > 1 else np.nan for t in traces])
+        assert peaks.counts(traces, heights, width).tolist() == [plain_peaks(t, h, width) for t, h in zip(traces, heights, strict=True)]
+    rows = [(i, t.tolist()) for i, t in enumerate(traces)] + [(90, None), (91, [1.0, float("nan"), 0.0, 3.0, 1.0])]
+    df = spark.createDataFrame(rows, "id int, values array<double>")
+    for name, rule in (("spread", lambda t: 0.5 * t.std(ddof=1)), ("tail", lambda t: 3 * t[-50:].std(ddof=1))):
+        want = {i: int(plain_peaks(t, rule(t), 2.0)) if len(t) > 1 else 0 for i, t in enumerate(traces)} | {90: None, 91: 0}
+        assert {r.id: r.n for r in df.select("id", peaks.peak_count(F.col("values"), height=name).alias("n")).collect()} == want
+
+
+def test_tail_of_a_flat_and_a_short_trace(spark):
+    df = spark.createDataFrame([(1, [1.0, 3.0] + [2.0] * 60), (2, [1.0, 2.0, 4.0]), (3, [5.0])], "trace_id int, values array<double>")
+    found = {r.trace_id: r for r in gates.tail_statistics(df).collect()}
+    assert found[1].snr == 0.0 and found[3].snr == 0.0 and found[3].tail_std is None
+    assert found[2].tail_std == pytest.approx(np.std([1, 2, 4], ddof=1)) and found[2].snr == pytest.approx(1.0)
+
+
+def test_window_of_a_trace_without_a_run(spark):
+    frames = spark.createDataFrame([(t, f, float(v), v > 0) for t, row in ((1, [0] * 30), (2, [0] * 20 + [5, 6] + [1] * 8), (3, [0] * 5)) for f, v in enumerate(row)], "trace_id int, frame int, intensity double, on boolean")
+    found = dwell.runs(frames, 1, extra=(F.avg("intensity").alias("run_intensity"),))
+    lengths = frames.groupBy("trace_id").agg(F.count(F.lit(1)).cast("int").alias("length"))
+    rows = {r.trace_id: tuple(r)[1:] for r in dwell.highest_run_window(found, lengths, 10).collect()}
+    assert rows == {1: (15, 10, 20), 2: (24, 19, 29), 3: (2, 0, 5)}
+    assert tuple(dwell.highest_run_window(found, lengths, 7).where("trace_id = 1").collect()[0])[1:] == (15, 12, 19)
+
+
+def test_reasons_of_few_peaks(spark):
+    df = spark.createDataFrame([(1, 0, -1, -1, -1), (2, 1, 5, 5, -1), (3, 2, 5, 90, 85), (4, None, None, None, None)], "id int, n_peaks int, first_peak int, last_peak int, delta_first_second int")
+    limits = gates.Gates(min_peaks=0, first_before=4, gap_below=50, last_after=60)
+    found = {r.id: list(r.reasons) for r in df.select("id", gates.failures(limits).alias("reasons")).collect()}
+    assert found == {
+        1: ["n_peaks=0 <= 0", "n_peaks=0", "n_peaks=0 < 2 (cannot check delta)"], 2: ["first_peak=5 >= 4", "n_peaks=1 < 2 (cannot check delta)", "last_peak=5 <= 60"],
+        3: ["first_peak=5 >= 4", "delta_1-2=85 >= 50"], 4: ["n_peaks=0 <= 0", "n_peaks=0", "n_peaks=0 < 2 (cannot check delta)"],
+    }
+
+
+def test_diagnosis_below_the_separation_and_of_narrow_runs(spark):
+    rng = np.random.default_rng(5)
+    low = rng.normal(0, 0.1, 200)
+    spikes = low.copy()
+    spikes[[20, 60, 61, 62, 100, 101, 102, 103]] += 5.0
+    df = spark.createDataFrame([(1, spikes.tolist()), (2, low.tolist())], "trace_id int, values array<double>")
+    all_, wide = (({r.trace_id: r for r in gates.diagnose(df, gates.Gates(snr_min=4.0, min_width=w)).collect()}) for w in (1, 2))
+    assert (all_[1].n_peaks, wide[1].n_peaks) == (3, 2) and all_[1].first_peak == 20 and wide[1].first_peak in (60, 61, 62)
+    assert all_[2].separation < 4 and (all_[2].n_peaks, all_[2].first_peak, all_[2].last_peak, all_[2].delta_first_second) == (0, -1, -1, -1) and "n_peaks=0" in all_[2].reasons
+
+
+def test_distance_by_linear_quantiles(spark):
+    df = spark.createDataFrame([("a", 0.0), ("a", 0.0), ("a", 10.0), ("b", 1.0), ("b", 1.0), ("b", 1.0), ("c", 2.0)], "g string, value double")
+
+    def want(x, y):
+        m = max(len(x), len(y))
+        q = (np.arange(m) + 0.5) / m
+        return np.abs(np.quantile(x, q) - np.quantile(y, q)).mean()
+
+    assert certainty.wasserstein_rows(df, "g", "a", "b").first()[0] == pytest.approx(want([0, 0, 10], [1, 1, 1])) == pytest.approx(23 / 9)
+    assert certainty.wasserstein_rows(df, "g", "c", "a").first()[0] == pytest.approx(want([2], [0, 0, 10]))
+    assert certainty.wasserstein_rows(df, "g", "a", "none").first()[0] == pytest.approx(10 / 3)
+    lists = spark.createDataFrame([([0.0, 10.0, 0.0, 3.0], [1.0, 5.0], [])], "a array<double>, b array<double>, e array<double>")
+    assert lists.select(certainty.wasserstein(F.col("a"), F.col("b"))).first()[0] == pytest.approx(want([0, 10, 0, 3], [1, 5]))
+
+
+def test_confidence_thresholds_equal_masks(spark):
+    rng = np.random.default_rng(6)
+    probs = rng.dirichlet([1, 1, 1], 200)
+    label = rng.integers(0, 3, 200)
+    df = spark.createDataFrame([(int(y), p.tolist()) for y, p in zip(label, probs, strict=True)], "label int, probs array<double>")
+    best = {"macro_f1": (-1, 0), "balanced_accuracy": (-1, 0)}
+    rows = {r.threshold_no: r for r in certainty.confidence_sweep(df, 3).collect()}
+    for i, t in enumerate(np.linspace(0, 1, 51)):
+        keep = probs.max(1) >= t
+        y, p = label[keep], probs[keep].argmax(1)
+        f1 = [2 * ((y == c) & (p == c)).sum() / max(1, (y == c).sum() + (p == c).sum()) for c in range(3)]
+        recall = [((y == c) & (p == c)).sum() / (y == c).sum() for c in range(3) if (y == c).any()]
+        want = {"macro_f1": float(np.mean(f1)) if keep.any() else 0.0, "balanced_accuracy": float(np.mean(recall)) if recall else 0.0}
+        assert rows[i].kept == keep.sum() and all(rows[i][m] == pytest.approx(v) for m, v in want.items())
+        best = {m: max(best[m], (v, -i)) for m, v in want.items()}
+    for m, (v, i) in best.items():
+        assert tuple(certainty.best_confidence_threshold(df, 3, m).first()) == pytest.approx((-i / 50, v))

@@ -23,15 +23,17 @@ def _interpolate(values: Column, length: Column) -> Column:
     return arrays.let(bound, lambda b: F.transform(F.sequence(F.lit(0), b["last"]), lambda i: place(b, i)))
 
 
-def augmented(rows: DataFrame, factor: int, id_: str = "trace_id", seed: int = 42, warp: float = 0.1, noise: float = 0.05, scale: float = 0.05) -> DataFrame:
-    """factor - 1 copies of each row (values, copy from 1): a resampling round trip, noise of ``noise`` stds, a factor within 1 +- scale."""
+def augmented(rows: DataFrame, factor: int, id_: str = "trace_id", seed: int = 42, warp: float = 0.03, noise: float = 0.02, scale: float = 0.02) -> DataFrame:
+    """factor - 1 copies of each row (values, copy from 1): a resampling round trip through a length that is normally spread around the trace's (``warp``, within 5 %),
+    normal noise of ``noise`` times the spread of what that left, and a normally spread factor (``scale``, within 5 %).
+    """
     copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(factor - 1)))) if factor > 1 else rows.withColumn("copy", F.lit(1)).where("false")
     key = (F.col(id_), F.col("copy"))
     v = F.col("values")
-    length = F.greatest(F.lit(2), F.round(F.size(v) * (1 + warp * (2 * uniform(seed, "warp", *key) - 1)))).cast("int")
-    there = copies.withColumn("_v", arrays.let(_interpolate(v, length), lambda w: _interpolate(w, F.size(v))))
-    spread, factor_ = arrays.std(v) * noise, F.greatest(F.lit(0.95), F.least(F.lit(1.05), 1 + scale * normal(seed, "scale", *key)))
-    bound = F.struct(F.col("_v").alias("v"), spread.alias("s"), factor_.alias("f"))
+    near = lambda salt, sigma: F.greatest(F.lit(0.95), F.least(F.lit(1.05), 1 + sigma * normal(seed, salt, *key)))
+    length = F.floor(F.size(v) * near("warp", warp)).cast("int")
+    there = copies.withColumn("_v", F.when(length > 1, arrays.let(_interpolate(v, length), lambda w: _interpolate(w, F.size(v)))).otherwise(v))
+    bound = F.struct(F.col("_v").alias("v"), (arrays.std(F.col("_v")) * noise).alias("s"), near("scale", scale).alias("f"))
     noisy = arrays.let(bound, lambda b: F.transform(b["v"], lambda x, i: (x + b["s"] * normal(seed, "noise", *key, i)) * b["f"]))
     return there.withColumn("values", noisy).drop("_v")
 

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from ..sources.scratch import cut
 from . import metrics
 from .ordered import running
 
@@ -23,16 +24,16 @@ def wasserstein_equal(a: Column, b: Column) -> Column:
 
 
 def _quantile(ordered: Column, q: Column) -> Column:
-    """Linear interpolation at mid positions (i + 0.5) / n, flat beyond the ends."""
+    """Linear interpolation between the two values around place q (n - 1)."""
     n = F.size(ordered)
-    at = F.greatest(F.lit(0.0), F.least((n - 1).cast("double"), q * n - 0.5))
+    at = q * (n - 1)
     low = F.floor(at).cast("int")
     high = F.least(low + 1, n - 1)
     return F.get(ordered, low) + (at - low) * (F.get(ordered, high) - F.get(ordered, low))
 
 
 def wasserstein(a: Column, b: Column) -> Column:
-    """Any sizes, by interpolated mid-quantiles at the larger size; an empty side counts as zeros, two as 0."""
+    """Any sizes: mean difference of the quantiles (i + 0.5) / m, m being the larger size; an empty side counts as zeros, two as 0."""
     sides = F.struct(F.sort_array(a).alias("x"), F.sort_array(b).alias("y"), F.greatest(F.size(a), F.size(b)).alias("m"))
     gaps = arrays.let(sides, lambda s: F.transform(F.sequence(F.lit(0), s["m"] - 1), lambda i: F.abs(_quantile(s["x"], (i + 0.5) / s["m"]) - _quantile(s["y"], (i + 0.5) / s["m"]))))
     one = lambda v: F.aggregate(F.transform(v, lambda z: F.abs(z)), F.lit(0.0), lambda s, z: s + z) / F.size(v)
@@ -43,20 +44,21 @@ def wasserstein(a: Column, b: Column) -> Column:
 def wasserstein_rows(rows: DataFrame, group: str, first: str, second: str, value: str = "value") -> DataFrame:
     """One row: distance, as wasserstein gives it, of two groups of rows of any size: values are ranked by ranges and joined on the rank.
 
-    The larger group's own ranks are its mid-quantiles; the other's are interpolated between two of its ranks. NULL values are left out.
+    Each quantile of a group lies between two of its ranks; both groups are asked for as many quantiles as the larger one has values. NULL values are left out.
     """
     kept = rows.where(F.col(group).isin(first, second) & F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), F.lit(1).alias("one"))
-    placed = running(kept, ["g"], ["v"], {"upto": "one"}).select("g", "v", (F.col("upto") - 1).alias("i"))
-    size = lambda name: F.sum((F.col("g") == name).cast("long"))
-    sizes = kept.agg(F.coalesce(size(first), F.lit(0)).alias("n1"), F.coalesce(size(second), F.lit(0)).alias("n2"))
-    sizes = sizes.select(F.when(F.col("n1") >= F.col("n2"), first).otherwise(second).alias("large"), F.greatest("n1", "n2").alias("m"), F.least("n1", "n2").alias("n"))
-    both = placed.crossJoin(F.broadcast(sizes))  # one row
-    grid = both.where("g = large").select("i", F.col("v").alias("x"), "n", F.greatest(F.lit(0.0), F.least((F.col("n") - 1).cast("double"), (F.col("i") + 0.5) / F.col("m") * F.col("n") - 0.5)).alias("place"))
-    small = both.where("g != large").select(F.col("i").alias("at"), F.col("v").alias("y"))
+    placed = cut(running(kept, ["g"], ["v"], {"upto": "one"}).select("g", "v", (F.col("upto") - 1).alias("i")))
+    size = lambda name: F.coalesce(F.sum((F.col("g") == name).cast("long")), F.lit(0))
+    sizes = kept.agg(size(first).alias("n1"), size(second).alias("n2"))
+    sizes = sizes.select(F.when(F.col("n1") >= F.col("n2"), first).otherwise(second).alias("large"), F.greatest("n1", "n2").alias("m"), F.least("n1", "n2").alias("least"))
+    grid = placed.crossJoin(F.broadcast(sizes)).where("g = large").select("i", "m", "least", F.explode(F.array(F.struct(F.col("g").alias("g"), F.col("m").alias("n"), F.lit(1).alias("sign")), F.struct(F.when(F.col("g") == first, second).otherwise(first).alias("g"), F.col("least").alias("n"), F.lit(-1).alias("sign")))).alias("s"))  # one row
+    place = F.when(F.col("least") == 0, F.col("i").cast("double")).otherwise((F.col("i") + 0.5) / F.col("m") * (F.col("s.n") - 1))
+    grid = grid.select("i", F.col("s.g").alias("g"), F.col("s.sign").alias("sign"), F.col("s.n").alias("n"), place.alias("place")).where("n > 0")
     grid = grid.withColumn("low", F.floor("place")).withColumn("high", F.least(F.col("low") + 1, F.col("n") - 1))
-    found = grid.join(small.withColumnRenamed("at", "low"), "low", "left").join(small.select(F.col("at").alias("high"), F.col("y").alias("z")), "high", "left")
-    gap = F.abs(F.col("x") - F.coalesce(F.col("y") + (F.col("place") - F.col("low")) * (F.col("z") - F.col("y")), F.lit(0.0)))
-    return found.agg(F.coalesce(F.avg(gap), F.lit(0.0)).alias("distance"))
+    at = lambda name, v: placed.select("g", F.col("i").alias(name), F.col("v").alias(v))
+    found = grid.join(at("low", "y"), ["g", "low"]).join(at("high", "z"), ["g", "high"])
+    gaps = found.groupBy("i").agg(F.abs(F.sum(F.col("sign") * (F.col("y") + (F.col("place") - F.col("low")) * (F.col("z") - F.col("y"))))).alias("gap"))
+    return gaps.agg(F.coalesce(F.avg("gap"), F.lit(0.0)).alias("distance"))
 
 
 def certainty(passes: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -125,7 +127,7 @@ def best_binary_threshold(rows: DataFrame, metric: str = "mcc", steps: int = 101
     return binary_sweep(rows, steps).agg(best.alias("b")).select("b.threshold", "b.value")
 
 
-def best_class_thresholds(rows: DataFrame, steps: int = 51) -> DataFrame:
+def best_class_thresholds(rows: DataFrame, steps: int = 101) -> DataFrame:
     """label, probs -> class, threshold, value: one-versus-rest thresholds by MCC for every class, in one pass."""
     each = rows.select("label", F.posexplode("probs").alias("class", "score")).select("class", "score", (F.col("label") == F.col("class")).cast("int").alias("label"))
     number = F.least(F.lit(steps - 1), F.floor(F.col("score") * (steps - 1) + 1e-12)).cast("int")
@@ -140,6 +142,34 @@ def best_class_thresholds(rows: DataFrame, steps: int = 51) -> DataFrame:
     return best.select("class", (F.col("b.threshold_no") / (steps - 1)).alias("threshold"), F.col("b.mcc").alias("value"))
 
 
+def confidence_sweep(rows: DataFrame, classes: int, steps: int = 51) -> DataFrame:
+    """label, probs -> threshold_no, threshold, kept, macro_f1, balanced_accuracy of the rows whose largest probability reaches each threshold.
+
+    Rows are counted once in a cube of (last threshold reached, label, predicted class); sums from the top threshold down give all of them in one pass.
+    macro_f1 is over all classes, balanced_accuracy over those with rows; both are 0 where nothing is kept.
+    """
+    spark = rows.sparkSession
+    ticks = F.array(*[F.lit(i * (1.0 / (steps - 1))) for i in range(steps)])
+    reached = F.size(F.filter(ticks, lambda t: t <= F.array_max("probs"))) - 1
+    cube = rows.select(reached.alias("threshold_no"), F.col("label").cast("int").alias("label"), arrays.argmax(F.col("probs")).alias("pred")).groupBy("threshold_no", "label", "pred").agg(F.count(F.lit(1)).alias("n"))
+    each = lambda n, name: spark.range(n).select(F.col("id").cast("int").alias(name))
+    cells = each(steps, "threshold_no").crossJoin(each(classes, "label")).crossJoin(each(classes, "pred")).join(cube, ["threshold_no", "label", "pred"], "left")
+    up = W.partitionBy("label", "pred").orderBy(F.desc("threshold_no")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = cells.select("threshold_no", "label", "pred", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("n"))
+    sides = sums.select("threshold_no", "n", (F.col("label") == F.col("pred")).alias("hit"), F.posexplode(F.array("label", "pred")).alias("side", "class"))
+    of = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    rates = sides.groupBy("threshold_no", "class").agg(of(F.col("hit") & (F.col("side") == 0)).alias("tp"), of(F.col("side") == 0).alias("support"), F.sum("n").alias("both"))
+    f1 = F.when(F.col("both") > 0, 2 * F.col("tp") / F.col("both")).otherwise(0.0)
+    found = rates.groupBy("threshold_no").agg(F.sum("support").alias("kept"), F.avg(f1).alias("macro_f1"), F.coalesce(F.avg(F.when(F.col("support") > 0, F.col("tp") / F.col("support"))), F.lit(0.0)).alias("balanced_accuracy"))
+    return found.select("threshold_no", (F.col("threshold_no") * F.lit(1.0 / (steps - 1))).alias("threshold"), "kept", "macro_f1", "balanced_accuracy")
+
+
+def best_confidence_threshold(rows: DataFrame, classes: int, metric: str = "macro_f1", steps: int = 51) -> DataFrame:
+    """One row: threshold, value: the one confidence threshold with the best metric, the first of equals."""
+    best = F.max_by(F.struct("threshold", F.col(metric).alias("value")), F.struct(F.round(F.col(metric), 12), (-F.col("threshold_no")).alias("t")))
+    return confidence_sweep(rows, classes, steps).agg(best.alias("b")).select("b.threshold", "b.value")
+
+
 def apply_threshold(probs: Column, threshold: float | list[float], classes: int, uncertain_argmax: bool = False) -> Column:
     """Class number: binary by probability of class 1; else the argmax if it reaches its threshold, otherwise -1 (or the argmax all the same)."""
     from ..functions.arrays import argmax

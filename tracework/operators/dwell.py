@@ -80,9 +80,11 @@ def array_runs(on: Column, min_width: int = 1) -> Column:
     return F.aggregate(on, zero, step, close)
 
 
-def highest_run_window(found: DataFrame, length: Column, half: int, keys: tuple[str, ...] = ("trace_id",)) -> DataFrame:
-    """keys, centre, window_start, window_end: 2 half frames around the middle of the run with the largest mean, clamped into the trace."""
-    best = found.groupBy(*keys, length.alias("length")).agg(F.max_by(F.struct("start", "end"), F.struct("run_intensity", (-F.col("run")).alias("r"))).alias("b"))
-    centre = F.floor((F.col("b.start") + F.col("b.end")) / 2).cast("int")
-    start = F.greatest(F.lit(0), F.least(centre - half, F.col("length") - 2 * half))
-    return best.select(*keys, centre.alias("centre"), start.alias("window_start"), F.least(start + 2 * half, F.col("length")).alias("window_end"))
+def highest_run_window(found: DataFrame, lengths: DataFrame, frames: int, keys: tuple[str, ...] = ("trace_id",)) -> DataFrame:
+    """keys, centre, window_start, window_end for every trace of lengths (keys, length): so many frames around the middle of the run with the largest mean, clamped into the trace; without a run around the trace's middle."""
+    best = found.groupBy(*keys).agg(F.max_by(F.struct("start", "end"), F.struct("run_intensity", (-F.col("run")).alias("r"))).alias("b"))
+    rows = lengths.select(*keys, "length").join(best, list(keys), "left")
+    centre = F.coalesce(F.floor((F.col("b.start") + F.col("b.end")) / 2), F.floor(F.col("length") / 2)).cast("int")
+    width = F.least(F.lit(frames), F.col("length"))
+    start = F.least(F.greatest(F.lit(0), centre - frames // 2), F.col("length") - width)
+    return rows.select(*keys, centre.alias("centre"), start.alias("window_start"), (start + width).alias("window_end"))

@@ -21,6 +21,7 @@ class Gates:
     first_before: int = 1000
     gap_below: int = 1000
     last_after: int = 3000
+    min_width: int = 1  # of a run
 
 
 def frame_statistics(traces: DataFrame) -> DataFrame:
@@ -70,25 +71,32 @@ def peak_gate(gates: Gates) -> Column:
 
 
 def failures(gates: Gates) -> Column:
-    """Reasons, as strings, why a trace fails (the duty cycle isn't among them); empty: it passes."""
-    n = F.coalesce("n_peaks", F.lit(0))
+    """Reasons, as strings, why a trace's peaks fail (duty cycle and separation aren't among them); empty: they pass."""
+    n, text = F.coalesce("n_peaks", F.lit(0)), lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    first, gap, last = F.col("first_peak"), F.col("delta_first_second"), F.col("last_peak")
     tests = [
-        (F.coalesce("separation", F.lit(0.0)) < gates.snr_min, "separation too low"), (n <= gates.min_peaks, "too few peaks"),
-        ((n > 0) & (F.col("first_peak") >= gates.first_before), "first peak too late"), ((n > 1) & (F.col("delta_first_second") >= gates.gap_below), "second peak too late"),
-        ((n > 0) & (F.col("last_peak") <= gates.last_after), "last peak too early"),
+        (n <= gates.min_peaks, text("n_peaks=", n, f" <= {gates.min_peaks}")), (n == 0, F.lit("n_peaks=0")),
+        ((n > 0) & (first >= gates.first_before), text("first_peak=", first, f" >= {gates.first_before}")),
+        (n < 2, text("n_peaks=", n, " < 2 (cannot check delta)")), ((n > 1) & (gap >= gates.gap_below), text("delta_1-2=", gap, f" >= {gates.gap_below}")),
+        ((n > 0) & (last <= gates.last_after), text("last_peak=", last, f" <= {gates.last_after}")),
     ]
-    return F.array_compact(F.array(*[F.when(test, F.lit(text)) for test, text in tests]))
+    return F.array_compact(F.array(*[F.when(test, reason) for test, reason in tests]))
 
 
 def diagnose(traces: DataFrame, gates: Gates, threshold: float = 0.9, min_separation: float = 3.0, experiments: DataFrame | None = None) -> DataFrame:
-    """trace_id, separation, duty, peaks, mean to min, passed, reasons, experiment (Unknown where missing)."""
+    """trace_id, separation, duty, peaks, mean to min, passed, reasons, experiment (Unknown where missing).
+
+    A trace below the least separation has no peaks, and runs narrower than the least width have none; first_peak and last_peak are -1 without peaks.
+    A mixture moves with its values, so its separation is that of the trace without background.
+    """
     fitted = mixture.with_mixture(traces)
     v, m = F.col("values"), F.col("mixture")
     rows = fitted.withColumn("separation", mixture.separation(m)).withColumn("on", mixture.on_mask(v, m, threshold, min_separation))
     peak = lambda r: F.array_position(F.slice(v, r["start"] + 1, r["end"] - r["start"] + 1), F.array_max(F.slice(v, r["start"] + 1, r["end"] - r["start"] + 1))).cast("int") - 1 + r["start"]
-    rows = rows.withColumn("p", F.transform(dwell.array_runs(F.col("on")), peak))
+    found = F.transform(dwell.array_runs(F.col("on"), gates.min_width), peak)
+    rows = rows.withColumn("p", F.when(snr_gate(F.col("separation"), gates), found).otherwise(F.array().cast("array<int>")))
     rows = rows.select(
-        "trace_id", "separation", duty_cycle(F.col("on")).alias("duty"), F.size("p").alias("n_peaks"), F.get("p", F.lit(0)).alias("first_peak"), F.when(F.size("p") > 0, F.array_max("p")).alias("last_peak"),
+        "trace_id", "separation", duty_cycle(F.col("on")).alias("duty"), F.size("p").alias("n_peaks"), F.coalesce(F.get("p", F.lit(0)), F.lit(-1)).alias("first_peak"), F.coalesce(F.array_max("p"), F.lit(-1)).alias("last_peak"),
         F.when(F.size("p") > 1, F.get("p", F.lit(1)) - F.get("p", F.lit(0))).otherwise(-1).alias("delta_first_second"), arrays.mean(v).alias("mean"), arrays.std(v, 1).alias("std"), F.array_max(v).alias("max"), F.array_min(v).alias("min"),
     )
     rows = rows.withColumn("reasons", failures(gates)).withColumn("passed", F.size("reasons") == 0)
@@ -104,7 +112,7 @@ def passed_share(rows: DataFrame, passed: Column, keys: list[str]) -> DataFrame:
 
 
 def tail_statistics(traces: DataFrame, mean_frames: int = 500, std_frames: int = 50) -> DataFrame:
-    """trace_id, tail_mean, tail_std (population), snr = std / tail std (NULL for a flat tail)."""
+    """trace_id, tail_mean, tail_std (ddof 1), snr = std / tail std (ddof 1; 0 for a flat tail)."""
     v = F.col("values")
-    tail_std = arrays.std(arrays.tail(v, std_frames))
-    return traces.select("trace_id", arrays.mean(arrays.tail(v, mean_frames)).alias("tail_mean"), tail_std.alias("tail_std"), F.when(tail_std > 0, arrays.std(v) / tail_std).alias("snr"))
+    tail_std = arrays.std(arrays.tail(v, std_frames), 1)
+    return traces.select("trace_id", arrays.mean(arrays.tail(v, mean_frames)).alias("tail_mean"), tail_std.alias("tail_std"), F.when(tail_std > 0, arrays.std(v, 1) / tail_std).otherwise(0.0).alias("snr"))

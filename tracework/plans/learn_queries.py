@@ -37,7 +37,22 @@ def h16_mirror(spark, sf_dir):
     return rounded(rows.select("trace_id", F.posexplode("m").alias("frame", "intensity")))
 
 
-@query()
+def _normal_sql(salt: str, ids: str) -> str:
+    u = lambda n: f"(CAST('0x' || substr(md5(concat('42:{salt}/{n}:', {ids})), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+    return f"(sqrt(-2 * ln(greatest({u(1)}, 1e-12))) * cos({u(2)} * 6.283185307179586))"
+
+
+def _interpolated_sql(values: str, length: str) -> str:
+    """A list at ``length`` evenly spaced places."""
+    at = f"least(len({values}) - 1, i * ((len({values}) - 1) / ({length} - 1)))"
+    return f"list_transform(range({length}), lambda i: {values}[CAST(floor({at}) AS INT) + 1] + ({at} - floor({at})) * ({values}[least(CAST(floor({at}) AS INT) + 2, len({values}))] - {values}[CAST(floor({at}) AS INT) + 1]))"
+
+
+@query(with_sql("traces", then=f"""c AS (SELECT trace_id, copy, values AS v, CAST(floor(len(values) * greatest(0.95::DOUBLE, least(1.05::DOUBLE, 1 + 0.03::DOUBLE * {_normal_sql("warp", "trace_id, ':', copy")}))) AS BIGINT) AS n, greatest(0.95::DOUBLE, least(1.05::DOUBLE, 1 + 0.02::DOUBLE * {_normal_sql("scale", "trace_id, ':', copy")})) AS f FROM traces, (SELECT unnest([1, 2]) AS copy)),
+ w AS (SELECT *, {_interpolated_sql("v", "n")} AS w FROM c), b AS (SELECT *, {_interpolated_sql("w", "len(v)")} AS b FROM w),
+ s AS (SELECT *, sqrt(list_sum(list_transform(b, lambda x: (x - list_avg(b)) ** 2)) / len(b)) AS s FROM b),
+ o AS (SELECT trace_id, copy, (x + 0.02::DOUBLE * s * {_normal_sql("noise", "trace_id, ':', copy, ':', frame")}) * f AS x FROM (SELECT trace_id, copy, s, f, unnest(b) AS x, generate_subscripts(b, 1) - 1 AS frame FROM s))
+ SELECT trace_id, copy, round(avg(x), 6) + 0.0 AS mean, round(stddev_pop(x), 6) AS std FROM o GROUP BY 1, 2"""))
 def h15_augment(spark, sf_dir):
     rows = augment.augmented(X.traces(spark, sf_dir), 3)
     return rounded(rows.select("trace_id", "copy", arrays.mean(F.col("values")).alias("mean"), arrays.std(F.col("values")).alias("std")))

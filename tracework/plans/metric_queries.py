@@ -148,7 +148,7 @@ def h7_certainty(spark, sf_dir):
 
 @query(with_sql("two_class_values", then="""o AS (SELECT class_name, value, row_number() OVER (PARTITION BY class_name ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY class_name) AS n FROM two_class_values),
  g AS (SELECT unnest(range((SELECT max(n) FROM o))) AS k), m AS (SELECT max(n) AS m FROM o),
- z AS (SELECT k, c.class_name, greatest(0, least(c.n - 1, (k + 0.5::DOUBLE) / m * c.n - 0.5)) AS place FROM g, m, (SELECT DISTINCT class_name, n FROM o) c),
+ z AS (SELECT k, c.class_name, (k + 0.5::DOUBLE) / m * (c.n - 1) AS place FROM g, m, (SELECT DISTINCT class_name, n FROM o) c),
  y AS (SELECT z.k, z.class_name, a.value + (place - floor(place)) * (b.value - a.value) AS v FROM z JOIN o a ON a.class_name = z.class_name AND a.i = floor(place) JOIN o b ON b.class_name = z.class_name AND b.i = least(floor(place) + 1, b.n - 1))
  SELECT round(avg(d), 6) AS distance FROM (SELECT k, abs(max(v) FILTER (WHERE class_name = 'click') - max(v) FILTER (WHERE class_name = 'view')) AS d FROM y GROUP BY 1)"""))
 def h8_wasserstein(spark, sf_dir):
@@ -178,14 +178,41 @@ def h11_binary_threshold(spark, sf_dir):
 
 
 @query(with_sql("predictions_mc", then=_P + """, e AS (SELECT 1 AS class, score AS s, label AS hit FROM q UNION ALL SELECT 0, 1 - score, 1 - label FROM q),
- n AS (SELECT class, hit, least(50, floor(s * 50 + 1e-12)) AS place FROM e), th AS (SELECT unnest(range(51)) AS t),
+ n AS (SELECT class, hit, least(100, floor(s * 100 + 1e-12)) AS place FROM e), th AS (SELECT unnest(range(101)) AS t),
  t AS (SELECT class, t, count(*) FILTER (WHERE place >= t AND hit = 1)::DOUBLE AS tp, count(*) FILTER (WHERE place >= t AND hit = 0)::DOUBLE AS fp, count(*) FILTER (WHERE place < t AND hit = 0)::DOUBLE AS tn, count(*) FILTER (WHERE place < t AND hit = 1)::DOUBLE AS fn FROM th CROSS JOIN n GROUP BY 1, 2),
  s AS (SELECT class, t, CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) > 0 THEN (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) ELSE 0 END AS mcc FROM t)
- SELECT CAST(class AS INT) AS class, round(first(t ORDER BY round(mcc, 12) DESC, t) / 50.0::DOUBLE, 6) AS threshold, round(first(mcc ORDER BY round(mcc, 12) DESC, t), 6) AS value FROM s GROUP BY 1"""))
+ SELECT CAST(class AS INT) AS class, round(first(t ORDER BY round(mcc, 12) DESC, t) / 100.0::DOUBLE, 6) AS threshold, round(first(mcc ORDER BY round(mcc, 12) DESC, t), 6) AS value FROM s GROUP BY 1"""))
 def h12_class_thresholds(spark, sf_dir):
     return rounded(certainty.best_class_thresholds(predictions(spark, sf_dir)))
 
 
+_THREE = """, r AS (SELECT CASE WHEN pass % 4 = 0 THEN 2 ELSE label END AS label, exp(2 - 2 * prob1) AS a, exp(2 * prob1) AS b, exp((sample_id % 10) / 5.0::DOUBLE) AS c FROM predictions_mc),
+ k AS (SELECT label, CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS pred, greatest(a, b, c) / (a + b + c) AS top FROM r),
+ th AS (SELECT i, i * 0.02::DOUBLE AS threshold FROM (SELECT unnest(range(51)) AS i)),
+ n AS (SELECT i, threshold, class, count(*) FILTER (WHERE label = class AND pred = class) AS tp, count(*) FILTER (WHERE label = class) AS support, count(*) FILTER (WHERE pred = class) AS predicted FROM th JOIN k ON top >= threshold, (SELECT unnest(range(3)) AS class) GROUP BY 1, 2, 3),
+ m AS (SELECT th.i, th.threshold, coalesce(avg(CASE WHEN support + predicted > 0 THEN 2.0::DOUBLE * tp / (support + predicted) ELSE 0 END) FILTER (WHERE n.i IS NOT NULL), 0) AS macro_f1, coalesce(avg(tp * 1.0::DOUBLE / support) FILTER (WHERE support > 0), 0) AS balanced_accuracy, coalesce(CAST(sum(support) AS BIGINT), 0) AS kept FROM th LEFT JOIN n ON th.i = n.i GROUP BY 1, 2)"""
+
+
+def three_classes(spark, sf_dir):
+    """Every stochastic pass as a prediction over three classes."""
+    rows = X.predictions_mc(spark, sf_dir)
+    scores = F.array(2 - 2 * F.col("prob1"), 2 * F.col("prob1"), (F.col("sample_id") % 10) / F.lit(5.0))
+    return rows.select(F.when(F.col("pass") % 4 == 0, 2).otherwise(F.col("label")).alias("label"), arrays.softmax(scores).alias("probs"))
+
+
+@query(with_sql("predictions_mc", then=_THREE[2:] + " SELECT CAST(i AS INT) AS threshold_no, round(threshold, 6) AS threshold, kept, round(macro_f1, 6) AS macro_f1, round(balanced_accuracy, 6) AS balanced_accuracy FROM m"))
+def h12_confidence_sweep(spark, sf_dir):
+    return rounded(certainty.confidence_sweep(three_classes(spark, sf_dir), 3))
+
+
+@query(with_sql("predictions_mc", then=_THREE[2:] + """ SELECT 'macro_f1' AS metric, round(first(threshold ORDER BY round(macro_f1, 12) DESC, i), 6) AS threshold, round(max(macro_f1), 6) AS value FROM m
+ UNION ALL SELECT 'balanced_accuracy', round(first(threshold ORDER BY round(balanced_accuracy, 12) DESC, i), 6), round(max(balanced_accuracy), 6) FROM m"""))
+def h12_global_threshold(spark, sf_dir):
+    rows = three_classes(spark, sf_dir)
+    each = [certainty.best_confidence_threshold(rows, 3, m).withColumn("metric", F.lit(m)) for m in ("macro_f1", "balanced_accuracy")]
+    return rounded(each[0].unionByName(each[1]).select("metric", "threshold", "value"))
+
+
 @query(with_sql("predictions_mc", then=_P + " SELECT sample_id, CASE WHEN score >= 0.6 THEN 1 ELSE 0 END AS binary_class, CASE WHEN greatest(score, 1 - score) >= 0.7 THEN pred ELSE -1 END AS class_or_none FROM q"))
 def h13_apply_threshold(spark, sf_dir):
     rows = predictions(spark, sf_dir)

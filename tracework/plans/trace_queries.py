@@ -160,7 +160,7 @@ def e8_unique_ids(spark, sf_dir):
     return numbered(rows, "compound", ["path"]).select("path", "compound", "trace_id")
 
 
-@query(with_sql("frames", then="""f AS MATERIALIZED (SELECT trace_id, frame, intensity AS x FROM frames), n AS (SELECT trace_id, any_value(class_idx) AS class_idx, count(*) AS n, stddev_pop(intensity) / 2 AS height FROM frames GROUP BY 1),
+_PEAKS = """f AS MATERIALIZED (SELECT trace_id, frame, intensity AS x FROM frames), n AS (SELECT trace_id, any_value(class_idx) AS class_idx, count(*) AS n, {height} AS height FROM (SELECT *, count(*) OVER (PARTITION BY trace_id) AS all_frames FROM frames) GROUP BY 1),
  c AS (SELECT *, CASE WHEN x = lag(x) OVER w THEN 0 ELSE 1 END AS turn FROM f WINDOW w AS (PARTITION BY trace_id ORDER BY frame)), g AS (SELECT *, sum(turn) OVER (PARTITION BY trace_id ORDER BY frame) AS flat FROM c),
  t AS (SELECT trace_id, flat, any_value(x) AS h, min(frame) AS s, max(frame) AS e FROM g GROUP BY 1, 2),
  pk AS (SELECT trace_id, (s + e) // 2 AS peak, h FROM t QUALIFY h > lag(h) OVER (PARTITION BY trace_id ORDER BY flat) AND h > lead(h) OVER (PARTITION BY trace_id ORDER BY flat)),
@@ -170,22 +170,29 @@ def e8_unique_ids(spark, sf_dir):
  ab AS (SELECT trace_id, peak, level, max(frame) FILTER (frame <= peak AND x <= level) AS i, min(frame) FILTER (frame >= peak AND x <= level) AS j FROM mm JOIN f USING (trace_id) WHERE frame BETWEEN lm AND rm GROUP BY 1, 2, 3),
  wd AS (SELECT ab.trace_id, j - CASE WHEN b.x < level THEN (level - b.x) / (b1.x - b.x) ELSE 0 END - (i + CASE WHEN a.x < level THEN (level - a.x) / (a1.x - a.x) ELSE 0 END) AS width
   FROM ab JOIN f a ON a.trace_id = ab.trace_id AND a.frame = i JOIN f b ON b.trace_id = ab.trace_id AND b.frame = j LEFT JOIN f a1 ON a1.trace_id = ab.trace_id AND a1.frame = i + 1 LEFT JOIN f b1 ON b1.trace_id = ab.trace_id AND b1.frame = j - 1)
- SELECT trace_id, class_idx, CAST(count(width) FILTER (width >= 2) AS INT) AS n_peaks FROM n LEFT JOIN wd USING (trace_id) GROUP BY 1, 2"""))
+ SELECT trace_id, class_idx, CAST(count(width) FILTER (width >= 2) AS INT) AS n_peaks FROM n LEFT JOIN wd USING (trace_id) GROUP BY 1, 2"""
+
+
+@query(with_sql("frames", then=_PEAKS.format(height="stddev_samp(intensity) / 2")))
 def e11_local_peaks(spark, sf_dir):
     return X.long_traces(spark, sf_dir).select("trace_id", "class_idx", peaks.peak_count(F.col("values")).alias("n_peaks"))
 
 
-@query(with_sql("frames", then="f AS (SELECT *, count(*) OVER (PARTITION BY trace_id) AS n FROM frames) SELECT trace_id, round(avg(intensity) FILTER (WHERE frame >= n - 500), 6) AS tail_mean, round(stddev_pop(intensity) FILTER (WHERE frame >= n - 50), 6) AS tail_std, round(stddev_pop(intensity) / stddev_pop(intensity) FILTER (WHERE frame >= n - 50), 6) AS snr FROM f GROUP BY 1"))
+@query(with_sql("frames", then=_PEAKS.format(height="3 * stddev_samp(intensity) FILTER (WHERE frame >= all_frames - 50)")))
+def e11_peaks_over_the_tail(spark, sf_dir):
+    return X.long_traces(spark, sf_dir).select("trace_id", "class_idx", peaks.peak_count(F.col("values"), height="tail").alias("n_peaks"))
+
+
+@query(with_sql("frames", then="f AS (SELECT *, count(*) OVER (PARTITION BY trace_id) AS n FROM frames) SELECT trace_id, round(avg(intensity) FILTER (WHERE frame >= n - 500), 6) AS tail_mean, round(stddev_samp(intensity) FILTER (WHERE frame >= n - 50), 6) AS tail_std, round(coalesce(stddev_samp(intensity) / nullif(stddev_samp(intensity) FILTER (WHERE frame >= n - 50), 0), 0), 6) AS snr FROM f GROUP BY 1"))
 def e12_tail_statistics(spark, sf_dir):
     return rounded(gates.tail_statistics(X.long_traces(spark, sf_dir)))
 
 
-@query(with_sql("frames", then=_FRAME_RUNS + ", l AS (SELECT trace_id, count(*) AS n FROM frames GROUP BY 1), b AS (SELECT trace_id, first(s ORDER BY m DESC, run) AS s, first(e ORDER BY m DESC, run) AS e FROM r GROUP BY 1) SELECT trace_id, CAST((s + e) // 2 AS INT) AS centre, CAST(greatest(0, least((s + e) // 2 - 20, n - 40)) AS INT) AS window_start, CAST(least(greatest(0, least((s + e) // 2 - 20, n - 40)) + 40, n) AS INT) AS window_end FROM b JOIN l USING (trace_id)"))
+@query(with_sql("frames", then=_FRAME_RUNS + ", l AS (SELECT trace_id, count(*) AS n FROM frames GROUP BY 1), b AS (SELECT trace_id, first(s ORDER BY m DESC, run) AS s, first(e ORDER BY m DESC, run) AS e FROM r GROUP BY 1), m AS (SELECT trace_id, n, least(40, n) AS w, coalesce((s + e) // 2, n // 2) AS centre FROM l LEFT JOIN b USING (trace_id)) SELECT trace_id, CAST(centre AS INT) AS centre, CAST(least(greatest(0, centre - 20), n - w) AS INT) AS window_start, CAST(least(greatest(0, centre - 20), n - w) + w AS INT) AS window_end FROM m"))
 def e13_highest_peak_window(spark, sf_dir):
     f = on_frames(spark, sf_dir)
     found = dwell.runs(f, 1, ("trace_id",), (F.avg("intensity").alias("run_intensity"),))
-    length = f.groupBy("trace_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    return dwell.highest_run_window(found.join(length, "trace_id"), F.col("n"), 20)
+    return dwell.highest_run_window(found, f.groupBy("trace_id").agg(F.count(F.lit(1)).cast("int").alias("length")), 40)
 
 
 @query(with_sql("frames", then="""p AS (SELECT trace_id, avg(intensity) AS mu, min(intensity) AS lo, max(intensity) AS hi FROM frames GROUP BY 1),
@@ -264,9 +271,9 @@ def b8_peak_gates(spark, sf_dir):
     return found.where(gates.peak_gate(_GATES)).select("trace_id", "n_peaks")
 
 
-@query(with_sql("frames", then=_SUMMARY + " SELECT trace_id, array_to_string(list_filter([CASE WHEN n_peaks <= 120 THEN 'too few peaks' END, CASE WHEN first_peak >= 3 THEN 'first peak too late' END, CASE WHEN n_peaks > 1 AND delta >= 4 THEN 'second peak too late' END, CASE WHEN last_peak <= 560 THEN 'last peak too early' END], lambda x: x IS NOT NULL), ';') AS reasons FROM p"))
+@query(with_sql("frames", then=_SUMMARY + " SELECT trace_id, array_to_string(list_filter([CASE WHEN n_peaks <= 120 THEN 'n_peaks=' || n_peaks || ' <= 120' END, CASE WHEN n_peaks = 0 THEN 'n_peaks=0' END, CASE WHEN n_peaks > 0 AND first_peak >= 3 THEN 'first_peak=' || first_peak || ' >= 3' END, CASE WHEN n_peaks < 2 THEN 'n_peaks=' || n_peaks || ' < 2 (cannot check delta)' END, CASE WHEN n_peaks > 1 AND delta >= 4 THEN 'delta_1-2=' || delta || ' >= 4' END, CASE WHEN n_peaks > 0 AND last_peak <= 560 THEN 'last_peak=' || last_peak || ' <= 560' END], lambda x: x IS NOT NULL), ';') AS reasons FROM p"))
 def b9_gate_reasons(spark, sf_dir):
-    found = dwell.peak_summary(dwell.runs(on_frames(spark, sf_dir))).withColumn("separation", F.lit(9.0))
+    found = dwell.peak_summary(dwell.runs(on_frames(spark, sf_dir)))
     return found.select("trace_id", F.array_join(gates.failures(_GATES), ";").alias("reasons"))
 
 
@@ -297,14 +304,14 @@ def j1_per_trace_function(spark, sf_dir):
 
 
 @query(_mixture_sql("frames", """,
- f AS (SELECT trace_id, frame, x AS intensity, separation >= 2 AND p >= 0.8 AS is_on FROM po), """ + _RUNS.format(width=1) + """,
+ f AS (SELECT trace_id, frame, x AS intensity, separation >= 2 AND p >= 0.8 AS is_on FROM po), """ + _RUNS.format(width=2) + """,
  k AS (SELECT trace_id, CAST(count(*) AS INT) AS n_peaks, CAST(first(peak ORDER BY run) AS INT) AS first_peak, CAST(max(peak) AS INT) AS last_peak, CAST(CASE WHEN count(*) > 1 THEN list_sort(list(peak))[2] - list_sort(list(peak))[1] ELSE -1 END AS INT) AS delta_first_second FROM r GROUP BY 1),
  t AS (SELECT trace_id, avg(CASE WHEN is_on THEN 1.0::DOUBLE ELSE 0 END) AS duty, avg(intensity) AS mean, stddev_samp(intensity) AS std, max(intensity) AS max, min(intensity) AS min FROM f GROUP BY 1),
- d AS (SELECT t.*, separation, coalesce(n_peaks, 0) AS n_peaks, first_peak, last_peak, coalesce(delta_first_second, -1) AS delta_first_second FROM t JOIN mx USING (trace_id) LEFT JOIN k USING (trace_id)),
- w AS (SELECT *, array_to_string(list_filter([CASE WHEN separation < 3 THEN 'separation too low' END, CASE WHEN n_peaks <= 20 THEN 'too few peaks' END, CASE WHEN first_peak >= 30 THEN 'first peak too late' END, CASE WHEN n_peaks > 1 AND delta_first_second >= 30 THEN 'second peak too late' END, CASE WHEN last_peak <= 500 THEN 'last peak too early' END], lambda z: z IS NOT NULL), ';') AS reasons FROM d)
+ d AS (SELECT t.*, separation, coalesce(n_peaks, 0) AS n_peaks, coalesce(first_peak, -1) AS first_peak, coalesce(last_peak, -1) AS last_peak, coalesce(delta_first_second, -1) AS delta_first_second FROM t JOIN mx USING (trace_id) LEFT JOIN (SELECT k.* FROM k JOIN mx USING (trace_id) WHERE separation >= 3) k USING (trace_id)),
+ w AS (SELECT *, array_to_string(list_filter([CASE WHEN n_peaks <= 20 THEN 'n_peaks=' || n_peaks || ' <= 20' END, CASE WHEN n_peaks = 0 THEN 'n_peaks=0' END, CASE WHEN n_peaks > 0 AND first_peak >= 30 THEN 'first_peak=' || first_peak || ' >= 30' END, CASE WHEN n_peaks < 2 THEN 'n_peaks=' || n_peaks || ' < 2 (cannot check delta)' END, CASE WHEN n_peaks > 1 AND delta_first_second >= 30 THEN 'delta_1-2=' || delta_first_second || ' >= 30' END, CASE WHEN n_peaks > 0 AND last_peak <= 500 THEN 'last_peak=' || last_peak || ' <= 500' END], lambda z: z IS NOT NULL), ';') AS reasons FROM d)
  SELECT trace_id, round(separation, 6) AS separation, round(duty, 6) AS duty, n_peaks, first_peak, last_peak, delta_first_second, round(mean, 6) AS mean, round(std, 6) AS std, max, min, reasons, reasons = '' AS passed, CASE WHEN trace_id % 3 = 0 THEN 'Unknown' ELSE 'Exp' || (trace_id % 3) END AS experiment FROM w"""))
 def j3_diagnostics(spark, sf_dir):
     rows = X.long_traces(spark, sf_dir)
     experiments = rows.where("trace_id % 3 > 0").select("trace_id", F.concat(F.lit("Exp"), (F.col("trace_id") % 3).cast("string")).alias("experiment"))
-    found = gates.diagnose(rows, gates.Gates(snr_min=3.0, min_peaks=20, first_before=30, gap_below=30, last_after=500), 0.8, 2.0, experiments)
+    found = gates.diagnose(rows, gates.Gates(snr_min=3.0, min_peaks=20, first_before=30, gap_below=30, last_after=500, min_width=2), 0.8, 2.0, experiments)
     return rounded(found.withColumn("reasons", F.array_join("reasons", ";")))
