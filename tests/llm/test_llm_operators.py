@@ -12,7 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tracework.llm import common, components, language_id, media, mixing, neighbours, packing, quality, queries, simhash, suffix_dedup, token_counts, warc
+from tracework.llm import common, language_id, media, mixing, neighbours, packing, quality, queries, simhash, suffix_dedup, token_counts, warc
+from tracework.operators import components
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, fp string, score string, length int, rank int"

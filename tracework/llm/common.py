@@ -51,27 +51,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-class Rounds:
-    """Written tables of an iteration; those that no later round reads are deleted."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name, self.paths = spark, name, []
-
-    def write(self, df: DataFrame) -> DataFrame:
-        path = new_folder(self.spark, self.name)
-        df.write.parquet(path)
-        self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def forget(self, keep: int = 1) -> None:
-        """Delete all but the last ``keep`` tables."""
-        jvm = self.spark.sparkContext._jvm
-        for path in self.paths[: len(self.paths) - keep]:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        self.paths = self.paths[len(self.paths) - keep :]
-
-
 def quoted(name: str):
     """The column of exactly this name, whatever it holds."""
     return F.col("`" + name.replace("`", "``") + "`")

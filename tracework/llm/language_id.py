@@ -10,7 +10,8 @@ driver receives a (languages x buckets) matrix, never a text.
 Prediction. Log probabilities are broadcast in blocks of ``LANGS`` languages,
 so one broadcast has a fixed bound (``LANGS`` x ``BUCKETS`` floats); more
 languages take more passes over the texts, each of which keeps the best so far
-and the sum of all. Every whole text is scored by numpy in batches: gather the
+and the sum of all. A pass is written before the next block is made, and its block is freed,
+so the driver and the tasks hold one block however many languages there are. Every whole text is scored by numpy in batches: gather the
 rows of its n-grams' buckets and add them up, with the logarithm of the
 language's share of the learning rows. The score is the multinomial posterior
 of the language predicted. Log probabilities are multiples of 2**-16, so sums are exact
@@ -35,7 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, code_points, held_out, hide, show, utf8
+from ..sources.scratch import Rounds
+from .common import chunks, code_points, held_out, hide, show, utf8, written
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
@@ -84,10 +86,21 @@ def _count(batches):
 
 
 class Model:
-    """Languages, and blocks of (log probabilities (BUCKETS, languages) float32, log shares) of LANGS languages each."""
+    """Languages, their log shares, and the counts (lang, bucket, n) of their n-grams, from which blocks of LANGS languages are made one at a time."""
 
-    def __init__(self, langs: list[str], blocks: list[tuple[np.ndarray, np.ndarray]]):
-        self.langs, self.blocks = langs, blocks
+    def __init__(self, langs: list[str], shares: dict[str, int], counted: DataFrame | None):
+        self.langs, self.shares, self.counted = langs, shares, counted
+
+    def blocks(self):
+        """(names, (log probabilities (BUCKETS, languages) float32, log shares)) block after block; none is kept here."""
+        every = sum(self.shares.values())
+        for first in range(0, len(self.langs), LANGS):
+            own = self.langs[first : first + LANGS]
+            found = self.counted.where(F.col("lang").isin(own)).toPandas()
+            counts = np.zeros((BUCKETS, len(own)))
+            counts[found["bucket"].to_numpy(), found["lang"].map({x: i for i, x in enumerate(own)}).to_numpy(dtype=np.int64)] = found["n"].to_numpy()
+            logs = np.log(counts + 0.5) - np.log((counts + 0.5).sum(0))
+            yield own, (_rounded(logs).astype(np.float32), _rounded(np.log(np.array([self.shares[x] for x in own]) / every)))
 
 
 def _rounded(x: np.ndarray) -> np.ndarray:
@@ -98,21 +111,11 @@ def fit(docs: DataFrame, max_train_docs: int = 20_000, seed: int = 42) -> Model:
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out()).select("lang", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
     keep = rows.select("h").distinct().orderBy("h").limit(max_train_docs).agg(F.max("h")).first()[0]
     if keep is None:
-        return Model([], [])
+        return Model([], {}, None)
     chosen = rows.where(F.col("h") <= keep).dropDuplicates(["h", "lang"])
     shares = {r[0]: r[1] for r in chosen.groupBy("lang").count().collect()}  # at most max_train_docs rows
-    counted = chosen.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).persist()
-    langs, blocks = sorted(shares), []
-    for first in range(0, len(langs), LANGS):
-        own = langs[first : first + LANGS]
-        found = counted.where(F.col("lang").isin(own)).toPandas()
-        counts = np.zeros((BUCKETS, len(own)))
-        counts[found["bucket"].to_numpy(), found["lang"].map({x: i for i, x in enumerate(own)}).to_numpy(dtype=np.int64)] = found["n"].to_numpy()
-        logs = np.log(counts + 0.5) - np.log((counts + 0.5).sum(0))
-        prior = np.log(np.array([shares[x] for x in own]) / sum(shares.values()))
-        blocks.append((_rounded(logs).astype(np.float32), _rounded(prior)))
-    counted.unpersist()
-    return Model(langs, blocks)
+    counted = chosen.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return Model(sorted(shares), shares, written(counted, "language-counts") if len(shares) > LANGS else counted)
 
 
 def joint(table: np.ndarray, prior: np.ndarray, points: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -167,9 +170,15 @@ def predict(docs: DataFrame, max_train_docs: int = 20_000, keep_text: bool = Fal
     between = [T.StructField("p_best", T.StringType()), T.StructField("p_top", T.DoubleType()), T.StructField("p_mass", T.DoubleType())]
     if not model.langs:
         rows = rows.select(*[f.name for f in fields if f.name != "text" or keep_text], F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    for i, block in enumerate(model.blocks):
-        last = i == len(model.blocks) - 1
+    rounds = Rounds(docs.sparkSession, "language-scores")
+    for i, (names, block) in enumerate(model.blocks()):
+        last = (i + 1) * LANGS >= len(model.langs)
         schema = T.StructType([*[f for f in fields if f.name != "text" or keep_text or not last], *(found if last else between)])
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        rows = rows.mapInArrow(_scorer(shared, model.langs[i * LANGS : (i + 1) * LANGS], i == 0, last, keep_text), schema)
+        rows = rows.mapInArrow(_scorer(shared, names, i == 0, last, keep_text), schema)
+        if not last:
+            # The pass is run now, so that its block can go before the next one comes.
+            rows = rounds.write(rows)
+            rounds.forget()
+            shared.destroy()
     return show(rows, ["doc_id", *["text"] * keep_text], others, [held_out().alias("held_out"), "lang_pred", "score"])

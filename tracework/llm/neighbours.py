@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Rounds, groups, ranges, utf8, whole_groups, written
+from ..sources.scratch import Rounds
+from .common import groups, ranges, utf8, whole_groups, written
 
 LINKS = 24
 BACK = 24

@@ -181,7 +181,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = 4000, neighbou
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.where(~held_out()).withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
     chosen = known.orderBy("h", "doc_id").limit(max_train_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int").alias("quality"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int").alias("quality"), F.struct("h", "doc_id", F.xxhash64("text").alias("t")).alias("k"))
+    # A doc_id may have many rows: the bound is on different (doc_id, text), counted after the join.
+    keep = rows.select("k").distinct().orderBy("k").limit(max_train_docs).agg(F.max("k").alias("k"))
+    rows = rows.crossJoin(F.broadcast(keep.select(F.col("k").alias("most")))).where("k <= most").dropDuplicates(["k"]).select("text", "quality")  # one row
     found = rows.mapInArrow(_feature_rows, "x binary, quality int").toPandas()
     found = found.sort_values(["quality", "x"])  # whatever order the tasks ended in
     x = np.empty((len(found), DIM), np.float32)

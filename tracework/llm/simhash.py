@@ -15,12 +15,13 @@ vertically, XORed with themselves shifted by d, and summed by carry-save adders
 into vertical counters; a block of lanes is abandoned once every lane in it has
 left the radius. A task emits the links' spanning forest only.
 
-Components are found by Spark joins (see :mod:`components`) on fingerprints
+Components are found by Spark joins (see :mod:`tracework.operators.components`) on fingerprints
 and then mapped to the smallest doc_id.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any
 other; null doc_ids are kept and never serve as component_id unless nothing
-else is there; repeated rows give repeated results; an empty table an empty one.
+else is there; repeated rows give repeated results; an empty table an empty one. Other columns stay but for
+those with the name of a new one, in any case. A very long text is hashed whole, shingle by shingle.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import components, roots_of
 from .common import chunks, groups, hide, ranges, salted_join, show, utf8, written
-from .components import components, roots_of
 
 SEED = 42
 BLOCKS = 6
@@ -248,7 +249,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, blocks: in
     comp = components(links(nodes.select("fp"), radius, blocks), "simhash-links")
     classes = nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("class"))
     lowest = classes.groupBy("class").agg(F.min("low").alias("component_id"))
-    named = classes.join(lowest, "class").select(F.col("fp").alias("n_fp"), "component_id")
+    # A component may hold a large part of all fingerprints.
+    named = salted_join(classes, lowest.withColumnRenamed("class", "l_class"), "class", "l_class", "fp").select(F.col("fp").alias("n_fp"), "component_id")
     out = salted_join(rows, named, "fp", "n_fp", "doc_id")
     return show(out, ["doc_id"], others, [F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"])
 

@@ -448,7 +448,7 @@ def _class_grams(data: np.ndarray, anchor: np.ndarray, before: np.ndarray, after
     for low in np.unique(before).tolist():
         own = before == low
         tail = int(after[own][0])
-        out[own] = _hash_from(data, anchor[own] - low, low + GRAM + tail) + np.uint64(low + 1) * _BASE
+        out[own] = _hash_from(data, anchor[own] - low, low + GRAM + tail) + np.uint64((low + 1) * int(_BASE) % (1 << 64))
     return out
 
 

@@ -11,7 +11,9 @@ The automaton depends on the vocabulary alone and is broadcast; a bounded cache
 in each task keeps the counts of frequent words.
 
 Defined cases: null and blank texts have 0 words and 0 tokens; repeated rows
-and null doc_ids are ordinary rows; an empty table gives an empty result.
+and null doc_ids are ordinary rows; an empty table gives an empty result. Other columns
+stay, whatever their names, but for those with the name of a new one (in any case). A very long
+text is split into its words at once (about 60 bytes a word); a very long word is walked byte by byte.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import chunks, utf8
+from .common import chunks, hide, show, utf8
 
 END = 256
 CACHE_WORDS = 300_000
@@ -107,7 +109,8 @@ class Automaton:
 def count_tokens(docs: DataFrame, vocab_path: str) -> DataFrame:
     """Columns of docs but text, then n_words, n_tokens (long)."""
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(vocabulary(vocab_path)))
-    columns = [c for c in docs.columns if c not in ("text", "n_words", "n_tokens")]
+    hidden, others = hide(docs, ["text"], ["n_words", "n_tokens"])
+    columns = [c for c in hidden.columns if c != "text"]
 
     def run(batches):
         count = shared.value.count
@@ -130,5 +133,5 @@ def count_tokens(docs: DataFrame, vocab_path: str) -> DataFrame:
                     cache.clear()
             yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in columns], pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], [*columns, "n_words", "n_tokens"])
 
-    schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return docs.select(*columns, "text").mapInArrow(run, schema)
+    schema = T.StructType([*[hidden.schema[c] for c in columns], T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    return show(hidden.select(*columns, "text").mapInArrow(run, schema), [], others, ["n_words", "n_tokens"])

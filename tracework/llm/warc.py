@@ -15,7 +15,8 @@ and then only the bytes of its records.
 
 Defined cases: null html is an empty payload; a null page_id makes an ordinary
 record and is never referred to; rows that share page_id and payload are equals
-(both response or both revisit); an empty table gives an empty result.
+(both response or both revisit); an empty table gives an empty result. Only page_id, url and html are read, so
+other columns may have any name. A very long page is one record, which its task holds whole.
 """
 
 from __future__ import annotations
