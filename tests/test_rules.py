@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracework.operators import certainty, dwell, gates, peaks, spatial, stats
+from tracework.operators import certainty, dwell, gates, learn, lockstep, metrics, peaks, spatial, stats
 
 
 def test_exact_rank_test_equals_enumeration(spark):
@@ -239,3 +239,84 @@ def test_confidence_thresholds_equal_masks(spark):
         best = {m: max(best[m], (v, -i)) for m, v in want.items()}
     for m, (v, i) in best.items():
         assert tuple(certainty.best_confidence_threshold(df, 3, m).first()) == pytest.approx((-i / 50, v))
+
+
+@pytest.fixture(scope="module")
+def folded(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, i % 2, (rng.normal(size=12) + (i % 2) * rng.uniform(0, 1.5)).tolist()) for i in range(120)]
+    return learn.fold_table(spark.createDataFrame(rows, "trace_id long, class_idx int, values array<double>"), 3, [0, 3])
+
+
+def own_rows(table, fold, factor):
+    """A fit's training rows by the rule: the other folds' traces and, for factor f, f - 1 copies of each made for this fold."""
+    rows = [r for r in table.collect() if r.fold != fold and (r.copy == 0 or (r.for_fold == fold and r.copy < factor))]
+    return np.array([[r[f] for f in learn.TRACE_FEATURES] for r in rows]), np.array([r.class_idx for r in rows])
+
+
+def test_fold_table_has_every_copy_once(folded):
+    rows = folded.collect()
+    assert len({(r.trace_id, r.for_fold, r.copy) for r in rows}) == len(rows) == 120 + 120 * 2 * 2
+    assert all(r.copy == 0 or r.for_fold != r.fold for r in rows)
+
+
+@pytest.mark.parametrize("kind", [lockstep.Logistic, lockstep.Perceptron])
+def test_fits_taken_together_equal_a_fit_alone(folded, kind):
+    keys = [(f, a) for a in (0, 3) for f in (1, 2, 3)]
+    rows = folded.select("trace_id", "fold", "for_fold", "copy", F.col("class_idx").alias("label"), F.array(*learn.TRACE_FEATURES).alias("x"))
+    scaled = lockstep.scales(rows, keys, learn._fold_member, 6)
+    model = kind(6, 2)
+    weights = lockstep.fit(rows, keys, learn._fold_member, model, scaled, 25)
+    x, y = own_rows(folded, 2, 3)
+    assert scaled[2, 3][0] == len(x) and np.allclose(scaled[2, 3][1], x.mean(0)) and np.allclose(scaled[2, 3][2], x.std(0))
+    z = (x - x.mean(0)) / x.std(0)
+    w, memory = model.start(), {}
+    for _ in range(25):
+        w, done = model.step(w, model.partial(w, z, y), len(x), memory)
+        if done:
+            break
+    assert np.allclose(weights[2, 3], w, atol=1e-6)
+    assert (model.probabilities(w, z).argmax(1) == y).mean() > 0.6
+    if kind is lockstep.Logistic:
+        one = np.concatenate([z, np.ones((len(z), 1))], 1)
+        p = 1 / (1 + np.exp(-one @ w))
+        ridge = lockstep.RIDGE * len(x) * np.array([1.0] * 6 + [1e-6])
+        assert np.abs(one.T @ (p - y) + ridge * w).max() < 1e-6
+
+
+def test_comparison_of_models_over_folds_and_factors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 2, (rng.normal(size=10) * (1 + 2 * (i % 2))).tolist()) for i in range(80)]
+    df = spark.createDataFrame(rows, "trace_id long, class_idx int, values array<double>")
+    found = learn.fold_metrics(learn.cross_validate(df, 2, [0, 3], ["forest", "logistic", "perceptron"], 2, trees=5), 2).collect()
+    assert len(found) == 12 and all(r.n_val == 40 for r in found)
+    assert all(np.mean([r.accuracy for r in found if r.model == m]) > 0.7 for m in ("forest", "logistic", "perceptron"))
+
+
+def test_votes_of_a_forest_are_its_probabilities(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, i % 2, *[float(v) for v in rng.normal(i % 2, 1.5, 3)]) for i in range(90)] + [(500, 1, float("nan"), 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "trace_id long, class_idx int, a double, b double, c double")
+    model = learn.forest(15).fit(learn.assembled(df, ("a", "b", "c"), "class_idx"))
+    want = {r.trace_id: r.probs for r in learn.score(model, df, ("a", "b", "c"), "class_idx").collect()}
+    votes = learn.forest_votes(model, df, ("a", "b", "c"), "class_idx")
+    assert votes.count() == 90 * 15 * 2
+    means = {(r.trace_id, r["class"]): r.p for r in votes.groupBy("trace_id", "class").agg(F.avg("prob").alias("p")).collect()}
+    assert len(want) == 90 and all(means[i, c] == pytest.approx(p[c]) for i, p in want.items() for c in (0, 1))
+    sure = {r.trace_id: r for r in certainty.certainty(votes, ["trace_id", "label"]).collect()}
+    each = {}
+    for r in votes.collect():
+        each.setdefault((r.trace_id, r["class"]), []).append(r.prob)
+    for i in want:
+        assert sure[i].wd == pytest.approx(np.abs(np.sort(each[i, 0]) - np.sort(each[i, 1])).mean())
+
+
+def test_a_tree_by_hand_and_even_votes(spark):
+    """One split between 2 and 3: the leaves' shares are those of their rows; equal shares give class 1."""
+    df = spark.createDataFrame([(i, y, float(x)) for i, (x, y) in enumerate([(1, 0), (2, 0), (3, 1), (4, 1)])] * 5, "trace_id long, class_idx int, a double")
+    tree = learn.forest(1).setSubsamplingRate(1.0).setBootstrap(False).fit(learn.assembled(df, ("a",), "class_idx"))
+    found = {r.trace_id: (r.probs, r.pred) for r in learn.score(tree, df, ("a",), "class_idx").collect()}
+    assert found == {0: ([1.0, 0.0], 0), 1: ([1.0, 0.0], 0), 2: ([0.0, 1.0], 1), 3: ([0.0, 1.0], 1)}
+    even = spark.createDataFrame([([0.5, 0.5],), ([0.6, 0.4],), ([0.4, 0.4, 0.2],)], "p array<double>")
+    assert [r[0] for r in even.select(learn.predicted(F.col("p"))).collect()] == [1, 0, 0]
+    assert metrics.accuracy(df.select(F.col("class_idx").alias("label"), F.lit(1).alias("pred"))).first()[0] == 0.5

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -10,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.seeded import uniform
-from ..sources.scratch import cut
-from . import augment, metrics, sampling
+from ..sources.scratch import cut, folder
+from . import augment, lockstep, metrics, sampling
 
 TRACE_FEATURES = ("mean", "std", "low", "high", "middle", "roughness")
 
@@ -24,16 +29,9 @@ def trace_features(traces: DataFrame) -> DataFrame:
     return traces.select(*[c for c in traces.columns if c != "values"], *[F.coalesce(c, F.lit(0.0)).alias(n) for c, n in zip(cols, TRACE_FEATURES, strict=True)])
 
 
-def forest(trees: int = 500, seed: int = 42) -> RandomForestClassifier:
-    return RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=30 if trees >= 500 else 12, seed=seed, probabilityCol="probability", labelCol="label", featuresCol="features")
-
-
-def models(n_features: int, classes: int, seed: int = 42) -> dict[str, object]:
-    """Estimators of the comparison, by name."""
-    return {
-        "forest": forest(20, seed), "logistic": LogisticRegression(maxIter=20),
-        "perceptron": MultilayerPerceptronClassifier(layers=[n_features, 8, classes], maxIter=20, seed=seed),
-    }
+def forest(trees: int = 500, seed: int = 42, depth: int = 30, memory_mb: int = 1024) -> RandomForestClassifier:
+    """memory_mb is what a pass over the rows may hold of node statistics: enough for all nodes of a level, so a level is one job."""
+    return RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=depth, maxMemoryInMB=memory_mb, seed=seed, probabilityCol="probability", labelCol="label", featuresCol="features")
 
 
 def assembled(rows: DataFrame, features: tuple[str, ...], label: str) -> DataFrame:
@@ -41,15 +39,26 @@ def assembled(rows: DataFrame, features: tuple[str, ...], label: str) -> DataFra
 
 
 def score(model, rows: DataFrame, features: tuple[str, ...], label: str) -> DataFrame:
-    """The rows, then label, probs, pred (the first of the largest)."""
+    """The rows, then label, probs, pred (of two classes the second from 0.5 on; else the first of the largest)."""
     out = model.transform(assembled(rows, features, label)).withColumn("probs", vector_to_array("probability"))
-    return out.withColumn("pred", arrays.argmax(F.col("probs"))).withColumn("label", F.col("label").cast("int")).drop("features", "rawPrediction", "probability", "prediction")
+    return out.withColumn("pred", predicted(F.col("probs"))).withColumn("label", F.col("label").cast("int")).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def classify(rows: DataFrame, features: tuple[str, ...], label: str, id_: str, estimator=None, seed: int = 42) -> tuple[object, DataFrame]:
-    """(model, scored test rows): an 80/20 stratified split, then the classes of each part balanced."""
+def predicted(probs: Column) -> Column:
+    return F.when(F.size(probs) == 2, (F.get(probs, F.lit(1)) >= 0.5).cast("int")).otherwise(arrays.argmax(probs))
+
+
+def split_and_balanced(rows: DataFrame, label: str, id_: str, seed: int = 42) -> DataFrame:
+    """rows, then split: an 80/20 stratified split into train and test, of which each part keeps as many rows of a class as of the smallest."""
     split = cut(sampling.stratified_split(rows, label, id_, {"train": 0.8, "test": 0.2}, seed))
     train, test = (sampling.balance(split.where(F.col("split") == part), label, id_, seed) for part in ("train", "test"))
+    return train.unionByName(test)
+
+
+def classify(rows: DataFrame, features: tuple[str, ...], label: str, id_: str, estimator=None, seed: int = 42) -> tuple[object, DataFrame]:
+    """(model, scored test rows): an 80/20 stratified split, then the classes of each part balanced."""
+    placed = cut(split_and_balanced(rows, label, id_, seed))
+    train, test = placed.where("split = 'train'").drop("split"), placed.where("split = 'test'").drop("split")
     model = (estimator or forest(seed=seed)).fit(assembled(spread(train), features, label))
     return model, score(model, test, features, label)
 
@@ -84,21 +93,105 @@ def stochastic_passes(rows: DataFrame, weights: list[list[float]], bias: list[fl
     return passes.select(id_, "label", "pass", F.posexplode(arrays.softmax(scores)).alias("class", "prob"))
 
 
-def cross_validate(traces: DataFrame, folds: int, factors: list[int], names: list[str], classes: int, seed: int = 42) -> DataFrame:
-    """Scored validation rows of every (model, aug_factor, fold). Only training rows are augmented.
+def _nodes(model, spark) -> pd.DataFrame:
+    """The fitted trees' nodes, read from the saved model: as many as the model on the driver holds."""
+    path = folder(spark, "forest")
+    model.write().save(path)
+    rows = spark.read.parquet(path + "/data").select("treeID", "nodeData.*").select("treeID", "id", "leftChild", "rightChild", "impurityStats", F.col("split.featureIndex").alias("feature"), F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"))
+    return rows.toPandas().sort_values(["treeID", "id"])
+
+
+def forest_votes(model, rows: DataFrame, features: tuple[str, ...], label: str, id_: str = "trace_id") -> DataFrame:
+    """id, label, pass, class, prob: each tree of a fitted forest of numeric features as a pass of its own, with its leaf's class shares.
 
-    The loop runs over the few (model, factor, fold) combinations; each fit and scoring is a Spark job over all rows.
+    The means over the passes are the forest's probabilities, so its votes go where stochastic passes go. Rows with missing features are left out.
     """
+    spark = rows.sparkSession
+    nodes = _nodes(model, spark)
+    sizes = nodes.groupby("treeID").size().to_numpy()
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    offset = np.repeat(first, sizes)
+    stats = np.array(nodes["impurityStats"].tolist(), float)
+    leaf = nodes["leftChild"].to_numpy() < 0
+    trees = spark.sparkContext.broadcast((
+        first, np.where(leaf, np.arange(len(nodes)), nodes["leftChild"].to_numpy() + offset), np.where(leaf, np.arange(len(nodes)), nodes["rightChild"].to_numpy() + offset),
+        np.where(leaf, 0, nodes["feature"].to_numpy()), np.where(leaf, np.inf, nodes["threshold"].to_numpy()), stats / stats.sum(1, keepdims=True), leaf,
+    ))  # the model itself
+    classes = stats.shape[1]
+    ready = rows.select(id_, F.col(label).cast("int").alias("label"), F.array(*[F.col(f).cast("double") for f in features]).alias("x")).where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)))
+
+    def vote(batches):
+        first, left, right, feature, threshold, shares, leaf = trees.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                n, t = part.num_rows, len(first)
+                x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+                at = np.tile(first, (n, 1))
+                while not leaf[at].all():
+                    value = x[np.arange(n)[:, None], feature[at]]
+                    at = np.where(value <= threshold[at], left[at], right[at])
+                again = pa.array(np.repeat(np.arange(n), t * classes))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(id_).take(again), part.column("label").take(again), pa.array(np.tile(np.repeat(np.arange(t, dtype=np.int32), classes), n)), pa.array(np.tile(np.arange(classes, dtype=np.int32), n * t)), pa.array(shares[at].ravel())],
+                    [id_, "label", "pass", "class", "prob"],
+                )
+
+    return ready.mapInArrow(vote, f"{id_} {rows.schema[id_].dataType.simpleString()}, label int, pass int, class int, prob double")
+
+
+def _fold_member(key, columns):
+    """Training rows of a (fold, factor): originals of the other folds, and their copies made for that fold, as many as the factor has."""
+    fold, factor = key
+    return (columns["fold"] != fold) & ((columns["copy"] == 0) | ((columns["for_fold"] == fold) & (columns["copy"] < factor)))
+
+
+def fold_table(traces: DataFrame, folds: int, factors: list[int], seed: int = 42) -> DataFrame:
+    """trace_id, class_idx, fold, for_fold, copy and the trace features: every trace, and the copies of it that the fits of the other folds learn from. Written once."""
     placed = cut(sampling.stratified_folds(traces, "class_idx", "trace_id", folds, seed))
-    out = None
-    for factor in factors:
-        for fold in range(1, folds + 1):
-            train = cut(trace_features(augment.training_rows(placed, fold, factor, seed)))
-            test = trace_features(placed.where(F.col("fold") == fold))
-            for name in names:
-                model = models(len(TRACE_FEATURES), classes, seed)[name].fit(assembled(spread(train), TRACE_FEATURES, "class_idx"))
-                scored = score(model, test, TRACE_FEATURES, "class_idx").select("trace_id", "fold", "label", "pred", "probs", F.lit(name).alias("model"), F.lit(factor).alias("aug_factor"))
-                out = scored if out is None else out.unionByName(scored)
+    out = placed.withColumns({"copy": F.lit(0), "for_fold": F.lit(0)})
+    most = max(factors)
+    for fold in range(1, folds + 1):
+        made = augment.augmented(placed.where(F.col("fold") != fold), most, seed=seed + fold)
+        out = out.unionByName(made.withColumn("for_fold", F.lit(fold)).select(*out.columns))
+    return cut(trace_features(out))
+
+
+def cross_validate(traces: DataFrame, folds: int, factors: list[int], names: list[str], classes: int, seed: int = 42, trees: int = 500, at_once: int = 4) -> DataFrame:
+    """Scored validation rows of every (model, aug_factor, fold): trace_id, fold, label, pred, probs. Only training rows are augmented.
+
+    Features are made once for all fits. The logistic and perceptron fits of all folds and factors take their steps together, each step one job.
+    Forests grow in jobs of their own, ``at_once`` of them side by side, each reading its rows from the one table.
+    """
+    table = fold_table(traces, folds, factors, seed)
+    keys = [(fold, factor) for factor in factors for fold in range(1, folds + 1)]
+    rows = table.select("trace_id", "fold", "for_fold", "copy", F.col("class_idx").cast("int").alias("label"), F.array(*TRACE_FEATURES).alias("x"))
+    held = rows.where("copy = 0")
+    named = F.broadcast(table.sparkSession.createDataFrame([(i, factor) for i, (_, factor) in enumerate(keys)], "key int, aug_factor int"))  # a row a fit
+    parts = []
+    scaled = None
+    for kind in (lockstep.Logistic, lockstep.Perceptron):
+        if kind.name in names:
+            model = kind(len(TRACE_FEATURES), classes, seed)
+            scaled = scaled or lockstep.scales(rows, keys, _fold_member, len(TRACE_FEATURES))
+            weights = lockstep.fit(rows, keys, _fold_member, model, scaled)
+            found = lockstep.scored(held, keys, lambda k, c: c["fold"] == k[0], model, scaled, weights, ["trace_id", "fold", "label"])
+            parts.append(found.join(named, "key").select("trace_id", "fold", "label", predicted(F.col("probs")).alias("pred"), "probs", F.lit(kind.name).alias("model"), "aug_factor"))
+    if "forest" in names:
+
+        def grow(key):
+            fold, factor = key
+            mine = (F.col("fold") != fold) & ((F.col("copy") == 0) | ((F.col("for_fold") == fold) & (F.col("copy") < factor)))
+            return forest(trees, seed).fit(assembled(spread(table.where(mine)), TRACE_FEATURES, "class_idx"))
+
+        with ThreadPoolExecutor(at_once) as pool:
+            grown = list(pool.map(grow, keys))
+        for (fold, factor), model in zip(keys, grown, strict=True):
+            found = score(model, table.where((F.col("copy") == 0) & (F.col("fold") == fold)), TRACE_FEATURES, "class_idx")
+            parts.append(found.select("trace_id", "fold", "label", "pred", "probs", F.lit("forest").alias("model"), F.lit(factor).alias("aug_factor")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 

@@ -82,10 +82,28 @@ def e14_early_stop(spark, sf_dir):
     return rounded(learn.early_stop(X.epochs(spark, sf_dir), patience=5))
 
 
+DWELL = ("mean_on_ms", "mean_off_ms", "std_on_ms", "std_off_ms", "total_on_ms", "total_off_ms")
+
+
+def _dwell(spark, sf_dir):
+    """Two classes of long traces by their six dwell features."""
+    return dwell.forest_features(on_frames(spark, sf_dir), FRAME_MS).withColumn("class_idx", (F.col("trace_id") % 2).cast("int"))
+
+
 @query()
 def f13_importances(spark, sf_dir):
-    model, _ = learn.classify(_features(spark, sf_dir), learn.TRACE_FEATURES, "class_idx", "trace_id", learn.forest(TREES))
-    return rounded(learn.importances(spark, model, learn.TRACE_FEATURES))
+    model, _ = learn.classify(_dwell(spark, sf_dir), DWELL, "class_idx", "trace_id", learn.forest(TREES))
+    return rounded(learn.importances(spark, model, DWELL))
+
+
+_SHARED_RANK = "row_number() OVER (PARTITION BY {by} ORDER BY md5(concat('42:{salt}:', trace_id)), trace_id) AS r{n}, count(*) OVER (PARTITION BY {by}) AS n{n}"
+
+
+@query(with_sql("traces", then="k AS (SELECT trace_id, CAST(class_idx % 2 AS INT) AS class_idx FROM traces), s AS (SELECT *, " + _SHARED_RANK.format(by="class_idx", salt="split", n=1) + " FROM k), p AS (SELECT trace_id, class_idx, CASE WHEN r1 <= round(0.8::DOUBLE * n1) THEN 'train' ELSE 'test' END AS split FROM s), b AS (SELECT *, " + _SHARED_RANK.format(by="split, class_idx", salt="balance", n=2) + " FROM p) SELECT trace_id, class_idx, split FROM b WHERE r2 <= (SELECT min(n2) FROM b b2 WHERE b2.split = b.split)"))
+def j4_split_and_balanced(spark, sf_dir):
+    """What the forests learn from and are tested on."""
+    rows = X.traces(spark, sf_dir).select("trace_id", (F.col("class_idx") % 2).cast("int").alias("class_idx"))
+    return learn.split_and_balanced(rows, "class_idx", "trace_id")
 
 
 @query()
@@ -95,22 +113,20 @@ def j4_forest(spark, sf_dir):
 
 @query()
 def j4_forest_on_dwell_features(spark, sf_dir):
-    rows = dwell.forest_features(on_frames(spark, sf_dir), FRAME_MS).withColumn("class_idx", F.col("trace_id") % 2)
-    names = tuple(c for c in rows.columns if c.endswith("_ms"))
-    return _test_bundle(learn.classify(rows, names, "class_idx", "trace_id", learn.forest(TREES))[1])
+    return _test_bundle(learn.classify(_dwell(spark, sf_dir), DWELL, "class_idx", "trace_id", learn.forest(TREES))[1])
 
 
 @query()
 def j5_scrambled_control(spark, sf_dir):
-    return _test_bundle(learn.scrambled_control(_features(spark, sf_dir), learn.TRACE_FEATURES, "class_idx", "trace_id", learn.forest(TREES)))
+    return _test_bundle(learn.scrambled_control(_dwell(spark, sf_dir), DWELL, "class_idx", "trace_id", learn.forest(TREES)))
 
 
 @query()
 def j6_noise_control(spark, sf_dir):
     """A model of half of the traces scores flat background: the distribution over classes should have no bias."""
-    rows = _features(spark, sf_dir)
-    model, _ = learn.classify(rows.where("trace_id % 3 > 0"), learn.TRACE_FEATURES, "class_idx", "trace_id", learn.forest(TREES))
-    return rounded(metrics.mean_probabilities(learn.score(model, rows.where("trace_id % 3 = 0"), learn.TRACE_FEATURES, "class_idx")))
+    rows = _dwell(spark, sf_dir)
+    model, _ = learn.classify(rows.where("trace_id % 3 > 0"), DWELL, "class_idx", "trace_id", learn.forest(TREES))
+    return rounded(metrics.mean_probabilities(learn.score(model, rows.where("trace_id % 3 = 0"), DWELL, "class_idx")))
 
 
 _MASK = "CAST('0x' || substr(md5(concat('42:mask:', pass, ':', trace_id, ':', frame)), 1, 8) AS BIGINT) / 4294967296.0"
@@ -129,10 +145,19 @@ def j7_stochastic_predictions(spark, sf_dir):
     return rounded(certainty.certainty(passes, ["trace_id", "label"]))
 
 
+@query()
+def j7_forest_votes(spark, sf_dir):
+    """The trees of a forest as passes: the certainty of every trace of the test part."""
+    model, tested = learn.classify(_features(spark, sf_dir), learn.TRACE_FEATURES, "class_idx", "trace_id", learn.forest(TREES))
+    votes = learn.forest_votes(model, tested.drop("label"), learn.TRACE_FEATURES, "class_idx")
+    return rounded(certainty.certainty(votes, ["trace_id", "label"]))
+
+
 @query()
 def j8_cross_validation(spark, sf_dir):
+    """Three models by three augmentation factors by four folds."""
     rows = X.traces(spark, sf_dir).withColumn("class_idx", F.col("class_idx") % 2)
-    scored = learn.cross_validate(rows, 4, [0, 3], ["forest", "logistic", "perceptron"], 2)
+    scored = learn.cross_validate(rows, 4, [0, 3, 5], ["forest", "logistic", "perceptron"], 2, trees=TREES)
     return rounded(learn.fold_metrics(scored, 2))
 
 
