@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracework.functions import arrays
-from tracework.operators import augment, certainty, dwell, gates, learn, metrics, mixture, normalize, parameters, peaks, sampling, spatial, stats
+from tracework.operators import augment, certainty, dwell, gates, learn, metrics, mixture, normalize, parameters, sampling, spatial, stats
 from tracework.sources import catalog, sinks
 
 

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracework.operators import certainty, dwell, gates, learn, lockstep, metrics, peaks, spatial, stats
+from tracework.operators import certainty, dwell, gates, learn, lockstep, metrics, ordered, parameters, peaks, spatial, stats
+from tracework.sources import scratch, sinks
 
 
 def test_exact_rank_test_equals_enumeration(spark):
@@ -320,3 +321,84 @@ def test_a_tree_by_hand_and_even_votes(spark):
     even = spark.createDataFrame([([0.5, 0.5],), ([0.6, 0.4],), ([0.4, 0.4, 0.2],)], "p array<double>")
     assert [r[0] for r in even.select(learn.predicted(F.col("p"))).collect()] == [1, 0, 0]
     assert metrics.accuracy(df.select(F.col("class_idx").alias("label"), F.lit(1).alias("pred"))).first()[0] == 0.5
+
+
+def test_quantiles_equal_linear_interpolation(spark):
+    rng = np.random.default_rng(10)
+    groups = {"a": rng.normal(size=500).tolist(), "b": rng.integers(0, 4, 333).astype(float).tolist(), "c": [7.0], "d": [1.0, 1.0]}
+    rows = [(g, v) for g, own in groups.items() for v in own] + [("a", None), ("a", float("nan")), (None, 3.0), (None, 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    shares = [0.0, 0.1, 0.5, 0.77, 1.0]
+    found = {r.g: (r.n, r.q) for r in ordered.quantiles(df, ["g"], "v", shares).collect()}
+    assert found.keys() == {*groups, None} and found[None] == (2, pytest.approx(np.quantile([3, 5], shares).tolist()))
+    for g, own in groups.items():
+        assert found[g] == (len(own), pytest.approx(np.quantile(own, shares).tolist()))
+    assert ordered.quantiles(df.where("g = 'd'"), [], "v", [0.3]).first().q == [1.0]
+    assert ordered.quantiles(df.where("false"), ["g"], "v", [0.3]).collect() == [] and tuple(ordered.quantiles(df.where("false"), [], "v", [0.3]).first()) == (None, [None])
+
+
+def test_coverage_of_equal_values_and_of_single_ones(spark):
+    df = spark.createDataFrame([("a", 4.0), ("a", 4.0), ("b", 100.0), ("c", float("nan")), ("c", 1.0)], "g string, v double")
+    assert tuple(stats.coverage_range(df, "g", "v").first()) == pytest.approx((4 - 0.2 - 1e-9, 4 + 0.2 + 1e-9))
+    wide = df.unionByName(spark.createDataFrame([("d", float(v)) for v in range(11)], "g string, v double"))
+    assert tuple(stats.coverage_range(wide, "g", "v").first()) == pytest.approx((1 - 0.4, 9 + 0.4))
+
+
+def test_wide_columns_number_by_ranges(spark):
+    df = spark.createDataFrame([("x", 3, 1.0), ("x", 1, 2.0), ("y", 2, 5.0)], "g string, at int, v double")
+    assert sorted(tuple(r) for r in stats.wide_columns(df, "g", ["x", "y"], "v", ["at"]).collect()) == [(0, 2.0, 5.0), (1, 1.0, None)]
+
+
+def test_a_resumed_sink_holds_every_trace_once(spark):
+    path = scratch.folder(spark, "test-sink")
+    kind = "movie int, trace_id int, compound string, gt_label string, origin string, norm string, values array<double>"
+    rows = spark.createDataFrame([(m, m * 10 + i, f"c{i % 2}", "IN", "protein", "raw", [1.0]) for m in range(4) for i in range(5)], kind)
+    movies = spark.createDataFrame([(m,) for m in range(6)], "movie int")  # two movies without traces
+
+    failing = F.udf(lambda i: 1 // (i - 12), "int")  # fails in movie 1
+    with pytest.raises(Exception, match="ZeroDivision|division"):
+        sinks.write_resumable(rows.withColumn("trace_id", F.col("trace_id") + 0 * failing("trace_id")), movies, path)
+    assert sinks.finished(spark, path).count() == 0
+    assert sinks.write_resumable(rows, movies.where("movie in (0, 4)"), path) == 2
+    left = rows.where("movie = 2").unionByName(rows.where("movie = 2").withColumn("gt_label", F.lit("OUT"))).withColumn("attempt", F.lit("lost"))
+    left.write.mode("append").partitionBy(*sinks.PARTITIONS, "movie").parquet(f"{path}/traces")  # written, but never entered
+    assert sinks.write_resumable(rows, movies, path) == 4
+    assert sinks.write_resumable(rows, movies, path) == 0
+    found = sinks.read_resumable(spark, path)
+    assert sorted((r.movie, r.trace_id, r.gt_label) for r in found.collect()) == sorted((str(r.movie), r.trace_id, "IN") for r in rows.collect())
+    assert {r.movie: r.traces for r in sinks.finished(spark, path).collect()} == {"0": 5, "1": 5, "2": 5, "3": 5, "4": 0, "5": 0}
+
+
+def painted(boxes, box, threshold):
+    """Boxes (roi, x, y) painted in the order of roi: those that share more than threshold visible pixels with one they hide, and the hidden."""
+    shown, shared = {}, {}
+    for roi, x, y in sorted(boxes):
+        for px, py in itertools.product(range(x, x + box), range(y, y + box)):
+            if (px, py) in shown:
+                shared[roi, shown[px, py]] = shared.get((roi, shown[px, py]), 0) + 1
+            shown[px, py] = roi
+    return {r for pair, n in shared.items() if n > threshold for r in pair}
+
+
+def test_nested_settings_equal_settings_one_by_one(spark):
+    rng = random.Random(11)
+    locs = [(m, rng.uniform(3, 40), rng.uniform(3, 40), rng.choice([5.0, 10.0, 14.0, 20.0, 33.0])) for m in (1, 2) for _ in range(60)]
+    spots = [(m, rng.randrange(38), rng.randrange(38), rng.choice([1.0, 2.0, 3.0])) for m in (1, 2) for _ in range(25)]
+    df = spark.createDataFrame(locs, "movie_id int, x double, y double, net_gradient double")
+    gt = spark.createDataFrame(spots, "movie_id int, x int, y int, net_gradient double")
+    found = {(r.gradient, r.spot_gradient, r.movie_id): (r.n_single, r.n_in, r.n_overlapping, r.objective) for r in parameters.grid_sweep(df, gt, [20.0, 10.0, 14.0], 5, 3.0, 50, 50, 3, [2.0, 3.0]).collect()}
+    assert len(found) == 12
+    for g, sg, m in found:
+        corners = {(int(np.round(x - 2.5)), int(np.round(y - 2.5))) for k, x, y, n in locs if k == m and n >= g}
+        boxes = [((y + 5) * 60 + x + 6, x, y) for x, y in corners]
+        hidden = painted(boxes, 5, 3)
+        single = [b for b in boxes if b[0] not in hidden]
+        inside = sum(any(k == m and n >= sg and (a - x) ** 2 + (b - y) ** 2 < 9 for k, a, b, n in spots) for _, x, y in single)
+        total = len(boxes)
+        want = len(single) * (1 + inside / max(len(single), 1)) * (1 - len(hidden) / total) ** 2
+        assert found[g, sg, m] == (len(single), inside, len(hidden), pytest.approx(want))
+    plain = parameters.grid_sweep(df, gt, [10.0], 5, 3.0, 50, 50, 3)
+    assert plain.columns == ["gradient", "movie_id", "n_single", "n_in", "n_overlapping", "objective"] and plain.count() == 2
+    best = parameters.best_setting(parameters.grid_sweep(df, gt, [20.0, 10.0, 14.0], 5, 3.0, 50, 50, 3, [2.0, 3.0])).first()
+    means = {k: np.mean([v[3] for (g, s, _), v in found.items() if (g, s) == k]) for k in {(g, s) for g, s, _ in found}}
+    assert best.pooled == pytest.approx(max(means.values())) and means[best.gradient, best.spot_gradient] == pytest.approx(best.pooled)

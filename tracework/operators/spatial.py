@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.seeded import order_key
 from ..sources.scratch import cut
 from .components import components, salted
+from .ordered import quantiles
 
 
 def corner(centre: Column, box: int) -> Column:
@@ -267,7 +268,7 @@ def max_projection(pixels: DataFrame) -> DataFrame:
 
 def contrast(projection: DataFrame, low: float = 0.01, high: float = 0.99, weight: float = 1.0) -> DataFrame:
     """projection, then value: stretched between two exact percentiles of its movie, clipped to [0, 1] and weighted."""
-    ends = projection.groupBy("movie_id").agg(F.percentile("intensity", F.array(F.lit(low), F.lit(high))).alias("e"))
+    ends = quantiles(projection, ["movie_id"], "intensity", [low, high]).select("movie_id", F.col("q").alias("e"))
     span = F.when(F.col("e")[1] > F.col("e")[0], F.col("e")[1] - F.col("e")[0]).otherwise(F.lit(1.0))
     value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("intensity") - F.col("e")[0]) / span)) * F.lit(weight)
     return projection.join(ends, "movie_id").select(*projection.columns, value.alias("value"))
@@ -277,8 +278,10 @@ def spot_intensities(pixels: DataFrame, spots: DataFrame, box: int, width: int,
     """One row: n, min, max, mean, median, fold, p10, p90 of the box sums over the first frames; only boxes that lie wholly inside."""
     inside = spots.where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") + box <= width) & (F.col("y") + box <= height))
     sums = box_sums(pixels.where(F.col("frame") < frames), inside, box, width, height).groupBy("movie_id", "roi").agg(F.sum("intensity").alias("s"))
-    q = lambda p: F.percentile("s", F.lit(p))
-    return sums.agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("min"), F.max("s").alias("max"), F.avg("s").alias("mean"), q(0.5).alias("median"), (F.max("s") / F.min("s")).alias("fold"), q(0.1).alias("p10"), q(0.9).alias("p90"))
+    sums = cut(sums)
+    q = quantiles(sums, [], "s", [0.5, 0.1, 0.9]).select("q")
+    whole = sums.agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("min"), F.max("s").alias("max"), F.avg("s").alias("mean"), (F.max("s") / F.min("s")).alias("fold"))
+    return whole.join(q, F.lit(True), "left").select("n", "min", "max", "mean", F.col("q")[0].alias("median"), "fold", F.col("q")[1].alias("p10"), F.col("q")[2].alias("p90"))  # a row each
 
 
 def movie_shape(pixels: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordered import running
+from .ordered import quantiles, running
+from .sampling import numbered
 
 
 #: The p-value is exact where a sample has at most so many values and no value occurs twice.
@@ -92,10 +93,11 @@ def histogram(rows: DataFrame, value: str, bins: int = 40, low: float = 0.0, hig
 
 
 def coverage_range(rows: DataFrame, group: str, value: str, low: float = 0.1, high: float = 0.9, pad: float = 0.05) -> DataFrame:
-    """One row: range_low, range_high over the classes' percentile ranges with a pad; classes of fewer than two values are skipped."""
-    each = rows.groupBy(group).agg(F.count(value).alias("n"), F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("q")).where("n >= 2")
+    """One row: range_low, range_high over the classes' percentile ranges with a pad (of the largest value's size where all are equal); classes of fewer than two values are skipped."""
+    each = quantiles(rows, [group], value, [low, high]).where("n >= 2")
     ends = each.agg(F.min(F.col("q")[0]).alias("a"), F.max(F.col("q")[1]).alias("b"))
-    return ends.select((F.col("a") - pad * (F.col("b") - F.col("a"))).alias("range_low"), (F.col("b") + pad * (F.col("b") - F.col("a"))).alias("range_high"))
+    wide = F.when(F.col("b") > F.col("a"), (F.col("b") - F.col("a")) * pad).otherwise(F.abs("b") * pad + 1e-9)
+    return ends.select((F.col("a") - wide).alias("range_low"), (F.col("b") + wide).alias("range_high"))
 
 
 def flatten_lists(rows: DataFrame, group: str, lists: str) -> DataFrame:
@@ -111,6 +113,5 @@ def heatmap(rows: DataFrame, index: str, column: str, values: list, measure: str
 
 
 def wide_columns(rows: DataFrame, group: str, values: list, value: str, order: list[str]) -> DataFrame:
-    """row, then a column for each group with its values from the top; shorter groups end in NULL."""
-    placed = rows.withColumn("row", F.row_number().over(W.partitionBy(group).orderBy(*order)) - 1)
-    return placed.groupBy("row").pivot(group, values).agg(F.first(value))
+    """row, then a column for each group with its values from the top; shorter groups end in NULL. Rows are numbered by ranges of the order."""
+    return numbered(rows, group, order, "row").groupBy("row").pivot(group, values).agg(F.first(value))

@@ -181,6 +181,23 @@ def a18_partitioned_sink(spark, sf_dir):
     return _stored(spark, sf_dir).groupBy("compound", "gt_label", "origin", "norm").agg(F.count(F.lit(1)).alias("traces"))
 
 
+@query(with_sql("traces", then="SELECT concat('class_', class_idx) AS compound, CASE WHEN trace_id % 2 = 0 THEN 'IN' ELSE 'OUT' END AS gt_label, 'protein' AS origin, norm, CAST(trace_id % 12 AS VARCHAR) AS movie, count(*) AS traces, CAST(sum(trace_id) AS BIGINT) AS ids FROM traces, (SELECT unnest(['raw', 'minmax']) AS norm) GROUP BY 1, 2, 3, 4, 5"))
+def a18_resumable_sink(spark, sf_dir):
+    """A first attempt breaks after some movies' traces were written, twice over and some under another label; then the sink is run twice."""
+    path = scratch.folder(spark, "resumable")
+    rows = X.traces(spark, sf_dir).withColumns({"compound": F.concat(F.lit("class_"), F.col("class_idx").cast("string")), "gt_label": F.when(F.col("trace_id") % 2 == 0, "IN").otherwise("OUT"), "origin": F.lit("protein"), "movie": (F.col("trace_id") % 12).cast("string")})
+    rows = rows.withColumn("norm", F.explode(F.array(F.lit("raw"), F.lit("minmax"))))
+    half = rows.where("trace_id % 12 < 5")
+    broken = half.unionByName(half).unionByName(half.withColumn("gt_label", F.lit("LOST"))).withColumn("attempt", F.lit("broken"))
+    broken.write.partitionBy(*sinks.PARTITIONS, "movie").parquet(f"{path}/traces")
+    movies = rows.select("movie").where("movie % 3 <> 1")
+    sinks.write_resumable(rows, movies, path)
+    for _ in range(2):
+        sinks.write_resumable(rows, rows, path)
+    found = sinks.read_resumable(spark, path)
+    return found.groupBy("compound", "gt_label", "origin", "norm", "movie").agg(F.count(F.lit(1)).alias("traces"), F.sum("trace_id").alias("ids"))
+
+
 @query(with_sql("predictions_mc", then=_WD + " SELECT class_name, count(*) AS n, round(avg(wd), 6) AS mean_wd FROM (SELECT concat('class_', label) AS class_name, round(wd, 9) AS wd FROM wd) WHERE wd >= 0.2 GROUP BY 1"))
 def a15_certainty_scan(spark, sf_dir):
     """The certainty table is written once and scanned with the least distance pushed down."""

@@ -9,7 +9,7 @@ from ..operators import augment, certainty, dwell, learn, metrics, mixture, norm
 from ..sources import fixtures as X
 from ..sources.fixtures import with_sql
 from .registry import query, rounded
-from .trace_queries import FRAME_MS, on_frames
+from .trace_queries import _RUNS, FRAME_MS, _mixture_sql, on_frames
 
 TREES = 500
 
@@ -161,7 +161,24 @@ def j8_cross_validation(spark, sf_dir):
     return rounded(learn.fold_metrics(scored, 2))
 
 
-@query()
+def _tests_sql(values: str) -> str:
+    """Normal rank tests of class 0 against the rest for each feature of ``values`` (feature, class_idx, value), adjusted over the features."""
+    return f"""{values}, vc AS (SELECT feature, value AS v, count(*) AS c, count(*) FILTER (WHERE class_idx = 0) AS a FROM vals WHERE value IS NOT NULL GROUP BY 1, 2),
+ vk AS (SELECT *, sum(c) OVER (PARTITION BY feature ORDER BY v) - (c - 1) / 2.0::DOUBLE AS rank FROM vc),
+ vs AS (SELECT feature, sum(rank * a) AS r1, sum(a)::DOUBLE AS n1, sum(c - a)::DOUBLE AS n2, sum(c * c * c - c)::DOUBLE AS ties FROM vk GROUP BY 1),
+ vu AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u, n1 + n2 AS n FROM vs),
+ vz AS (SELECT *, greatest(0, abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))) / sqrt(2) AS x FROM vu),
+ vp AS (SELECT *, CASE WHEN x = 0 THEN 1 ELSE 1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 150), lambda k: exp(2 * k * ln(2) + (2 * k + 1) * ln(x) - lgamma(2 * k + 2) + lgamma(k + 1)))) END AS p FROM vz),
+ vr AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM vp)
+ SELECT feature, n1::BIGINT AS n1, n2::BIGINT AS n2, u, round(1 - 2 * u / (n1 * n2), 6) AS r, round(p, 6) AS p, round(least(1, min(p * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 6) AS p_adjusted FROM vr"""
+
+
+# The mixture's frames, their runs, the dwell features of every trace, then the tests. Values are rounded before they are ranked.
+@query(_mixture_sql("frames", """, fc AS (SELECT DISTINCT trace_id, class_idx FROM frames), f AS (SELECT trace_id, frame, x AS intensity, separation >= 1 AND p >= 0.8 AS is_on FROM po), """ + _RUNS.format(width=1) + """,
+ dw AS (SELECT trace_id, avg(width) AS mean_on, avg("off") AS mean_off, avg(m) AS mean_intensity, max(e) - min(s) + 1 AS win FROM r GROUP BY 1),
+ duty AS (SELECT trace_id, count(*) FILTER (WHERE is_on) AS on_frames FROM f GROUP BY 1),
+ ft AS (SELECT class_idx, mean_on * 10.0::DOUBLE AS mean_on, mean_off * 10.0::DOUBLE AS mean_off, on_frames * 1.0::DOUBLE / win AS duty_cycle, mean_intensity FROM fc JOIN duty USING (trace_id) LEFT JOIN dw USING (trace_id)),
+ """ + _tests_sql("vals AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, class_idx, round({c}, 9) AS value FROM ft" for c in ("mean_on", "mean_off", "duty_cycle", "mean_intensity")) + ")")))
 def j11_feature_analysis(spark, sf_dir):
     """Mixture, ON mask, dwell features in ms, a rank test of the two classes for each feature, adjusted p-values."""
     fitted = mixture.with_mixture(X.long_traces(spark, sf_dir))
@@ -169,5 +186,5 @@ def j11_feature_analysis(spark, sf_dir):
     frames = rows.select("trace_id", "class_idx", F.posexplode(F.arrays_zip("values", "on")).alias("frame", "z")).select("trace_id", "class_idx", "frame", F.col("z.values").alias("intensity"), F.col("z.on").alias("on"))
     found = dwell.features(frames, 1, ("trace_id", "class_idx"))
     names = ["mean_on", "mean_off", "duty_cycle", "mean_intensity"]
-    long_ = found.select("class_idx", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), (F.col(n) * (FRAME_MS if n in ("mean_on", "mean_off") else 1.0)).alias("value")) for n in names])).alias("f")).select(F.col("class_idx").cast("string").alias("class_name"), "f.*")
+    long_ = found.select("class_idx", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.round(F.col(n) * (FRAME_MS if n in ("mean_on", "mean_off") else 1.0), 9).alias("value")) for n in names])).alias("f")).select(F.col("class_idx").cast("string").alias("class_name"), "f.*")
     return rounded(stats.benjamini_hochberg(stats.mann_whitney(long_, "class_name", "0", keys=["feature"])))

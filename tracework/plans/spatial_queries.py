@@ -212,3 +212,33 @@ _SWEEP = f"""s AS (SELECT unnest([20000.0, 40000.0, 60000.0, 80000.0])::DOUBLE A
 def j10_gradient_sweep(spark, sf_dir):
     locs = X.localizations(spark, sf_dir).withColumn("x", F.col("x")).where("x is not null")
     return rounded(parameters.grid_sweep(locs, X.gt_spots(spark, sf_dir), [float(g) for g in range(20000, 100000, 20000)], BOX, DISTANCE, SIDE, SIDE))
+
+
+# The same sweep with spots of a gradient of their own, every pair of settings taken by itself.
+_SPOT_LOCS = "gl AS (SELECT c_custkey % 8 AS movie_id, CAST(((c_custkey*7919) % 1013) % 220 + c_custkey % 7 AS INT) AS x, CAST(((c_custkey*104729) % 1009) % 220 + c_custkey % 3 AS INT) AS y, (1 + (c_custkey * 37) % 10) * 1000.0::DOUBLE AS net_gradient FROM customer), sg AS (SELECT unnest([1000.0, 4000.0, 8000.0])::DOUBLE AS spot_gradient), "
+_TWO = _SPOT_LOCS + _SWEEP.replace(
+    f"d AS (SELECT gradient, movie_id, roi, coalesce(min((b.x-g.x)*(b.x-g.x) + (b.y-g.y)*(b.y-g.y)) < {DISTANCE * DISTANCE}, false) AS inside FROM b LEFT JOIN gt_spots g USING (movie_id) GROUP BY 1, 2, 3)",
+    f"d AS (SELECT gradient, spot_gradient, b.movie_id, roi, coalesce(min((b.x-g.x)*(b.x-g.x) + (b.y-g.y)*(b.y-g.y)) < {DISTANCE * DISTANCE}, false) AS inside FROM b CROSS JOIN sg LEFT JOIN gl g ON g.movie_id = b.movie_id AND g.net_gradient >= spot_gradient GROUP BY 1, 2, 3, 4)",
+).replace("SELECT d.gradient, d.movie_id, count(*)", "SELECT d.gradient, d.spot_gradient, d.movie_id, count(*)").replace("d.roi = o.roi GROUP BY 1, 2)", "d.roi = o.roi GROUP BY 1, 2, 3)")
+
+
+def spot_localizations(spark, sf_dir):
+    """Localizations of the ground-truth channel, with net gradients."""
+    return X.table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey % 8 AS movie_id", "CAST(((c_custkey*7919) % 1013) % 220 + c_custkey % 7 AS INT) AS x", "CAST(((c_custkey*104729) % 1009) % 220 + c_custkey % 3 AS INT) AS y", "CAST((1 + (c_custkey * 37) % 10) * 1000 AS DOUBLE) AS net_gradient",
+    )
+
+
+def _two_gradients(spark, sf_dir):
+    locs = X.localizations(spark, sf_dir).where("x is not null")
+    return parameters.grid_sweep(locs, spot_localizations(spark, sf_dir), [float(g) for g in range(20000, 100000, 20000)], BOX, DISTANCE, SIDE, SIDE, spot_gradients=[1000.0, 4000.0, 8000.0])
+
+
+@query(with_sql("localizations", then=_TWO))
+def j10_two_gradient_sweep(spark, sf_dir):
+    return rounded(_two_gradients(spark, sf_dir))
+
+
+@query(with_sql("localizations", then=_TWO.replace(" SELECT *, round(n_single", ", w AS (SELECT *, round(n_single") + "), m AS (SELECT gradient, spot_gradient, avg(objective) AS pooled FROM w GROUP BY 1, 2) SELECT gradient, spot_gradient, round(pooled, 4) AS pooled FROM m ORDER BY round(pooled, 9) DESC, gradient, spot_gradient LIMIT 1"))
+def j10_best_setting(spark, sf_dir):
+    return rounded(parameters.best_setting(_two_gradients(spark, sf_dir)), 4)
