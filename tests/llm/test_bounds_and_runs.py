@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracework.llm import language_id, packing, quality, token_counts
+import corpus_pipeline
+from tracework.llm import language_id, neighbours, packing, quality, token_counts, warc
+from tracework.llm.common import written
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -66,3 +68,33 @@ def test_token_counts_keep_odd_names(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b", 5, 6, 7)], "doc_id long, text string, `a.b` int, N_TOKENS int, `c``d` int")
     found = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
     assert found.columns == ["doc_id", "a.b", "c`d", "n_words", "n_tokens"] and found.first()[1] == 5 and found.first().n_words == 2
+
+
+def test_archives_and_neighbours_leave_odd_names_out(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 1200, 1, 2), (2, "u", "x" * 1200, 3, 4), (None, None, None, 5, 6)], "page_id long, url string, html string, `a.b` int, PAYLOAD_BYTES int")
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()) == [(0, 0, "response", None), (1, 1200, "revisit", 2), (2, 1200, "response", None)]
+    vectors = spark.createDataFrame([(i, [1.0, float(i)], 1, 2) for i in range(6)], "vec_id long, embedding array<double>, `a.b` int, Query_ID int")
+    found = neighbours.nearest(vectors, lambda v: v == 0, k=2, beam=8, hops=2, links=4, descents=1).orderBy("rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in found] == [(0, 1, 1), (0, 2, 2)]
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_every_stage_of_the_pipeline_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], DOCS)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        assert out.count() == 0, name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+
+
+def test_last_stages_of_the_pipeline_on_nulls_and_a_long_run(spark):
+    docs = written(spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "a", 0), (2, "", None, None, 0), (3, "one two three", "en", None, 13), (None, "four five", None, "b", 9), (3, "one two three", "en", None, 13), (4, "a" + " " * 700_000 + "b", "en", "a", 700_002)], DOCS), "odd-docs")
+    left = written(corpus_pipeline.repeated_passages(spark, docs, ""), "odd-left")
+    assert {r.doc_id for r in left.collect()} >= {1, 2, 3, 4, None}
+    mixed = written(corpus_pipeline.mixed(spark, left, ""), "odd-mixed")
+    assert mixed.columns == docs.columns and all(r.text for r in mixed.collect())
+    packed = corpus_pipeline.packed(spark, mixed, "").collect()
+    assert sum(r.length for r in packed if r.start == 0) > 0 and max(r.length for r in packed) <= 2048

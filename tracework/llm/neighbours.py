@@ -16,7 +16,8 @@ the nearest ``BEAM`` candidates that are not expanded yet, by a join with the gr
 The candidates kept are scored on the original vectors in double precision, expanded into the nodes'
 members, and ranked; ties go to the smaller id.
 
-The widths below are fixed for all sizes. ``build_graph`` can report the links found after each round, so that recall
+The widths are parameters of ``nearest`` (links, descents, stop, beam, hops), with the same defaults for all sizes; a wider beam finds more and
+scores more. ``build_graph`` can report the links found after each round, so that recall
 can be measured before and after each descent. Neighbours nearer to each other than 16-bit components tell apart are
 kept or lost by chance where there are more than ``BEAM`` of them.
 
@@ -182,13 +183,13 @@ def _descend(links: int):
     return run
 
 
-def build_graph(nodes: DataFrame, n: int, dims: int, links: int = LINKS, report=None) -> DataFrame:
+def build_graph(nodes: DataFrame, n: int, dims: int, links: int = LINKS, report=None, descents: int = DESCENTS, stop: float = STOP) -> DataFrame:
     """(v, w, sim, old): each node's links. report: called with the graph before the first round and after each."""
     rounds = Rounds(nodes.sparkSession, "ann-graph")
     graph = rounds.write(_nearest(start_links(nodes, n, dims, links).withColumn("old", F.lit(False)), links))
     if report:
         report(graph)
-    for turn in range(DESCENTS):
+    for turn in range(descents):
         ends = graph.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low"))
         known = nodes.select("node", "q").join(ends, F.col("node") == F.col("v"), "left")
         known = known.select(F.col("node").alias("w"), "q", F.when(F.col("n") >= links, F.col("low")).otherwise(F.lit(-2.0)).cast("float").alias("far"))
@@ -199,12 +200,12 @@ def build_graph(nodes: DataFrame, n: int, dims: int, links: int = LINKS, report=
         rounds.forget()
         if report:
             report(graph)
-        if graph.where("not old").count() <= STOP * links * n:
+        if graph.where("not old").count() <= stop * links * n:
             break
     return graph
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, hops: int = HOPS) -> DataFrame:
+def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, hops: int = HOPS, beam_width: int = BEAM) -> DataFrame:
     """queries (query_id, node) -> query_id, w, sim: the candidates that greedy search keeps, the query's own node among them."""
     spark = nodes.sparkSession
     around = written(both_ways(graph).groupBy("u").agg(F.collect_set("w").alias("links")), "ann-around")
@@ -224,7 +225,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, hops: int = H
         met = met.join(nodes.select(F.col("node").alias("w"), "q"), "w").join(own.select("query_id", "x"), "query_id")
         found = met.select("query_id", "w", "x", "q").mapInArrow(score, "query_id long, w long, sim float")
         every = beam.withColumn("done", F.lit(True)).unionByName(found.withColumn("done", F.lit(False)))
-        top = every.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "w", "done")), False), 1, BEAM).alias("top"))
+        top = every.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "w", "done")), False), 1, beam_width).alias("top"))
         beam = rounds.write(top.select("query_id", F.explode("top").alias("t")).select("query_id", "t.w", "t.sim", "t.done"))
         rounds.forget()
         if not beam.where("not done").take(1):
@@ -232,16 +233,19 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, hops: int = H
     return beam.select("query_id", "w", "sim")
 
 
-def nearest(vectors: DataFrame, query_ids, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest found; query_ids: a condition on vec_id."""
+def nearest(vectors: DataFrame, query_ids, k: int = 5, links: int = LINKS, descents: int = DESCENTS, stop: float = STOP, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest found; query_ids: a condition on vec_id.
+
+    links a node in the graph; at most ``descents`` rounds, ended once fewer than the share ``stop`` of the links change; ``beam`` candidates kept a query and expanded for at most ``hops`` hops.
+    """
     nodes = written(nodes_of(usable(vectors), k + 1), "ann-nodes")
     sizes = nodes.select(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    graph = build_graph(nodes, sizes[0], sizes[1] or 1)
+    graph = build_graph(nodes, sizes[0], sizes[1] or 1, links, descents=descents, stop=stop)
     # the queries are rows, each at the node that has its vector
     rows = usable(vectors).where(query_ids(F.col("vec_id"))).select("vec_id", "embedding").distinct()
     at = nodes.select("node", "embedding", F.col("scaled").alias("x"), F.col("norm").alias("x_norm"))
     queries = written(rows.join(at, "embedding").select(F.col("vec_id").alias("query_id"), "node", "x", "x_norm"), "ann-queries")
-    found = search(queries.select("query_id", "node"), nodes, graph)
+    found = search(queries.select("query_id", "node"), nodes, graph, hops, beam)
     pairs = found.join(queries.select("query_id", "x", "x_norm"), "query_id").join(nodes.select(F.col("node").alias("w"), F.col("scaled").alias("y"), F.col("norm").alias("y_norm"), "members"), "w")
     dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
     scored = pairs.withColumn("score", dot / (F.col("x_norm") * F.col("y_norm")))
