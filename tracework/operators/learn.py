@@ -157,7 +157,7 @@ def fold_table(traces: DataFrame, folds: int, factors: list[int], seed: int = 42
     return cut(trace_features(out))
 
 
-def cross_validate(traces: DataFrame, folds: int, factors: list[int], names: list[str], classes: int, seed: int = 42, trees: int = 500, at_once: int = 4) -> DataFrame:
+def cross_validate(traces: DataFrame, folds: int, factors: list[int], names: list[str], classes: int, seed: int = 42, trees: int = 500, at_once: int = 6) -> DataFrame:
     """Scored validation rows of every (model, aug_factor, fold): trace_id, fold, label, pred, probs. Only training rows are augmented.
 
     Features are made once for all fits. The logistic and perceptron fits of all folds and factors take their steps together, each step one job.

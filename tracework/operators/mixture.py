@@ -24,49 +24,87 @@ from ..functions import arrays
 NAMES = ("mean0", "mean1", "var0", "var1", "weight0")
 FIT = T.StructType([T.StructField(n, T.DoubleType()) for n in NAMES])
 FLOOR = 1e-6
+TOGETHER = 100_000
 
 
-def best_split(x: np.ndarray) -> int:
-    """Size of the lower group of sorted x in the best two-means split."""
-    n = len(x)
-    first, second = np.cumsum(x)[:-1], np.cumsum(x * x)
+def best_splits(x: np.ndarray) -> np.ndarray:
+    """Size of the lower group in the best two-means split of every row of sorted x."""
+    n = x.shape[1]
+    first = np.cumsum(x, 1)
+    total, first = first[:, -1:], first[:, :-1]
     k = np.arange(1, n)
-    error = second[-1] - first**2 / k - (first[-1] + x[-1] - first) ** 2 / (n - k)
-    error[x[1:] == x[:-1]] = np.inf  # equal values stay together
-    return int(np.argmin(error)) + 1
+    error = (x * x).sum(1, keepdims=True) - first**2 / k - (total - first) ** 2 / (n - k)
+    error[x[:, 1:] == x[:, :-1]] = np.inf  # equal values stay together
+    return error.argmin(1) + 1
 
 
-def fit(values: np.ndarray, most: int = 100, tol: float = 1e-3) -> tuple[float, ...] | None:
-    """(mean0, mean1, var0, var1, weight0), mean0 the smaller; None where no mixture can be fitted."""
-    x = np.sort(np.asarray(values, np.float64))
-    if len(x) < 2 or not np.isfinite(x).all() or x[0] == x[-1]:
-        return None
-    k = best_split(x)
-    mean = np.array([x[:k].mean(), x[k:].mean()])
-    var = np.array([x[:k].var(), x[k:].var()]) + FLOOR
-    weight = np.array([k, len(x) - k]) / len(x)
-    last = -np.inf
-    for _ in range(most):
-        log = np.log(weight) - 0.5 * np.log(2 * np.pi * var) - (x[:, None] - mean) ** 2 / (2 * var)
-        top = log.max(1, keepdims=True)
+def fit_rows(values: np.ndarray, most: int = 100, tol: float = 1e-3) -> np.ndarray:
+    """(mean0, mean1, var0, var1, weight0) of every row of values, mean0 the smaller; NaN where no mixture can be fitted.
+
+    All rows take their steps together; a row that has settled takes no more.
+    """
+    out = np.full((len(values), 5), np.nan)
+    x = np.sort(np.asarray(values, np.float64), 1)
+    n = x.shape[1]
+    if n < 2:
+        return out
+    todo = np.flatnonzero(np.isfinite(x).all(1) & (x[:, 0] < x[:, -1]))
+    x = x[todo]
+    if not len(x):
+        return out
+    k = best_splits(x)[:, None]
+    low = np.arange(n) < k
+    count = np.concatenate([k, n - k], 1)
+    mean = np.stack([np.where(low, x, 0).sum(1), np.where(low, 0, x).sum(1)], 1) / count
+    off = x - np.where(low, mean[:, :1], mean[:, 1:])
+    var = np.stack([np.where(low, off * off, 0).sum(1), np.where(low, 0, off * off).sum(1)], 1) / count + FLOOR
+    weight = count / n
+    last = np.full(len(x), -np.inf)
+    for turn in range(most):
+        far = x[:, :, None] - mean[:, None]
+        log = (np.log(weight) - 0.5 * np.log(2 * np.pi * var))[:, None] - far * far / (2 * var[:, None])
+        top = log.max(2, keepdims=True)
         p = np.exp(log - top)
-        total = p.sum(1, keepdims=True)
-        gain = (top + np.log(total)).mean()
+        total = p.sum(2, keepdims=True)
+        gain = (top + np.log(total)).mean((1, 2))
         p /= total
-        n = p.sum(0) + 1e-12
-        weight, mean = n / len(x), (p * x[:, None]).sum(0) / n
-        var = (p * (x[:, None] - mean) ** 2).sum(0) / n + FLOOR
-        if abs(gain - last) < tol:
-            break
+        m = p.sum(1) + 1e-12
+        weight, mean = m / n, (p * x[:, :, None]).sum(1) / m
+        far = x[:, :, None] - mean[:, None]
+        var = (p * far * far).sum(1) / m + FLOOR
+        stop = np.abs(gain - last) < tol
+        if turn == most - 1:
+            stop[:] = True
+        if stop.any():
+            small = mean[stop].argmin(1)[:, None]
+            pick = lambda v, at: np.take_along_axis(v[stop], at, 1)  # noqa: B023, E731
+            out[todo[stop]] = np.concatenate([pick(mean, small), pick(mean, 1 - small), pick(var, small), pick(var, 1 - small), pick(weight, small)], 1)
+            go = ~stop
+            todo, x, mean, var, weight, gain = todo[go], x[go], mean[go], var[go], weight[go], gain[go]
+            if not len(todo):
+                break
         last = gain
-    low = int(np.argmin(mean))
-    return float(mean[low]), float(mean[1 - low]), float(var[low]), float(var[1 - low]), float(weight[low])
+    return out
+
+
+def fit(values: np.ndarray, most: int = 100, tol: float = 1e-3) -> tuple[float, ...] | None:
+    """The fit of one trace; None where there is none."""
+    found = fit_rows(np.asarray(values, np.float64)[None], most, tol)[0]
+    return None if np.isnan(found[0]) else tuple(found.tolist())
 
 
 @F.pandas_udf(FIT)
 def mixture(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Traces of one length are fitted together, so many at a time that their values fill TOGETHER."""
     for batch in values:
-        yield pd.DataFrame([fit(v) or (None,) * 5 if v is not None else (None,) * 5 for v in batch], columns=list(NAMES), dtype="float64")
+        out = np.full((len(batch), 5), np.nan)
+        sizes = np.array([-1 if v is None else len(v) for v in batch])
+        for size in np.unique(sizes[sizes > 1]).tolist():
+            rows = np.flatnonzero(sizes == size)
+            step = max(1, TOGETHER // size)
+            for part in (rows[i : i + step] for i in range(0, len(rows), step)):
+                out[part] = fit_rows(np.stack([np.asarray(batch.iloc[i], np.float64) for i in part]))
+        yield pd.DataFrame(out, columns=list(NAMES)).astype(object).where(~np.isnan(out), None).astype("Float64")
 
 
 def with_mixture(traces: DataFrame, column: str = "values", name: str = "mixture") -> DataFrame:
