@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from ..sources.scratch import cut
 
 
-def running(rows: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, str]) -> DataFrame:
+def running(rows: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, str], deal: list[str | Column] | None = None) -> DataFrame:
     """rows, then for each name of sums the running sum of its column inside the keys, and all_<name>, the keys' whole sum.
 
     Rows are dealt by ranges of the order and written once with the number of their range, so all readers see the same
     ranges. Sums are taken inside a range and moved by the sums of the ranges before: the one window that sees a
-    whole group has a row for each range.
+    whole group has a row for each range. Ranges are found from a sample of the order's columns on the driver; ``deal`` names shorter ones that the order
+    never goes against (say the beginnings of long texts), for rows that tie in them stay together.
     """
-    dealt = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    dealt = cut(rows.repartitionByRange(*(deal or order)).withColumn("_part", F.spark_partition_id()))
     parts = dealt.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_s_{name}") for name, c in sums.items()])
     earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     before = parts.select(
