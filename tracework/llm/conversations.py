@@ -6,7 +6,7 @@ extends, so prefixes are shared; a node has its ancestors at distances of powers
 prefix. Prefixes of equal cost are compared by a binary search for their longest common prefix over those
 hashes; a hash that agrees is verified along the links, and a collision found there decides instead.
 
-Scale. Rows get their place in their conversation by ranges of the order (``ordered.running``), so no task sorts a whole
+Scale. Equal rows are counted first. Rows get their place in their conversation by ranges of the order (``ordered.running``), so no task sorts a whole
 conversation, and meet by blocks of ``block`` rows. Nearly all conversations are one block and are done there. A longer
 one's blocks each give their best edits from every state to every state; these are chained by conversation, and the chosen
 edits go back to the blocks. Text leaves its block only as the repaired lines of a long conversation, whose hash is
@@ -324,11 +324,11 @@ def _hash(batches):
 def repair(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """conv_id, turn, role, text -> conv_id, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256: one row a conversation that has rows."""
     numbered = rows.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text")).withColumn("g", _group())
-    # Equal rows may fill a range of the order; a further column deals them out.
-    numbered = numbered.withColumns({"one": F.lit(1), "_even": F.pmod(F.monotonically_increasing_id(), F.lit(64))})
-    placed = running(numbered, ["g"], ["g", "turn", "role", "text", "_even"], {"upto": "one"})
-    placed = placed.withColumns({"at": F.col("upto") - 1, "only": F.col("all_upto") <= block})
-    placed = placed.select("conv_id", "g", "role", "text", "at", F.floor((F.col("upto") - 1) / block).alias("block"), "only")
+    # Equal rows are counted before they move and are spread again once they have places; ranges are told by the beginnings of texts.
+    counted = numbered.groupBy("g", "turn", "role", "text").agg(F.first("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("copies")).withColumn("head", F.left("text", F.lit(64)))
+    placed = running(counted, ["g"], ["g", "turn", "role", "head", "text"], {"upto": "copies"}, deal=["g", "turn", "role", "head"])
+    placed = placed.withColumn("at", F.explode(F.sequence(F.col("upto") - F.col("copies"), F.col("upto") - 1)))
+    placed = placed.select("conv_id", "g", "role", "text", "at", F.floor(F.col("at") / block).alias("block"), (F.col("all_upto") <= block).alias("only"))
     one_block = placed.where("only").withColumn("repeated", F.lit(None).cast("boolean"))
     long_ = placed.where("not only")
     is_long = bool(long_.take(1))
