@@ -161,33 +161,31 @@ def cross_validate(traces: DataFrame, folds: int, factors: list[int], names: lis
     """Scored validation rows of every (model, aug_factor, fold): trace_id, fold, label, pred, probs. Only training rows are augmented.
 
     Features are made once for all fits. The logistic and perceptron fits of all folds and factors take their steps together, each step one job.
-    Forests grow in jobs of their own, ``at_once`` of them side by side, each reading its rows from the one table.
+    Forests grow in jobs of their own meanwhile, ``at_once`` of them side by side, each reading its rows from the one table.
     """
     table = fold_table(traces, folds, factors, seed)
     keys = [(fold, factor) for factor in factors for fold in range(1, folds + 1)]
     rows = table.select("trace_id", "fold", "for_fold", "copy", F.col("class_idx").cast("int").alias("label"), F.array(*TRACE_FEATURES).alias("x"))
     held = rows.where("copy = 0")
     named = F.broadcast(table.sparkSession.createDataFrame([(i, factor) for i, (_, factor) in enumerate(keys)], "key int, aug_factor int"))  # a row a fit
-    parts = []
-    scaled = None
-    for kind in (lockstep.Logistic, lockstep.Perceptron):
-        if kind.name in names:
-            model = kind(len(TRACE_FEATURES), classes, seed)
-            scaled = scaled or lockstep.scales(rows, keys, _fold_member, len(TRACE_FEATURES))
-            weights = lockstep.fit(rows, keys, _fold_member, model, scaled)
-            found = lockstep.scored(held, keys, lambda k, c: c["fold"] == k[0], model, scaled, weights, ["trace_id", "fold", "label"])
-            parts.append(found.join(named, "key").select("trace_id", "fold", "label", predicted(F.col("probs")).alias("pred"), "probs", F.lit(kind.name).alias("model"), "aug_factor"))
-    if "forest" in names:
-
-        def grow(key):
-            fold, factor = key
-            mine = (F.col("fold") != fold) & ((F.col("copy") == 0) | ((F.col("for_fold") == fold) & (F.col("copy") < factor)))
-            return forest(trees, seed).fit(assembled(spread(table.where(mine)), TRACE_FEATURES, "class_idx"))
-
-        with ThreadPoolExecutor(at_once) as pool:
-            grown = list(pool.map(grow, keys))
-        for (fold, factor), model in zip(keys, grown, strict=True):
-            found = score(model, table.where((F.col("copy") == 0) & (F.col("fold") == fold)), TRACE_FEATURES, "class_idx")
+    parts, scaled = [], None
+
+    def grow(key):
+        fold, factor = key
+        mine = (F.col("fold") != fold) & ((F.col("copy") == 0) | ((F.col("for_fold") == fold) & (F.col("copy") < factor)))
+        return forest(trees, seed).fit(assembled(spread(table.where(mine)), TRACE_FEATURES, "class_idx"))
+
+    with ThreadPoolExecutor(at_once) as pool:
+        growing = [(key, pool.submit(grow, key)) for key in keys] if "forest" in names else []
+        for kind in (lockstep.Logistic, lockstep.Perceptron):
+            if kind.name in names:
+                model = kind(len(TRACE_FEATURES), classes, seed)
+                scaled = scaled or lockstep.scales(rows, keys, _fold_member, len(TRACE_FEATURES))
+                weights = lockstep.fit(rows, keys, _fold_member, model, scaled)
+                found = lockstep.scored(held, keys, lambda k, c: c["fold"] == k[0], model, scaled, weights, ["trace_id", "fold", "label"])
+                parts.append(found.join(named, "key").select("trace_id", "fold", "label", predicted(F.col("probs")).alias("pred"), "probs", F.lit(kind.name).alias("model"), "aug_factor"))
+        for (fold, factor), model in growing:
+            found = score(model.result(), table.where((F.col("copy") == 0) & (F.col("fold") == fold)), TRACE_FEATURES, "class_idx")
             parts.append(found.select("trace_id", "fold", "label", "pred", "probs", F.lit("forest").alias("model"), F.lit(factor).alias("aug_factor")))
     out = parts[0]
     for part in parts[1:]:
