@@ -9,7 +9,7 @@ import pytest
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 #: These run whole pipelines or are held against brute force in tests of their own.
-SLOW = {n for n in QUERIES if n == "pipeline" or n.startswith("op")}
+SLOW = {n for n in QUERIES if n in ("pipeline", "j8_cross_validation") or n.startswith("op")}
 
 
 @pytest.fixture(scope="module")
