@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracework.operators import certainty, dwell, gates, learn, lockstep, metrics, ordered, parameters, peaks, spatial, stats
+from tracework.operators import certainty, components, dwell, gates, learn, lockstep, metrics, ordered, parameters, peaks, spatial, stats
 from tracework.sources import scratch, sinks
 
 
@@ -124,6 +124,29 @@ def test_one_hot_cell_and_its_neighbours(spark):
     assert spatial.density_clusters(rows.where("false"), 1.0, 3).collect() == []
 
 
+@pytest.mark.parametrize("together", [7, 200_000])
+def test_labels_by_tiles_equal_plain_components(spark, monkeypatch, together):
+    """A snake through all tiles, separate pairs, repeated and reversed links, a hub, and nodes without a link."""
+    monkeypatch.setattr(components, "TOGETHER", together)
+    rng = random.Random(together)
+    snake = [(i + 1, i) for i in range(0, 400)]
+    links = [(i // 20, *p) for i, p in enumerate(snake)] + [(rng.randrange(50), 1000, 1000 + i) for i in range(1, 200)] + [(3, 2000, 2001), (4, 2001, 2000), (5, 2000, 2001)]
+    links += [(rng.randrange(20), 3000 + rng.randrange(300), 3000 + rng.randrange(300)) for _ in range(200)]
+    nodes = sorted({n for _, *p in links for n in p} | {9000, 9001})
+    root = {n: n for n in nodes}
+    for _ in nodes:
+        before = dict(root)
+        for _, a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    rng.shuffle(links)
+    found = spatial.tiled_labels(spark.createDataFrame(links, "tile long, a long, b long"), spark.createDataFrame([(n,) for n in nodes], "id long"))
+    assert {r.id: r.label for r in found.collect()} == root
+    none = spatial.tiled_labels(spark.createDataFrame([], "tile long, a long, b long"), spark.createDataFrame([(5,)], "id long"))
+    assert [(r.id, r.label) for r in none.collect()] == [(5, 5)]
+
+
 def plain_peaks(x, height, width):
     """Peak by peak: flat tops above both neighbours, walks to both sides until something higher, interpolated crossings at half of the prominence."""
     n, found, i = len(x), 0, 1

@@ -16,6 +16,8 @@ from ..sources.scratch import Rounds
 
 #: A node of many links is dealt to so many tasks in the joins.
 SALTS = 8
+#: Links that stand together and are contracted at once; bounds a task's memory.
+TOGETHER = 200_000
 
 
 def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,11 +45,37 @@ def _contract(batches):
             yield pa.RecordBatch.from_arrays([pa.array(nodes[ok]), pa.array(root[ok])], ["a", "b"])
 
 
-def salted(rows: DataFrame, table: DataFrame, keys: list[str], by: str) -> DataFrame:
+def contracted(links: DataFrame, near: str) -> DataFrame:
+    """(a, b) links -> (node, root) for every run of links: its nodes with the smallest that each reaches in the run.
+
+    Links of equal ``near`` stand together, TOGETHER links make a run, so a node comes once for each run that has it.
+    """
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= TOGETHER:
+                yield solve(held)
+                held, n = [], 0
+        if n:
+            yield solve(held)
+
+    def solve(held):
+        rows = pa.concat_batches(held)
+        nodes, root = roots_of(rows.column("a").to_numpy(), rows.column("b").to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root)], ["node", "root"])
+
+    dealt = links.select(near, F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null").repartition(near).sortWithinPartitions(near)
+    return dealt.select("a", "b").mapInArrow(run, "node long, root long")
+
+
+def salted(rows: DataFrame, table: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
     """rows joined with table (one row for each value of keys), a key's rows over SALTS tasks by their column ``by``."""
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
     spread = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(spread, [*keys, "salt"]).drop("salt")
+    return dealt.join(spread, [*keys, "salt"], how).drop("salt")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
