@@ -24,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row, that of the smallest doc_id, of each component of near copies; every link is verified on the texts."""
+    """Keeps one row, that of the smallest doc_id, of each component of near copies: SimHash fingerprints within a radius whose texts verify."""
     docs = docs.select(*COLUMNS)
     found = written(simhash.resembling_groups(docs.select("doc_id", "text"), LEAST_RESEMBLANCE), "near-found")
     said = found.select(F.col("doc_id").alias("f_id"), F.col("node").alias("f_node"), "rows", "keep")

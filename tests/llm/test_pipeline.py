@@ -5,7 +5,9 @@ import itertools
 import random
 
 import corpus_pipeline as pipeline
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tracework.llm import mixing, simhash, suffix_dedup
@@ -82,6 +84,96 @@ def test_near_copy_stage_is_brute_force(spark, sf_dir, docs):
     assert sorted(kept) == sorted(set(near_components(texts).values()))
 
 
+def plain_print(text):
+    """(SimHash of 192 bits as an int, number of distinct five-word shingles), bit by bit."""
+    full, found = (1 << 64) - 1, simhash.shingles(text)
+    votes = [0] * 192
+    for shingle in found:
+        own = xxhash.xxh64_intdigest(shingle, 42)
+        for k in range(3):
+            x = own
+            if k:
+                x = x + k * 0x9E3779B97F4A7C15 & full
+                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+                x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+                x ^= x >> 31
+            for b in range(64):
+                votes[64 * k + b] += x >> b & 1
+    return sum(1 << b for b, v in enumerate(votes) if 2 * v > len(found)), len(found)
+
+
+def groups_of(label):
+    out = {}
+    for i, g in label.items():
+        out.setdefault(g, set()).add(i)
+    return {frozenset(g) for g in out.values()}
+
+
+@pytest.fixture(scope="module")
+def edited():
+    """Texts of 1 to 300 words with 0 to many edits, and pairs of few shingles."""
+    rng, texts = random.Random(3), ["", "one", "ONE ", "a b c d e f", "A b  c d e f"]
+    new = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    for _ in range(40):  # eight words, and the same with one more at either end
+        words = new(8)
+        texts += [" ".join(words), " ".join([*words, *new(1)]), " ".join([*new(1), *words])]
+    for n in (6, 7, 12, 30, 60, 150, 300):
+        for cut in (0.005, 0.01, 0.02, 0.04, 0.1):
+            words = new(n)
+            texts += [" ".join(w if rng.random() > cut else "zz" for w in words) for _ in range(4)]
+    return list(dict.fromkeys(texts))
+
+
+def test_near_copy_candidates_are_fingerprints_within_the_radius(spark, edited):
+    prints, root = [plain_print(t) for t in edited], list(range(len(edited)))
+    for i, j in itertools.combinations(range(len(edited)), 2):
+        (x, m), (y, n) = prints[i], prints[j]
+        apart = x ^ y
+        if not apart or (min(m, n) > 3 and apart.bit_count() <= 56 and (apart & (1 << 64) - 1).bit_count() <= 26):
+            old, kept = root[j], root[i]
+            root = [kept if r == old else r for r in root]
+    table = spark.createDataFrame(list(enumerate(edited)), "node long, text string").repartition(5)
+    got = {r.node: r["class"] for r in simhash.print_classes(table).collect()}
+    assert groups_of(got) == groups_of(dict(enumerate(root)))
+
+
+def test_near_copy_buckets_lose_no_pair(spark, edited):
+    """With buckets of chosen bits, too, all texts of similarity 0.8 are in one class; classes are no wider than by all pairs."""
+    table = spark.createDataFrame(list(enumerate(edited)), "node long, text string")
+    whole, dealt = ({r.node: r["class"] for r in simhash.print_classes(table, most=most).collect()} for most in (1024, 8))
+    near = near_components(edited)
+    assert all(dealt[i] == dealt[j] for i, j in near.items())
+    assert all(any(g <= w for w in groups_of(whole)) for g in groups_of(dealt))
+
+
+def test_print_links_of_crowded_buckets():
+    rng = np.random.default_rng(5)
+    flip = lambda n, bits: np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (n, 3, bits), np.uint64), axis=2)
+    groups = [rng.integers(0, 1 << 64, 3, np.uint64) ^ flip(n, 8) for n in (150, 90, 1, 1, 1)]
+    prints = np.concatenate(groups)[rng.permutation(243)]
+    bucket = np.sort(rng.integers(0, 2, 243))
+    found = dict(zip(*simhash.print_links(bucket, prints), strict=True))
+    first = prints[:, 0].view(np.int64)
+    for k in (0, 1):
+        at = np.flatnonzero(bucket == k)
+        near = (np.bitwise_count(prints[at, None] ^ prints[None, at]).sum(2) <= 56) & (np.bitwise_count(prints[at, None, 0] ^ prints[None, at, 0]) <= 26)
+        for i, row in zip(at, near, strict=True):
+            assert {found.get(x, x) for x in first[at[row]]} == {found.get(first[i], first[i])}
+    assert len({found.get(x, x) for x in first}) <= 2 * len(groups)
+
+
+@pytest.mark.parametrize("shift", [1, 63, 64, 65, 300])
+def test_lanes_within(shift):
+    rng = np.random.default_rng(shift)
+    a = rng.integers(0, 1 << 64, 500, np.uint64)
+    a[::2] = a[0]
+    planes = simhash.bit_planes(a)
+    for radius, share in itertools.product((0, 7, 26, 31, 32, 64), (0.01, 0.9)):
+        ask = rng.random(500 - shift) < share
+        got = simhash.lanes_within(planes, shift, simhash.packed(ask, planes.shape[1] - 1 - shift // 64), radius)
+        assert got.tolist() == np.flatnonzero(ask & (np.bitwise_count(a[:-shift] ^ a[shift:]) <= radius)).tolist()
+
+
 def test_near_copy_stage_keeps_one_row_whatever_the_ids(spark, sf_dir, docs):
     text, other = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
     rows = [(i, t, "en", "s", 1) for i, t in ((None, text), (None, text), (None, other), (7, other + " c"), (7, other + " c"), (8, "alone"), (None, "alone too"))]

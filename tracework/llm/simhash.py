@@ -27,6 +27,7 @@ those with the name of a new one, in any case. A very long text is hashed whole,
 from __future__ import annotations
 
 from itertools import combinations
+from math import ceil, comb, log2
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +37,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import components, roots_of
-from .common import chunks, groups, hide, ranges, salted_join, show, utf8, written
+from .common import chunks, groups, hide, ranges, salted_join, show, utf8, whole_groups, written
 
 SEED = 42
 BLOCKS = 6
 BUCKET_ROWS = 512
 CHUNK_BYTES = 1 << 20
-#: Candidates of resembling_groups: a pair of Jaccard similarity 0.8 shares one of the bands with probability 1 - (1 - 0.8**6)**32 = 0.9999.
-BANDS, BAND_ROWS = 32, 6
+#: Candidates of resembling_groups: fingerprints of PRINT_WORDS 64-bit words within PRINT_RADIUS bits, of which PLANE_RADIUS at most lie in the first word.
+PRINT_WORDS, PRINT_RADIUS, PLANE_RADIUS = 3, 56, 26
+#: Sets of so few shingles reach a similarity of 0.8 with their equals only.
+ALONE_SHINGLES = 3
+#: The part of bits in which sets of similarity 0.8 differ at most (expected; any sizes): larger sets, and four shingles beside five.
+DIFFER, DIFFER_FEW, FEW_SHINGLES = 0.1612, 0.1875, 5
+#: Such a pair meets in no bucket with this probability at most.
+MISSED = 1e-4
+#: Fingerprints a bucket, by the number of bits that buckets fix; rows compared together.
+PRINT_BUCKET, PRINT_ROWS = 1024, 1 << 16
 TILE_SHINGLES = 1 << 18
 
 
@@ -260,21 +269,28 @@ def shingles(text: str | None, words: int = 5) -> set[bytes]:
     return {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))}
 
 
-def _buckets(docs: DataFrame, words: int) -> DataFrame:
-    """(node, text) -> (bucket, node), a node once a task at least: the bands of least hashes, and the block choices of the fingerprint for two bits."""
-    rng = np.random.default_rng(SEED)
-    a, b = (rng.integers(0, 1 << 31, (BANDS * BAND_ROWS, 1), np.uint32) * 2 + 1 for _ in range(2))
-    masks = np.array(_masks(2, BLOCKS), np.int64).view(np.uint64)
-    names = np.arange(BANDS + len(masks), dtype=np.uint64).view(np.uint8).reshape(-1, 8)
-
-    def signature(text: bytes) -> list[int]:
-        hashes = np.array(_hashes(text.lower().split(), words), np.uint64)
-        least = np.full(len(a), 0xFFFFFFFF, np.uint32)
-        for at in range(0, len(hashes), 1024):
-            high, low = (hashes[at : at + 1024] >> np.uint64(32)).astype(np.uint32), hashes[at : at + 1024].astype(np.uint32)
-            np.minimum(least, (a * high + b * low).min(1), out=least)
-        keys = [x.tobytes() for x in least.reshape(BANDS, BAND_ROWS)] + [x.tobytes() for x in np.uint64(_majority(hashes)) & masks]
-        return [xxhash.xxh64_intdigest(name.tobytes() + key, SEED) for name, key in zip(names, keys, strict=True)]
+def wide_fingerprint(text: bytes, words: int = 5) -> tuple[np.ndarray, int]:
+    """(SimHash of the distinct shingles in PRINT_WORDS uint64 words, their number).
+
+    The first word is voted by the shingles' XXH64 hashes, each further one by a mixture of them (splitmix64).
+    """
+    hashes = np.unique(np.array(_hashes(text.lower().split(), words), np.uint64))
+    votes = np.empty((len(hashes), PRINT_WORDS), np.uint64)
+    votes[:, 0] = hashes
+    for k in range(1, PRINT_WORDS):
+        x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        votes[:, k] = x ^ x >> np.uint64(31)
+    ones = np.zeros(64 * PRINT_WORDS, np.int64)
+    for at in range(0, len(votes), 255):  # so many fit the sums' bytes
+        ones += np.unpackbits(votes[at : at + 255].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64), len(hashes)
+
+
+def _prints(docs: DataFrame, words: int) -> DataFrame:
+    """(node, text) -> node, f0, f1, f2 (its wide fingerprint), size (its shingles), a node once a task at least."""
+    names = [f"f{k}" for k in range(PRINT_WORDS)]
 
     def run(batches):
         seen = set()
@@ -283,34 +299,152 @@ def _buckets(docs: DataFrame, words: int) -> DataFrame:
             raw, at, node = data.tobytes(), at.tolist(), piece.column("node").to_pylist()
             new = {v: i for i, v in enumerate(node) if v not in seen}
             seen.update(new)
-            found = np.array([signature(raw[at[i] : at[i + 1]]) for i in new.values()], np.uint64).view(np.int64).reshape(-1, BANDS + len(masks))
-            yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(np.array(list(new), np.int64), found.shape[1]))], ["bucket", "node"])
+            found = [wide_fingerprint(raw[at[i] : at[i + 1]], words) for i in new.values()]
+            prints = np.array([f for f, _ in found], np.uint64).view(np.int64).reshape(-1, PRINT_WORDS)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(new), pa.int64()), *map(pa.array, np.ascontiguousarray(prints.T)), pa.array([n for _, n in found], pa.int64())], ["node", *names, "size"]
+            )
+
+    return docs.select("node", "text").mapInArrow(run, f"node long, {', '.join(f'{n} long' for n in names)}, size long")
+
+
+def bands_needed(bits: int, differ: float) -> int:
+    """How many buckets of ``bits`` chosen bits a fingerprint needs, for a pair that differs in this part of bits to share one with probability 1 - MISSED."""
+    n = 64 * PRINT_WORDS
+    chance = np.array([comb(n, d) * differ**d * (1 - differ) ** (n - d) for d in range(n + 1)])
+    apart = 1 - np.array([comb(n - d, bits) / comb(n, bits) for d in range(n + 1)])
+    bands = 1
+    # beyond the radius no bucket helps
+    while (chance * apart**bands)[: PRINT_RADIUS + 1].sum() > MISSED:
+        bands += 1
+    return bands
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The differing bits of rows of uint64 words."""
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+
+
+def vertical_counts(planes: np.ndarray) -> list[np.ndarray]:
+    """The binary digits, lowest first, of each lane's number of set planes: full adders on a third of the planes at once, carries go to the next digit."""
+    digits = []
+    while len(planes):
+        carries = []
+        while len(planes) > 1:
+            third = max(1, len(planes) // 3)
+            x, y = planes[:third], planes[third : 2 * third]
+            either = x ^ y
+            if len(planes) == 2:
+                planes, carry = either, x & y
+            else:
+                z = planes[2 * third : 3 * third]
+                planes, carry = np.concatenate([either ^ z, planes[3 * third :]]), x & y | either & z
+            carries.append(carry)
+        digits.append(planes[0])
+        planes = np.concatenate(carries) if carries else planes[:0]
+    return digits
+
+
+def lanes_within(planes: np.ndarray, shift: int, asked: np.ndarray, radius: int) -> np.ndarray:
+    """As ``near_lanes`` of planes with themselves, all planes at once: for radii so wide that most lanes stay to the end."""
+    word = np.flatnonzero(asked)
+    skip, bit = divmod(shift, 64)
+    if 2 * len(word) > len(asked):  # slices are cheaper than picked words
+        word, n = np.arange(len(asked)), len(asked)
+        own, other, after = planes[:, :n], planes[:, skip : skip + n], planes[:, skip + 1 : skip + 1 + n]
+    else:
+        own, other, after = planes[:, word], planes[:, word + skip], planes[:, word + skip + 1]
+    if bit:
+        other = other >> np.uint64(bit) | after << np.uint64(64 - bit)
+    near, equal = np.zeros(len(word), np.uint64), asked[word]
+    digits = vertical_counts(own ^ other)
+    for j in reversed(range(len(digits))):
+        if radius >> j & 1:
+            near |= equal & ~digits[j]
+            equal = equal & digits[j]
+        else:
+            equal = equal & ~digits[j]
+    place = np.flatnonzero(np.unpackbits((near | equal).view(np.uint8), bitorder="little").view(bool))
+    return word[place >> 6] * 64 + (place & 63)
+
+
+def print_links(bucket: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (between first words) that span the components of all pairs of one bucket within the radii; rows are sorted by bucket.
+
+    Rows near their bucket's first row are linked with it, every other row is compared with all after it: first words bit-sliced, the rest of those that this leaves by counts.
+    """
+    n = len(bucket)
+    if n < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    head = np.maximum.accumulate(np.where(np.concatenate([[True], bucket[1:] != bucket[:-1]]), np.arange(n), 0))
+    near = distances(prints, prints[head]) <= PRINT_RADIUS
+    first = prints[:, 0].view(np.int64)
+    left, right = [first[near]], [first[head[near]]]
+    by = np.lexsort((near, bucket))  # those still to be compared lead their buckets
+    bucket, prints, first, near = bucket[by], prints[by], first[by], near[by]
+    planes, columns = bit_planes(prints[:, 0]), list(np.ascontiguousarray(prints.T))
+    held = d = 0
+    while True:
+        d += 1
+        asked = (bucket[d:] == bucket[:-d]) & ~near[:-d]
+        if not asked.any():
+            break
+        hit = lanes_within(planes, d, packed(asked, planes.shape[1] - 1 - d // 64), PLANE_RADIUS)
+        hit = hit[sum(np.bitwise_count(f[hit] ^ f[hit + d]) for f in columns) <= PRINT_RADIUS]
+        left.append(first[hit])
+        right.append(first[hit + d])
+        held += len(hit)
+        if held > PRINT_ROWS:
+            held, (a, b) = 0, roots_of(np.concatenate(left), np.concatenate(right))
+            left, right = [a], [b]
+    nodes, root = roots_of(np.concatenate(left), np.concatenate(right))
+    ok = nodes != root
+    return nodes[ok], root[ok]
 
-    return docs.select("node", "text").mapInArrow(run, "bucket long, node long")
 
+def _print_links(batches):
+    """Rows (bucket, f0, f1, f2) sorted by bucket -> links (a, b) of first words; whole buckets of about PRINT_ROWS rows stand together."""
 
-def _shared(batches):
-    """(bucket, node) sorted by bucket -> bucket, node, b (its smallest node), without the buckets of one node; rows once each."""
+    def solve(held):
+        rows = pa.concat_batches(held)
+        prints = np.stack([rows.column(f"f{k}").to_numpy() for k in range(PRINT_WORDS)], 1).view(np.uint64)
+        a, b = print_links(rows.column("bucket").to_numpy(), prints)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    def several(bucket, node):
-        by = np.lexsort((node, bucket))
-        bucket, node = bucket[by], node[by]
-        new = np.ones(len(node), bool)
-        new[1:] = (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])
-        bucket, node = bucket[new], node[new]
-        _, head, n = np.unique(bucket, return_index=True, return_counts=True)
-        low, many = np.repeat(node[head], n), np.repeat(n > 1, n)
-        return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (bucket, node, low)], ["bucket", "node", "b"])
+    held, n = [], 0
+    for rows in whole_groups(batches, "bucket"):
+        held.append(rows)
+        n += rows.num_rows
+        if n >= PRINT_ROWS:
+            yield solve(held)
+            held, n = [], 0
+    if held:
+        yield solve(held)
 
-    kept_bucket, kept_node = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        bucket = np.concatenate([kept_bucket, batch.column("bucket").to_numpy()])
-        node = np.concatenate([kept_node, batch.column("node").to_numpy()])
-        # the last bucket may go on in the next batch
-        cut = int(np.searchsorted(bucket, bucket[-1], "left")) if len(bucket) else 0
-        kept_bucket, kept_node = bucket[cut:], node[cut:]
-        yield several(bucket[:cut], node[:cut])
-    yield several(kept_bucket, kept_node)
+
+def print_classes(docs: DataFrame, words: int = 5, most: int = PRINT_BUCKET) -> DataFrame:
+    """(node, text) -> node (once each), class: the components of wide fingerprints within the radii.
+
+    Buckets fix so many bits, chosen at random, that unlike fingerprints stand about ``most`` a bucket, and are as many as
+    ``bands_needed`` says. Equal fingerprints are always in one class; up to ``most`` all are compared.
+    """
+    names = [f"f{k}" for k in range(PRINT_WORDS)]
+    prints = written(_prints(docs, words).dropDuplicates(["node"]), "near-prints")
+    distinct = written(prints.where(F.col("size") > ALONE_SHINGLES).groupBy(*names).agg(F.min("size").alias("size")), "near-distinct")
+    bits = max(0, ceil(log2(max(1, distinct.count()) / most)))
+    usual, few = bands_needed(bits, DIFFER), bands_needed(bits, DIFFER_FEW)
+    rng = np.random.default_rng(SEED)
+    masks = []
+    for band in range(few):
+        chosen = np.zeros(64 * PRINT_WORDS, bool)
+        chosen[rng.choice(len(chosen), bits, replace=False)] = True
+        masks.append((band, *np.packbits(chosen, bitorder="little").view(np.int64).tolist()))
+    table = docs.sparkSession.createDataFrame(masks, f"band long, {', '.join(f'm{k} long' for k in range(PRINT_WORDS))}")
+    dealt = distinct.crossJoin(F.broadcast(table)).where((F.col("band") < usual) | (F.col("size") <= FEW_SHINGLES))
+    dealt = dealt.select(F.xxhash64("band", *[F.col(f).bitwiseAND(F.col(f"m{k}")) for k, f in enumerate(names)]).alias("bucket"), *names)
+    links = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_print_links, "a long, b long")
+    near = components(written(links.distinct(), "near-prints"), "near-classes").withColumnRenamed("node", "n_print")
+    return prints.join(near, F.col("f0") == F.col("n_print"), "left").select("node", F.coalesce("root", "f0").alias("class"))
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
@@ -327,8 +461,9 @@ def _alike(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> Data
                 ok.append(len(x & y) >= least * len(x | y))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left, right = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("a", "s"), ("b", "t")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    left, right = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("a", "s"), ("t_b", "t")))
+    right = right.join(pairs.select(F.col("b").alias("t_b")).distinct(), "t_b", "left_semi")
+    return salted_join(pairs.join(left, "a"), right, "b", "t_b", "a").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
 def _hashed(texts: DataFrame, words: int) -> DataFrame:
@@ -392,22 +527,24 @@ def _tile_links(least: float):
 def resembling_groups(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
     """doc_id, node, rows, keep: one row a (doc_id, node) whose component has more rows; keep is true for one of the component's.
 
-    Equal texts are one node (the 64-bit ``text_node``). Candidates are nodes with a
-    common bucket. Each is compared by exact Jaccard similarity of word shingles
-    with its bucket's smallest node; then the others of a bucket that this leaves in
+    Equal texts are one node (the 64-bit ``text_node``). Candidates are the nodes of one class of ``print_classes``: SimHash
+    fingerprints within a radius, compared bit-sliced. Each is compared by exact Jaccard similarity of word shingles
+    with its class's smallest node; then the others of a class that this leaves in
     different components are compared in tiles of about ``TILE_SHINGLES`` by ``TILE_SHINGLES``, by an inverted
     index of their shingles' hashes: no pair is written, only links that join components. So the components are those of all
     candidate pairs with the similarity, whatever doc_ids they have. The
     smallest doc_id of a component is kept, a null one only if there is no other.
+    The radii and numbers of buckets are those for a similarity of 0.8 or more.
     """
     keys = written(docs.groupBy("doc_id", text_node().alias("node")).agg(F.count(F.lit(1)).alias("rows")), "near-keys")
     lows = keys.groupBy("node").agg(F.min("doc_id").alias("low"))
-    dealt = _buckets(docs.select(text_node().alias("node"), "text"), words).repartition("bucket").sortWithinPartitions("bucket")
-    shared = written(dealt.mapInArrow(_shared, "bucket long, node long, b long"), "near-shared")
-    named = lows.join(shared.select("node").distinct(), "node").select(F.col("node").alias("t_node"), "low")
+    classed = written(print_classes(docs.select(text_node().alias("node"), "text"), words), "near-classes")
+    several = classed.groupBy("class").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("class").alias("bucket"), "b")
+    shared = written(salted_join(classed, several, "class", "bucket", "node").select("bucket", "node", "b"), "near-shared")
+    named = lows.join(shared.select("node"), "node").select(F.col("node").alias("t_node"), "low")
     rows = docs.select("doc_id", text_node().alias("node"), "text")
     texts = written(rows.join(named.hint("shuffle_hash"), (F.col("node") == F.col("t_node")) & F.col("doc_id").eqNullSafe(F.col("low"))).select("node", "text").dropDuplicates(["node"]), "near-texts")
-    first = written(_alike(shared.where("node <> b").select(F.col("node").alias("a"), "b").distinct(), texts, least, words), "near-links")
+    first = written(_alike(shared.where("node <> b").select(F.col("node").alias("a"), "b"), texts, least, words), "near-links")
     root = components(first, "near-first")
     placed = shared.join(root, "node", "left").select("bucket", "node", "b", F.coalesce("root", "node").alias("root"))
     # Pairs with the smallest are decided; a bucket has more to compare if its other nodes lie in several components.
