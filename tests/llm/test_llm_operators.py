@@ -274,6 +274,21 @@ def test_components_of_chains_and_stars(spark):
     assert all(found[i] == 1000 for i in range(1001, 1200))
 
 
+@pytest.mark.parametrize("pieces", [1, 8])
+def test_components_deal_only_nodes_that_change(spark, monkeypatch, pieces):
+    """However many tasks the links lie in: leaves and roots are not repeated for several tasks, and finished stars need no round."""
+    dealt, plain = [], components.salted
+    monkeypatch.setattr(components, "salted", lambda rows, table, *more: dealt.append(table.count()) or plain(rows, table, *more))
+    stars = [(10 * k, 10 * k + i) for k in range(300) for i in range(1, 5)]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long").repartition(pieces)
+    assert {r.node: r.root for r in components.components(table(stars)).collect()} == {b: a for a, b in stars}
+    assert not dealt
+    bridges = [(3, 12), (104, 201), (203, 300), (2990, 2992)]
+    root = {b: a for a, b in stars} | {i: 0 for i in range(1, 15) if i % 10 < 5} | {i: 100 for i in range(101, 305) if i // 10 in (10, 20, 30) and i % 10 < 5}
+    assert {r.node: r.root for r in components.components(table([*stars, *bridges])).collect()} == root
+    assert sum(dealt) <= 20
+
+
 # packing
 
 

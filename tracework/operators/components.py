@@ -1,8 +1,10 @@
 """Connected components of a link table by alternating large-star and small-star joins.
 
 Links are first contracted inside every task by a union-find over one batch
-(a map-side combine), which shortens long chains. Each round is written to the
-shared folder, so the lineage stays one round deep. Only a count reaches the driver.
+(a map-side combine), which shortens long chains. A round changes the links of nodes
+that have smaller and larger neighbours, or several smaller ones; only those are dealt
+to several tasks, and without any the links are stars and the work is done. Each round is
+written to the shared folder, so the lineage stays one round deep. At most a row reaches the driver.
 """
 
 from __future__ import annotations
@@ -87,21 +89,18 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     rounds = Rounds(links.sparkSession, name)
     now = rounds.write(pairs.mapInArrow(_contract, "a long, b long").distinct())
     while True:
-        # Large star: every node's larger neighbours are linked to its smallest neighbour (or itself).
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = salted(both.where("b > a"), low, ["a"], "b").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        # Small star: a node's smaller neighbours, and itself, are linked to the smallest of them.
-        large = rounds.write(large.where("a <> b").distinct())
-        down = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = (
-            salted(large, down, ["a"], "b")
-            .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("p"))
-            .select("p.*").where("a <> b")
-        )
-        after = rounds.write(small.mapInArrow(_contract, "a long, b long").distinct())
-        if not after.exceptAll(now).take(1) and not now.exceptAll(after).take(1):
-            rounds.forget()
-            return after.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        now = after
+        sides = both.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.count_if(F.col("b") < F.col("a")).alias("smaller"))
+        between = (F.col("low") < F.col("a")) & (F.col("high") > F.col("a"))
+        if not sides.where(between | (F.col("smaller") > 1)).take(1):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        # Large star: every node's larger neighbours are linked to its smallest neighbour (or itself); only nodes between others change links.
+        low = sides.where(between).select("a", "low")
+        large = salted(now.select(F.col("b").alias("a"), F.col("a").alias("b")), low, ["a"], "b", "left")
+        large = rounds.write(large.select(F.col("b").alias("a"), F.coalesce("low", "a").alias("b")).distinct())
+        # Small star: a node's smaller neighbours, and itself, are linked to the smallest of them; one alone stays as it is.
+        down = large.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "low")
+        small = salted(large, down, ["a"], "b", "left").withColumn("low", F.coalesce("low", "b"))
+        small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("p")).select("p.*").where("a <> b")
+        now = rounds.write(small.mapInArrow(_contract, "a long, b long").distinct())
         rounds.forget()
