@@ -1,22 +1,17 @@
-"""Learning as Spark ML jobs over trace features, with the controls that go with it."""
+"""Learning as Spark jobs over trace features, with the controls that go with it."""
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.seeded import uniform
-from ..sources.scratch import cut, folder
+from ..sources.scratch import cut
 from . import augment, lockstep, metrics, sampling
+from .forest import Forest, Model
 
 TRACE_FEATURES = ("mean", "std", "low", "high", "middle", "roughness")
 
@@ -29,19 +24,21 @@ def trace_features(traces: DataFrame) -> DataFrame:
     return traces.select(*[c for c in traces.columns if c != "values"], *[F.coalesce(c, F.lit(0.0)).alias(n) for c, n in zip(cols, TRACE_FEATURES, strict=True)])
 
 
-def forest(trees: int = 500, seed: int = 42, depth: int = 30, memory_mb: int = 1024) -> RandomForestClassifier:
-    """memory_mb is what a pass over the rows may hold of node statistics: enough for all nodes of a level, so a level is one job."""
-    return RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=depth, maxMemoryInMB=memory_mb, seed=seed, probabilityCol="probability", labelCol="label", featuresCol="features")
+def forest(trees: int = 500, seed: int = 42, depth: int = 30) -> Forest:
+    return Forest(trees, seed, depth)
 
 
 def assembled(rows: DataFrame, features: tuple[str, ...], label: str) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(rows.withColumn("label", F.col(label).cast("double")))
+    """rows, then label and features (array); rows with a missing feature are left out."""
+    out = rows.withColumn("label", F.col(label).cast("double")).withColumn("features", F.array(*[F.col(f).cast("double") for f in features]))
+    return out.where(F.forall("features", lambda v: v.isNotNull() & ~F.isnan(v)))
 
 
-def score(model, rows: DataFrame, features: tuple[str, ...], label: str) -> DataFrame:
+def score(model: Model, rows: DataFrame, features: tuple[str, ...], label: str) -> DataFrame:
     """The rows, then label, probs, pred (of two classes the second from 0.5 on; else the first of the largest)."""
-    out = model.transform(assembled(rows, features, label)).withColumn("probs", vector_to_array("probability"))
-    return out.withColumn("pred", predicted(F.col("probs"))).withColumn("label", F.col("label").cast("int")).drop("features", "rawPrediction", "probability", "prediction")
+    ready = cut(assembled(rows, features, label).withColumn("_same", F.xxhash64("features")))  # equal features have equal shares
+    out = ready.join(model.probabilities(ready.select("_same", "features"), "_same"), "_same")
+    return out.withColumn("pred", predicted(F.col("probs"))).withColumn("label", F.col("label").cast("int")).drop("features", "_same")
 
 
 def predicted(probs: Column) -> Column:
@@ -49,34 +46,32 @@ def predicted(probs: Column) -> Column:
 
 
 def split_and_balanced(rows: DataFrame, label: str, id_: str, seed: int = 42) -> DataFrame:
-    """rows, then split: an 80/20 stratified split into train and test, of which each part keeps as many rows of a class as of the smallest."""
-    split = cut(sampling.stratified_split(rows, label, id_, {"train": 0.8, "test": 0.2}, seed))
+    """rows, then split: an 80/20 stratified split into train and test, of which each part keeps as many rows of a class as of the smallest.
+
+    rows are written first, as every ranking reads them twice.
+    """
+    split = cut(sampling.stratified_split(cut(rows), label, id_, {"train": 0.8, "test": 0.2}, seed))
     train, test = (sampling.balance(split.where(F.col("split") == part), label, id_, seed) for part in ("train", "test"))
     return train.unionByName(test)
 
 
-def classify(rows: DataFrame, features: tuple[str, ...], label: str, id_: str, estimator=None, seed: int = 42) -> tuple[object, DataFrame]:
+def classify(rows: DataFrame, features: tuple[str, ...], label: str, id_: str, estimator: Forest | None = None, seed: int = 42) -> tuple[Model, DataFrame]:
     """(model, scored test rows): an 80/20 stratified split, then the classes of each part balanced."""
     placed = cut(split_and_balanced(rows, label, id_, seed))
     train, test = placed.where("split = 'train'").drop("split"), placed.where("split = 'test'").drop("split")
-    model = (estimator or forest(seed=seed)).fit(assembled(spread(train), features, label))
+    model = (estimator or forest(seed=seed)).fit(assembled(train, features, label))
     return model, score(model, test, features, label)
 
 
-def spread(train: DataFrame, rows: int = 20_000) -> DataFrame:
-    """Learning rows over tasks of about so many: a forest sends the statistics of all its nodes from every task, so small tasks cost more than they save."""
-    return train.repartition(max(1, -(-train.count() // rows)))
-
-
 def importances(spark, model, features: tuple[str, ...]) -> DataFrame:
     """feature, importance, most important first."""
-    pairs = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)]
+    pairs = [(f, float(v)) for f, v in zip(features, model.importances(spark), strict=True)]
     return spark.createDataFrame(pairs, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
 def scrambled_control(rows: DataFrame, features: tuple[str, ...], label: str, id_: str, estimator=None, seed: int = 42) -> DataFrame:
     """Scored test rows after the labels were permuted; accuracy is expected at chance."""
-    mixed = sampling.scramble(rows, label, id_, seed).drop(label).withColumnRenamed("scrambled", label)
+    mixed = sampling.scramble(cut(rows), label, id_, seed).drop(label).withColumnRenamed("scrambled", label)
     return classify(mixed, features, label, id_, estimator, seed)[1]
 
 
@@ -93,51 +88,13 @@ def stochastic_passes(rows: DataFrame, weights: list[list[float]], bias: list[fl
     return passes.select(id_, "label", "pass", F.posexplode(arrays.softmax(scores)).alias("class", "prob"))
 
 
-def _nodes(model, spark) -> pd.DataFrame:
-    """The fitted trees' nodes, read from the saved model: as many as the model on the driver holds."""
-    path = folder(spark, "forest")
-    model.write().save(path)
-    rows = spark.read.parquet(path + "/data").select("treeID", "nodeData.*").select("treeID", "id", "leftChild", "rightChild", "impurityStats", F.col("split.featureIndex").alias("feature"), F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"))
-    return rows.toPandas().sort_values(["treeID", "id"])
-
-
-def forest_votes(model, rows: DataFrame, features: tuple[str, ...], label: str, id_: str = "trace_id") -> DataFrame:
+def forest_votes(model: Model, rows: DataFrame, features: tuple[str, ...], label: str, id_: str = "trace_id") -> DataFrame:
     """id, label, pass, class, prob: each tree of a fitted forest of numeric features as a pass of its own, with its leaf's class shares.
 
     The means over the passes are the forest's probabilities, so its votes go where stochastic passes go. Rows with missing features are left out.
     """
-    spark = rows.sparkSession
-    nodes = _nodes(model, spark)
-    sizes = nodes.groupby("treeID").size().to_numpy()
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    offset = np.repeat(first, sizes)
-    stats = np.array(nodes["impurityStats"].tolist(), float)
-    leaf = nodes["leftChild"].to_numpy() < 0
-    trees = spark.sparkContext.broadcast((
-        first, np.where(leaf, np.arange(len(nodes)), nodes["leftChild"].to_numpy() + offset), np.where(leaf, np.arange(len(nodes)), nodes["rightChild"].to_numpy() + offset),
-        np.where(leaf, 0, nodes["feature"].to_numpy()), np.where(leaf, np.inf, nodes["threshold"].to_numpy()), stats / stats.sum(1, keepdims=True), leaf,
-    ))  # the model itself
-    classes = stats.shape[1]
-    ready = rows.select(id_, F.col(label).cast("int").alias("label"), F.array(*[F.col(f).cast("double") for f in features]).alias("x")).where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)))
-
-    def vote(batches):
-        first, left, right, feature, threshold, shares, leaf = trees.value
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                n, t = part.num_rows, len(first)
-                x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-                at = np.tile(first, (n, 1))
-                while not leaf[at].all():
-                    value = x[np.arange(n)[:, None], feature[at]]
-                    at = np.where(value <= threshold[at], left[at], right[at])
-                again = pa.array(np.repeat(np.arange(n), t * classes))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(id_).take(again), part.column("label").take(again), pa.array(np.tile(np.repeat(np.arange(t, dtype=np.int32), classes), n)), pa.array(np.tile(np.arange(classes, dtype=np.int32), n * t)), pa.array(shares[at].ravel())],
-                    [id_, "label", "pass", "class", "prob"],
-                )
-
-    return ready.mapInArrow(vote, f"{id_} {rows.schema[id_].dataType.simpleString()}, label int, pass int, class int, prob double")
+    ready = assembled(rows, features, label).select(id_, F.col("label").cast("int").alias("label"), "features")
+    return model.votes(ready, [id_, "label"])
 
 
 def _fold_member(key, columns):
@@ -173,7 +130,7 @@ def cross_validate(traces: DataFrame, folds: int, factors: list[int], names: lis
     def grow(key):
         fold, factor = key
         mine = (F.col("fold") != fold) & ((F.col("copy") == 0) | ((F.col("for_fold") == fold) & (F.col("copy") < factor)))
-        return forest(trees, seed).fit(assembled(spread(table.where(mine)), TRACE_FEATURES, "class_idx"))
+        return forest(trees, seed).fit(assembled(table.where(mine), TRACE_FEATURES, "class_idx"))
 
     with ThreadPoolExecutor(at_once) as pool:
         growing = [(key, pool.submit(grow, key)) for key in keys] if "forest" in names else []

@@ -8,6 +8,7 @@ from ..functions import arrays
 from ..operators import augment, certainty, dwell, learn, metrics, mixture, normalize, sampling, stats
 from ..sources import fixtures as X
 from ..sources.fixtures import with_sql
+from ..sources.scratch import cut
 from .registry import query, rounded
 from .trace_queries import _RUNS, FRAME_MS, _mixture_sql, on_frames
 
@@ -124,7 +125,7 @@ def j5_scrambled_control(spark, sf_dir):
 @query()
 def j6_noise_control(spark, sf_dir):
     """A model of half of the traces scores flat background: the distribution over classes should have no bias."""
-    rows = _dwell(spark, sf_dir)
+    rows = cut(_dwell(spark, sf_dir))
     model, _ = learn.classify(rows.where("trace_id % 3 > 0"), DWELL, "class_idx", "trace_id", learn.forest(TREES))
     return rounded(metrics.mean_probabilities(learn.score(model, rows.where("trace_id % 3 = 0"), DWELL, "class_idx")))
 
