@@ -80,3 +80,11 @@ def test_equal_and_infinite_features(spark):
     assert len(found) == 20 and all(r.pred == r.class_idx and r.probs == [1.0 - r.pred, r.pred] for r in found)
     with pytest.raises(ValueError, match="rows"):
         learn.forest(3).fit(learn.assembled(df.where("false"), ("a",), "class_idx"))
+
+
+def test_scores_of_folds_are_written_once(spark):
+    """Metrics read them several times."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, i % 2, [float(v) for v in rng.normal(i % 2, 1, 12)]) for i in range(40)], "trace_id long, class_idx int, values array<double>")
+    found = learn.cross_validate(df, 2, [0], ["forest", "logistic"], 2, trees=3)
+    assert "MapInArrow" not in found._jdf.queryExecution().toString() and found.count() == 80

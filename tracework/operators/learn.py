@@ -122,7 +122,8 @@ def cross_validate(traces: DataFrame, folds: int, factors: list[int], names: lis
     """
     table = fold_table(traces, folds, factors, seed)
     keys = [(fold, factor) for factor in factors for fold in range(1, folds + 1)]
-    rows = table.select("trace_id", "fold", "for_fold", "copy", F.col("class_idx").cast("int").alias("label"), F.array(*TRACE_FEATURES).alias("x"))
+    # a step streams its rows, so a few long tasks cost less than many short ones
+    rows = table.coalesce(2 * table.sparkSession.sparkContext.defaultParallelism).select("trace_id", "fold", "for_fold", "copy", F.col("class_idx").cast("int").alias("label"), F.array(*TRACE_FEATURES).alias("x"))
     held = rows.where("copy = 0")
     named = F.broadcast(table.sparkSession.createDataFrame([(i, factor) for i, (_, factor) in enumerate(keys)], "key int, aug_factor int"))  # a row a fit
     parts, scaled = [], None
@@ -147,7 +148,7 @@ def cross_validate(traces: DataFrame, folds: int, factors: list[int], names: lis
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return cut(out)  # metrics read it several times
 
 
 def fold_metrics(scored: DataFrame, classes: int) -> DataFrame:
