@@ -2,13 +2,15 @@
 
 Distances become equi-joins: points are put into grid cells as wide as the
 distance, and one side is sent to the 3 x 3 cells around it. A box is exploded
-into its pixels, so overlap and sums are equi-joins on pixels.
+into its pixels for overlap, an equi-join on pixels; sums are looked up at its corner.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,10 +85,53 @@ def pairwise_overlaps(rois: DataFrame, box: int, threshold: int) -> DataFrame:
     return found.select("movie_id", F.col("l.roi").alias("a"), F.col("r.roi").alias("b"), (side("x") * side("y")).alias("area")).where(F.col("area") > threshold)
 
 
+def corner_windows(pixels: DataFrame, box: int, width: int, height: int) -> DataFrame:
+    """movie_id, frame, x, y, intensity: the sum over the box at each corner from (0, 0) on whose box, clipped at the right and bottom, has a pixel of the frame.
+
+    A frame is one image and is summed in one task, along x and then along y: the work doesn't grow with the number of boxes over a pixel.
+    A sum over missing values only is NULL.
+    """
+    whole = pixels.schema["intensity"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    kind = np.int64 if whole else np.float64
+    names = ["movie_id", "frame", "x", "y", "intensity"]
+
+    def slid(grid: np.ndarray) -> np.ndarray:
+        """Sums of boxes by their corners, from box - 1 before the grid's first row and column on."""
+        grid = np.pad(grid, box - 1)
+        rows = sum(grid[:, i : grid.shape[1] - box + 1 + i] for i in range(box))
+        return sum(rows[i : rows.shape[0] - box + 1 + i] for i in range(box))
+
+    def one(table: pa.Table) -> pa.Table:
+        x, y = table["x"].to_numpy().astype(np.int64), table["y"].to_numpy().astype(np.int64)
+        x0, y0 = int(x.min()), int(y.min())
+        at, shape = (y - y0, x - x0), (int(y.max()) - y0 + 1, int(x.max()) - x0 + 1)
+        known = ~np.asarray(table["intensity"].is_null())
+        value = table["intensity"].fill_null(0).to_numpy().astype(kind)
+        total, seen, valued = np.zeros(shape, kind), np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+        np.add.at(total, at, value)
+        np.add.at(seen, at, 1)
+        np.add.at(valued, at, known)
+        total, seen, valued = slid(total), slid(seen), slid(valued)
+        cy, cx = np.nonzero(seen)
+        fine = (cx + x0 - box + 1 >= 0) & (cy + y0 - box + 1 >= 0)
+        cy, cx = cy[fine], cx[fine]
+        first = pa.array(np.zeros(len(cx), np.int64))
+        sums = pa.array(total[cy, cx], mask=valued[cy, cx] == 0)
+        return pa.table([table["movie_id"].combine_chunks().take(first), table["frame"].combine_chunks().take(first), pa.array(cx + x0 - box + 1), pa.array(cy + y0 - box + 1), sums], names)
+
+    kinds = {c: pixels.schema[c].dataType.simpleString() for c in ("movie_id", "frame")}
+    inside = pixels.where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < width) & (F.col("y") < height) & F.col("movie_id").isNotNull()).select(*names)
+    return inside.groupBy("movie_id", "frame").applyInArrow(one, f"movie_id {kinds['movie_id']}, frame {kinds['frame']}, x long, y long, intensity {'long' if whole else 'double'}")
+
+
 def box_sums(pixels: DataFrame, rois: DataFrame, box: int, width: int, height: int) -> DataFrame:
-    """movie_id, roi, frame, intensity: pixels of each frame summed in each box. One shuffle of the exploded sums, none of the frames if the boxes are broadcast by size."""
-    cells = box_pixels(rois, box, width, height).withColumnsRenamed({"px": "x", "py": "y"})
-    return pixels.join(cells, ["movie_id", "x", "y"]).groupBy("movie_id", "roi", "frame").agg(F.sum("intensity").alias("intensity"))
+    """movie_id, roi, frame, intensity: pixels of each frame summed in each box; boxes of one (movie_id, roi) count together.
+
+    A box looks up the sums at its corner: a row for each box and frame is joined, not one for each pixel in a box. A box with a negative corner has no pixels.
+    """
+    sums = corner_windows(pixels, box, width, height)
+    boxes = rois.where("x >= 0 and y >= 0").select("movie_id", "roi", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    return sums.join(boxes, ["movie_id", "x", "y"]).groupBy("movie_id", "roi", "frame").agg(F.sum("intensity").alias("intensity"))
 
 
 def roi_traces(pixels: DataFrame, rois: DataFrame, overlapping: DataFrame, box: int, width: int, height: int) -> DataFrame:
