@@ -22,11 +22,9 @@ SALTS = 8
 TOGETHER = 200_000
 
 
-def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, smallest node of each one's component) for the links a[i]-b[i], by min-label hooking and jumping."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    root = np.arange(len(nodes))
+def smallest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest of 0 to n - 1 that each of them reaches by the links x[i]-y[i], by min-label hooking and jumping."""
+    root = np.arange(n)
     while True:
         low = np.minimum(root[x], root[y])
         new = root.copy()
@@ -35,10 +33,16 @@ def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while (new[new] != new).any():
             new = new[new]
         if (new == root).all():
-            return nodes, nodes[root]
+            return root
         root = new
 
 
+def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node of each one's component) for the links a[i]-b[i]."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return nodes, nodes[smallest(len(nodes), at[: len(a)], at[len(a) :])]
+
+
 def _contract(batches):
     for batch in batches:
         if batch.num_rows:

@@ -7,7 +7,7 @@ into its pixels for overlap, an equi-join on pixels; sums are looked up at its c
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.seeded import order_key
-from ..sources.scratch import cut
+from ..sources.scratch import cut, folder
+from . import blocks
 from .components import components, contracted, salted
 from .ordered import quantiles
 
@@ -150,10 +151,11 @@ def roi_traces(pixels: DataFrame, rois: DataFrame, overlapping: DataFrame, box:
     return rows.withColumn("values", F.when((F.col("overlap") == "single") & F.col("n").isNotNull(), every).otherwise(F.array().cast("array<double>"))).drop("m", "n")
 
 
-def labels_of(links: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame:
-    """key, label: smallest node that each can reach."""
-    roots = components(links, "spatial-components").withColumnRenamed("node", key)
-    return nodes.select(key).join(roots, key, "left").select(key, F.coalesce("root", key).alias("label"))
+def _across(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of nodes in several tiles or blocks -> (node, low: its smallest root), (low, top: roots that have a smaller one elsewhere, with the smallest)."""
+    lowest = found.groupBy("node").agg(F.min("root").alias("low"), F.collect_set("root").alias("roots"))  # a node is in few tiles
+    across = lowest.where(F.size("roots") > 1).select(F.explode("roots").alias("a"), F.col("low").alias("b"))
+    return lowest, components(across, name).select(F.col("node").alias("low"), F.col("root").alias("top"))
 
 
 def tiled_labels(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -162,138 +164,70 @@ def tiled_labels(links: DataFrame, nodes: DataFrame) -> DataFrame:
     The links of a tile are contracted where they meet, so that only the roots of tiles, joined where a node has several, go through the
     rounds over all links: a plane of cells, whose paths are long, costs rounds over its tiles instead.
     """
-    lowest = cut(contracted(links, "tile").groupBy("node").agg(F.min("root").alias("low"), F.collect_set("root").alias("roots")))  # a node is in few tiles
-    across = lowest.where(F.size("roots") > 1).select(F.explode("roots").alias("a"), F.col("low").alias("b"))
+    lowest, above = _across(cut(contracted(links, "tile")), "spatial-tiles")
     # a tile's root that has a smaller root elsewhere counts by that; its own row tells so
-    above = components(across, "spatial-tiles").select(F.col("node").alias("low"), F.col("root").alias("top"))
     named = salted(lowest.select(F.col("node").alias("id"), "low"), above, ["low"], "id", how="left")
     return nodes.select("id").join(named.select("id", F.coalesce("top", "low").alias("label")), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
+def _blocked(points: DataFrame, axes: dict[str, tuple[float, float, float, bool]], solve: Callable, name: str) -> DataFrame:
+    """movie_id, root, n, x, y (means): the components of points that ``solve`` finds in blocks, joined where blocks share a point.
+
+    The blocks' results are the only table that is written: sums of components, and what is needed to join those of several blocks.
+    """
+    spark = points.sparkSession
+    path = folder(spark, name)
+    blocks.solved(blocks.dealt(points, axes), len(axes), solve).write.option("compression", "zstd").parquet(path)
+    found = spark.read.parquet(path)
+    _, above = _across(found.where("kind = 1").select("node", "root"), f"{name}-across")
+    above = cut(above)
+    topped = lambda rows, by: salted(rows.withColumnRenamed("root", "low"), above, ["low"], by, "left").withColumn("root", F.coalesce("top", "low"))
+    sums = ["movie_id", "root", "n", "x", "y"]
+    joined = topped(found.where("kind = 0 and open"), "n").select(*sums)
+    torn = topped(found.where("kind = 2"), "node").groupBy("movie_id", "node").agg(F.min("root").alias("root"), F.first("x").alias("x"), F.first("y").alias("y"))
+    whole = joined.unionByName(torn.select("movie_id", "root", F.lit(1).cast("long").alias("n"), "x", "y")).groupBy("movie_id", "root").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y")])
+    every = found.where("kind = 0 and not open").select(*sums).unionByName(whole)
+    return every.select("movie_id", "root", "n", (F.col("x") / F.col("n")).alias("x"), (F.col("y") / F.col("n")).alias("y"))
+
+
+def _placed(*columns: str) -> Column:
+    """Whether all columns have values, and finite ones."""
+    ok = F.lit(True)
+    for c in columns:
+        ok &= F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
+    return ok
+
+
+#: A block is so many radii wide.
+BLOCK_RADII = 64
+#: And of so many spans of frames.
+BLOCK_SPANS = 16
+
+
 def link_localizations(locs: DataFrame, radius: float, dark: int) -> DataFrame:
     """Localizations (id, movie_id, frame, x, y) within radius (inclusive) and at most dark empty frames apart are one molecule.
 
-    molecule (smallest id), movie_id, n, x, y (means). Localizations of one frame are not linked directly.
+    molecule (smallest id), movie_id, n, x, y (means). Localizations of one frame are not linked directly; those without a movie, frame or place are molecules of their own.
+    Rows of equal id are one localization and have equal places.
     """
-    span = dark + 1
-    base = locs.select("id", "movie_id", "frame", "x", "y", F.floor(F.col("frame") / span).alias("slot"))
-    later = base.withColumn("slot", F.explode(F.array(F.col("slot"), F.col("slot") - 1)))
-    found = pairs_within(base, later, radius, ["movie_id", "slot"], strict=False).where((F.col("r.frame") > F.col("l.frame")) & (F.col("r.frame") - F.col("l.frame") <= span))
-    links = found.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-    named = locs.join(labels_of(links, locs), "id")
-    return named.groupBy("movie_id", F.col("label").alias("molecule")).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
-
-
-#: Links are contracted by tiles of so many cells a side.
-TILE_CELLS = 64
-#: Cells of side radius / sqrt(2) that can hold a point within the radius of one in the cell itself.
-NEAR_CELLS = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3) if abs(dx) + abs(dy) < 4]
-#: A cell's points are dealt into parts of about so many.
-PART_POINTS = 1024
-#: Two boxes with at most so many pairs of points are compared point by point, others are split further.
-PAIRS_AT_ONCE = 1024
-
-
-def _celled(points: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
-    """(points with cell cx, cy, its number of points n and the part they are dealt to, one row a cell with cn)."""
-    size = radius / math.sqrt(2)
-    placed = cut(points.select("movie_id", "id", "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")))
-    cells = cut(placed.groupBy("movie_id", "cx", "cy").agg(F.count(F.lit(1)).alias("n")))
-    known = salted(placed, cells, ["movie_id", "cx", "cy"], "id")
-    parts = F.ceil(F.col("n") / PART_POINTS)
-    return cut(known.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))), cells
-
-
-def _around(points: DataFrame, cells: DataFrame, others: DataFrame, radius: float) -> DataFrame:
-    """points (of cells with few points) with the others (o struct) within the radius in their own and the near cells, hot cells part by part."""
-    near = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in NEAR_CELLS])
-    sent = points.select("movie_id", F.struct("id", "x", "y").alias("p"), "cx", "cy", F.explode(near).alias("d"))
-    sent = sent.select("movie_id", "p", (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"))
-    # A point goes only to cells whose square it reaches: 13 of 21 on average. The margin is far above rounding.
-    size = radius / math.sqrt(2)
-    off = lambda c: F.greatest(F.lit(0.0), F.col(f"c{c}") * size - F.col(f"p.{c}"), F.col(f"p.{c}") - (F.col(f"c{c}") + 1) * size)
-    sent = sent.where(off("x") ** 2 + off("y") ** 2 <= F.lit(float(radius) ** 2 * (1 + 1e-6)))
-    sent = sent.join(cells, ["movie_id", "cx", "cy"]).withColumn("part", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / PART_POINTS) - 1).cast("int")))).drop("n")
-    met = sent.join(others.select("movie_id", "cx", "cy", "part", F.struct(*[c for c in others.columns if c not in ("movie_id", "cx", "cy", "part")]).alias("o")), ["movie_id", "cx", "cy", "part"])
-    return met.where(_squared(F.col("p"), F.col("o")) <= F.lit(float(radius) ** 2)).select("movie_id", "p", "o")
-
-
-def _squared(a: Column, b: Column) -> Column:
-    return (a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2
-
-
-def _boxes(points: DataFrame, level: int, size: float) -> DataFrame:
-    """cell (smallest core id), box and its ends and n: a cell's points by boxes of a 4^level-th of the cell's side."""
-    side = F.lit(size / 4**level)
-    at = [F.floor(F.col("x") / side).alias("bx"), F.floor(F.col("y") / side).alias("by")]
-    return points.groupBy("cell", *at).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n"))
-
-
-def linked_cells(cores: DataFrame, radius: float) -> DataFrame:
-    """(tile, a, b): cells (named by their smallest core) with cores within the radius of one another, and the tile of a. cores: movie_id, cx, cy, cell, id, x, y.
-
-    A pair of near cells needs one witness. Pairs of boxes with few pairs of points are compared at once; larger ones are linked if their
-    farthest corners are within the radius, dropped if their nearest sides aren't, and else both are cut into sixteen. So cells of any number of points cost
-    the boxes along one another's rim, not their pairs of points.
-    """
-    size = radius / math.sqrt(2)
-    limit = F.lit(float(radius) ** 2)
-    named = cores.select("movie_id", "cx", "cy", "cell").distinct()
-    ahead = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in NEAR_CELLS if (dx, dy) > (0, 0)])
-    tile = F.xxhash64("movie_id", F.floor(F.col("cx") / TILE_CELLS), F.floor(F.col("cy") / TILE_CELLS)).alias("tile")
-    sent = named.select("movie_id", tile, F.col("cell").alias("a"), "cx", "cy", F.explode(ahead).alias("d")).select("movie_id", "tile", "a", (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"))
-    todo = sent.join(named, ["movie_id", "cx", "cy"]).select("tile", "a", F.col("cell").alias("b"))
-    points = cores.select("cell", "id", "x", "y")
-    level, pairs = 0, todo.select("tile", "a", "b", F.lit(None).cast("long").alias("ax"), F.lit(None).cast("long").alias("ay"), F.lit(None).cast("long").alias("bx"), F.lit(None).cast("long").alias("by"))
-    found = None
-    while True:
-        boxes = cut(_boxes(points, level, size))
-        parent = lambda c: F.when(F.lit(level > 0), F.floor(F.col(c) / 4))  # noqa: B023, E731
-        def side(s):  # noqa: ANN001, ANN202
-            return boxes.select(F.col("cell").alias(s), parent("bx").alias(f"{s}x"), parent("by").alias(f"{s}y"), F.struct("bx", "by", "x0", "x1", "y0", "y1", "n").alias(f"{s}_box"))  # noqa: B023
-        same = lambda s: [pairs[s] == F.col(f"{s}_side.{s}"), pairs[f"{s}x"].eqNullSafe(F.col(f"{s}_side.{s}x")), pairs[f"{s}y"].eqNullSafe(F.col(f"{s}_side.{s}y"))]  # noqa: B023, E731
-        met = pairs.join(side("a").alias("a_side"), same("a")).join(side("b").alias("b_side"), same("b")).select(pairs["tile"], pairs["a"], pairs["b"], "a_box", "b_box")
-        gap = lambda v: F.greatest(F.lit(0.0), F.col(f"a_box.{v}0") - F.col(f"b_box.{v}1"), F.col(f"b_box.{v}0") - F.col(f"a_box.{v}1"))
-        reach = lambda v: F.greatest(F.col(f"a_box.{v}1") - F.col(f"b_box.{v}0"), F.col(f"b_box.{v}1") - F.col(f"a_box.{v}0"))
-        met = met.where(gap("x") ** 2 + gap("y") ** 2 <= limit)
-        met = cut(met.withColumns({"sure": reach("x") ** 2 + reach("y") ** 2 <= limit, "few": F.col("a_box.n") * F.col("b_box.n") <= PAIRS_AT_ONCE}))
-        sure = met.where("sure").select("tile", "a", "b")
-        few = met.where("few and not sure")
-        def inside(s):  # noqa: ANN001, ANN202
-            at = [F.floor(F.col(c) / F.lit(size / 4**level)).alias(f"{s}b{c}") for c in ("x", "y")]  # noqa: B023
-            return points.select(F.col("cell").alias(s), *at, F.struct("x", "y").alias(f"{s}_p"))
-        some = few.select("tile", "a", "b", F.col("a_box.bx").alias("abx"), F.col("a_box.by").alias("aby"), F.col("b_box.bx").alias("bbx"), F.col("b_box.by").alias("bby"))
-        some = some.join(inside("a"), ["a", "abx", "aby"]).join(inside("b"), ["b", "bbx", "bby"]).where(_squared(F.col("a_p"), F.col("b_p")) <= limit).select("tile", "a", "b")
-        new = cut(sure.unionByName(some).distinct())
-        found = new if found is None else found.unionByName(new)
-        rest = met.where("not few and not sure").join(new, ["a", "b"], "left_anti")
-        pairs = cut(rest.select("tile", "a", "b", F.col("a_box.bx").alias("ax"), F.col("a_box.by").alias("ay"), F.col("b_box.bx").alias("bx"), F.col("b_box.by").alias("by")))
-        if not pairs.take(1):
-            return found
-        points = points.join(pairs.select(F.explode(F.array("a", "b")).alias("cell")).distinct(), "cell", "left_semi")
-        level += 1
+    span, side = dark + 1, BLOCK_RADII * radius
+    ok = _placed("frame", "x", "y") & F.col("movie_id").isNotNull()
+    axes = {"frame": (BLOCK_SPANS * span, span, span, False), "x": (side, radius, radius, False), "y": (side, radius, radius, False)}
+    linked = _blocked(locs.where(ok), axes, blocks.link_solver(radius, span), "spatial-links")
+    lone = locs.where(~ok).dropDuplicates(["id"]).select("movie_id", F.col("id").alias("root"), F.lit(1).cast("long").alias("n"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return linked.unionByName(lone).withColumnRenamed("root", "molecule")
 
 
 def density_clusters(locs: DataFrame, radius: float, min_locs: int) -> DataFrame:
     """Localizations with at least min_locs (themselves included) within radius are cores; linked cores and their neighbours form a cluster.
 
     cluster (smallest core id), movie_id, n, x, y. A localization near cores of several clusters goes to the smallest. Localizations have an id, x and y.
-
-    Cells are as wide as makes any two of their points neighbours. So all points of a cell with min_locs are cores without a look, all cores
-    of a cell are one component, and only points of cells with fewer are compared with their neighbours: at most twenty times min_locs comparisons a point.
+    Rows of equal id are one localization and have equal places. A block knows all points within two radii, so all neighbours of those within one.
     """
-    points, cells = _celled(locs, radius)
-    sparse = points.where(F.col("n") < min_locs)
-    counted = _around(sparse, cells, points.select("movie_id", "cx", "cy", "part", "id", "x", "y"), radius).groupBy(F.col("p.id").alias("id")).agg(F.count(F.lit(1)).alias("near"))
-    some = sparse.join(counted.where(F.col("near") >= min_locs).select("id"), "id", "left_semi")
-    cores = cut(points.where(F.col("n") >= min_locs).unionByName(some))
-    first = cut(cores.groupBy("movie_id", "cx", "cy").agg(F.min("id").alias("cell")))
-    cores = cut(salted(cores, first, ["movie_id", "cx", "cy"], "id"))
-    label = tiled_labels(linked_cells(cores, radius), first.select(F.col("cell").alias("id")))
-    named = cut(salted(cores.withColumnRenamed("cell", "a"), label.select(F.col("id").alias("a"), F.col("label").alias("cluster")), ["a"], "id").select("movie_id", "cx", "cy", "part", "id", "x", "y", "cluster"))
-    rim = _around(sparse.join(named.select("id"), "id", "left_anti"), cells, named, radius).groupBy("movie_id", F.col("p.id").alias("id"), F.col("p.x").alias("x"), F.col("p.y").alias("y")).agg(F.min("o.cluster").alias("cluster"))
-    every = named.select("movie_id", "id", "x", "y", "cluster").unionByName(rim)
-    return every.groupBy("movie_id", "cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+    side = BLOCK_RADII * radius
+    axes = {c: (side, 2 * radius, radius, True) for c in ("x", "y")}
+    found = _blocked(locs.where(_placed("x", "y") & F.col("movie_id").isNotNull()), axes, blocks.density_solver(radius, min_locs), "spatial-density")
+    return found.withColumnRenamed("root", "cluster")
 
 
 def pixel_grid(movies: DataFrame, width: int, height: int) -> DataFrame:

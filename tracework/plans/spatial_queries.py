@@ -73,10 +73,10 @@ def j2_roi_traces(spark, sf_dir):
 
 
 def _numbered(locs):
-    """Localizations with an id that doesn't depend on partitioning."""
+    """Localizations with an id that doesn't depend on partitioning; equal ones have equal ids and stand for one."""
     tenths = lambda c: F.round(F.col(c) * 10).cast("long")
     text = F.concat_ws(":", "movie_id", "frame", tenths("x"), tenths("y"), F.round(F.col("net_gradient") * 100).cast("long"))
-    return locs.withColumn("id", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")).dropDuplicates(["id"])
+    return locs.withColumn("id", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"))
 
 
 _NUMBERED = "l AS (SELECT id, any_value(movie_id) AS movie_id, any_value(frame) AS frame, any_value(x) AS x, any_value(y) AS y FROM (SELECT *, CAST('0x' || substr(md5(concat_ws(':', movie_id, frame, CAST(round(x * 10) AS BIGINT), CAST(round(y * 10) AS BIGINT), CAST(round(net_gradient * 100) AS BIGINT))), 1, 15) AS BIGINT) AS id FROM localizations) GROUP BY 1)"
