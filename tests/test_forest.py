@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tracework.operators import forest, learn, metrics
+from tracework.operators import forest, learn, lockstep, metrics
 
 
 def plain_tree(rows, classes, depth):
@@ -88,3 +88,21 @@ def test_scores_of_folds_are_written_once(spark):
     df = spark.createDataFrame([(i, i % 2, [float(v) for v in rng.normal(i % 2, 1, 12)]) for i in range(40)], "trace_id long, class_idx int, values array<double>")
     found = learn.cross_validate(df, 2, [0], ["forest", "logistic"], 2, trees=3)
     assert "MapInArrow" not in found._jdf.queryExecution().toString() and found.count() == 80
+
+
+def test_steps_read_packed_rows(spark):
+    """A fit makes its rows once, whatever the number of its steps."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i % 2, [float(v) for v in rng.normal(i % 2, 1, 2)]) for i in range(60)], "label int, x array<double>")
+    counted = rows.mapInArrow(count, "label int, x array<double>")
+    every = lambda k, c: np.ones(len(c["label"]), bool)
+    scaled = lockstep.scales(rows, ["one"], every, 2)
+    weights = lockstep.fit(counted, ["one"], every, lockstep.Logistic(2, 2), scaled, 5)
+    assert seen.value == 60 and np.isfinite(weights["one"]).all()
